@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontam, topk
+import public_tokenizers
+
+from . import common, decontam, quality, topk, wavelet
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
 
@@ -25,7 +31,21 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_exact_top_k, op5_benchmark_decontamination)}
+def op6_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = common.scratch(spark, "tokens")
+    wavelet.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return wavelet.documents(spark, path)
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op2_quality_classifier,
+        op3_exact_top_k,
+        op5_benchmark_decontamination,
+        op6_token_id_output,
+    )
+}
 
 ORACLE: dict[str, str] = {
     "op3_exact_top_k": """
