@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import common, decontam, quality, topk, wavelet
+from . import bpe, common, decontam, quality, token_counts, topk, wavelet
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,23 +27,33 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.edited_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10)
 
 
 def op6_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.scratch(spark, "tokens")
-    wavelet.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    wavelet.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=2)
     return wavelet.documents(spark, path)
 
 
+def op7_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op2_quality_classifier,
         op3_exact_top_k,
+        op4_token_counts,
         op5_benchmark_decontamination,
         op6_token_id_output,
+        op7_byte_level_bpe,
     )
 }
 
