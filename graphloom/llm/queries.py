@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, common, decontam, quality, token_counts, topk, wavelet
+from . import bpe, common, decontam, hpylm, quality, token_counts, topk, wavelet
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +45,10 @@ def op7_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -54,6 +58,7 @@ QUERIES: dict[str, Query] = {
         op5_benchmark_decontamination,
         op6_token_id_output,
         op7_byte_level_bpe,
+        op9_lm_scoring,
     )
 }
 
