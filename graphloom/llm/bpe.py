@@ -12,7 +12,6 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-import re
 import sys
 import uuid
 import zlib
@@ -23,10 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .pretok import ChunkedEncoder
+
 DICTIONARY = 30_000  #: words encoded ahead of the documents
 FOLD_BYTES = 48  #: of a word in the dictionary, at most; longer words are left to the documents' pass
 BUCKETS = 8192  #: a literal map is searched entry by entry, so the ranks are dealt to this many small ones
-CACHE = 500_000  #: chunks of text, and words, whose ids a Python worker remembers
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -108,52 +108,9 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[piece[i : ends[i]]] for i in range(n) if alive[i]]
 
 
-def cutter(pattern: str):
-    """The compiled pattern, with white space as Unicode has it: the separators U+001C to U+001F are none."""
-    import regex
-
-    space = pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
-    return regex.compile(space)
-
-
-class Words:
-    """Cuts texts into words and remembers ids, in one Python worker.
-
-    The pattern always cuts before a single space that follows no white space, so a text falls into chunks there and each
-    distinct chunk is handled once; texts with longer white space around a space are cut by the pattern as a whole.
-    """
-
-    spaces = re.compile(r" \s")
-
-    def __init__(self, ranks: dict[bytes, int], pattern: str, dictionary: dict[str, bytes]):
-        self.ranks, self.cut, self.ready, self.known = ranks, cutter(pattern), dict(dictionary), {}
-        self.room = CACHE
-
-    def word(self, word: str) -> bytes:
-        found = self.ready.get(word)
-        if found is None:
-            found = array("I", merge(word.encode("utf-8"), self.ranks)).tobytes()
-            if self.room > 0:
-                self.room -= 1
-                self.ready[word] = found
-        return found
-
-    def chunk(self, text: str) -> bytes:
-        return b"".join(map(self.word, self.cut.findall(text)))
-
-    def new(self, chunk: str) -> bytes:
-        found = self.chunk(chunk)
-        if len(self.known) < CACHE:
-            self.known[chunk] = found
-        return found
-
-    def encode(self, text: str) -> bytes:
-        if not text or text[-1] == " " or self.spaces.search(text):
-            return self.chunk(text)
-        first, *rest = text.split(" ")
-        get, new = self.known.get, self.new
-        # a chunk's ids are never empty
-        return b"".join([get(first) or new(first)] * bool(first) + [get(c) or new(c) for c in map(" ".__add__, rest)])
+def words(ranks: dict[bytes, int], pattern: str, dictionary: dict[str, bytes]) -> ChunkedEncoder:
+    """Ids as little-endian uint32: words of the dictionary are looked up, others merged."""
+    return ChunkedEncoder(pattern, lambda w: array("I", merge(w.encode("utf-8"), ranks)).tobytes(), dictionary)
 
 
 def _held(kind: str, key: object, make):
@@ -184,7 +141,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str] | Non
     held, made = docs.sparkSession.sparkContext.broadcast(build_dictionary(docs, ranks, pattern, dictionary)), uuid.uuid4().hex
 
     def run(batches):
-        w = _held("words", (ranks_path, made), lambda: Words(load_ranks(ranks_path), pattern, held.value))
+        w = _held("words", (ranks_path, made), lambda: words(load_ranks(ranks_path), pattern, held.value))
         for b in batches:
             ids = [w.encode(t or "") for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ids, pa.binary())], names=[*keep, "ids"])

@@ -87,3 +87,8 @@ def text_key(text: Column) -> Column:
 def same(a: Column, b: Column) -> Column:
     """Equality that holds for two nulls."""
     return a.eqNullSafe(b)
+
+
+def quoted(column: str) -> str:
+    """A column name as an expression, whatever is in it."""
+    return f"`{column.replace('`', '``')}`"

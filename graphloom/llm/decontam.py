@@ -136,3 +136,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFra
         F.col("d.doc_id"), F.col("d.n_words"), n_hit.alias("n_hit"), F.coalesce(F.col("i.n_items"), F.lit(0).cast("long")).alias("n_items"),
         F.sha2(F.coalesce(F.col("i.ids"), F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no window of the benchmark."""
+    windows, _ = item_windows(benchmark.select("item_id", "text"), n)
+    index = PositionalIndex(docs.select("doc_id", "text"), windows.select(F.explode("terms").alias("term")).distinct())
+    hit = common.written(index.phrases(windows).select(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).distinct(), "contaminated")
+    on = common.same(F.col("doc_id"), F.col("__d")) & (common.text_key(F.col("text")) == F.col("__h"))
+    return docs.join(small(hit, hit.count()), on, "left_anti")

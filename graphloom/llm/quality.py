@@ -16,8 +16,10 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import common
+from .common import quoted
 
 FIT_ROWS = 3000  #: labelled rows of each label that the classifier is fitted on, at most
 FIT_BYTES = 4000  #: bytes of each of them
@@ -110,17 +112,18 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column) -> _Model:
     return model
 
 
-def scores(docs: DataFrame, model: _Model, keep: list[str]) -> DataFrame:
-    """``keep`` columns of every row and its ``score`` (double): the chance of label 1. Null texts count as empty."""
-    fields = [f for f in docs.select(*keep).schema.fields]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double"
+def scores(docs: DataFrame, model: _Model, keep: list[str], name: str = "score") -> DataFrame:
+    """``keep`` columns of every row and ``name`` (double): the chance of label 1. Null texts count as empty."""
+    # by place, so that any name will do
+    rows = docs.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(keep)], F.col("text").alias("t"))
+    schema = StructType([*rows.schema.fields[:-1], StructField("s", DoubleType())])
 
     def run(batches):
         for b in batches:
-            texts = [(t or "").encode("utf-8", "surrogatepass") for t in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(model.score(texts))], names=[*keep, "score"])
+            texts = [(t or "").encode("utf-8") for t in b.column(b.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(model.score(texts))], names=schema.names)
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*keep, name)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, common, decontam, hpylm, quality, token_counts, topk, wavelet
+from . import bpe, chat, common, decontam, hpylm, license_scan, near_dup, quality, token_counts, topk, wavelet
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.document_licences(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,20 +49,33 @@ def op7_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_pairs(chat.next_answer_pairs(table(spark, sf_dir, "conversations"))).select(
+        "pair_id", "n_common", "prompt", "chosen", F.to_json("chosen_learn").alias("chosen_learn"), "rejected", F.to_json("rejected_learn").alias("rejected_learn")
+    )
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hpylm.scores(table(spark, sf_dir, "documents"))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
+        op1_license_scan,
         op2_quality_classifier,
         op3_exact_top_k,
         op4_token_counts,
         op5_benchmark_decontamination,
         op6_token_id_output,
         op7_byte_level_bpe,
+        op8_chat_formatting,
         op9_lm_scoring,
+        op10_near_duplicates,
     )
 }
 
@@ -74,6 +91,29 @@ s AS (
   FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    "op8_chat_formatting": r"""
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role NULLS FIRST, text NULLS FIRST) AS k, count(*) OVER (PARTITION BY conv_id) AS size FROM t),
+last AS (SELECT conv_id - 1 AS conv_id, role, text FROM n WHERE k = size),
+sides AS (
+  SELECT conv_id, 'c' AS side, k, size, role, text FROM n
+  UNION ALL SELECT conv_id, 'r', k, size, role, text FROM n WHERE k < size
+  UNION ALL SELECT n.conv_id, 'r', n.k, n.size, l.role, l.text FROM n JOIN last l USING (conv_id) WHERE n.k = n.size),
+differ AS (
+  SELECT n.conv_id, CASE WHEN l.conv_id IS NOT NULL AND n.role IS NOT DISTINCT FROM l.role AND n.text IS NOT DISTINCT FROM l.text THEN n.size ELSE n.size - 1 END AS n_common
+  FROM n LEFT JOIN last l USING (conv_id) WHERE n.k = n.size),
+r AS (
+  SELECT s.*, n_common, '<|im_start|>' || coalesce(role, '') || chr(10) AS head, '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS whole
+  FROM sides s JOIN differ USING (conv_id)),
+p AS (SELECT *, coalesce(sum(length(whole)) OVER (PARTITION BY conv_id, side, k > n_common ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r)
+SELECT conv_id AS pair_id, CAST(any_value(n_common) AS INTEGER) AS n_common,
+       coalesce(string_agg(whole, '' ORDER BY k) FILTER (WHERE side = 'c' AND k <= n_common), '') AS prompt,
+       coalesce(string_agg(whole, '' ORDER BY k) FILTER (WHERE side = 'c' AND k > n_common), '') AS chosen,
+       '[' || coalesce(string_agg('{"start":' || CAST(before + length(head) AS BIGINT) || ',"end":' || CAST(before + length(whole) AS BIGINT) || '}', ',' ORDER BY k) FILTER (WHERE side = 'c' AND k > n_common AND role = 'assistant'), '') || ']' AS chosen_learn,
+       coalesce(string_agg(whole, '' ORDER BY k) FILTER (WHERE side = 'r' AND k > n_common), '') AS rejected,
+       '[' || coalesce(string_agg('{"start":' || CAST(before + length(head) AS BIGINT) || ',"end":' || CAST(before + length(whole) AS BIGINT) || '}', ',' ORDER BY k) FILTER (WHERE side = 'r' AND k > n_common AND role = 'assistant'), '') || ']' AS rejected_learn
+FROM p GROUP BY conv_id
 """,
     "op5_benchmark_decontamination": r"""
 WITH d AS (

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
+from .pretok import cutter
 
 RUN = 64  #: pre-tokens in a leaf of a new tree; a leaf that grows past FULL has its tree rebuilt
 FULL = 512
@@ -32,8 +33,7 @@ class Counter:
     """Counts the tokens of pre-tokens by a rank file."""
 
     def __init__(self, ranks_path: str, pattern: str):
-        self.words = bpe.Words(bpe.load_ranks(ranks_path), pattern, {})
-        self.cut, self.known = self.words.cut, {}
+        self.ranks, self.cut, self.known = bpe.load_ranks(ranks_path), cutter(pattern), {}
 
     def counts(self, pieces: list[str]) -> list[int]:
         try:
@@ -43,7 +43,7 @@ class Counter:
                 self.known.clear()
             for p in pieces:
                 if p not in self.known:
-                    self.known[p] = len(bpe.merge(p.encode("utf-8"), self.words.ranks))
+                    self.known[p] = len(bpe.merge(p.encode("utf-8"), self.ranks))
             return list(map(self.known.__getitem__, pieces))
 
 
