@@ -92,3 +92,15 @@ def same(a: Column, b: Column) -> Column:
 def quoted(column: str) -> str:
     """A column name as an expression, whatever is in it."""
     return f"`{column.replace('`', '``')}`"
+
+
+def chunks(texts: list, limit: int):
+    """(place, texts) of runs of at most ``limit`` bytes; a longer text is a run of its own."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) <= limit):
+            size += len(texts[end])
+            end += 1
+        yield at, texts[at:end]
+        at = end
