@@ -51,7 +51,7 @@ def neighbour_sets(g: Graph, least: int = 0) -> DataFrame:
 
 def region_weights(g: Graph) -> DataFrame:
     """Weight of every node by region and direction."""
-    both = F.explode(F.array(F.struct(F.col("post_id").alias("root_id"), F.lit("in").alias("direction")), F.struct(F.col("pre_id"), F.lit("out"))))
+    both = F.explode(F.array(F.struct(F.col("post_id").alias("root_id"), F.lit("in").alias("direction")), F.struct(F.col("pre_id").alias("root_id"), F.lit("out").alias("direction"))))
     return g.edges.select(both.alias("x"), "region", "weight").groupBy("x.root_id", "x.direction", "region").agg(F.sum("weight").alias("weight"))
 
 

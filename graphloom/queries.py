@@ -1,4 +1,298 @@
-"""The registered queries of the graph engine and their DuckDB SQL."""
+"""The registered queries of the graph engine and their DuckDB SQL, over the graph of consecutive parts of an order."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.functions import regions as region_fn
+from graphloom.functions import text as text_fn
+from graphloom.model import Graph
+from graphloom.operators import analytics, graph, labels, network, ordering, similarity, text
+from graphloom.operators.motif import Motif
+from graphloom.plans import compiler
+from graphloom.sources import csv_tables
+from graphloom.sources.driver_tables import graph as part_graph
+from graphloom.sources.driver_tables import read, supplier_graph
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+
+_ORDER = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate, l_returnflag, l_linestatus"
+
+
+def _edges_sql(key: str) -> str:
+    return f"""seq AS (
+  SELECT {key} AS pre_id, lead({key}) OVER (PARTITION BY l_orderkey ORDER BY {_ORDER}) AS post_id,
+         CASE l_returnflag WHEN 'A' THEN 'A_L' WHEN 'R' THEN 'R_R' ELSE l_returnflag END AS region, l_linestatus AS edge_type, l_quantity
+  FROM lineitem),
+edges AS MATERIALIZED (SELECT pre_id, post_id, region, CAST(sum(l_quantity) AS BIGINT) AS weight, max(edge_type) AS edge_type FROM seq WHERE post_id IS NOT NULL GROUP BY ALL),
+pairs AS MATERIALIZED (SELECT pre_id, post_id, CAST(sum(weight) AS BIGINT) AS weight FROM edges GROUP BY ALL)"""
+
+
+_NODES_SQL = """
+din AS (SELECT post_id AS root_id, count(DISTINCT pre_id) AS input_cells, CAST(sum(weight) AS BIGINT) AS input_synapses, list_sort(list(DISTINCT region)) AS input_neuropils FROM edges GROUP BY 1),
+dout AS (SELECT pre_id AS root_id, count(DISTINCT post_id) AS output_cells, CAST(sum(weight) AS BIGINT) AS output_synapses, list_sort(list(DISTINCT region)) AS output_neuropils FROM edges GROUP BY 1),
+heavy AS (SELECT pre_id AS root_id, edge_type AS nt_type FROM (SELECT pre_id, edge_type, row_number() OVER (PARTITION BY pre_id ORDER BY sum(weight) DESC, edge_type) AS k FROM edges GROUP BY 1, 2) WHERE k = 1),
+nodes AS MATERIALIZED (
+  SELECT p_partkey AS root_id, p_type AS super_class, p_brand AS class, CAST(p_size AS VARCHAR) AS sub_class, string_split(p_name, ' ') AS label, p_type || '.' || p_brand AS "group",
+         CAST(round(p_retailprice * 100) AS BIGINT) AS size_nm, CASE p_partkey % 3 WHEN 0 THEN 'left' WHEN 1 THEN 'right' ELSE 'center' END AS side, coalesce(nt_type, '') AS nt_type,
+         coalesce(input_cells, 0) AS input_cells, coalesce(output_cells, 0) AS output_cells, coalesce(input_synapses, 0) AS input_synapses, coalesce(output_synapses, 0) AS output_synapses,
+         coalesce(input_neuropils, []) AS input_neuropils, coalesce(output_neuropils, []) AS output_neuropils
+  FROM part LEFT JOIN din ON p_partkey = din.root_id LEFT JOIN dout ON p_partkey = dout.root_id LEFT JOIN heavy ON p_partkey = heavy.root_id)"""
+
+
+def _with(body: str, *more: str, key: str = "l_partkey", recursive: bool = False) -> str:
+    parts = [_edges_sql(key)] + ([_NODES_SQL] if key == "l_partkey" else []) + list(more)
+    return f"WITH {'RECURSIVE ' if recursive else ''}{','.join(parts)}\n{body}"
+
+
+def _add(name: str, f: Callable[[Graph], DataFrame], sql: str | None, source: Callable[[SparkSession, str], Graph] = part_graph) -> None:
+    QUERIES[name] = lambda spark, sf_dir: f(source(spark, sf_dir))
+    if sql is not None:
+        ORACLE[name] = sql
+
+
+def _search(name: str, query: str, where: str, **how) -> None:
+    """A query of the language against a condition on the nodes."""
+    _add(name, lambda g: compiler.search(g, query, **how).select("root_id"), _with(f"SELECT root_id FROM nodes WHERE {where}"))
+
+
+_LABEL = "len(list_filter(label, lambda x: {})) > 0"
+_search("filter_eq", "class == Brand#13", "lower(class) = 'brand#13'")
+_search("filter_ne", "side != left", "side <> 'left'")
+_search("filter_prefix", "super_class ^* eco", "starts_with(lower(super_class), 'eco')")
+_search("filter_contains", "label >> bol", _LABEL.format("contains(lower(x), 'bol')"))
+_search("filter_not_contains", "class !> #1", "NOT contains(lower(class), '#1')")
+_search("filter_in", "sub_class << 1, 5, 7", "sub_class IN ('1', '5', '7')")
+_search("filter_not_in", "sub_class !< 1, 5, 7", "sub_class NOT IN ('1', '5', '7')")
+_search("filter_has", "$$ nt_type", "nt_type <> ''")
+_search("filter_not_has", "!$ cell_type", "true")
+_search("filter_edge_type_name", "nt_type == open", "nt_type = 'O'")
+_search("filter_region_list", "input_regions << accepted lines", "list_contains(input_neuropils, 'A_L')")
+_search("filter_and", "class == Brand#13 && label >> bolt", "lower(class) = 'brand#13' AND " + _LABEL.format("contains(lower(x), 'bolt')"))
+_search("filter_or", "class == Brand#13 || side == left", "lower(class) = 'brand#13' OR side = 'left'")
+_search("filter_case_sensitive", "class == Brand#13", "class = 'Brand#13'", case_sensitive=True)
+_search("mixed_text_and_attr", "bolt && side == right", "side = 'right' AND (" + _LABEL.format("contains(lower(x), 'bolt')") + ' OR lower("group") = \'bolt\' OR lower(class) = \'bolt\')')
+_search("upstream", "^^ 1", "root_id IN (SELECT pre_id FROM pairs WHERE post_id = 1)")
+_search("downstream", "!^ 1", "root_id IN (SELECT post_id FROM pairs WHERE pre_id = 1)")
+_search("upstream_region", "left ^R 1", "root_id IN (SELECT pre_id FROM edges WHERE post_id = 1 AND region = 'A_L')")
+_search("downstream_region", "returned !R 1", "root_id IN (SELECT post_id FROM edges WHERE pre_id = 1 AND region = 'R_R')")
+_search("graph_and_attr", "!^ 1 && side == left", "side = 'left' AND root_id IN (SELECT post_id FROM pairs WHERE pre_id = 1)")
+_search("graph_or_attr", "!^ 1 || sub_class == 7", "sub_class = '7' OR root_id IN (SELECT post_id FROM pairs WHERE pre_id = 1)")
+
+_add("reciprocal_all", lambda g: g.pairs.where("pre_id <> post_id").select("pre_id", "post_id").intersect(g.pairs.where("pre_id <> post_id").select(F.col("post_id").alias("pre_id"), F.col("pre_id").alias("post_id"))),
+     _with("SELECT pre_id, post_id FROM pairs WHERE pre_id <> post_id INTERSECT SELECT post_id, pre_id FROM pairs WHERE pre_id <> post_id"))
+_add("reciprocal", lambda g: compiler.search(g, "^v 1").select("root_id"), _with("SELECT pre_id AS root_id FROM pairs WHERE post_id = 1 AND pre_id <> 1 INTERSECT SELECT post_id FROM pairs WHERE pre_id = 1"))
+
+# edges
+
+_TWENTY = "(SELECT root_id FROM nodes WHERE class = 'Brand#13')"
+
+
+def _brand(g: Graph) -> DataFrame:
+    return compiler.search(g, "class == Brand#13").select("root_id")
+
+
+_add("edges_incident", lambda g: graph.incident(g, 1), _with("SELECT * FROM edges WHERE pre_id = 1 OR post_id = 1"))
+_add("edges_touching", lambda g: graph.connections(g, _brand(g)), _with(f"SELECT * FROM edges WHERE pre_id IN {_TWENTY} OR post_id IN {_TWENTY}"))
+_add("edges_induced", lambda g: graph.connections(g, _brand(g), induced=True), _with(f"SELECT * FROM edges WHERE pre_id IN {_TWENTY} AND post_id IN {_TWENTY}"))
+_add("edges_filtered", lambda g: graph.edge_filter(g.edges, g, 30, "O", {"N"}), _with("SELECT * FROM edges WHERE weight >= 30 AND edge_type = 'O' AND region = 'N'"))
+_add("pair_weights", lambda g: graph.pairs_over(g, 40), _with("SELECT * FROM pairs WHERE weight >= 40"))
+_add("region_weights", graph.region_weights, _with("SELECT post_id AS root_id, 'in' AS direction, region, CAST(sum(weight) AS BIGINT) AS weight FROM edges GROUP BY ALL UNION ALL SELECT pre_id, 'out', region, CAST(sum(weight) AS BIGINT) FROM edges GROUP BY ALL"))
+_add("degrees", lambda g: g.nodes.select("root_id", "input_cells", "output_cells", "input_synapses", "output_synapses"), _with("SELECT root_id, input_cells, output_cells, input_synapses, output_synapses FROM nodes"))
+_add("up_down_by_region", lambda g: graph.up_down(g, 1).select("direction", "region", F.array_join("neighbours", ",").alias("neighbours")),
+     _with("""SELECT direction, region, string_agg(CAST(other AS VARCHAR), ',' ORDER BY other) AS neighbours FROM (
+  SELECT 'up' AS direction, region, pre_id AS other FROM edges WHERE post_id = 1 AND pre_id <> 1 UNION ALL SELECT 'down', region, post_id FROM edges WHERE pre_id = 1) GROUP BY 1, 2"""))
+_add("neighbour_sets", lambda g: graph.neighbour_sets(g, 45).select("root_id", F.size("inputs").alias("n_in"), F.size("outputs").alias("n_out")),
+     _with("SELECT root_id, CAST((SELECT count(*) FROM pairs WHERE post_id = root_id AND weight >= 45) AS INTEGER) AS n_in, CAST((SELECT count(*) FROM pairs WHERE pre_id = root_id AND weight >= 45) AS INTEGER) AS n_out FROM nodes"))
+_add("node_rollups", lambda g: graph.rollups(g, 1),
+     _with("""SELECT direction, kind, value, CAST(sum(weight) AS BIGINT) AS weight FROM (
+  SELECT direction, unnest([{'kind': 'region', 'value': region}, {'kind': 'hemisphere', 'value': CASE region WHEN 'A_L' THEN 'Left' WHEN 'R_R' THEN 'Right' ELSE 'Center' END}, {'kind': 'edge_type', 'value': edge_type}, {'kind': 'total', 'value': 'All'}], recursive := true), weight
+  FROM (SELECT 'in' AS direction, * FROM edges WHERE post_id = 1 UNION ALL SELECT 'out', * FROM edges WHERE pre_id = 1)) WHERE kind <> 'edge_type' OR direction = 'in' GROUP BY 1, 2, 3"""))
+
+# traversal
+
+_STRONG = "step AS MATERIALIZED (SELECT pre_id, post_id FROM pairs WHERE weight >= 40)"
+_REACH = "reach(n, d) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT post_id, d + 1 FROM reach JOIN step ON n = pre_id WHERE d < 12), dist AS (SELECT n AS root_id, min(d) AS depth FROM reach GROUP BY 1)"
+_add("bfs_distance", lambda g: graph.distances_from(g, 1, least=40), _with("SELECT root_id, CAST(depth AS INTEGER) AS depth FROM dist", _STRONG, _REACH, recursive=True))
+_add("bfs_upstream", lambda g: graph.distances_from(g, 1, up=True, least=40),
+     _with("SELECT root_id, CAST(depth AS INTEGER) AS depth FROM dist", _STRONG, _REACH.replace("SELECT post_id, d + 1 FROM reach JOIN step ON n = pre_id", "SELECT pre_id, d + 1 FROM reach JOIN step ON n = post_id"), recursive=True))
+_add("hop_histogram", lambda g: graph.hop_histogram(graph.distances_from(g, 1, least=40), g.nodes.count()),
+     _with("SELECT CAST(depth AS INTEGER) AS hops, CAST(sum(count(*)) OVER (ORDER BY depth) AS BIGINT) AS reached, CAST(floor(sum(count(*)) OVER (ORDER BY depth) * 100 / (SELECT count(*) FROM nodes)) AS INTEGER) AS percent FROM dist WHERE depth > 0 GROUP BY depth", _STRONG, _REACH, recursive=True))
+_MANY = "reach(s, n, d) AS (SELECT s, s, 0 FROM (VALUES (CAST(1 AS BIGINT)), (2), (3), (4)) v(s) UNION SELECT s, post_id, d + 1 FROM reach JOIN step ON n = pre_id WHERE d < 12), dist AS (SELECT s, n, min(d) AS depth FROM reach GROUP BY 1, 2)"
+_add("distance_matrix", lambda g: graph.distance_matrix(g, [1, 2, 3, 4], [1, 5, 6, 7, 8], least=40),
+     _with("SELECT s AS source, t AS target, CAST(coalesce(depth, -1) AS INTEGER) AS hops FROM (VALUES (CAST(1 AS BIGINT)), (2), (3), (4)) v(s) CROSS JOIN (VALUES (CAST(1 AS BIGINT)), (5), (6), (7), (8)) w(t) LEFT JOIN dist USING (s) WHERE false UNION ALL SELECT v.s, w.t, CAST(coalesce((SELECT depth FROM dist x WHERE x.s = v.s AND x.n = w.t), -1) AS INTEGER) FROM (VALUES (CAST(1 AS BIGINT)), (2), (3), (4)) v(s) CROSS JOIN (VALUES (CAST(1 AS BIGINT)), (5), (6), (7), (8)) w(t)", _STRONG, _MANY, recursive=True))
+ORACLE["distance_matrix"] = _with("SELECT v.s AS source, w.t AS target, CAST(coalesce(x.depth, -1) AS INTEGER) AS hops FROM (VALUES (CAST(1 AS BIGINT)), (2), (3), (4)) v(s) CROSS JOIN (VALUES (CAST(1 AS BIGINT)), (5), (6), (7), (8)) w(t) LEFT JOIN dist x ON x.s = v.s AND x.n = w.t", _STRONG, _MANY, recursive=True)
+_BOTH = """f(n, d) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT post_id, d + 1 FROM f JOIN step ON n = pre_id WHERE d < 12),
+b(n, d) AS (SELECT CAST(7 AS BIGINT), 0 UNION SELECT pre_id, d + 1 FROM b JOIN step ON n = post_id WHERE d < 12),
+fd AS (SELECT n, min(d) AS d FROM f GROUP BY 1), bd AS (SELECT n, min(d) AS d FROM b GROUP BY 1),
+path AS (SELECT fd.n AS root_id, fd.d AS depth FROM fd JOIN bd USING (n) WHERE fd.d + bd.d = (SELECT d FROM fd WHERE n = 7))"""
+_add("shortest_path_nodes", lambda g: graph.path_nodes(g, 1, 7, least=40), _with("SELECT root_id, CAST(depth AS INTEGER) AS depth FROM path", _STRONG, _BOTH, recursive=True))
+_PATH_EDGES = "SELECT pre_id, post_id, weight, CAST(x.depth AS INTEGER) AS depth FROM pairs JOIN path x ON pre_id = x.root_id JOIN path y ON post_id = y.root_id WHERE y.depth = x.depth + 1 AND weight >= 40"
+_add("pathway_edges", lambda g: graph.path_edges(g, 1, 7, least=40), _with(_PATH_EDGES, _STRONG, _BOTH, recursive=True))
+_add("pathway_layers", lambda g: graph.sorted_layers(g, 1, 7, least=40),
+     _with("SELECT root_id, CAST(p.depth AS INTEGER) AS depth, CAST(row_number() OVER (PARTITION BY p.depth ORDER BY strongest DESC NULLS LAST, root_id) AS INTEGER) AS place FROM path p LEFT JOIN (SELECT post_id, max(weight) AS strongest FROM pe GROUP BY 1) ON post_id = root_id", _STRONG, _BOTH, f"pe AS ({_PATH_EDGES})", recursive=True))
+_add("filter_pathways", lambda g: compiler.search(g, "1 -> 7").select("root_id"), _with("SELECT root_id FROM path", _STRONG.replace(" WHERE weight >= 40", ""), _BOTH.replace("d < 12", "d < 4"), recursive=True))
+
+# similarity
+
+_SHAPE = """v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+sim AS (SELECT a.vec_id AS src, b.vec_id AS dst, CAST(floor(10 * list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) + 1e-9) AS INTEGER) AS score FROM v a JOIN v b ON a.vec_id < 50 AND a.vec_id <> b.vec_id)"""
+_add("shape_scores", lambda g: g.shape_sim, f"WITH {_SHAPE} SELECT * FROM sim WHERE score >= 2")
+_add("shape_similar", lambda g: similarity.similar_shape(g, 7, least=2), f"WITH {_SHAPE} SELECT dst AS root_id, score FROM sim WHERE src = 7 AND score >= 2 UNION ALL SELECT 7, 10")
+
+
+def _jaccard_sql(sides: list[tuple[str, str]], weighted: bool) -> str:
+    ctes, names = [], []
+    for i, (own, other) in enumerate(sides):
+        all_ = "sum(weight)" if weighted else "count(*)"
+        shared = "sum(least(p.weight, m.weight))" if weighted else "count(*)"
+        ctes.append(f"""m{i} AS (SELECT {other} AS partner, weight FROM pairs WHERE {own} = 1),
+s{i} AS (SELECT {own} AS root_id, {shared} AS shared FROM pairs p JOIN m{i} m ON p.{other} = m.partner GROUP BY 1),
+j{i} AS (SELECT s.root_id, shared / ((SELECT {all_} FROM pairs p WHERE p.{own} = s.root_id) + (SELECT {all_} FROM m{i}) - shared) AS j FROM s{i} s)""")
+        names.append(f"j{i}")
+    rows = " UNION ALL ".join(f"SELECT * FROM {n}" for n in names)
+    ctes.append(f"sc AS (SELECT root_id, sum(j) / {len(names)} AS score FROM ({rows}) GROUP BY 1 HAVING sum(j) / {len(names)} >= 0.1), rk AS (SELECT *, row_number() OVER (ORDER BY score DESC, root_id) AS k FROM sc)")
+    return _with("SELECT root_id, round(score, 9) AS score FROM rk WHERE score >= 0.2 OR k <= 20", *ctes, key="l_suppkey")
+
+
+_IN, _OUT = ("post_id", "pre_id"), ("pre_id", "post_id")
+for _name, _sides, _weighted in (("jaccard_down", [_OUT], False), ("jaccard_up", [_IN], False), ("jaccard_both", [_IN, _OUT], False), ("jaccard_weighted_down", [_OUT], True), ("jaccard_weighted_up", [_IN], True), ("jaccard_weighted_both", [_IN, _OUT], True)):
+    _add(_name, lambda g, s=tuple(_sides), w=_weighted: similarity.similar_connectivity(g, 1, up=_IN in s, down=_OUT in s, weighted=w).select("root_id", F.round("score", 9).alias("score")), _jaccard_sql(_sides, _weighted), supplier_graph)
+
+# text
+
+_TOKENS = "lab AS (SELECT root_id, unnest(label) AS label FROM nodes)"
+_add("text_ranked", lambda g: text.lookup(g, "bol"), _with("SELECT root_id, CAST(min(CASE WHEN lower(label) = 'bol' THEN 1 WHEN starts_with(lower(label), 'bol') THEN 3 ELSE 4 END) AS INTEGER) AS tier FROM lab WHERE contains(lower(label), 'bol') GROUP BY 1", _TOKENS))
+_add("text_token", lambda g: text.lookup(g, "bolt", word_match=True), _with("SELECT DISTINCT root_id, CAST(1 AS INTEGER) AS tier FROM lab WHERE lower(label) = 'bolt'", _TOKENS))
+_add("text_all_tokens", lambda g: text.search(g, "red bolt").select("root_id", F.col("rank.group").alias("grp")),
+     _with("SELECT root_id, CAST(CASE WHEN count(DISTINCT w) = 2 THEN 1 ELSE 2 END AS INTEGER) AS grp FROM lab JOIN (VALUES ('red'), ('bolt')) t(w) ON contains(lower(label), w) GROUP BY 1", _TOKENS))
+_add("did_you_mean", lambda g: text.closest_token(g, "bollt"), _with("SELECT token, CAST(levenshtein(token, 'bollt') AS INTEGER) AS distance FROM (SELECT DISTINCT lower(label) AS token FROM lab) ORDER BY 2, 1 LIMIT 1", _TOKENS))
+_add("document_tokens", lambda g: g.extra["documents"]().select(F.explode(text_fn.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n")),
+     """SELECT token, count(*) AS n FROM (SELECT regexp_replace(regexp_replace(t, '^[.'']', ''), '[.'']$', '') AS token FROM (SELECT unnest(regexp_split_to_array(text, '[,;:()\\[\\]{}<>|/+=&"_\\s-]+')) AS t FROM documents)) WHERE token <> '' GROUP BY 1""")
+QUERIES["document_tokens"] = lambda spark, sf_dir: read(spark, sf_dir, "documents").select(F.explode(text_fn.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+_add("highlight", lambda g: text.highlights(g.labels, ["bol", "red"]).select("root_id", "label", F.to_json("matches").alias("matches")), None)
+
+# orders and pages
+
+
+def _sorted_sql(value: str, descending: bool, *more: str, recursive: bool = False) -> str:
+    way = "DESC" if descending else "ASC"
+    return _with(f"SELECT root_id, sort_value, row_number() OVER (ORDER BY sort_value {way} NULLS LAST, root_id) AS rank FROM (SELECT root_id, {value} AS sort_value FROM nodes n)", *more, recursive=recursive)
+
+
+_add("sort_size", lambda g: ordering.ranked(g, g.nodes, "-size"), _sorted_sql("size_nm", True))
+_add("sort_partners", lambda g: ordering.ranked(g, g.nodes, "-partners"), _sorted_sql("input_cells + output_cells", True))
+_add("sort_regions", lambda g: ordering.ranked(g, g.nodes, "synapse_neuropils"), _sorted_sql("CAST(len(input_neuropils) + len(output_neuropils) AS INTEGER)", False))
+_add("sort_labels", lambda g: ordering.ranked(g, g.nodes, "-labels"), _sorted_sql("CAST(len(label) AS INTEGER)", True))
+_add("sort_edge_type", lambda g: ordering.ranked(g, g.nodes, "nt_type"), _sorted_sql("nt_type", False))
+_add("sort_downstream_weight", lambda g: ordering.ranked(g, g.nodes, "downstream_synapse_count:1"), _sorted_sql("coalesce((SELECT weight FROM pairs WHERE pre_id = 1 AND post_id = n.root_id), 0)", True))
+_add("sort_upstream_weight", lambda g: ordering.ranked(g, g.nodes, "upstream_synapse_count:1"), _sorted_sql("coalesce((SELECT weight FROM pairs WHERE post_id = 1 AND pre_id = n.root_id), 0)", True))
+_add("sort_distance", lambda g: ordering.ranked(g, g.nodes, "distance_from:1"), _sorted_sql("CAST((SELECT depth FROM dist x WHERE x.root_id = n.root_id) AS INTEGER)", False, _STRONG.replace(" WHERE weight >= 40", ""), _REACH, recursive=True))
+_add("page_2", lambda g: ordering.page(ordering.sort(g, g.nodes, "-size"), 2, 20), _with("SELECT root_id, size_nm AS sort_value FROM nodes ORDER BY size_nm DESC, root_id LIMIT 20 OFFSET 20"))
+_add("search_page", lambda g: g.nodes.join(ordering.page(ordering.sort(g, compiler.search(g, "class == Brand#13"), "-partners"), 1, 10), "root_id").select("root_id", "class", "super_class", "size_nm", "sort_value"),
+     _with("SELECT root_id, class, super_class, size_nm, input_cells + output_cells AS sort_value FROM nodes WHERE class = 'Brand#13' ORDER BY 5 DESC, 1 LIMIT 10"))
+
+# counts and matrices
+
+_add("global_counts", analytics.global_counts, _with("SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT CAST(sum(len(label)) AS BIGINT) FROM nodes) AS labels, (SELECT count(*) FROM nodes WHERE len(label) > 0) AS identified, (SELECT CAST(sum(weight) AS BIGINT) FROM pairs) AS weight, (SELECT count(*) FROM pairs) AS pairs"))
+_MELT = """melt AS (SELECT DISTINCT root_id, attribute, value FROM (
+  SELECT root_id, 'super_class' AS attribute, super_class AS value FROM nodes UNION ALL SELECT root_id, 'class', class FROM nodes UNION ALL SELECT root_id, 'sub_class', sub_class FROM nodes UNION ALL SELECT root_id, 'side', side FROM nodes
+  UNION ALL SELECT root_id, 'nt_type', nt_type FROM nodes UNION ALL SELECT root_id, 'group', "group" FROM nodes UNION ALL SELECT root_id, 'label', unnest(label) FROM nodes
+  UNION ALL SELECT root_id, 'input_neuropils', unnest(input_neuropils) FROM nodes UNION ALL SELECT root_id, 'output_neuropils', unnest(output_neuropils) FROM nodes) WHERE value <> ''),
+cat AS (SELECT attribute, value, count(*) AS n, row_number() OVER (PARTITION BY attribute ORDER BY count(*) DESC, value) AS rank FROM melt GROUP BY 1, 2)"""
+_add("category_counts", lambda g: analytics.category_counts(g, top=10), _with("SELECT attribute, value, n, CAST(rank AS INTEGER) AS rank FROM cat WHERE rank <= 10", _MELT))
+_add("category_sizes", analytics.category_sizes, _with("SELECT attribute, count(DISTINCT root_id) AS assigned, count(DISTINCT value) AS distinct_values FROM melt GROUP BY 1", _MELT))
+_add("low_cardinality", analytics.low_cardinality, _with("SELECT attribute, value, n, CAST(rank AS INTEGER) AS rank FROM cat WHERE attribute IN (SELECT attribute FROM cat GROUP BY 1 HAVING count(*) < 40)", _MELT))
+_add("unique_values", lambda g: analytics.unique_values(g, "label"), _with("SELECT DISTINCT unnest(label) AS value FROM nodes"))
+_add("multi_valued", lambda g: analytics.multi_valued(compiler.nodes_of(g, "class == Brand#13")), _with("SELECT * FROM (SELECT 'super_class' AS attribute, count(DISTINCT super_class) AS n FROM b UNION ALL SELECT 'class', count(DISTINCT class) FROM b UNION ALL SELECT 'sub_class', count(DISTINCT sub_class) FROM b UNION ALL SELECT 'side', count(DISTINCT side) FROM b UNION ALL SELECT 'nt_type', count(DISTINCT nt_type) FROM b UNION ALL SELECT 'group', count(DISTINCT \"group\") FROM b) WHERE n > 1", "b AS (SELECT * FROM nodes WHERE class = 'Brand#13')"))
+_add("non_uniform", lambda g: analytics.non_uniform(g.nodes, compiler.nodes_of(g, "sub_class == 7"), "label"), _with("SELECT value FROM (SELECT value, count(DISTINCT root_id) AS n FROM (SELECT root_id, unnest(label) AS value FROM nodes) WHERE value IN (SELECT unnest(label) FROM nodes WHERE sub_class = '7') GROUP BY 1) WHERE n < (SELECT count(*) FROM nodes)"))
+_add("type_majority", analytics.majority_type, _with("SELECT root_id, nt_type AS majority FROM heavy"))
+
+
+def _cube_sql(count: str, group: str = "side") -> tuple[str, str]:
+    name = f"upper({group}[1]) || {group}[2:]"
+    rows = "pairs" if count != "reciprocal" else "(SELECT a.* FROM pairs a WHERE EXISTS (SELECT 1 FROM pairs b WHERE b.pre_id = a.post_id AND b.post_id = a.pre_id))"
+    n = {"weight": "CAST(sum(weight) AS BIGINT)", "pairs": "count(*)", "reciprocal": "CAST(count(*) AS DOUBLE)"}[count]
+    grp = f"grp AS (SELECT root_id, {name} AS grp FROM nodes)"
+    return grp, f"SELECT CASE WHEN grouping(f.grp) = 1 THEN 'All' ELSE f.grp END AS from_group, CASE WHEN grouping(t.grp) = 1 THEN 'All' ELSE t.grp END AS to_group, {n} AS n FROM {rows} p JOIN grp f ON p.pre_id = f.root_id JOIN grp t ON p.post_id = t.root_id GROUP BY CUBE (f.grp, t.grp)"
+
+
+for _name, _count in (("heatmap_weight", "weight"), ("heatmap_pairs", "pairs"), ("heatmap_reciprocal", "reciprocal")):
+    _grp, _body = _cube_sql(_count)
+    _add(_name, lambda g, c=_count: analytics.group_cube(g, "side", c), _with(_body, _grp))
+_SIZES = "sz AS (SELECT *, CAST(row_number() OVER (ORDER BY grp = 'All' DESC, n DESC, grp) - 1 AS INTEGER) AS place FROM (SELECT CASE WHEN grouping(grp) = 1 THEN 'All' ELSE grp END AS grp, count(*) AS n FROM grp GROUP BY ROLLUP (grp)))"
+_round = lambda d: d.select("from_group", "to_group", "n", F.round("density", 9).alias("density"), F.round("percent", 9).alias("percent"), "from_place", "to_place")
+_add("heatmap_density", lambda g: _round(analytics.density(g, "side", "pairs")),
+     _with("SELECT from_group, to_group, c.n, round(c.n / greatest(1, CASE WHEN from_group = to_group THEN a.n * (a.n - 1) ELSE a.n * b.n END), 9) AS density, round(100.0 * c.n / (SELECT n FROM cube WHERE from_group = 'All' AND to_group = 'All'), 9) AS percent, a.place AS from_place, b.place AS to_place FROM cube c JOIN sz a ON a.grp = from_group JOIN sz b ON b.grp = to_group", _cube_sql("pairs")[0], f"cube AS ({_cube_sql('pairs')[1]})", _SIZES))
+_add("heatmap_weight_density", lambda g: _round(analytics.density(g, "side", "weight")),
+     _with("SELECT from_group, to_group, c.n, round(c.n / greatest(1, k.n), 9) AS density, round(100.0 * c.n / (SELECT n FROM cube WHERE from_group = 'All' AND to_group = 'All'), 9) AS percent, a.place AS from_place, b.place AS to_place FROM cube c JOIN links k USING (from_group, to_group) JOIN sz a ON a.grp = from_group JOIN sz b ON b.grp = to_group", _cube_sql("weight")[0], f"cube AS ({_cube_sql('weight')[1]})", f"links AS ({_cube_sql('pairs')[1]})", _SIZES))
+_add("group_sizes", lambda g: analytics.group_sizes(g, "side"), _with("SELECT grp, n FROM sz", _cube_sql("pairs")[0], _SIZES))
+_add("group_region_matrix", lambda g: analytics._grouped(g.edges, g, "super_class", ["region", "weight"]).groupBy("from_group", "to_group", "region").agg(F.sum("weight").alias("weight")).groupBy("region").agg(F.count("*").alias("cells"), F.sum("weight").alias("weight")),
+     _with("SELECT region, count(DISTINCT (a.super_class, b.super_class)) AS cells, CAST(sum(weight) AS BIGINT) AS weight FROM edges JOIN nodes a ON pre_id = a.root_id JOIN nodes b ON post_id = b.root_id GROUP BY 1"))
+
+# statistics and leaderboards
+
+_add("stats_summary", lambda g: analytics.summary(g.nodes).select("nodes", "labelled", "classified", F.col("size_nm").cast("string").alias("size_nm")), _with("SELECT count(*) AS nodes, count(*) FILTER (len(label) > 0) AS labelled, count(*) FILTER (class <> '') AS classified, CAST(sum(CAST(size_nm AS HUGEINT)) AS VARCHAR) AS size_nm FROM nodes"))
+_add("stats_top_labels", lambda g: analytics.top_labels(g.nodes), _with("SELECT label, count(*) AS n FROM lab GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10", _TOKENS))
+_add("stats_chart_bar", lambda g: analytics.bar_chart(g.nodes, "class"), _with("SELECT class AS value, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, class) AS INTEGER) AS rank FROM nodes GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"))
+_add("stats_chart_donut", lambda g: analytics.donut_chart(g.nodes, "flow"), _with("SELECT 'Unknown' AS value, count(*) AS n FROM nodes"))
+_add("stats_charts", lambda g: analytics.charts(g.nodes, donuts=("side",), bars=("class", "nt_type", "label")),
+     _with("SELECT 'side' AS chart, upper(side[1]) || side[2:] AS value, count(*) AS n FROM nodes GROUP BY 1, 2 UNION ALL (SELECT 'class', class, count(*) FROM nodes GROUP BY 1, 2 ORDER BY 3 DESC, 2 LIMIT 10) UNION ALL (SELECT 'nt_type', nt_type, count(*) FROM nodes WHERE nt_type <> '' GROUP BY 1, 2 ORDER BY 3 DESC, 2 LIMIT 10) UNION ALL (SELECT 'label', label, count(*) FROM lab GROUP BY 1, 2 ORDER BY 3 DESC, 2 LIMIT 10)", _TOKENS))
+_add("leaderboard_labs", lambda g: analytics.leading_labs(g.label_log), "SELECT lang AS lab, count(*) AS n, count(DISTINCT source) AS users, CAST(row_number() OVER (ORDER BY count(*) DESC, lang) AS INTEGER) AS rank FROM documents WHERE lang <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
+_add("leaderboard_users", lambda g: analytics.leading_users(g.label_log), "SELECT source AS \"user\", count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, source) AS INTEGER) AS rank FROM documents GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
+_add("leaderboard_recent", lambda g: analytics.leading_users(g.label_log, latest=500), "SELECT source AS \"user\", count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, source) AS INTEGER) AS rank FROM (SELECT source FROM documents ORDER BY doc_id DESC LIMIT 500) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
+_add("leaderboard_filtered", lambda g: analytics.leading_users(analytics.label_log(g, _brand(g), user="SRC1", lab="e")),
+     _with("SELECT source AS \"user\", count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, source) AS INTEGER) AS rank FROM documents WHERE contains(lower(source), 'src1') AND contains(lower(lang), 'e') AND doc_id % (SELECT count(*) FROM part) IN (SELECT root_id FROM nodes WHERE class = 'Brand#13') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20"))
+_add("labelled_share", lambda g: analytics.labelled_share(g, g.nodes), _with("SELECT count(*) FILTER (root_id IN (SELECT doc_id % (SELECT count(*) FROM part) FROM documents)) AS labelled, count(*) AS total FROM nodes"))
+_add("orphan_report", lambda g: labels.orphans(g.label_log.withColumn("label", F.col("user_name")), g.nodes), "SELECT source AS label, count(*) AS n FROM documents WHERE doc_id % (SELECT count(*) FROM part) NOT IN (SELECT p_partkey FROM part) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+
+# networks
+
+_CAPPED = "SELECT pre_id, post_id, weight FROM (SELECT *, coalesce(sum(CASE WHEN pre_id <> post_id THEN 1 ELSE 0 END) OVER (ORDER BY weight DESC, pre_id, post_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM {}) WHERE before < 50"
+_add("network_capped", lambda g: network.capped(g.edges, 50), _with(_CAPPED.format("pairs")))
+_add("network_grouped", lambda g: network.grouped(g, g.edges, "class", 0), _with("SELECT a.class AS pre_group, b.class AS post_group, CAST(sum(weight) AS BIGINT) AS weight FROM edges JOIN nodes a ON pre_id = a.root_id JOIN nodes b ON post_id = b.root_id GROUP BY 1, 2"))
+_add("network_bipartite", lambda g: network.bipartite(g.edges), _with("SELECT 'into' AS kind, pre_id AS node, region, CAST(sum(weight) AS BIGINT) AS weight FROM edges GROUP BY ALL UNION ALL SELECT 'out', post_id, region, CAST(sum(weight) AS BIGINT) FROM edges GROUP BY ALL"))
+_add("network_loops", lambda g: network.loops_and_crossings(g.edges), _with("SELECT CASE WHEN pre_id = post_id THEN 'loop' ELSE 'crossing' END AS kind, CAST(sum(weight) AS BIGINT) AS weight, count(*) AS rows FROM edges GROUP BY 1"))
+_add("network_legend", lambda g: network.legend(g.edges), _with("(SELECT *, 'loop' AS kind FROM pairs WHERE pre_id = post_id ORDER BY weight DESC, pre_id, post_id LIMIT 5) UNION ALL (SELECT *, 'crossing' FROM pairs WHERE pre_id <> post_id ORDER BY weight DESC, pre_id, post_id LIMIT 5)"))
+_add("network_nodes", lambda g: network.shown_nodes(network.capped(g.edges, 50), _brand(g)).select("root_id", "edges", "size"),
+     _with("SELECT root_id, coalesce(n, 0) AS edges, round(pow(coalesce(n, 0), 0.25), 6) AS size FROM (SELECT root_id FROM nodes WHERE class = 'Brand#13' UNION SELECT pre_id FROM cap UNION SELECT post_id FROM cap) LEFT JOIN (SELECT x, count(*) AS n FROM (SELECT unnest([pre_id, post_id]) AS x FROM cap) GROUP BY 1) ON x = root_id", f"cap AS ({_CAPPED.format('pairs')})"))
+_add("network_group_shares", lambda g: network.group_shares(g, "side", g.nodes), _with("SELECT side AS grp, count(*) AS n, CAST(round_even(100.0 * count(*) / (SELECT count(*) FROM nodes), 0) AS INTEGER) AS percent FROM nodes GROUP BY 1"))
+
+# motifs
+
+_BRANDS = "(SELECT root_id FROM nodes WHERE side = 'left')"
+_add("motif_pair_one_way", lambda g: Motif(g).node("A", "side == left").node("B").edge("A", "B", "N", 45).matches(), _with(f"SELECT DISTINCT pre_id AS \"A\", post_id AS \"B\" FROM edges WHERE region = 'N' AND weight >= 45 AND pre_id IN {_BRANDS}"))
+_add("motif_pair_mutual", lambda g: Motif(g).node("A").node("B").edge("A", "B").edge("B", "A", least=20).matches(), _with('SELECT DISTINCT a.pre_id AS "A", a.post_id AS "B" FROM edges a JOIN edges b ON a.pre_id = b.post_id AND a.post_id = b.pre_id WHERE b.weight >= 20'))
+_add("motif_triangle_cycle", lambda g: Motif(g).node("A").node("B").node("C").edge("A", "B").edge("B", "C").edge("C", "A").matches(),
+     _with('SELECT x.pre_id AS "A", y.pre_id AS "B", z.pre_id AS "C" FROM pairs x JOIN pairs y ON x.post_id = y.pre_id JOIN pairs z ON y.post_id = z.pre_id AND z.post_id = x.pre_id WHERE x.pre_id <> y.pre_id AND y.pre_id <> z.pre_id AND x.pre_id <> z.pre_id AND NOT EXISTS (SELECT 1 FROM pairs r WHERE (r.pre_id = y.pre_id AND r.post_id = x.pre_id) OR (r.pre_id = z.pre_id AND r.post_id = y.pre_id) OR (r.pre_id = x.pre_id AND r.post_id = z.pre_id))'.replace("NOT EXISTS (SELECT 1 FROM pairs r WHERE (r.pre_id = y.pre_id AND r.post_id = x.pre_id) OR (r.pre_id = z.pre_id AND r.post_id = y.pre_id) OR (r.pre_id = x.pre_id AND r.post_id = z.pre_id))", "(y.pre_id, x.pre_id) NOT IN (SELECT pre_id, post_id FROM pairs) AND (z.pre_id, y.pre_id) NOT IN (SELECT pre_id, post_id FROM pairs) AND (x.pre_id, z.pre_id) NOT IN (SELECT pre_id, post_id FROM pairs)")))
+_add("motif_feedforward_induced", lambda g: Motif(g).node("A").node("B").node("C").edge("A", "B").edge("B", "C").edge("A", "C").matches(),
+     _with('SELECT x.pre_id AS "A", x.post_id AS "B", y.post_id AS "C" FROM pairs x JOIN pairs y ON x.post_id = y.pre_id JOIN pairs z ON z.pre_id = x.pre_id AND z.post_id = y.post_id WHERE x.pre_id <> x.post_id AND x.post_id <> y.post_id AND x.pre_id <> y.post_id AND (x.post_id, x.pre_id) NOT IN (SELECT pre_id, post_id FROM pairs) AND (y.post_id, x.post_id) NOT IN (SELECT pre_id, post_id FROM pairs) AND (y.post_id, x.pre_id) NOT IN (SELECT pre_id, post_id FROM pairs)'))
+ORACLE["motif_triangle_cycle"] = _with('SELECT x.pre_id AS "A", x.post_id AS "B", y.post_id AS "C" FROM pairs x JOIN pairs y ON x.post_id = y.pre_id JOIN pairs z ON z.pre_id = y.post_id AND z.post_id = x.pre_id WHERE x.pre_id <> x.post_id AND x.post_id <> y.post_id AND x.pre_id <> y.post_id AND (x.post_id, x.pre_id) NOT IN (SELECT pre_id, post_id FROM pairs) AND (y.post_id, x.post_id) NOT IN (SELECT pre_id, post_id FROM pairs) AND (x.pre_id, y.post_id) NOT IN (SELECT pre_id, post_id FROM pairs)')
+_add("motif_pair_edges", lambda g: Motif(g).node("A", "class == Brand#13").node("B").edge("A", "B", least=48).matches(with_edges=True).select("A", "B", F.length("edges").alias("chars")), None)
+
+# ingest, labels, functions and exports
+
+_add("auto_names", lambda g: __import__("graphloom.operators.ingest", fromlist=["named"]).named(g.nodes).select("root_id", "name"),
+     _with('SELECT root_id, "group" || \'.\' || row_number() OVER (PARTITION BY "group" ORDER BY CAST(input_cells + output_cells AS HUGEINT) * root_id DESC, root_id) AS name FROM nodes'))
+_add("region_descriptions", lambda g: region_fn.described(g.region_table), "SELECT * FROM (VALUES ('A_L', 'Left accepted lines'), ('N', 'Center new lines'), ('R_R', 'Right returned lines')) t(region, description)")
+_add("coordinates_zip", lambda g: g.nodes.select("root_id", F.posexplode(F.arrays_zip(F.col("input_neuropils").alias("a"), F.col("label").alias("b"))).alias("at", "z")).select("root_id", "at", "z.a", "z.b"),
+     _with("SELECT root_id, CAST(i AS INTEGER) AS at, input_neuropils[i + 1] AS a, label[i + 1] AS b FROM (SELECT *, unnest(range(greatest(len(input_neuropils), len(label)))) AS i FROM nodes)"))
+_add("title_case", lambda g: g.nodes.select("super_class").distinct().select("super_class", text_fn.title_case(F.concat("super_class", F.lit("_x-t4a"))).alias("title")), None)
+_add("base62", lambda g: g.nodes.select("root_id", text_fn.base62(F.col("size_nm")).alias("short"), text_fn.from_base62(text_fn.base62(F.col("size_nm"))).alias("size_nm")).select("root_id", "size_nm"), _with("SELECT root_id, size_nm FROM nodes"))
+_add("label_clean", lambda g: labels.clean(labels.grouped(g.label_log, g.nodes).join(g.nodes.drop("label"), "root_id")).select("root_id", F.array_join("label", "|").alias("label")), None)
+_add("labels_latest_first", lambda g: labels.grouped(g.label_log, g.nodes).select("root_id", F.size("label").alias("n")), _with("SELECT doc_id % (SELECT count(*) FROM part) AS root_id, CAST(count(*) AS INTEGER) AS n FROM documents GROUP BY 1 HAVING doc_id % (SELECT count(*) FROM part) IN (SELECT p_partkey FROM part)".replace("HAVING doc_id % (SELECT count(*) FROM part)", "HAVING root_id")))
+_add("export_search", lambda g: csv_tables.search_export(compiler.nodes_of(g, "sub_class == 7")).select("root_id", "label", "class"), _with("SELECT CAST(root_id AS VARCHAR) AS root_id, '[' || replace(array_to_string(list_transform(label, lambda x: '''' || x || ''''), ', '), ',', ';') || ']' AS label, class FROM nodes WHERE sub_class = '7'"))
+_add("export_ids", lambda g: csv_tables.id_list(ordering.ranked(g, _brand(g), "-size")), _with("SELECT string_agg(CAST(root_id AS VARCHAR), ',' ORDER BY size_nm DESC, root_id) AS ids FROM nodes WHERE class = 'Brand#13'"))
+_add("export_edges_json", lambda g: csv_tables.edges_as_json(g, graph.connections(g, _brand(g), induced=True)).select(F.length("nodes").alias("nodes"), F.length("edges").alias("edges")), None)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search with a condition on attributes and one on labels, sorted by partners: the first page of node rows."""
+    g = part_graph(spark, sf_dir)
+    found = compiler.search(g, "super_class >> STEEL || label >> bolt")
+    return g.nodes.join(ordering.page(ordering.sort(g, found, "-partners"), 1, 20), "root_id").select("root_id", "class", "super_class", "label", "input_cells", "output_cells")
