@@ -80,7 +80,7 @@ class Compiler:
     def ids(self, t: Term) -> DataFrame:
         g = self.g
         if t.op is None:
-            return text.search(g, t.rhs, self.case_sensitive, self.word_match)
+            return text.search(g, t.rhs, self.case_sensitive, self.word_match, literal=t.literal)
         if t.op in ("upstream_region", "downstream_region"):
             regions = region_set(t.lhs, g.regions)
             if not regions:

@@ -68,10 +68,11 @@ class Term:
     op: str | None
     rhs: str
     lhs: str = ""
+    literal: bool = False  #: free text in double quotes: not cut into tokens
 
     def text(self) -> str:
         if self.op is None:
-            return f'"{self.rhs}"' if _found(self.rhs) else self.rhs
+            return f'"{self.rhs}"' if self.literal or _found(self.rhs) else self.rhs
         return f"{self.lhs} {BY_OPERATOR[self.op].sign} {self.rhs}".strip()
 
 
@@ -105,7 +106,7 @@ def _quoted(text: str) -> bool:
 
 def _term(text: str) -> Term:
     if _quoted(text):
-        return Term(None, text[1:-1])
+        return Term(None, text[1:-1], literal=True)
     ops = _found(text)
     if not ops:
         return Term(None, text)
