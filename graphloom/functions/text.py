@@ -7,27 +7,26 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Characters that separate tokens (fixed values).
-DELIMITERS = ",;:()[]{}<>|/-+=&\"_"
-_SPLIT = "[" + re.escape(DELIMITERS) + r"\s]+"
+#: Characters that separate tokens, and what else becomes a space after them, in this order (fixed values).
+DELIMITERS = '=-,?!;:/()[]"&'
+PAIRS = ("' ", " '", ". ")
 #: Words that stand for a missing value (fixed values).
-SENTINELS = ("", "na", "n/a", "nan", "none", "null", "undefined", "unspecified", "unknown", "unassigned", "other")
+SENTINELS = ("", "na", "nan", "none", "null", "nil", "unknown", "undefined", "unspecified", "unassigned", "unavailable")
 
 
 def tokens_text(text: str) -> list[str]:
-    out = []
-    for t in re.split(_SPLIT, text or ""):
-        t = t[1:] if t[:1] in (".", "'") else t
-        t = t[:-1] if t[-1:] in (".", "'") else t
-        if t:
-            out.append(t)
-    return out
+    text = (text or "").translate({ord(c): " " for c in DELIMITERS})
+    for p in PAIRS:
+        text = text.replace(p, " ")
+    return [t for t in (re.sub(r"^[.']", "", re.sub(r"[.']$", "", x)) for x in text.split()) if t]
 
 
 def tokens(text: Column) -> Column:
     """Split at delimiters and white space, one leading and one trailing point or quote off, no empty ones."""
-    parts = F.split(F.coalesce(text, F.lit("")), _SPLIT.replace("\\&", "&").replace('\\"', '"'))
-    return F.filter(F.transform(parts, lambda t: F.regexp_replace(F.regexp_replace(t, "^[.']", ""), "[.']$", "")), lambda t: t != "")
+    text = F.translate(F.coalesce(text, F.lit("")), DELIMITERS, " " * len(DELIMITERS))
+    for p in PAIRS:
+        text = F.replace(text, F.lit(p), F.lit(" "))
+    return F.filter(F.transform(F.split(text, r"(?U)\s+"), lambda t: F.regexp_replace(F.regexp_replace(t, "[.']$", ""), "^[.']", "")), lambda t: t != "")
 
 
 def edit_distance(a: Column, b: Column) -> Column:
@@ -47,7 +46,7 @@ def title_case(text: Column) -> Column:
 
 def shown(value: Column) -> Column:
     """A group's value as it is displayed: missing ones are Unknown, others in title case."""
-    missing = value.isNull() | F.lower(F.trim(value)).isin(*SENTINELS)
+    missing = value.isNull() | F.lower(value).isin(*SENTINELS)
     return F.when(missing, F.lit("Unknown")).otherwise(title_case(value))
 
 
@@ -56,10 +55,10 @@ def with_commas(number: Column) -> Column:
 
 
 def significant(number: Column, digits: int = 3) -> Column:
-    """A number to so many significant digits, as a double."""
-    magnitude = F.when(number == 0, F.lit(0)).otherwise(F.floor(F.log10(F.abs(number))))
+    """A number for display: whole from 10 on, else to so many significant digits; a double."""
+    magnitude = F.when(number <= 0, F.lit(0)).otherwise(F.floor(F.log10(F.abs(number))))
     scale = F.pow(F.lit(10.0), F.lit(digits - 1) - magnitude)
-    return F.rint(number * scale) / scale
+    return F.when(number >= 10, F.rint(number)).when(number <= 0, number).otherwise(F.rint(number * scale) / scale)
 
 
 def percentage(part: Column, whole: Column) -> Column:
@@ -68,23 +67,24 @@ def percentage(part: Column, whole: Column) -> Column:
 
 
 def truncated(text: Column, limit: int, with_length: bool = False) -> Column:
-    tail = F.concat(F.lit(".. ["), F.length(text).cast("string"), F.lit("]")) if with_length else F.lit("..")
-    return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), tail)).otherwise(text)
+    """At most ``limit`` characters, the last two of a longer text being points; its length may follow."""
+    tail = F.concat(F.lit("..("), F.length(text).cast("string"), F.lit(")")) if with_length else F.lit("..")
+    return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit - 2), tail)).otherwise(text)
 
 
 def long_tokens_trimmed(text: Column, limit: int = 50) -> Column:
     """Tokens longer than ``limit`` get an ellipsis, in texts longer than it."""
-    short = F.array_join(F.transform(F.split(text, " "), lambda t: F.when(F.length(t) > limit, F.concat(F.substring(t, 1, limit - 3), F.lit("..."))).otherwise(t)), " ")
+    short = F.array_join(F.transform(F.split(F.trim(text), r"\s+"), lambda t: F.when(F.length(t) > limit, F.concat(F.substring(t, 1, limit - 5), F.lit("..."))).otherwise(t)), " ")
     return F.when(F.length(text) > limit, short).otherwise(text)
 
 
-def bulleted(labels: Column, mark: str = "&nbsp; &#x2022; ") -> Column:
-    return F.array_join(F.transform(labels, lambda x: F.concat(F.lit(mark), x)), "<br>")
+def bulleted(labels: Column, mark: str = "&nbsp; <b>&#x2022;</b> &nbsp; ") -> Column:
+    return F.array_join(F.transform(labels, lambda x: F.concat(F.lit(mark), long_tokens_trimmed(x))), "<br>")
 
 
 def is_annotation(text: Column) -> Column:
-    """Has a letter and is no sentinel."""
-    return F.coalesce(text.rlike(r"\p{L}") & ~F.lower(F.trim(text)).isin(*SENTINELS), F.lit(False))
+    """Has a letter from a to z and is no sentinel."""
+    return F.coalesce(F.lower(text).rlike("[a-z]") & ~F.lower(text).isin(*SENTINELS), F.lit(False))
 
 
 def looks_like_id(text: Column) -> Column:
@@ -92,10 +92,11 @@ def looks_like_id(text: Column) -> Column:
 
 
 def links(text: Column) -> Column:
-    """The addresses in a label; DOI and ontology ids count as addresses."""
-    doi = F.regexp_replace(text, r"(?i)\bdoi:\s*(10\.\S+)", "https://doi.org/$1")
-    ids = F.regexp_replace(doi, r"(?i)\bFBbt[:_](\d{8})", "https://www.virtualflybrain.org/reports/FBbt_$1")
-    return F.regexp_extract_all(ids, F.lit(r"(https?://[^\s<>\"',;]+)"), F.lit(1))
+    """The addresses in a label, each once; DOI and ontology ids behind a space or comma count as addresses."""
+    spaced = F.translate(text, "[]()", "    ")
+    doi = F.regexp_replace(spaced, r"(?i)[\s,](doi:\s?|doi\.org/?)", " https://doi.org/")
+    ids = F.regexp_replace(doi, r"(?i)[\s,]FBbt([:_]| ?(?=0))", " http://flybase.org/reports/FBbt:")
+    return F.array_distinct(F.transform(F.regexp_extract_all(ids, F.lit(r"(?i)(https?://[^\s]+)"), F.lit(1)), lambda x: F.regexp_replace(x, r"\.$", "")))
 
 
 def by_largest_value(m: Column) -> Column:
@@ -109,10 +110,9 @@ def by_key(m: Column) -> Column:
 
 
 def micros(nanos: Column, degree: int = 1) -> Column:
-    """Nanometres to the given power as rounded micrometres with their unit."""
-    unit = {1: "um", 2: "um^2", 3: "um^3"}[degree]
-    value = F.round(nanos.cast("decimal(38,0)") / F.lit(1000**degree).cast("decimal(38,0)"), 0)
-    return F.concat(with_commas(value), F.lit(" " + unit))
+    """Nanometres to the given power as rounded micrometres with their unit; halves to even."""
+    value = F.bround(nanos.cast("decimal(38,0)") / F.lit(1000**degree).cast("decimal(38,0)"), 0)
+    return F.concat(with_commas(value), F.lit(" &#181;m" + (f"<sup>{degree}</sup>" if degree > 1 else "")))
 
 
 def voxel(position: Column) -> Column:

@@ -120,11 +120,15 @@ def density(g: Graph, name: str, count: str = "pairs") -> DataFrame:
     return out.select("from_group", "to_group", "n", (F.col("n") / F.greatest(F.lit(1), norm)).alias("density"), (100.0 * F.col("n") / F.greatest(F.lit(1), F.col("total"))).alias("percent"), F.col("from_place").cast("int"), F.col("to_place").cast("int"))
 
 
+COLD, HOT = "#AAAAAA", "#00FF00"
+
+
 def heat_color(value: Column, low: float, middle: float, high: float) -> Column:
-    """rgba text of a diverging colour; its opacity, 0 to 0.99, grows as the root of the distance from the middle."""
-    far = F.when(value > middle, (value - middle) / (high - middle if high > middle else 1.0)).otherwise((middle - value) / (middle - low if middle > low else 1.0))
-    opacity = F.least(F.lit(99), F.bround(F.sqrt(F.greatest(F.lit(0.0), far)) * 100).cast("int"))
-    return F.concat(F.when(value > middle, "rgba(255,0,0,0.").otherwise("rgba(0,0,255,0."), F.lpad(opacity.cast("string"), 2, "0"), F.lit(")"))
+    """A colour with its opacity, 0 to 99, which grows as the root of the distance from the middle."""
+    cold = value <= middle
+    far = F.when(cold, (middle - value) / max(0.1, middle - low)).otherwise((value - middle) / max(0.1, high - middle))
+    opacity = F.greatest(F.lit(0), F.least(F.lit(99), F.bround(F.sqrt(far) * 100).cast("int")))
+    return F.concat(F.when(cold, COLD).otherwise(HOT), opacity.cast("string"))
 
 
 # statistics of a result

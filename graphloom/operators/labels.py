@@ -15,13 +15,13 @@ from graphloom.functions.text import looks_like_id, web_safe
 class Rules:
     """What is removed; of the data, so a parameter."""
 
-    hidden: tuple[str, ...] = ("[approved]", "(verified)", "annotated by import")
-    unwanted: tuple[str, ...] = ("not a node", "test label", "to do")
+    hidden: tuple[str, ...] = ()
+    unwanted: tuple[str, ...] = ("correction - not optic lobe",)
     unwanted_starts: tuple[str, ...] = ("#wrong_prediction",)
-    tentative: tuple[str, ...] = ("putative ", "probably ", "possibly ")
-    corrections: tuple[str, ...] = ("correction:", "corrected:", "not ")
-    correction_ends: tuple[str, ...] = ("(corrected)", "(correction)")
-    own: tuple[str, ...] = ("super_class", "class", "sub_class", "hemilineage", "side", "flow", "nt_type", "group")
+    tentative: tuple[str, ...] = ("putative ", "putative-", "putative_")
+    corrections: tuple[str, ...] = ("Correction: ", "(correction) ")
+    correction_ends: tuple[str, ...] = (" (correction)", " (corrected)", ", wrongly annotated")
+    own: tuple[str, ...] = ("nt_type", "flow", "super_class", "class", "sub_class", "hemilineage", "side", "nerve")
     passes: int = field(default=4)
 
 
@@ -52,19 +52,18 @@ def without_known_parts(label: Column, own: Column, rules: Rules) -> Column:
 
 
 def without_corrected(labels: Column, rules: Rules) -> Column:
-    """Older labels behind a correction go: a label that starts or ends as one keeps itself and ends the list."""
-    is_correction = lambda x: F.lit(False)
-
-    def hit(x: Column) -> Column:
-        c = is_correction(x)
-        for s in rules.corrections:
-            c = c | F.lower(x).startswith(s)
-        for s in rules.correction_ends:
-            c = c | F.lower(x).endswith(s)
-        return c
-
-    at = F.array_position(F.transform(labels, hit), True)
-    return F.when(at > 0, F.slice(labels, F.lit(1), at.cast("int"))).otherwise(labels)
+    """The first prefix, else suffix, that a label has ends the list at it: the label stays without it, older ones go."""
+    out = labels
+    for mark, at_start in reversed([(c, True) for c in rules.corrections] + [(c, False) for c in rules.correction_ends]):
+        out = _ended_by(labels, mark, at_start, out)
+    return out
+
+
+def _ended_by(labels: Column, mark: str, at_start: bool, otherwise: Column) -> Column:
+    at = F.array_position(F.transform(labels, lambda x: x.startswith(mark) if at_start else x.endswith(mark)), True).cast("int")
+    hit = F.get(labels, at - 1)
+    bare = hit.substr(F.lit(len(mark) + 1), F.length(hit)) if at_start else hit.substr(F.lit(1), F.length(hit) - len(mark))
+    return F.when(at > 0, F.concat(F.slice(labels, F.lit(1), at - 1), F.array(bare))).otherwise(otherwise)
 
 
 def without_side(label: Column) -> Column:

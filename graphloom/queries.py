@@ -172,8 +172,9 @@ _add("text_token", lambda g: text.lookup(g, "bolt", word_match=True), _with("SEL
 _add("text_all_tokens", lambda g: text.search(g, "red bolt").select("root_id", F.col("rank.group").alias("grp")),
      _with("SELECT root_id, CAST(CASE WHEN count(DISTINCT w) = 2 THEN 1 ELSE 2 END AS INTEGER) AS grp FROM lab JOIN (VALUES ('red'), ('bolt')) t(w) ON contains(lower(label), w) GROUP BY 1", _TOKENS))
 _add("did_you_mean", lambda g: text.closest_token(g, "bollt"), _with("SELECT token, CAST(levenshtein(token, 'bollt') AS INTEGER) AS distance FROM (SELECT DISTINCT lower(label) AS token FROM lab) ORDER BY 2, 1 LIMIT 1", _TOKENS))
-_add("document_tokens", lambda g: g.extra["documents"]().select(F.explode(text_fn.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n")),
-     """SELECT token, count(*) AS n FROM (SELECT regexp_replace(regexp_replace(t, '^[.'']', ''), '[.'']$', '') AS token FROM (SELECT unnest(regexp_split_to_array(text, '[,;:()\\[\\]{}<>|/+=&"_\\s-]+')) AS t FROM documents)) WHERE token <> '' GROUP BY 1""")
+ORACLE["document_tokens"] = """SELECT token, count(*) AS n FROM (
+  SELECT regexp_replace(regexp_replace(t, '[.'']$', ''), '^[.'']', '') AS token FROM (
+    SELECT unnest(regexp_split_to_array(replace(replace(replace(translate(text, '=-,?!;:/()[]"&', '              '), ''' ', ' '), ' ''', ' '), '. ', ' '), '\\s+')) AS t FROM documents)) WHERE token <> '' GROUP BY 1"""
 QUERIES["document_tokens"] = lambda spark, sf_dir: read(spark, sf_dir, "documents").select(F.explode(text_fn.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 _add("highlight", lambda g: text.highlights(g.labels, ["bol", "red"]).select("root_id", "label", F.to_json("matches").alias("matches")), None)
 
