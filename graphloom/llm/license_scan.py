@@ -20,6 +20,8 @@ from pyspark.ml.feature import CountVectorizer, StopWordsRemover
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import common
+
 UNKNOWN = "unknown"
 
 #: Short public notices of each family.
@@ -57,6 +59,18 @@ def ngrams(w: Column, sizes: tuple[int, ...] = (1, 2, 3)) -> Column:
     return F.concat(*runs) if len(runs) > 1 else runs[0]
 
 
+def telling_ngrams(w: Column, telling: list[str]) -> Column:
+    """The distinct n-grams of one to three words with a telling word: those around each, so that long paragraphs cost little."""
+    known = F.array(*map(F.lit, telling))
+    hits = F.filter(F.transform(w, lambda x, i: F.when(F.array_contains(known, x), i + 1)), lambda i: i.isNotNull())
+
+    def around(i: Column) -> Column:
+        runs = [(i - back, n) for n in (1, 2, 3) for back in range(n)]
+        return F.array(*[F.when((start >= 1) & (start + n - 1 <= F.size(w)), F.array_join(F.slice(w, F.greatest(start, F.lit(1)), F.lit(n)), " ")) for start, n in runs])
+
+    return F.array_distinct(F.filter(F.flatten(F.transform(hits, around)), lambda g: g.isNotNull()))
+
+
 def telling_words(spark: SparkSession) -> list[str]:
     stop = set(StopWordsRemover.loadDefaultStopWords("english"))
     notices = spark.createDataFrame([(t,) for ts in TEMPLATES.values() for t in ts], "t string")
@@ -93,8 +107,7 @@ def train(paragraphs: DataFrame) -> Classifier:
     spark = paragraphs.sparkSession
     telling = telling_words(spark)
     families = [*sorted(TEMPLATES), UNKNOWN]
-    allowed = F.array(*map(F.lit, telling))
-    terms = F.filter(ngrams(F.col("w")), lambda g: F.arrays_overlap(F.split(g, " "), allowed))
+    terms = telling_ngrams(F.col("w"), telling)
     data = _training(spark, paragraphs, telling).select((F.array_position(F.array(*map(F.lit, families)), F.col("label")) - 1).cast("double").alias("y"), "held", terms.alias("terms")).persist()
     counts = CountVectorizer(inputCol="terms", outputCol="x", binary=True, minDF=2).fit(data.where(~F.col("held")))
     fitted = LogisticRegression(featuresCol="x", labelCol="y", family="multinomial", regParam=0.002, elasticNetParam=0.2, maxIter=80).fit(counts.transform(data.where(~F.col("held"))))
@@ -133,7 +146,7 @@ def telling_paragraphs(docs: DataFrame, telling: list[str]) -> DataFrame:
     """The paragraphs with at least one telling word; the rest have no feature."""
     known = F.array(*map(F.lit, telling))
     split = docs.select("doc_id", "text").withColumn("lines", F.split(F.coalesce("text", F.lit("")), "\n"))
-    lines = split.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode("lines").alias("at", "paragraph"))
+    lines = split.select("doc_id", common.text_key(F.col("text")).alias("h"), F.posexplode("lines").alias("at", "paragraph"))
     return lines.where(F.arrays_overlap(F.split(F.lower("paragraph"), r"[^\p{L}\p{N}]+"), known))
 
 
@@ -142,31 +155,33 @@ def scan(docs: DataFrame, classifier: Classifier | None = None) -> DataFrame:
 
     Null and empty texts have no licence. Repeated rows give one result for each distinct (doc_id, text).
     """
-    c = classifier or train(telling_paragraphs(docs, telling_words(docs.sparkSession)))
     spark = docs.sparkSession
     key = ["doc_id", "h", "at"]
-    lines = telling_paragraphs(docs, c.telling).distinct()
-    w = words(F.col("paragraph"))
-    terms = lines.select(*key, "paragraph", w.alias("w"))
-    features = terms.select(*key, "paragraph", "w", F.explode(F.array_distinct(ngrams(F.col("w")))).alias("term"))
-    # a paragraph goes with its sums as one value of the group
+    telling = classifier.telling if classifier else telling_words(spark)
+    lines = common.written(telling_paragraphs(docs, telling).dropDuplicates(key), "lines")
+    c = classifier or train(lines)
+    # terms go without their paragraph, which may be long
+    terms = lines.select(*key, words(F.col("paragraph")).alias("w")).select(*key, F.explode(telling_ngrams(F.col("w"), telling)).alias("term"))
     n = len(c.families)
-    weights = c.weights.withColumnRenamed("w", "weight")
-    sums = features.join(F.broadcast(weights), "term").groupBy(*key).agg(F.min(F.struct("paragraph", "w")).alias("p"), *[F.sum(F.get("weight", F.lit(i))).alias(f"z{i}") for i in range(n)])
+    sums = terms.join(F.broadcast(c.weights), "term").groupBy(*key).agg(*[F.sum(F.get("w", F.lit(i))).alias(f"z{i}") for i in range(n)])
     z = F.array(*[(F.col(f"z{i}") + c.bias[i]) / c.temperature for i in range(n)])
-    scored = sums.select(*key, "p", z.alias("z")).withColumn("top", F.array_max("z"))
+    scored = sums.select(*key, z.alias("z")).withColumn("top", F.array_max("z"))
     scored = scored.withColumn("e", F.transform("z", lambda v: F.exp(v - F.col("top"))))
     total = F.aggregate("e", F.lit(0.0), lambda a, v: a + v)
     known = F.slice("e", F.lit(1), F.lit(n - 1))
     best = F.array_max(known)
     names = F.array(*map(F.lit, c.families))
-    picked = scored.select("doc_id", "h", "at", "p", F.get(names, (F.array_position(known, best) - 1).cast("int")).alias("family"), (best / total).alias("chance")).where(F.col("chance") >= c.least)
+    picked = scored.select(*key, F.get(names, (F.array_position(known, best) - 1).cast("int")).alias("family"), (best / total).alias("chance")).where(F.col("chance") >= c.least)
     templates = spark.createDataFrame([(f, t) for f, ts in TEMPLATES.items() for t in ts], "family string, t string").select("family", F.array_distinct(ngrams(words(F.col("t")), (2,))).alias("g"))
-    own = F.array_distinct(ngrams(F.col("p.w"), (2,)))
+    k, t = picked.alias("k"), lines.alias("t")
+    found = k.join(t, F.col("k.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("k.h") == F.col("t.h")) & (F.col("k.at") == F.col("t.at"))).select("k.*", "t.paragraph")
+    own = F.array_distinct(ngrams(words(F.col("paragraph")), (2,)))
     shared = F.size(F.array_intersect(own, F.col("g")))
     agree = F.greatest(shared / F.greatest(F.size("g"), F.lit(1)), F.when(shared >= 3, shared / F.greatest(F.size(own), F.lit(1))).otherwise(0.0))
-    confirmed = picked.join(F.broadcast(templates), "family").withColumn("agree", agree).groupBy("doc_id", "h", "at", "family", "chance").agg(F.max("agree").alias("agree"), F.min("p.paragraph").alias("paragraph")).where(F.col("agree") >= SHARE)
-    return confirmed.select("doc_id", "h", "at", "paragraph", "family", "chance")
+    # a handful of templates for each paragraph
+    matched = found.join(F.broadcast(templates), "family").withColumn("agree", agree).where(F.col("agree") >= SHARE)
+    confirmed = matched.dropDuplicates(key)
+    return confirmed.select(*key, "paragraph", "family", "chance")
 
 
 def document_licences(docs: DataFrame) -> DataFrame:
@@ -176,7 +191,7 @@ def document_licences(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", "text")
     found = scan(rows).groupBy("doc_id", "h").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("family")), ",").alias("families"))
-    base = rows.select("doc_id", F.xxhash64("text").alias("h"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_paragraphs"))
+    base = rows.select("doc_id", common.text_key(F.col("text")).alias("h"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_paragraphs"))
     b, f = base.alias("b"), found.alias("f")
     out = b.join(f, F.col("b.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("b.h") == F.col("f.h")), "left")
     return out.select("b.doc_id", "n_paragraphs", F.coalesce("n", F.lit(0)).cast("long").alias("n_licensed"), F.coalesce("families", F.lit(UNKNOWN)).alias("families"))
