@@ -22,7 +22,7 @@ class Rules:
     corrections: tuple[str, ...] = ("Correction: ", "(correction) ")
     correction_ends: tuple[str, ...] = (" (correction)", " (corrected)", ", wrongly annotated")
     own: tuple[str, ...] = ("nt_type", "flow", "super_class", "class", "sub_class", "hemilineage", "side", "nerve")
-    passes: int = field(default=4)
+    passes: int = field(default=2)
 
 
 def hide(label: Column, rules: Rules) -> Column:
@@ -99,7 +99,7 @@ def spaced(label: Column) -> Column:
     return F.trim(F.regexp_replace(F.trim(F.regexp_replace(label, r"\s*([;,])\s*", "$1 ")), r"[;,:]$", ""))
 
 
-def _once(labels: Column, own: Column, rules: Rules) -> Column:
+def _steps(own: Column, rules: Rules) -> list[Callable[[Column], Column]]:
     steps: list[Callable[[Column], Column]] = [
         lambda a: F.transform(a, lambda x: hide(x, rules)),
         lambda a: F.filter(a, lambda x: ~unwanted(x, rules)),
@@ -114,17 +114,15 @@ def _once(labels: Column, own: Column, rules: Rules) -> Column:
         without_lookalikes,
         without_prefixes,
     ]
-    for s in steps:
-        labels = s(labels)
-    return labels
+    return steps
 
 
 def clean(nodes: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """``nodes`` with cleaned labels. Passes repeat while rows still change; a pass is a projection of its own."""
+    """``nodes`` with cleaned labels, after ``passes`` rounds of the steps. A step is a projection of its own, so that none is computed twice."""
     own = F.transform(F.array(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in rules.own]), lambda x: F.lower(x))
-    out = nodes.withColumn("__own", own)
-    for _ in range(rules.passes):
-        out = out.withColumn("label", _once(F.coalesce("label", F.array().cast("array<string>")), F.col("__own"), rules))
+    out = nodes.withColumn("__own", own).withColumn("label", F.coalesce("label", F.array().cast("array<string>")))
+    for step in _steps(F.col("__own"), rules) * rules.passes:
+        out = out.withColumn("label", step(F.col("label")))
     return out.drop("__own")
 
 
