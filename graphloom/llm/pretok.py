@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-CACHE = 800_000  #: distinct chunks, and words without a space before them, that a worker remembers
+CACHE = 500_000  #: distinct chunks, and words without a space before them, that a worker remembers
 
 _SPACES = re.compile(r" \s")
 _MARKS = frozenset(".,;:!?|")
@@ -27,9 +27,9 @@ class ChunkedEncoder:
     Texts with white space right behind a space are cut by the pattern as a whole.
     """
 
-    def __init__(self, pattern: str, fresh: Callable[[str], bytes], ready: dict[str, bytes] | None = None):
+    def __init__(self, pattern: str, fresh: Callable[[str], bytes], ready: dict[str, bytes] | None = None, cache: int = CACHE):
         """``fresh`` gives a word's ids as bytes, never empty; ``ready`` the ids of words known beforehand."""
-        self.cut, self.fresh = cutter(pattern), fresh
+        self.cut, self.fresh, self.cache = cutter(pattern), fresh, cache
         self.spaced = {w[1:]: x for w, x in (ready or {}).items() if w[0] == " " and len(w) > 1}
         self.bare = {w: x for w, x in (ready or {}).items() if w[0] != " " or len(w) == 1}
 
@@ -38,7 +38,7 @@ class ChunkedEncoder:
         found = held.get(key)
         if found is None:
             found = self.fresh(word)
-            if len(held) < CACHE:
+            if len(held) < self.cache:
                 held[key] = found
         return found
 
@@ -50,7 +50,7 @@ class ChunkedEncoder:
             found = (self.spaced.get(rest[:-1]) or self.word(" " + rest[:-1])) + self.word(rest[-1])
         else:
             found = b"".join(map(self.word, self.cut.findall(" " + rest)))
-        if len(self.spaced) < CACHE:
+        if len(self.spaced) < self.cache:
             self.spaced[rest] = found
         return found
 

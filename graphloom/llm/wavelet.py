@@ -20,9 +20,9 @@ ranks          binary  little-endian uint32; for each plane the set bits before
 
 from __future__ import annotations
 
-import re
 import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .pretok import ChunkedEncoder
 
 STEP = 512
 SHARD_IDS = 1 << 20  #: a shard ends with the document that takes it to this many ids
-CACHE = 400_000  #: distinct chunks whose ids a Python worker remembers
 PART_BYTES = 24 << 20  #: bytes of text in a partition, about, as long as that gives no more than
+CACHE = 1_000_000  #: distinct chunks, and words, whose ids a Python worker remembers
 MAX_PARTS = 20_000  #: parts; a part of any size is written shard by shard
 
 SCHEMA = "part int, shard int, before long, n int, bits int, doc_ids binary, nulls binary, ends binary, planes binary, ranks binary"
@@ -46,13 +47,13 @@ def build(ids: np.ndarray, bits: int) -> tuple[bytes, bytes]:
     """The packed planes and their ranks."""
     planes, ranks, seq = [], [], ids.astype(np.uint16 if bits <= 16 else np.uint32)
     for k in range(bits - 1, -1, -1):
-        b = (seq >> k).astype(np.bool_) if k == bits - 1 else ((seq >> k) & 1).astype(np.bool_)
+        b = (seq & seq.dtype.type(1 << k)) != 0
         packed = np.packbits(b)
         planes.append(packed.tobytes())
         ones = np.add.reduceat(_popcount[packed], np.arange(0, len(packed), STEP // 8)) if len(packed) else np.zeros(0, np.uint32)
         ranks.append(np.concatenate([[0], np.cumsum(ones)]).astype("<u4").tobytes())
         if k:
-            seq = np.concatenate([seq[~b], seq[b]])
+            seq = np.concatenate([seq[np.flatnonzero(~b)], seq[np.flatnonzero(b)]])  # far quicker than by the mask
     return b"".join(planes), b"".join(ranks)
 
 
@@ -126,73 +127,75 @@ class WaveletMatrix:
         for p in range(self.bits - 1, -1, -1):
             b = np.unpackbits(self.planes[p], count=self.n).view(np.bool_)
             out, z = np.empty_like(seq), int(self.zeros[p])
-            out[~b] = seq[:z]
-            out[b] = seq[z:] | kind(1 << (self.bits - 1 - p))
+            out[np.flatnonzero(~b)] = seq[:z]
+            out[np.flatnonzero(b)] = seq[z:] | kind(1 << (self.bits - 1 - p))
             seq = out
         return seq.astype("<u4")
 
 
+def _byte_alphabet() -> dict[int, str]:
+    """The characters that stand for bytes in a byte-level vocabulary: printable Latin-1 ones for themselves, the rest from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
     """Ids of whole texts with the tokenizers library, as little-endian bytes.
 
-    A byte-level vocabulary splits a text before it merges, and always before a single space that follows no white space.
-    So the text falls into chunks at such spaces, and each distinct chunk goes to the library once; texts with longer white
-    space around a space, or with one of the vocabulary's special strings, go to it whole.
+    Each distinct word goes to the library's model once. Texts with one of the vocabulary's special strings go to the
+    library whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pattern: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "false", "1"
         from tokenizers import Tokenizer
 
-        self.library, self.known = Tokenizer.from_file(path), {}
+        self.library = Tokenizer.from_file(path)
         top = max(self.library.get_vocab(with_added_tokens=True).values())
         self.bits = max(1, top.bit_length())
-        self.kind = np.dtype("<u2") if self.bits <= 16 else np.dtype("<u4")
+        self.kind, self.code = (np.dtype("<u2"), "H") if self.bits <= 16 else (np.dtype("<u4"), "I")
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.whole = re.compile(r"\s \s|^ \s|\s $")
+        model, code, alphabet = self.library.model, self.code, _byte_alphabet()
+        space = alphabet[32]
+
+        def fresh(word: str) -> bytes:
+            if word.isascii() and word[1:].isalpha():
+                mapped = space + word[1:] if word[0] == " " else word if word.isalpha() else word.translate(alphabet)
+            else:
+                mapped = word.encode("utf-8").decode("latin-1").translate(alphabet)
+            return array(code, [t.id for t in model.tokenize(mapped)]).tobytes()
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        self.words = ChunkedEncoder(pattern, fresh, cache=CACHE)
 
     def encode(self, text: str) -> bytes:
-        if len(text) > 1 and self.whole.search(text) or any(s in text for s in self.special) or not text:
-            return self._library([text])[0]
-        first, *rest = text.split(" ")
-        known = self.known
-        chunks = [first, *[" " + c for c in rest]] if first else [" " + c for c in rest]
-        try:
-            return b"".join(map(known.__getitem__, chunks))
-        except KeyError:
-            new = [c for c in dict.fromkeys(chunks) if c not in known]
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = list(dict.fromkeys(chunks))
-            known.update(zip(new, self._library(new)))
-            return b"".join(map(known.__getitem__, chunks))
-
-
-def _encoder(path: str) -> Encoder:
+        if any(s in text for s in self.special):
+            return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        return self.words.encode(text)
+
+
+def _encoder(path: str, pattern: str) -> Encoder:
     """One for each Python worker and file."""
     held = sys.__dict__.setdefault("_graphloom_encoders", {})
     if path not in held:
         held.clear()
-        held[path] = Encoder(path)
+        held[path] = Encoder(path, pattern)
     return held[path]
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_id: int) -> None:
     """Encode every text (null: empty), append ``end_id``, and write ids in ascending doc_id order, null ids first.
 
     Rows that share an id are ordered by their texts' hashes; each stays a document of its own. ``tokenizer`` is a vocabulary
-    file that every executor has. A table without rows writes no shard.
+    file that every executor has, ``pattern`` what cuts its words. A table without rows writes no shard.
     """
 
     def run(batches):
         from pyspark import TaskContext
 
-        enc, part, shard, before = _encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
+        enc, part, shard, before = _encoder(tokenizer, pattern), TaskContext.get().partitionId(), 0, 0
         end = np.array([end_id], dtype=enc.kind).tobytes()
         ids, docs_, count = [], [], 0
 
@@ -216,7 +219,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
         if ids:
             yield flush()
 
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # the plan's own estimate, so that no pass is spent on it; text takes about twice its room in a file
+    size = 2 * int(str(docs.select("doc_id", "text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, min(MAX_PARTS, size // PART_BYTES + 1))
     rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("h", common.text_key(F.col("text")))
     ordered = rows.repartitionByRange(parts, F.asc_nulls_first("doc_id"), "h").sortWithinPartitions(F.asc_nulls_first("doc_id"), "h")
