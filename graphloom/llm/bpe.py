@@ -10,8 +10,8 @@ text is encoded, whatever its length or frequency. Decoding concatenates the pie
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
-import json
 import sys
 import uuid
 import zlib
@@ -19,6 +19,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,7 @@ from .pretok import ChunkedEncoder
 
 DICTIONARY = 30_000  #: words encoded ahead of the documents
 FOLD_BYTES = 48  #: of a word in the dictionary, at most; longer words are left to the documents' pass
+CACHE = 250_000  #: chunks of text whose ids a Python worker remembers
 BUCKETS = 8192  #: a literal map is searched entry by entry, so the ranks are dealt to this many small ones
 
 
@@ -35,28 +37,24 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}
 
 
-class RankMap:
-    """The ranks as a literal for expressions: an array of small maps, picked by the key's crc32. Pieces are hexadecimal text."""
+def rank_map(ranks: dict[bytes, int]) -> list[dict[str, int]]:
+    """The ranks dealt to small maps by the crc32 of their pieces, which are hexadecimal text: the constant that the fold looks pairs up in."""
+    maps: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+    for piece, rank in ranks.items():
+        key = piece.hex().upper()
+        maps[zlib.crc32(key.encode()) % BUCKETS][key] = rank
+    return maps
 
-    def __init__(self, ranks: dict[bytes, int]):
-        maps: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-        for piece, rank in ranks.items():
-            key = piece.hex().upper()
-            maps[zlib.crc32(key.encode()) % BUCKETS][key] = rank
-        self.literal = F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
 
-    def __getitem__(self, key: Column) -> Column:
-        return F.try_element_at(F.get(self.literal, (F.crc32(key.cast("binary")) % BUCKETS).cast("int")), key)
-
-
-def fold_merges(word: Column, ranks: RankMap) -> Column:
-    """The ids of one word: ranked merges folded over its bytes."""
+def fold_merges(word: Column, ranks: Column) -> Column:
+    """The ids of one word: ranked merges folded over its bytes. ``ranks`` is :func:`rank_map` as a column."""
+    rank = lambda key: F.try_element_at(F.get(ranks, (F.crc32(key.cast("binary")) % BUCKETS).cast("int")), key)
     whole = F.hex(F.encode(word, "utf-8"))
     size = F.length(whole) / 2
     bytes_ = F.transform(F.sequence(F.lit(0), size.cast("int") - 1), lambda i: F.substring(whole, 2 * i + 1, F.lit(2)))
 
     def step(parts: Column, _: Column) -> Column:
-        of_pairs = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda j: ranks[F.concat(F.get(parts, j - 1), F.get(parts, j))])
+        of_pairs = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda j: rank(F.concat(F.get(parts, j - 1), F.get(parts, j))))
         # the state stays as it is once no neighbours can be joined
         lowest = F.when(F.size(parts) > 1, F.array_min(of_pairs))
         at = F.array_position(of_pairs, lowest).cast("int")
@@ -64,7 +62,7 @@ def fold_merges(word: Column, ranks: RankMap) -> Column:
         return F.when(lowest.isNull(), parts).otherwise(joined)
 
     merged = F.aggregate(F.sequence(F.lit(1), F.greatest(size.cast("int") - 1, F.lit(1))), bytes_, step)
-    return F.when(ranks[whole].isNotNull(), F.array(ranks[whole])).otherwise(F.transform(merged, lambda p: ranks[p]))
+    return F.when(rank(whole).isNotNull(), F.array(rank(whole))).otherwise(F.transform(merged, lambda p: rank(p)))
 
 
 def frequent_words(docs: DataFrame, pattern: str, n: int = DICTIONARY) -> DataFrame:
@@ -110,7 +108,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 def words(ranks: dict[bytes, int], pattern: str, dictionary: dict[str, bytes]) -> ChunkedEncoder:
     """Ids as little-endian uint32: words of the dictionary are looked up, others merged."""
-    return ChunkedEncoder(pattern, lambda w: array("I", merge(w.encode("utf-8"), ranks)).tobytes(), dictionary)
+    return ChunkedEncoder(pattern, lambda w: array("I", merge(w.encode("utf-8"), ranks)).tobytes(), dictionary, CACHE)
 
 
 def _held(kind: str, key: object, make):
@@ -126,10 +124,20 @@ def build_dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, n:
     spark = docs.sparkSession
     # dealt out anew, as the fold is the work and the words come from one sorted partition
     words = frequent_words(docs, pattern, n).repartition(spark.sparkContext.defaultParallelism * 4)
-    folded = words.select("word", fold_merges(F.col("word"), RankMap(ranks)).alias("ids"))
+    # one row, so that the map is sent once and not written out in every plan that mentions it
+    constant = spark.createDataFrame([(rank_map(ranks),)], "ranks array<map<string,int>>")
+    folded = words.join(F.broadcast(constant)).select("word", fold_merges(F.col("word"), F.col("ranks")).alias("ids"))
     return {r["word"]: np.array(r["ids"], dtype="<u4").tobytes() for r in folded.collect()}
 
 
+def _shared_dictionary(docs: DataFrame, ranks_path: str, pattern: str, n: int) -> tuple[Broadcast, str]:
+    return docs.sparkSession.sparkContext.broadcast(build_dictionary(docs, load_ranks(ranks_path), pattern, n)), uuid.uuid4().hex
+
+
+def _joined(ids: bytes, pieces: dict[int, bytes]) -> bytes:
+    return b"".join(map(pieces.__getitem__, memoryview(ids).cast("I")))
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str] | None = None, dictionary: int = DICTIONARY) -> DataFrame:
     """``keep`` columns (doc_id) of every row, and ``ids``: little-endian uint32 ids of its whole text (null: of an empty one).
 
@@ -137,8 +145,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str] | Non
     no row. Other columns are ignored.
     """
     keep = keep or ["doc_id"]
-    ranks = load_ranks(ranks_path)
-    held, made = docs.sparkSession.sparkContext.broadcast(build_dictionary(docs, ranks, pattern, dictionary)), uuid.uuid4().hex
+    held, made = _shared_dictionary(docs, ranks_path, pattern, dictionary)
 
     def run(batches):
         w = _held("words", (ranks_path, made), lambda: words(load_ranks(ranks_path), pattern, held.value))
@@ -159,13 +166,30 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     def run(batches):
         pieces = _held("pieces", ranks_path, lambda: {i: p for p, i in load_ranks(ranks_path).items()})
         for b in batches:
-            out = [None if x is None else b"".join(map(pieces.__getitem__, np.frombuffer(x, dtype="<u4").tolist())) for x in b.column(at).to_pylist()]
+            out = [None if x is None else _joined(x, pieces) for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*b.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """Per row: doc_id, n_tokens, ids_sha256 and decoded_sha256, from :func:`encode` and :func:`decode`."""
-    both = decode(encode(docs, ranks_path, pattern), ranks_path)
-    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, dictionary: int = DICTIONARY) -> DataFrame:
+    """Per row: doc_id, n_tokens, ids_sha256 and decoded_sha256.
+
+    The same steps as :func:`encode` and :func:`decode`, text by text, so that ids and bytes need not leave the task.
+    """
+    held, made = _shared_dictionary(docs, ranks_path, pattern, dictionary)
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+    def run(batches):
+        w = _held("words", (ranks_path, made), lambda: words(load_ranks(ranks_path), pattern, held.value))
+        pieces = _held("pieces", ranks_path, lambda: {i: p for p, i in load_ranks(ranks_path).items()})
+        for b in batches:
+            n, sha, back = [], [], []
+            for t in b.column(1).to_pylist():
+                ids = w.encode(t or "")
+                n.append(len(ids) // 4)
+                sha.append(hashlib.sha256(ids).hexdigest())
+                back.append(hashlib.sha256(_joined(ids, pieces)).hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sha), pa.array(back)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
