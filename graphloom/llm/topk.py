@@ -173,12 +173,13 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256) ->
 
     ``vectors`` has vec_id and embedding; other columns are ignored. ``queries`` is a condition on it. Ties go to the smaller
     vec_id. Vectors that are null, empty or hold a null or non-finite component take no part, nor do rows without a vec_id.
-    Vectors are compared with those of their own dimension only. Rows that repeat an id and its vector count once; a query is
-    never its own candidate, which goes by vec_id. A table without usable rows gives no rows.
+    Vectors are compared with those of their own dimension only. Rows that repeat an id count once, with the first of
+    their quantised vectors in array order; a query is never its own candidate. A table without usable rows gives no rows.
     """
     spark = vectors.sparkSession
     usable_rows = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
-    v = common.written(usable_rows.select(F.col("vec_id").cast("long"), quantised(F.col("embedding"), scale).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks")), "vectors")
+    v = usable_rows.select(F.col("vec_id").cast("long"), quantised(F.col("embedding"), scale).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
+    v = common.written(v.groupBy("vec_id").agg(F.min("v").alias("v"), F.bool_or("asks").alias("asks")), "vectors")
     n, asked = v.agg(F.count("*"), F.count_if("asks")).first()
     if not n or not asked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -215,7 +216,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256) ->
     asked_tiles = tiles.join(bounds, ["tile", "block"]).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     hits = against(asked_tiles, lanes.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(n_tiles - 1)))))
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    return hits.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
 def _members(batches):
