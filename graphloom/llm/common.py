@@ -16,8 +16,11 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application, as ``--py-files`` would."""
+    """Send this package to the executors, once per application, as ``--py-files`` would, and set the session's batches to 1,000 rows."""
     sc = spark.sparkContext
+    # texts are long, so a batch of Spark's usual 10,000 rows is too much for a worker; another setting of the user's stays
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     if sc.applicationId not in _shipped:
         package = Path(__file__).resolve().parent.parent
         base = Path(tempfile.mkdtemp(prefix="graphloom-py-")) / package.name

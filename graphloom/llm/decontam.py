@@ -16,6 +16,7 @@ from pyspark.sql import Window
 from . import common
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  #: what stands between words; splitting is several times quicker than extracting
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_ROWS = 200_000  #: a side of short rows is broadcast up to this many rows, counted first; beyond it the join shuffles
 FIRST = 3  #: rarest terms of a window whose lists are intersected before the rest is confirmed
@@ -25,7 +26,7 @@ _DOC = ["doc_id", "h"]
 
 def words(text: Column) -> Column:
     """A-Z lower-cased, then runs of digits, letters and non-ASCII characters; none for null."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(f"({WORD})"), F.lit(1))
+    return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BETWEEN), lambda w: w != "")
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -45,7 +46,9 @@ class PositionalIndex:
             terms.where("term <> ''").distinct().select("term", F.xxhash64("term").alias("term_id")).union(docs.sparkSession.sql("SELECT '' AS term, 0L AS term_id")), "terms"
         )
         self.n_terms = self.terms.count()
-        each = docs.select("doc_id", common.text_key(F.col("text")).alias("h"), F.posexplode(F.concat(words(F.col("text")), F.array(F.lit("")))).alias("pos", "term"))
+        # the hash is a column before the words are unrolled; beside posexplode it would be computed for each word
+        rows = docs.select("doc_id", common.text_key(F.col("text")).alias("h"), F.concat(words(F.col("text")), F.array(F.lit(""))).alias("w"))
+        each = rows.select("doc_id", "h", F.posexplode("w").alias("pos", "term"))
         found = each.join(small(self.terms, self.n_terms), "term").select("term_id", "doc_id", "h", "pos")
         self.table = common.written(found, "postings")
         self.postings = self.table.where("term_id <> 0")

@@ -145,8 +145,8 @@ def _logits(terms: DataFrame, key: list[str], c: Classifier) -> DataFrame:
 def telling_paragraphs(docs: DataFrame, telling: list[str]) -> DataFrame:
     """The paragraphs with at least one telling word; the rest have no feature."""
     known = F.array(*map(F.lit, telling))
-    split = docs.select("doc_id", "text").withColumn("lines", F.split(F.coalesce("text", F.lit("")), "\n"))
-    lines = split.select("doc_id", common.text_key(F.col("text")).alias("h"), F.posexplode("lines").alias("at", "paragraph"))
+    split = docs.select("doc_id", common.text_key(F.col("text")).alias("h"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    lines = split.select("doc_id", "h", F.posexplode("lines").alias("at", "paragraph"))
     return lines.where(F.arrays_overlap(F.split(F.lower("paragraph"), r"[^\p{L}\p{N}]+"), known))
 
 
