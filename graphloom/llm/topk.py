@@ -87,6 +87,13 @@ def _blocks(vectors: DataFrame, size: int, partitions: int) -> DataFrame:
     )
 
 
+def _dealt(blocks: DataFrame, name: str, n: int) -> DataFrame:
+    """``blocks`` in ``n`` groups of neighbours in length, however many partitions they were packed in."""
+    part = F.shiftright("block", 32)
+    packed = blocks.agg(F.max(part)).first()[0] + 1
+    return blocks.withColumn(name, F.floor(part * F.lit(n) / F.lit(packed)).cast("int"))
+
+
 def _load(row: dict) -> tuple[np.ndarray, np.ndarray]:
     ids = np.frombuffer(row["ids"], dtype=np.int64)
     return ids, np.frombuffer(row["vals"], dtype=np.int64).reshape(len(ids), -1)
@@ -185,9 +192,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256) ->
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     n_blocks, n_tiles = math.ceil(n / BLOCK), math.ceil(asked / TILE)
     parts = max(1, math.ceil(n_blocks / LANE))
-    lanes = common.written(_blocks(v.select("vec_id", "v"), BLOCK, parts).withColumn("lane", F.shiftright("block", 32).cast("int")), "lanes")
-    tiles = _blocks(v.where("asks").select("vec_id", "v"), TILE // 4, n_tiles).withColumn("tile", F.shiftright("block", 32).cast("int"))
-    tiles = common.written(tiles, "tiles")
+    lanes = _dealt(common.written(_blocks(v.select("vec_id", "v"), BLOCK, parts), "lanes"), "lane", parts)
+    tiles = _dealt(common.written(_blocks(v.where("asks").select("vec_id", "v"), TILE // 4, n_tiles), "tiles"), "tile", n_tiles)
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
