@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -97,6 +98,18 @@ def quoted(column: str) -> str:
     return f"`{column.replace('`', '``')}`"
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Arrow batches of so many rows, for actions inside: for steps whose single rows may be large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def chunks(texts: list, limit: int):
     """(place, texts) of runs of at most ``limit`` bytes; a longer text is a run of its own."""
     at = 0
