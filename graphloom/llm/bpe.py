@@ -115,6 +115,7 @@ def _held(kind: str, key: object, make):
     """One object of a kind for each Python worker, made anew for another key."""
     store = sys.__dict__.setdefault("_graphloom_bpe", {})
     if store.get(kind, (None, None))[0] != key:
+        store.pop(kind, None)  # the old one goes before the new one is made
         store[kind] = (key, make())
     return store[kind][1]
 
