@@ -415,6 +415,16 @@ def test_near_duplicates_of_a_large_group(spark):
     assert got == _classes(texts)
 
 
+def test_near_duplicates_of_a_template(spark):
+    rng = random.Random(9)
+    words = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    base = words(240)
+    # the first two share 236 of 280 shingles, any others 236 of 308 or 336
+    texts = [(i, " ".join(base + words(22 if i < 2 else 50))) for i in range(900)]
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    assert got == {i: 0 if i < 2 else i for i in range(900)}
+
+
 def test_near_duplicates_of_odd_tables(odd, empty):
     got = [(r["doc_id"], r["class_id"], r["n_class"]) for r in near_dup.near_duplicates(odd).collect()]
     want = [(1, 1, 1), (2, 2, 1), (3, 3, 1), (4, 4, 1), (5, 5, 3), (5, 5, 3), (5, 5, 1), (None, None, 1), (None, None, 1), (6, 6, 1), (7, 5, 3), (8, 8, 1)]
