@@ -425,6 +425,17 @@ def test_near_duplicates_of_a_template(spark):
     assert got == {i: 0 if i < 2 else i for i in range(900)}
 
 
+def test_near_duplicates_with_repeated_passages(spark):
+    rng = random.Random(10)
+    words = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    texts = {}
+    for i in range(12):
+        own, passage = words(180), words(24)
+        texts[i], texts[1000 + i] = " ".join(own + passage), " ".join(own + passage * 50)
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()}
+    assert got == _classes(texts) == {i: i % 1000 for i in texts}
+
+
 def test_near_duplicates_of_odd_tables(odd, empty):
     got = [(r["doc_id"], r["class_id"], r["n_class"]) for r in near_dup.near_duplicates(odd).collect()]
     want = [(1, 1, 1), (2, 2, 1), (3, 3, 1), (4, 4, 1), (5, 5, 3), (5, 5, 3), (5, 5, 1), (None, None, 1), (None, None, 1), (6, 6, 1), (7, 5, 3), (8, 8, 1)]
