@@ -42,7 +42,7 @@ def nodes_of(part: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _label_log(spark: SparkSession, sf_dir: str, n_parts: int) -> DataFrame:
     d = read(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("label_id"), (F.col("doc_id") % n_parts).alias("root_id"), F.substring("text", 1, 60).alias("label"), F.col("source").alias("user_name"), F.col("lang").alias("user_affiliation"), F.col("n_chars").cast("string").alias("date_created"))
+    return d.select(F.col("doc_id").alias("label_id"), (F.col("doc_id") % n_parts).alias("root_id"), F.col("text").alias("label"), F.col("source").alias("user_name"), F.col("lang").alias("user_affiliation"), F.col("n_chars").cast("string").alias("date_created"))
 
 
 def _shape_sim(spark: SparkSession, sf_dir: str, least: int = 2, sources: int = 50) -> DataFrame:

@@ -9,7 +9,7 @@ from graphloom.operators import analytics, graph, ingest, labels, network, order
 from graphloom.operators.motif import Motif
 from graphloom.plans import compiler
 from graphloom.plans.language import QueryError
-from graphloom.sources import csv_tables, snapshots
+from graphloom.sources import csv_tables, driver_tables, snapshots
 
 REGIONS = [dict(zip(("region", "description", "hemisphere", "category"), r)) for r in [("AL_L", "antennal lobe", "Left", "x"), ("AL_R", "antennal lobe", "Right", "x"), ("EB", "ellipsoid body", "Center", "y")]]
 TYPES = {"ACH": "acetylcholine", "GABA": "gamma"}
@@ -123,6 +123,15 @@ def test_label_cleaning(spark):
     assert labels.clean(n).first()["label"] == ["fish", "cat"]
 
 
+def test_labels_are_whole_texts(spark, tmp_path):
+    start = "a long label that goes on and on, well past sixty characters of it, "
+    rows = [(7, start + "cat", "s", "en", 3), (14, start + "dog (correction)", "s", "en", 2), (21, "old", "s", "en", 1)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    n = with_defaults(spark.createDataFrame([(0,)], "root_id bigint"))
+    found = labels.grouped(driver_tables._label_log(spark, str(tmp_path), 7), n)
+    assert labels.clean(found.join(n.drop("label"), "root_id")).first()["label"] == [start + "cat", start + "dog"]
+
+
 def test_snapshot_round_trip(spark, g, tmp_path):
     g.label_log = None
     snapshots.write(g, str(tmp_path / "v1"))
