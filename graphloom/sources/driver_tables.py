@@ -45,12 +45,12 @@ def _label_log(spark: SparkSession, sf_dir: str, n_parts: int) -> DataFrame:
     return d.select(F.col("doc_id").alias("label_id"), (F.col("doc_id") % n_parts).alias("root_id"), F.col("text").alias("label"), F.col("source").alias("user_name"), F.col("lang").alias("user_affiliation"), F.col("n_chars").cast("string").alias("date_created"))
 
 
-def _shape_sim(spark: SparkSession, sf_dir: str, least: int = 2, sources: int = 50) -> DataFrame:
-    """Scores of the first vectors against all: floor(10 * cosine), for those of at least ``least``. The sources are a stated small set."""
+def _shape_sim(spark: SparkSession, sf_dir: str, least: int = 2) -> DataFrame:
+    """Scores of all vectors against all others: floor(10 * cosine), for those of at least ``least``."""
     e = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     e = e.withColumn("n", F.sqrt(dot(F.col("v"), F.col("v"))))
-    q = F.broadcast(e.where(F.col("vec_id") < sources).select(F.col("vec_id").alias("src"), F.col("v").alias("qv"), F.col("n").alias("qn")).limit(sources))
+    q = e.select(F.col("vec_id").alias("src"), F.col("v").alias("qv"), F.col("n").alias("qn"))
     score = F.floor(10 * dot(F.col("qv"), F.col("v")) / (F.col("qn") * F.col("n")) + 1e-9).cast("int")
     return e.join(q, F.col("src") != F.col("vec_id")).select("src", F.col("vec_id").alias("dst"), score.alias("score")).where(F.col("score") >= least)
 

@@ -1,5 +1,7 @@
 """Small graphs with known answers."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +134,15 @@ def test_labels_are_whole_texts(spark, tmp_path):
     assert labels.clean(found.join(n.drop("label"), "root_id")).first()["label"] == [start + "cat", start + "dog"]
 
 
+def test_shape_scores_have_every_source(spark, tmp_path):
+    v = {i: [float(1 + i % 3), float(i % 7), float(i % 5)] for i in range(0, 120, 2)}
+    spark.createDataFrame(list(v.items()), "vec_id bigint, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    score = lambda a, b: math.floor(10 * dot(a, b) / math.sqrt(dot(a, a)) / math.sqrt(dot(b, b)) + 1e-9)
+    want = sorted((a, b, score(v[a], v[b])) for a in v for b in v if a != b and score(v[a], v[b]) >= 2)
+    assert sorted(map(tuple, driver_tables._shape_sim(spark, str(tmp_path)).collect())) == want
+
+
 def test_snapshot_round_trip(spark, g, tmp_path):
     g.label_log = None
     snapshots.write(g, str(tmp_path / "v1"))
