@@ -88,6 +88,21 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """128 bits of a row's id and text, as text: what repeats as a whole has one key, and nothing else."""
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.when(text.isNull(), "-").otherwise(":"), F.coalesce(text, F.lit(""))).cast("binary"))
+
+
+def free_names(columns: list[str], n: int) -> list[str]:
+    """``n`` column names that are not among ``columns``, whatever their case."""
+    taken, out, k = {c.lower() for c in columns}, [], 0
+    while len(out) < n:
+        if f"own_{k}" not in taken:
+            out.append(f"own_{k}")
+        k += 1
+    return out
+
+
 def same(a: Column, b: Column) -> Column:
     """Equality that holds for two nulls."""
     return a.eqNullSafe(b)

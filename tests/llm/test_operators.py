@@ -9,8 +9,10 @@ import string
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +62,10 @@ def con():
     return connection(SF)
 
 
+def assert_equal_rows(a, b):
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_against_sql(spark, con, name):
     assert_same(spark, queries.QUERIES[name], queries.ORACLE[name], con, SF)
@@ -105,6 +111,30 @@ def test_quality_uses_no_held_out_label(spark, docs):
     assert a == b
 
 
+def test_quality_scores_are_the_models(spark, docs, texts):
+    """Every score is that of a plain pass over whole texts: sizes by the library, weights as fitted."""
+    import zstandard
+
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.fit(docs.select("doc_id", "text"), labels, common.fold(F.col("doc_id"), 3) != 1)
+    size = lambda d, t: sum(len(zstandard.ZstdCompressor(level=3, dict_data=d and zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False).compress(t[i : i + 16384])) - 6 for i in range(0, len(t), 16384))
+    got = {r["doc_id"]: r["score"] for r in quality.classify(docs, labels).collect()}
+    for i, t in texts.items():
+        t = t.encode()
+        good, bad, none = (float(max(1, size(d, t))) for d in (model.good, model.bad, None))
+        n, difference, ratio = len(t), (bad - good) / (bad + good), math.log((none + 8) / (len(t) + 8))
+        long_ = math.log1p(n) / 10
+        x = [1, difference, difference * abs(difference), ratio, ratio**2, math.log((min(good, bad) + 8) / (none + 8)), long_, difference * long_, long_**2, ratio * long_]
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model.weights)))), abs=1e-6)
+
+
+def test_pieces_come_from_all_over():
+    assert quality._pieces(b"x" * 2500) == [b"x" * 1024, b"x" * 1024, b"x" * 452] and quality._pieces(b"") == []
+    t = bytes(range(256)) * 400
+    p = quality._pieces(t)
+    assert len(p) == 8 and p[0] == t[:1024] and p[-1] == t[-1024:]
+
+
 def test_quality_of_odd_tables(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1, 0), (3, 0, 0), (None, 1, 0), (5, 1, 0), (5, 0, 0), (2, None, 0)], "doc_id bigint, quality int, toxic int")
     got = quality.classify(odd, labels)
@@ -124,18 +154,27 @@ def test_top_k_against_brute_force(spark, normal):
         v /= np.linalg.norm(v, axis=1, keepdims=True)
     v[100:120] = v[50]
     rows = [(i, [float(np.float32(x)) for x in r], 1) for i, r in enumerate(v)]
-    rows += [(5000, None, 1), (5001, [1.0, None] + [0.0] * 10, 1), (5002, [float("nan")] * 12, 1), (5003, [float("inf")] * 12, 1), (5004, [], 1), (None, [0.5] * 12, 1), (7, rows[7][1], 1)]
-    got = defaultdict(list)
-    for r in topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, score int"), F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append((r["vec_id"], r["score"]))
-    q = np.floor(256 * np.array([r[1] for r in rows[:3000]])).astype(np.int64)
-    ids = np.arange(3000)
-    for i in range(0, 3000, 50):
+    rows += [(i, [float(np.float32(x)) for x in rng.normal(size=12)], 1) for i in (0, 0, 3, 3, 60, 100)]  # ids that repeat, with other vectors
+    n = len(rows)
+    rows += [(5000, None, 1), (5001, [1.0, None] + [0.0] * 10, 1), (5002, [float("nan")] * 12, 1), (5003, [float("inf")] * 12, 1), (5004, [], 1), (None, [0.5] * 12, 1)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, score int")
+    got = sorted(map(tuple, topk.top_k(table, F.col("vec_id") % 50 == 0).collect()))
+    q = np.floor(256 * np.array([r[1] for r in rows[:n]])).astype(np.int64)
+    ids, want = np.array([r[0] for r in rows[:n]]), []
+    for i in np.flatnonzero(ids % 50 == 0):
         s = q @ q[i]
         s[i] = -(10**15)
-        order = np.lexsort((ids, -s))[:5]
-        assert got[i] == [(int(a), int(s[a])) for a in order]
-    assert len(got) == 60
+        want += [(int(ids[i]), rank, int(ids[a]), int(s[a])) for rank, a in enumerate(np.lexsort((ids, -s))[:5], 1)]
+    assert got == sorted(want)
+    con = duckdb.connect()
+    con.register("embeddings", pa.table({"vec_id": [r[0] for r in rows], "embedding": pa.array([r[1] for r in rows], pa.list_(pa.float64()))}))
+    assert got == sorted(con.execute(queries.ORACLE["op3_exact_top_k"]).fetchall())
+
+
+def test_top_k_with_an_id_twice(spark):
+    rows = [(0, [1.0, 0.5]), (1, [0.9, 0.1]), (1, [0.2, 0.8])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") % 50 == 0).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == [(0, 1, 1, 62080), (0, 2, 1, 39168)]
 
 
 def test_top_k_of_few_rows(spark):
@@ -225,13 +264,19 @@ def test_encoders_agree_with_the_libraries():
 
     mine, library = wavelet.Encoder(JSON, P.PATTERN), Tokenizer.from_file(JSON)
     ranks = bpe.load_ranks(MULTI)
-    words, other = bpe.words(ranks, P.PATTERN, {}), tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    other = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    words = bpe._Words(ranks, P.PATTERN, {})
+
+    def ids(t):
+        (marked,), fresh = words.marked([t])
+        return np.frombuffer(bpe._filled(marked, [np.array(bpe.merge(w.encode(), ranks)) for w in fresh]), "<u4").tolist()
+
     rng = random.Random(5)
     parts = [" ", "  ", "\n", "\t", "a", "B", "é", "1", "'s", "'re", "!", "word", "　", "\xa0", "'", "日", "\x1c", "\x85", "²", "<|endoftext|>", ",", "."]
     for _ in range(6000):
         t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
         assert np.frombuffer(mine.encode(t), "<u2").tolist() == library.encode(t, add_special_tokens=False).ids, t
-        assert np.frombuffer(words.encode(t), "<u4").tolist() == other.encode_ordinary(t), t
+        assert ids(t) == other.encode_ordinary(t), t
     for t in ("a" * 3000, "abcabd" * 300, "!?" * 500, "日本" * 200):
         assert bpe.merge(t.encode(), ranks) == other.encode_ordinary(t)
 
@@ -278,15 +323,28 @@ def test_fold_in_expressions(spark):
 
     ranks = bpe.load_ranks(MULTI)
     other = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    words = ["a", " the", "zzzqx", " ünïcode", "日本語", "!!!!", " thereforewith", "\n\n"]
-    got = spark.createDataFrame([(w, bpe.rank_map(ranks)) for w in words], "word string, ranks array<map<string,int>>").select("word", bpe.fold_merges(F.col("word"), F.col("ranks")).alias("ids"))
-    assert {r["word"]: r["ids"] for r in got.collect()} == {w: other._encode_single_piece(w.encode()) for w in words}
+    words = [" zzzqx", " ünïcode", "日本語の", "!?!?!", " thereforewith", "\n \t", "é", "x" * 300, "日é!" * 40, "abcab" * 30, "\x00\x01"]
+    words = [w for w in words if w.encode() not in ranks]
+    got = bpe.fold_words(spark.createDataFrame([(1, words), (2, []), (3, None)], "k int, words array<string>"), "words", bpe._constant(spark, ranks))
+    got = {r["k"]: r["folded"] for r in got.collect()}
+    assert got[1] == [other._encode_single_piece(w.encode()) for w in words] and got[2] == [] and got[3] is None
+
+
+def test_the_dictionary_has_the_words_used_most(spark):
+    d = spark.createDataFrame([("a b b c c c d",), (None,), ("",), ("c d d d",)], "text string")
+    assert {r["word"]: r["uses"] for r in bpe.word_uses(d, P.PATTERN).collect()} == {" a": 1, " b": 2, " c": 4, " d": 4, " ": 1}
+    assert {r["word"] for r in bpe.frequent_words(d, P.PATTERN, 2).collect()} == {" c", " d"}
+    assert {r["word"] for r in bpe.frequent_words(d, P.PATTERN, 9).collect()} == {" b", " c", " d"} and bpe.frequent_words(d, P.PATTERN, 1).count() == 0
 
 
 def test_round_trip(docs, odd, empty, texts):
     import tiktoken
 
     other = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(MULTI), special_tokens={})
+    # with and without a dictionary, every word comes by the fold
+    assert_equal_rows(bpe.round_trip(docs, MULTI, P.PATTERN), bpe.round_trip(docs, MULTI, P.PATTERN, dictionary=1))
+    for r in bpe.decode(bpe.encode(docs.withColumn("score `x", F.lit("y")), MULTI, P.PATTERN, ["score `x", "doc_id"]), MULTI).collect():
+        assert (r[0], np.frombuffer(r["ids"], "<u4").tolist(), bytes(r["decoded"]).decode()) == ("y", other.encode_ordinary(texts[r["doc_id"]]), texts[r["doc_id"]])
     for r in bpe.round_trip(docs, MULTI, P.PATTERN).collect():
         ids = other.encode_ordinary(texts[r["doc_id"]])
         assert tuple(r)[1:] == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest())
