@@ -1,10 +1,17 @@
 """Byte-level BPE by ranks: encoding and decoding.
 
-The words (pre-tokens) of the whole corpus are counted, and those used most are encoded by Spark higher-order functions: a
-fold over the word's bytes that joins the lowest-ranked neighbours again and again, with the ranks as a literal map. The
-resulting dictionary has ``DICTIONARY`` words at most, so it goes to every executor. Documents are then cut into words;
-a word in the dictionary is looked up, and any other goes through the same fold in Python, so that every word of every
-text is encoded, whatever its length or frequency. Decoding concatenates the pieces of ids.
+Every word (pre-token) is encoded by Spark higher-order functions: a fold over the ids of its bytes that joins the lowest-ranked
+neighbours again and again, with the ranks as a literal map of pairs of ids. It costs a word some tens of microseconds, so
+equal words are folded together:
+
+* the distinct words of the whole corpus are counted, and those used most, ``DICTIONARY`` at most, are folded once and sent
+  to every executor;
+* documents are then cut into words; the distinct other words of a document travel beside it as a column, which the same
+  fold turns into ids in the same task. Beyond the dictionary nearly every word is rare, so that sending each of them to one
+  place and its ids back would cost more than it saves.
+
+A word that is a piece of the vocabulary is that piece. Only words of more than ``FOLD_BYTES`` bytes are merged with a heap
+in Python, as the fold's work grows with the square of a word's length. Decoding concatenates the pieces of ids.
 """
 
 from __future__ import annotations
@@ -12,9 +19,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import struct
 import sys
 import uuid
-import zlib
 from array import array
 
 import numpy as np
@@ -23,12 +30,19 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .pretok import ChunkedEncoder
+from . import common
+from .common import quoted
+from .pretok import ChunkedEncoder, cutter
 
-DICTIONARY = 30_000  #: words encoded ahead of the documents
-FOLD_BYTES = 48  #: of a word in the dictionary, at most; longer words are left to the documents' pass
-CACHE = 250_000  #: chunks of text whose ids a Python worker remembers
-BUCKETS = 8192  #: a literal map is searched entry by entry, so the ranks are dealt to this many small ones
+DICTIONARY = 200_000  #: words encoded ahead of the documents, at most
+FOLD_BYTES = 512  #: of a word that is folded
+WORDS_AT_ONCE = 512  #: words of the dictionary that are folded beside one copy of the constant, about
+CHUNK_CHARS = 1 << 20  #: of documents whose words are folded beside one copy of the constant, about
+CACHE = 150_000  #: chunks of text whose ids a Python worker remembers
+BUCKETS = 1 << 16  #: a map is searched entry by entry, so the pairs are dealt to this many small ones
+SPREAD = 8191
+NONE = 1 << 40  #: above any rank
+MARK = b"\xff\xff\xff\xff"  #: an id that stands before the number of a word still to be folded
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -37,40 +51,92 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}
 
 
-def rank_map(ranks: dict[bytes, int]) -> list[dict[str, int]]:
-    """The ranks dealt to small maps by the crc32 of their pieces, which are hexadecimal text: the constant that the fold looks pairs up in."""
-    maps: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+def pair_map(ranks: dict[bytes, int]) -> list[dict[int, int]]:
+    """What each pair of ids joins to, dealt to small maps: the constant that the fold looks pairs up in."""
+    maps: list[dict[int, int]] = [{} for _ in range(BUCKETS)]
     for piece, rank in ranks.items():
-        key = piece.hex().upper()
-        maps[zlib.crc32(key.encode()) % BUCKETS][key] = rank
+        for i in range(1, len(piece)):
+            left, right = ranks.get(piece[:i]), ranks.get(piece[i:])
+            if left is not None and right is not None:
+                maps[(left * SPREAD + right) % BUCKETS][(left << 32) + right] = rank
     return maps
 
 
-def fold_merges(word: Column, ranks: Column) -> Column:
-    """The ids of one word: ranked merges folded over its bytes. ``ranks`` is :func:`rank_map` as a column."""
-    rank = lambda key: F.try_element_at(F.get(ranks, (F.crc32(key.cast("binary")) % BUCKETS).cast("int")), key)
-    whole = F.hex(F.encode(word, "utf-8"))
-    size = F.length(whole) / 2
-    bytes_ = F.transform(F.sequence(F.lit(0), size.cast("int") - 1), lambda i: F.substring(whole, 2 * i + 1, F.lit(2)))
+def _constant(spark, ranks: dict[bytes, int]) -> DataFrame:
+    """One row with the rank map and the ids of the 256 bytes; it is sent once, and not written out in every plan that mentions it."""
+    return spark.createDataFrame([(0, pair_map(ranks), [ranks[bytes([i])] for i in range(256)])], "const int, pairs array<map<bigint,bigint>>, bytes array<bigint>")
 
-    def step(parts: Column, _: Column) -> Column:
-        of_pairs = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda j: rank(F.concat(F.get(parts, j - 1), F.get(parts, j))))
-        # the state stays as it is once no neighbours can be joined
-        lowest = F.when(F.size(parts) > 1, F.array_min(of_pairs))
-        at = F.array_position(of_pairs, lowest).cast("int")
-        joined = F.concat(F.slice(parts, F.lit(1), at - 1), F.array(F.concat(F.get(parts, at - 1), F.get(parts, at))), F.slice(parts, at + 2, F.size(parts)))
-        return F.when(lowest.isNull(), parts).otherwise(joined)
 
-    merged = F.aggregate(F.sequence(F.lit(1), F.greatest(size.cast("int") - 1, F.lit(1))), bytes_, step)
-    return F.when(rank(whole).isNotNull(), F.array(rank(whole))).otherwise(F.transform(merged, lambda p: rank(p)))
+def fold_words(rows: DataFrame, words: str, constant: DataFrame) -> DataFrame:
+    """``rows`` with the array column ``words`` replaced by ``folded``: the ids of each of its words.
 
+    A row brings many words, as the constant is beside it. It has the bytes of one vocabulary, so it is broadcast.
+    """
+    others = [c for c in rows.columns if c != words]
+    both = rows.withColumn("const", F.lit(0)).join(F.broadcast(constant), "const")
+    return both.select(*others, F.transform(words, lambda w: fold_merges(w, F.col("pairs"), F.col("bytes"))).alias("folded"))
 
-def frequent_words(docs: DataFrame, pattern: str, n: int = DICTIONARY) -> DataFrame:
-    """The ``n`` words used most in all of ``docs``, counted over whole texts: word, uses. Ties go by the word."""
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def fold_merges(word: Column, pairs: Column, byte_ids: Column) -> Column:
+    """The ids of one word by ranked merges folded over its bytes (of a word that is no piece as a whole)."""
+    none = F.lit(NONE)
+
+    def joined(left: Column, right: Column) -> Column:
+        at = ((left * F.lit(SPREAD) + right) % F.lit(BUCKETS)).cast("int")
+        return F.coalesce(F.try_element_at(F.get(pairs, at), left * F.lit(1 << 32) + right), none)
+
+    # one character for each byte
+    chars = F.split(F.decode(F.encode(word, "utf-8"), "ISO-8859-1"), "")
+
+    def start(ids: Column) -> Column:
+        return F.struct(ids.alias("ids"), F.zip_with(ids, F.slice(ids, F.lit(2), F.size(ids)), lambda a, b: F.when(b.isNull(), none).otherwise(joined(a, b))).alias("low"))
+
+    def step(state: Column, _: Column) -> Column:
+        ids, low = state["ids"], state["low"]
+
+        def merged(best: Column) -> Column:
+            new, at = best["rank"], best["at"]
+            before = F.when(at > 1, F.array(joined(F.get(ids, at - 2), new))).otherwise(F.array().cast("array<bigint>"))
+            behind = F.get(ids, at + 1)
+            return F.struct(
+                F.concat(F.slice(ids, F.lit(1), at - 1), F.array(new), F.slice(ids, at + 2, F.size(ids))).alias("ids"),
+                F.concat(F.slice(low, F.lit(1), F.greatest(at - 2, F.lit(0))), before, F.array(F.when(behind.isNull(), none).otherwise(joined(new, behind))), F.slice(low, at + 2, F.size(low))).alias("low"),
+            )
+
+        best = lambda rank: F.struct(rank.alias("rank"), F.array_position(low, rank).cast("int").alias("at"))
+        return _let(F.array_min(low), lambda rank: F.when(rank >= none, state).otherwise(_let(best(rank), merged)))
+
+    def run(ids: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(ids) - 1, F.lit(1))), start(ids), step, lambda s: F.transform(s["ids"], lambda i: i.cast("int")))
+
+    return _let(F.transform(chars, lambda c: F.get(byte_ids, F.ascii(c))), run)
+
+
+def word_uses(docs: DataFrame, pattern: str) -> DataFrame:
+    """word, uses: the distinct words of all of ``docs``, counted over whole texts, of up to ``FOLD_BYTES`` bytes."""
     chunks = docs.select(F.explode(F.split("text", " ")).alias("c")).groupBy("c").agg(F.count("*").alias("n"))
     # white space as Unicode has it, as for the library
     words = chunks.select(F.explode(F.regexp_extract_all(F.concat(F.lit(" "), "c"), F.lit(f"((?U){pattern})"), F.lit(1))).alias("word"), "n")
-    return words.where(F.octet_length("word") <= FOLD_BYTES).groupBy("word").agg(F.sum("n").alias("uses")).orderBy(F.desc("uses"), "word").limit(n)
+    return words.where(F.octet_length("word") <= FOLD_BYTES).groupBy("word").agg(F.sum("n").alias("uses"))
+
+
+def frequent_words(docs: DataFrame, pattern: str, n: int = DICTIONARY) -> DataFrame:
+    """Words used most in all of ``docs``: of the uses that ``n`` words at most have or exceed. Words used once are left out."""
+    words = common.written(word_uses(docs, pattern).where("uses > 1"), "uses")
+    # counts in steps of an eighth or less, so that few rows come back
+    step = F.floor(F.log2("uses") * 8)
+    least, total = None, 0
+    for r in words.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("uses").alias("least")).orderBy(F.desc("step")).collect():
+        total += r["n"]
+        if total > n:
+            break
+        least = r["least"]
+    return words.where(F.col("uses") >= least if least is not None else F.lit(False))
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -106,9 +172,44 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[piece[i : ends[i]]] for i in range(n) if alive[i]]
 
 
-def words(ranks: dict[bytes, int], pattern: str, dictionary: dict[str, bytes]) -> ChunkedEncoder:
-    """Ids as little-endian uint32: words of the dictionary are looked up, others merged."""
-    return ChunkedEncoder(pattern, lambda w: array("I", merge(w.encode("utf-8"), ranks)).tobytes(), dictionary, CACHE)
+class _Words(ChunkedEncoder):
+    """Ids as little-endian uint32 of the words that are known here; others are marked, and named in ``fresh``."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, dictionary: dict[str, bytes]):
+        ready, cut = dict(dictionary), cutter(pattern).findall
+        for piece, rank in ranks.items():
+            try:
+                word = piece.decode("utf-8")
+            except UnicodeDecodeError:
+                continue  # part of a character: no word
+            if cut(word) == [word]:
+                ready[word] = struct.pack("<I", rank)
+        super().__init__(pattern, self._later, ready, CACHE, MARK)
+        self.ranks, self.fresh_words = ranks, {}
+
+    def _later(self, word: str) -> bytes:
+        b = word.encode("utf-8")
+        if len(b) > FOLD_BYTES:
+            return array("I", merge(b, self.ranks)).tobytes()
+        return MARK + struct.pack("<I", self.fresh_words.setdefault(word, len(self.fresh_words)))
+
+    def marked(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
+        """The ids of some texts with marks, and the words that these stand for."""
+        self.fresh_words = {}
+        return [self.encode(t) for t in texts], list(self.fresh_words)
+
+
+def _filled(marked: bytes, folded: list[np.ndarray]) -> bytes:
+    """``marked`` with the ids of its fresh words."""
+    if not folded:
+        return marked
+    ids = np.frombuffer(marked, "<u4")
+    at = np.flatnonzero(ids == 0xFFFFFFFF)
+    out, begin = [], 0
+    for i in at.tolist():
+        out += [ids[begin:i], folded[ids[i + 1]]]
+        begin = i + 2
+    return np.concatenate([*out, ids[begin:]]).astype("<u4", copy=False).tobytes()
 
 
 def _held(kind: str, key: object, make):
@@ -120,25 +221,60 @@ def _held(kind: str, key: object, make):
     return store[kind][1]
 
 
-def build_dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, n: int = DICTIONARY) -> dict[str, bytes]:
-    """word -> ids as little-endian uint32, for the ``n`` words used most in ``docs``."""
+def _shared_dictionary(docs: DataFrame, constant: DataFrame, pattern: str, n: int) -> tuple[Broadcast, str]:
+    """word -> ids as little-endian uint32, for the words used most in ``docs``."""
     spark = docs.sparkSession
-    # dealt out anew, as the fold is the work and the words come from one sorted partition
-    words = frequent_words(docs, pattern, n).repartition(spark.sparkContext.defaultParallelism * 4)
-    # one row, so that the map is sent once and not written out in every plan that mentions it
-    constant = spark.createDataFrame([(rank_map(ranks),)], "ranks array<map<string,int>>")
-    folded = words.join(F.broadcast(constant)).select("word", fold_merges(F.col("word"), F.col("ranks")).alias("ids"))
-    return {r["word"]: np.array(r["ids"], dtype="<u4").tobytes() for r in folded.collect()}
-
-
-def _shared_dictionary(docs: DataFrame, ranks_path: str, pattern: str, n: int) -> tuple[Broadcast, str]:
-    return docs.sparkSession.sparkContext.broadcast(build_dictionary(docs, load_ranks(ranks_path), pattern, n)), uuid.uuid4().hex
+    words = frequent_words(docs, pattern, n).select("word", F.pmod(F.xxhash64("word"), F.lit(max(1, n // WORDS_AT_ONCE))).alias("part"))
+    folded = fold_words(words.groupBy("part").agg(F.collect_list("word").alias("words")).withColumn("w", F.col("words")), "words", constant).select("w", "folded").toArrow()
+    made = {}
+    for batch in folded.to_batches():
+        for ws, ids in zip(batch.column(0).to_pylist(), _lists(batch.column(1))):
+            made.update((w, i.astype("<u4").tobytes()) for w, i in zip(ws, ids))
+    return spark.sparkContext.broadcast(made), uuid.uuid4().hex
 
 
 def _joined(ids: bytes, pieces: dict[int, bytes]) -> bytes:
     return b"".join(map(pieces.__getitem__, memoryview(ids).cast("I")))
 
 
+def _lists(column: pa.Array) -> list[list[np.ndarray]]:
+    """Rows of an array<array<int>> column, each list of ids as an array."""
+    inner = column.flatten()
+    ids, ends = inner.flatten().to_numpy(zero_copy_only=False), np.cumsum(np.r_[0, inner.value_lengths().to_numpy(zero_copy_only=False)]).tolist()
+    out, at = [], 0
+    for n in column.value_lengths().to_pylist():
+        out.append([ids[ends[k] : ends[k + 1]] for k in range(at, at + n)])
+        at += n
+    return out
+
+
+def _lists_of(columns: list[pa.Array], at: int, n: int) -> list[pa.Array]:
+    """Rows ``at`` to ``at + n`` of each column as one row that holds a list."""
+    ends = pa.array([0, n], pa.int32())
+    return [pa.ListArray.from_arrays(ends, c.slice(at, n)) for c in columns]
+
+
+def _folded(docs: DataFrame, keep: list[str], ranks_path: str, pattern: str, dictionary: int) -> DataFrame:
+    """A row for some documents, with arrays: ``keep`` columns by place (c0, c1, ...), marked: ids with marks; and folded: ids of their marked words."""
+    spark = docs.sparkSession
+    constant = _constant(spark, load_ranks(ranks_path))
+    held, made = _shared_dictionary(docs, constant, pattern, dictionary)
+    rows = docs.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(keep)], F.col("text").alias("t"))
+    schema = ", ".join([*[f"{f.name} array<{f.dataType.simpleString()}>" for f in rows.schema.fields[:-1]], "marked array<binary>, fresh array<string>"])
+    names = [*rows.columns[:-1], "marked", "fresh"]
+
+    def cut(batches):
+        w = _held("words", (ranks_path, made), lambda: _Words(load_ranks(ranks_path), pattern, held.value))
+        for b in batches:
+            texts = [t or "" for t in b.column(b.num_columns - 1).to_pylist()]
+            for at, part in common.chunks(texts, CHUNK_CHARS):
+                marked, fresh = w.marked(part)
+                one = _lists_of([*[c for c in b.columns[:-1]], pa.array([None] * at + marked, pa.binary())], at, len(part))
+                yield pa.RecordBatch.from_arrays([*one, pa.array([fresh], pa.list_(pa.string()))], names=names)
+
+    return fold_words(rows.mapInArrow(cut, schema), "fresh", constant)
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str] | None = None, dictionary: int = DICTIONARY) -> DataFrame:
     """``keep`` columns (doc_id) of every row, and ``ids``: little-endian uint32 ids of its whole text (null: of an empty one).
 
@@ -146,23 +282,22 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str] | Non
     no row. Other columns are ignored.
     """
     keep = keep or ["doc_id"]
-    held, made = _shared_dictionary(docs, ranks_path, pattern, dictionary)
+    rows = _folded(docs, keep, ranks_path, pattern, dictionary)
+    schema = ", ".join([*[f"{f.name} {f.dataType.elementType.simpleString()}" for f in rows.schema.fields[:-2]], "ids binary"])
 
-    def run(batches):
-        w = _held("words", (ranks_path, made), lambda: words(load_ranks(ranks_path), pattern, held.value))
+    def fill(batches):
         for b in batches:
-            ids = [w.encode(t or "") for t in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ids, pa.binary())], names=[*keep, "ids"])
+            ids = [_filled(m, f) for some, f in zip(b.column(b.num_columns - 2).to_pylist(), _lists(b.column(b.num_columns - 1))) for m in some]
+            yield pa.RecordBatch.from_arrays([*[c.flatten() for c in b.columns[:-2]], pa.array(ids, pa.binary())], names=[*b.schema.names[:-2], "ids"])
 
-    rows = docs.select(*keep, F.col("text").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields) + ", ids binary"
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(fill, schema).toDF(*keep, "ids")
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """``encoded`` with ``decoded``: the binary pieces of its ids, concatenated. Null ids give null; an unknown id is an error."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields) + ", decoded binary"
-    at = encoded.columns.index("ids")
+    names, at = encoded.columns, encoded.columns.index("ids")
+    rows = encoded.toDF(*[f"c{i}" for i in range(len(names))])  # by place, so that any name will do
+    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields], "decoded binary"])
 
     def run(batches):
         pieces = _held("pieces", ranks_path, lambda: {i: p for p, i in load_ranks(ranks_path).items()})
@@ -170,27 +305,26 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
             out = [None if x is None else _joined(x, pieces) for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*b.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*names, "decoded")
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, dictionary: int = DICTIONARY) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256 and decoded_sha256.
 
-    The same steps as :func:`encode` and :func:`decode`, text by text, so that ids and bytes need not leave the task.
+    The same steps as :func:`encode` and :func:`decode`, text by text, so that ids and bytes need not leave the task. A null
+    text is an empty one, which has no token; rows may repeat, ids be null, and texts and words be of any length. Every row
+    gives one row. Other columns are ignored, whatever their names.
     """
-    held, made = _shared_dictionary(docs, ranks_path, pattern, dictionary)
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    rows = _folded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"], ranks_path, pattern, dictionary)
 
     def run(batches):
-        w = _held("words", (ranks_path, made), lambda: words(load_ranks(ranks_path), pattern, held.value))
         pieces = _held("pieces", ranks_path, lambda: {i: p for p, i in load_ranks(ranks_path).items()})
         for b in batches:
             n, sha, back = [], [], []
-            for t in b.column(1).to_pylist():
-                ids = w.encode(t or "")
+            for ids in (_filled(m, f) for some, f in zip(b.column(1).to_pylist(), _lists(b.column(2))) for m in some):
                 n.append(len(ids) // 4)
                 sha.append(hashlib.sha256(ids).hexdigest())
                 back.append(hashlib.sha256(_joined(ids, pieces)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sha), pa.array(back)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([b.column(0).flatten(), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -27,18 +27,22 @@ class ChunkedEncoder:
     Texts with white space right behind a space are cut by the pattern as a whole.
     """
 
-    def __init__(self, pattern: str, fresh: Callable[[str], bytes], ready: dict[str, bytes] | None = None, cache: int = CACHE):
-        """``fresh`` gives a word's ids as bytes, never empty; ``ready`` the ids of words known beforehand."""
-        self.cut, self.fresh, self.cache = cutter(pattern), fresh, cache
+    def __init__(self, pattern: str, fresh: Callable[[str], bytes], ready: dict[str, bytes] | None = None, cache: int = CACHE, mark: bytes | None = None):
+        """``fresh`` gives a word's ids as bytes, never empty; ``ready`` the ids of words known beforehand. What holds ``mark`` is not remembered."""
+        self.cut, self.fresh, self.cache, self.mark = cutter(pattern), fresh, cache, mark
         self.spaced = {w[1:]: x for w, x in (ready or {}).items() if w[0] == " " and len(w) > 1}
         self.bare = {w: x for w, x in (ready or {}).items() if w[0] != " " or len(w) == 1}
+        self.known = len(ready or {})
+
+    def _lasts(self, found: bytes) -> bool:
+        return self.mark is None or self.mark not in found
 
     def word(self, word: str) -> bytes:
         held, key = (self.spaced, word[1:]) if word[0] == " " and len(word) > 1 else (self.bare, word)
         found = held.get(key)
         if found is None:
             found = self.fresh(word)
-            if len(held) < self.cache:
+            if self._lasts(found) and len(held) < self.cache + self.known:
                 held[key] = found
         return found
 
@@ -50,7 +54,7 @@ class ChunkedEncoder:
             found = (self.spaced.get(rest[:-1]) or self.word(" " + rest[:-1])) + self.word(rest[-1])
         else:
             found = b"".join(map(self.word, self.cut.findall(" " + rest)))
-        if len(self.spaced) < self.cache:
+        if self._lasts(found) and len(self.spaced) < self.cache + self.known:
             self.spaced[rest] = found
         return found
 
