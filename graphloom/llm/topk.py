@@ -10,7 +10,9 @@ known lower bound ``theta`` of its k-th best product can only gain from vectors
   vectors in all those ranges are the candidates.
 
 Candidates are then verified by exact integer products. Queries come in tiles and candidates in lanes, both of bounded size,
-so a task holds one tile and one lane, however many rows there are.
+so a task holds one tile and one lane, however many rows there are. A tile and a lane are shipped to each other only if the
+lane's longest vector is long enough for some query of the tile, which their summaries tell. Rows are told apart by a key of
+their own, so an id that repeats stands for as many vectors.
 """
 
 from __future__ import annotations
@@ -27,11 +29,11 @@ from . import common
 
 BLOCK = 2048  #: vectors in a block
 LANE = 8  #: blocks of candidates that one task reads
-TILE = 2048  #: queries that one task reads
+TILE = 4096  #: queries that one task reads
 FOCUS = 3  #: coordinates that coordinate pruning looks at
 
-_BLOCK_SCHEMA = "dim int, block long, longest double, n int, ids binary, vals binary"
-_HIT_SCHEMA = "query_id long, vec_id long, score long"
+_BLOCK_SCHEMA = "dim int, block long, longest double, n int, rows binary, ids binary, vals binary"
+_HIT_SCHEMA = "row long, query_id long, vec_id long, score long"
 
 
 def usable(embedding: Column) -> Column:
@@ -49,40 +51,42 @@ def quantised(embedding: Column, scale: int = 256) -> Column:
 
 
 def _blocks(vectors: DataFrame, size: int, partitions: int) -> DataFrame:
-    """Pack vectors(vec_id, v) into blocks of like length, the longest first."""
+    """Pack vectors(row, vec_id, v) into blocks of like length, the longest first."""
 
     def pack(batches):
-        def flush(dim, ids, vals, k):
+        def flush(dim, rows, ids, vals, k):
             m = np.asarray(vals, dtype=np.int64)
+            small = next(t for t in ("<i2", "<i4", "<i8") if np.array_equal(m.astype(t), m))
             norm = np.sqrt((m.astype(np.float64) ** 2).sum(axis=1))
             order = np.argsort(-norm, kind="stable")
             part = pa.array([k])
             return pa.RecordBatch.from_arrays(
                 [pa.array([dim], pa.int32()), part.cast(pa.int64()), pa.array([float(norm.max())]), pa.array([len(ids)], pa.int32()),
-                 pa.array([np.asarray(ids, dtype=np.int64)[order].tobytes()], pa.binary()), pa.array([m[order].tobytes()], pa.binary())],
-                names=["dim", "block", "longest", "n", "ids", "vals"],
+                 *[pa.array([np.asarray(x, dtype=np.int64)[order].tobytes()], pa.binary()) for x in (rows, ids)], pa.array([m[order].astype(small).tobytes()], pa.binary())],
+                names=["dim", "block", "longest", "n", "rows", "ids", "vals"],
             )
 
         from pyspark import TaskContext
 
-        part, k, dim, ids, vals = TaskContext.get().partitionId(), 0, -1, [], []
+        part, k, dim, rows, ids, vals = TaskContext.get().partitionId(), 0, -1, [], [], []
         for b in batches:
-            for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for r, i, v in zip(*[c.to_pylist() for c in b.columns]):
                 if ids and (len(v) != dim or len(ids) >= size):
-                    yield flush(dim, ids, vals, (part << 32) + k)
-                    k, ids, vals = k + 1, [], []
+                    yield flush(dim, rows, ids, vals, (part << 32) + k)
+                    k, rows, ids, vals = k + 1, [], [], []
                 dim = len(v)
+                rows.append(r)
                 ids.append(i)
                 vals.append(v)
         if ids:
-            yield flush(dim, ids, vals, (part << 32) + k)
+            yield flush(dim, rows, ids, vals, (part << 32) + k)
 
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     return (
-        vectors.withColumns({"d": F.size("v"), "l": -norm, "h": F.xxhash64("vec_id")})
+        vectors.withColumns({"d": F.size("v"), "l": -norm, "h": F.xxhash64("row")})
         .repartitionByRange(partitions, "d", "l", "h")
-        .sortWithinPartitions("d", "l", "vec_id")
-        .select("vec_id", "v")
+        .sortWithinPartitions("d", "l", "vec_id", "row")
+        .select("row", "vec_id", "v")
         .mapInArrow(pack, _BLOCK_SCHEMA)
     )
 
@@ -94,9 +98,11 @@ def _dealt(blocks: DataFrame, name: str, n: int) -> DataFrame:
     return blocks.withColumn(name, F.floor(part * F.lit(n) / F.lit(packed)).cast("int"))
 
 
-def _load(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.frombuffer(row["ids"], dtype=np.int64)
-    return ids, np.frombuffer(row["vals"], dtype=np.int64).reshape(len(ids), -1)
+def _load(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, ids and vectors of a block; these are in the smallest type that they fit."""
+    rows, ids = (np.frombuffer(row[c], dtype=np.int64) for c in ("rows", "ids"))
+    vals = np.frombuffer(row["vals"], dtype=f"<i{len(row['vals']) // (row['n'] * row['dim'])}")
+    return rows, ids, vals.astype(np.int64).reshape(len(ids), -1)
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -126,13 +132,13 @@ class _Best:
             self.theta[i] = max(self.theta[i], float(s[order[-1]]))
 
 
-def _search(qids: np.ndarray, q: np.ndarray, theta: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], k: int) -> _Best:
-    best = _Best(len(qids), k, theta)
+def _search(keys: np.ndarray, q: np.ndarray, theta: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> _Best:
+    best = _Best(len(keys), k, theta)
     qn = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1))
     unit_q = q / np.where(qn > 0, qn, 1)[:, None]
     focus = np.argsort(-np.abs(unit_q), axis=1)[:, :FOCUS]
     slack = 1e-9
-    for ids, p in blocks:
+    for rows, ids, p in blocks:
         pn = np.sqrt((p.astype(np.float64) ** 2).sum(axis=1))
         longest = pn.max()
         open_ = np.flatnonzero((qn * longest) * (1 + slack) + slack >= best.theta)
@@ -162,7 +168,7 @@ def _search(qids: np.ndarray, q: np.ndarray, theta: np.ndarray, blocks: list[tup
             for j in range(len(f)):
                 if j != c:
                     hit = hit[(unit_p[hit, f[j]] >= low[j]) & (unit_p[hit, f[j]] <= high[j])]
-            hit = hit[ids[hit] != qids[i]]
+            hit = hit[rows[hit] != keys[i]]
             if len(hit):
                 best.add(i, _products(q[i : i + 1], p[hit])[0], ids[hit])
         if by_length:
@@ -170,7 +176,7 @@ def _search(qids: np.ndarray, q: np.ndarray, theta: np.ndarray, blocks: list[tup
             upto = int(np.searchsorted(-pn, -(need.min() * (1 - slack) - slack), "right")) if np.isfinite(need).all() else len(ids)
             s = _products(q[by_length], p[:upto])
             for row, i in zip(s, by_length):
-                ok = (row >= best.theta[i]) & (ids[:upto] != qids[i])
+                ok = (row >= best.theta[i]) & (rows[:upto] != keys[i])
                 best.add(i, row[ok], ids[:upto][ok])
     return best
 
@@ -180,57 +186,65 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256) ->
 
     ``vectors`` has vec_id and embedding; other columns are ignored. ``queries`` is a condition on it. Ties go to the smaller
     vec_id. Vectors that are null, empty or hold a null or non-finite component take no part, nor do rows without a vec_id.
-    Vectors are compared with those of their own dimension only. Rows that repeat an id count once, with the first of
-    their quantised vectors in array order; a query is never its own candidate. A table without usable rows gives no rows.
+    Vectors are compared with those of their own dimension only. Every row is a vector of its own, also if ids repeat: a
+    query row that repeats an id has ranks of its own, and candidates are all rows but itself. A table without usable rows
+    gives no rows.
     """
     spark = vectors.sparkSession
     usable_rows = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
-    v = usable_rows.select(F.col("vec_id").cast("long"), quantised(F.col("embedding"), scale).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
-    v = common.written(v.groupBy("vec_id").agg(F.min("v").alias("v"), F.bool_or("asks").alias("asks")), "vectors")
+    v = usable_rows.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding"), scale).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
+    v = common.written(v, "vectors")  # from here on the keys stay as they are
     n, asked = v.agg(F.count("*"), F.count_if("asks")).first()
     if not n or not asked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     n_blocks, n_tiles = math.ceil(n / BLOCK), math.ceil(asked / TILE)
     parts = max(1, math.ceil(n_blocks / LANE))
-    lanes = _dealt(common.written(_blocks(v.select("vec_id", "v"), BLOCK, parts), "lanes"), "lane", parts)
-    tiles = _dealt(common.written(_blocks(v.where("asks").select("vec_id", "v"), TILE // 4, n_tiles), "tiles"), "tile", n_tiles)
+    lanes = _dealt(common.written(_blocks(v.select("row", "vec_id", "v"), BLOCK, parts), "lanes"), "lane", parts)
+    tiles = _dealt(common.written(_blocks(v.where("asks").select("row", "vec_id", "v"), TILE // 4, n_tiles), "tiles"), "tile", n_tiles)
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
+        out: list[list] = [[], [], [], []]
         blocks = sorted(right.to_pylist(), key=lambda r: -r["longest"])
         for row in left.to_pylist():
-            qids, q = _load(row)
+            keys, qids, q = _load(row)
             theta = np.frombuffer(row["theta"], dtype=np.float64).copy() if row["theta"] is not None else np.full(len(qids), -np.inf)
-            best = _search(qids, q, theta, [_load(b) for b in blocks if b["dim"] == row["dim"]], k)
-            for i, (s, c) in zip(qids.tolist(), best.found):
-                out[0] += [i] * len(s)
-                out[1] += c.tolist()
-                out[2] += s.tolist()
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(lambda x: pa.array(x, pa.int64()), out))))
-
-    def against(q: DataFrame, c: DataFrame) -> DataFrame:
+            best = _search(keys, q, theta, [_load(b) for b in blocks if b["dim"] == row["dim"]], k)
+            for r, i, (s, c) in zip(keys.tolist(), qids.tolist(), best.found):
+                for column, values in zip(out, ([r] * len(s), [i] * len(s), c.tolist(), s.tolist())):
+                    column += values
+        return pa.table(dict(zip(("row", "query_id", "vec_id", "score"), map(lambda x: pa.array(x, pa.int64()), out))))
+
+    def against(q: DataFrame, c: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The hits of the pairs (tile, lane)."""
+        pairs = common.written(pairs, "met")
+        q, c = q.join(pairs, "tile"), c.join(pairs.select("lane", F.col("tile").alias("with")), "lane").withColumnRenamed("with", "tile")
         return q.groupBy("tile", "lane").cogroup(c.groupBy("tile", "lane")).applyInArrow(run, _HIT_SCHEMA)
 
     # seeds: the k-th best product within the lane of the longest vectors is a lower bound everywhere
-    first = F.lit(0)
-    bare = tiles.withColumns({"lane": first, "theta": F.lit(None).cast("binary")})
-    seed = against(bare, lanes.where(F.col("lane") == 0).withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(n_tiles - 1)))))
-    kth = seed.groupBy("query_id").agg(F.count("*").alias("c"), F.min("score").alias("kth")).where(F.col("c") >= k).select("query_id", "kth")
-    flat = tiles.mapInArrow(_members, "tile int, block long, at int, query_id long").join(kth, "query_id", "left")
-    bounds = flat.groupBy("tile", "block").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce(F.col("kth").cast("double"), F.lit(float("-inf"))).alias("t")))).alias("s"))
-    bounds = bounds.mapInArrow(_thetas, "tile int, block long, theta binary")
-    asked_tiles = tiles.join(bounds, ["tile", "block"]).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    hits = against(asked_tiles, lanes.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(n_tiles - 1)))))
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    of_tile = tiles.select("tile", "dim").distinct()
+    of_lane = lanes.groupBy("lane", "dim").agg(F.max("longest").alias("longest"))
+    leading = of_lane.groupBy("dim").agg(F.min("lane").alias("lane"))
+    seed = against(tiles.withColumn("theta", F.lit(None).cast("binary")), lanes, of_tile.join(leading, "dim").select("tile", "lane").distinct())
+    kth = seed.groupBy("row").agg(F.count("*").alias("c"), F.min("score").alias("kth")).where(F.col("c") >= k).select("row", "kth")
+    flat = tiles.mapInArrow(_members, "tile int, block long, at int, row long, norm double").join(kth, "row", "left")
+    theta = F.coalesce(F.col("kth").cast("double"), F.lit(float("-inf")))
+    # the shortest vector that can still matter to any query of the block
+    need = F.min(F.when(F.col("norm") > 0, theta / F.col("norm")).otherwise(F.lit(float("-inf")))).alias("need")
+    bounds = flat.groupBy("tile", "block").agg(F.sort_array(F.collect_list(F.struct("at", theta.alias("t")))).alias("s"), need)
+    bounds = common.written(bounds.mapInArrow(_thetas, "tile int, block long, theta binary, need double"), "bounds")
+    wanted = tiles.select("tile", "block", "dim").join(bounds.select("tile", "block", "need"), ["tile", "block"]).groupBy("tile", "dim").agg(F.min("need").alias("need"))
+    pairs = wanted.join(of_lane, "dim").where(F.col("longest") * (1 + 1e-9) + 1e-9 >= F.col("need")).select("tile", "lane").distinct()
+    hits = against(tiles.join(bounds.drop("need"), ["tile", "block"]), lanes, pairs)
+    by = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
 def _members(batches):
     for b in batches:
         for r in b.to_pylist():
-            ids = np.frombuffer(r["ids"], dtype=np.int64)
-            n = len(ids)
-            yield pa.RecordBatch.from_pydict({"tile": pa.array([r["tile"]] * n, pa.int32()), "block": pa.array([r["block"]] * n, pa.int64()), "at": pa.array(np.arange(n), pa.int32()), "query_id": pa.array(ids)})
+            rows, _, v = _load(r)
+            n, norm = len(rows), np.sqrt((v.astype(np.float64) ** 2).sum(axis=1))
+            yield pa.RecordBatch.from_pydict({"tile": pa.array([r["tile"]] * n, pa.int32()), "block": pa.array([r["block"]] * n, pa.int64()), "at": pa.array(np.arange(n), pa.int32()), "row": pa.array(rows), "norm": pa.array(norm)})
 
 
 def _thetas(batches):
@@ -240,4 +254,5 @@ def _thetas(batches):
             "tile": pa.array([r["tile"] for r in rows], pa.int32()),
             "block": pa.array([r["block"] for r in rows], pa.int64()),
             "theta": pa.array([np.array([x["t"] for x in r["s"]], dtype=np.float64).tobytes() for r in rows], pa.binary()),
+            "need": pa.array([r["need"] for r in rows], pa.float64()),
         })
