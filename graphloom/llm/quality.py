@@ -5,8 +5,9 @@ and the difference of the two sizes over their sum says which kind of text it re
 how the dictionaries compare with none, are kept beside it, since a text that repeats itself needs neither dictionary. A
 logistic calibration turns these into a score.
 
-Only the dictionaries and the calibration are fitted, on a bounded sample of labelled rows (``FIT_ROWS`` for each label,
-``FIT_BYTES`` of each text) that follows from the ids' hashes. Every text is scored whole.
+Only the dictionaries and the calibration are fitted, on a bounded sample of labelled rows (``FIT_ROWS`` for each label) that
+follows from the ids' hashes. The calibration sees its texts whole, in the tasks that have them; a dictionary is made of
+pieces from all over each of its texts. Every text is scored whole.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from . import common
 from .common import quoted
 
 FIT_ROWS = 3000  #: labelled rows of each label that the classifier is fitted on, at most
-FIT_BYTES = 4000  #: bytes of each of them
+PIECES, PIECE_BYTES = 8, 1024  #: of a text for its dictionary, evenly from its start to its end; shorter texts are cut up whole
 DICT_BYTES = 110_000  #: of either dictionary
 LEVEL = 3
 PIECE = 1 << 14  #: long texts are compressed in pieces of this many bytes, so that a dictionary helps everywhere alike
@@ -72,10 +73,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> np.ndarray:
     return w / scale
 
 
+def _pieces(text: bytes) -> list[bytes]:
+    if len(text) <= PIECES * PIECE_BYTES:
+        return [text[i : i + PIECE_BYTES] for i in range(0, len(text), PIECE_BYTES)]
+    return [text[i : i + PIECE_BYTES] for i in (k * (len(text) - PIECE_BYTES) // (PIECES - 1) for k in range(PIECES))]
+
+
 def _dictionary(samples: list[bytes]) -> bytes:
     data = b"".join(samples)
-    if len(samples) < 8 or len(data) < 4096:
-        return data[-DICT_BYTES:]  # too little to train on: the text itself
+    if len(samples) < 8 or len(data) <= DICT_BYTES:
+        return data[-DICT_BYTES:]  # all of the text fits
     try:
         return zstandard.train_dictionary(min(DICT_BYTES, max(1024, len(data) // 3)), samples, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
@@ -88,30 +95,51 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column) -> _Model:
     Half of the sample makes the dictionaries, the other half the calibration, so that the calibration sees texts that the
     dictionaries haven't. Without labelled rows of both kinds every score is the share of label 1 (0.5 without any).
     """
-    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & may_learn).groupBy("doc_id").agg(F.max("quality").alias("q"), F.min("quality").alias("p")).where("q = p")
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & may_learn).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("q"), F.min("quality").alias("p")).where("q = p")
     counts = {r["q"]: r["count"] for r in known.groupBy("q").count().collect()}
     order = [F.xxhash64(F.col("doc_id"), F.lit(7)), F.col("doc_id")]
     # the sample is drawn from the labels alone, so that at most 2 * FIT_ROWS ids meet the documents
     ids = [known.where(F.col("q") == q).orderBy(*order).limit(FIT_ROWS) for q in (0, 1)]
-    text = F.encode(F.substring("text", 1, FIT_BYTES), "utf-8").alias("t")
-    rows = docs.where(F.col("text").isNotNull()).join(F.broadcast(ids[0].union(ids[1]).select("doc_id", "q")), "doc_id").select("q", "doc_id", text)
-    sample = rows.orderBy(*order, "t").limit(2 * FIT_ROWS).collect()
-    picked = [[bytes(r["t"]) for r in sample if r["q"] == q] for q in (0, 1)]
-    halves = [(x[0::2], x[1::2]) for x in picked]
-    if not all(a and b for a, b in halves):
-        n = [len(x) for x in picked]
+    rows = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", common.text_key(F.col("text")).alias("k")).join(F.broadcast(ids[0].union(ids[1]).select("doc_id", "q")), "doc_id")
+    # an id may have many rows, so keys are cut to the bound before texts are fetched
+    keys = common.written(rows.select("doc_id", "k").distinct().orderBy(*order, "k").limit(2 * FIT_ROWS), "sample-keys")
+    sample = common.written(rows.join(F.broadcast(keys), ["doc_id", "k"]).dropDuplicates(["doc_id", "k"]).select("q", "doc_id", "k", F.encode("text", "utf-8").alias("t")), "sample")
+    learns = F.pmod(F.xxhash64("doc_id", "k", F.lit(8)), F.lit(2))
+
+    def cut(batches):
+        for b in batches:
+            some = [_pieces(t) for t in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(some, pa.list_(pa.binary()))], names=["q", "doc_id", "k", "pieces"])
+
+    taught = sorted(sample.where(learns == 0).mapInArrow(cut, "q int, doc_id long, k long, pieces array<binary>").collect(), key=lambda r: (r["doc_id"], r["k"]))
+    good, bad = ([bytes(p) for r in taught if r["q"] == q for p in r["pieces"]] for q in (1, 0))
+    model = _Model(_dictionary(good), _dictionary(bad))
+
+    def measure(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(list(model.features(b.column(3).to_pylist())), pa.list_(pa.float64()))], names=["q", "doc_id", "k", "x"])
+
+    measured = sorted(sample.where(learns == 1).mapInArrow(measure, "q int, doc_id long, k long, x array<double>").collect(), key=lambda r: (r["doc_id"], r["k"]))
+    y = np.array([r["q"] for r in measured], dtype=np.float64)
+    if not (good and bad and 0 < y.sum() < len(y)):
+        n = [sum(r["q"] == q for r in [*taught, *measured]) for q in (0, 1)]
         share = (n[1] + 1) / (sum(n) + 2)
         return _Model(b"", b"", np.r_[np.log(share / (1 - share)), np.zeros(9)])
-    model = _Model(_dictionary(halves[1][0]), _dictionary(halves[0][0]))
-    texts, y = halves[0][1] + halves[1][1], np.r_[np.zeros(len(halves[0][1])), np.ones(len(halves[1][1]))]
     # each class is sampled to its own bound, so the calibration is told how often they occur
     n0, n1 = counts[0], counts[1]
-    w = _logistic(model.features(texts), y)
+    w = _logistic(np.array([r["x"] for r in measured]), y)
     w[0] += np.log(n1 / n0) - np.log(max(1, y.sum()) / max(1, (1 - y).sum()))
     model.weights = w
     return model
 
 
+def kept(docs: DataFrame, model: _Model, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns whatever their names, whose chance of label 1 is ``least`` or more. Null texts count as empty."""
+    (name,) = common.free_names(docs.columns, 1)
+    out = scores(docs, model, docs.columns, name)
+    return out.where(F.col(name) >= least).drop(name)
+
+
 def scores(docs: DataFrame, model: _Model, keep: list[str], name: str = "score") -> DataFrame:
     """``keep`` columns of every row and ``name`` (double): the chance of label 1. Null texts count as empty."""
     # by place, so that any name will do
