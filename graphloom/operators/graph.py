@@ -2,21 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.model import Graph
 from graphloom.plans.language import QueryError
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut: written to the shared folder of spark.checkpoint.dir (one of our own where that is unset)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
-    return df.checkpoint()
+from graphloom.storage import cut
 
 
 def pairs_over(g: Graph, least: int = 0) -> DataFrame:

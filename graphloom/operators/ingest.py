@@ -121,7 +121,7 @@ def build(spark: SparkSession, sources: dict[str, DataFrame], regions: list[dict
     full = nodes
     for part in (cls, types, tags, stats, label_ops.grouped(log, nodes), degrees(edges)):
         full = full.join(part, "root_id", "left")
-    full = named(with_defaults(label_ops.clean(with_defaults(full), rules)))
+    full = named(with_defaults(label_ops.clean(with_defaults(full), rules, edge_types)))
     g = Graph(full, edges, label_log=log, shape_sim=shapes(sources["nblast"], nodes), regions=regions, edge_types=edge_types)
     coords = coordinates(sources["coordinates"])
     g.extra["coordinates"] = lambda: coords

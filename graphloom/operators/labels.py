@@ -3,56 +3,99 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import looks_like_id, web_safe
+from graphloom.storage import cut
 
 
 @dataclass(frozen=True)
 class Rules:
-    """What is removed; of the data, so a parameter."""
-
-    hidden: tuple[str, ...] = ()
+    """What is removed. The defaults are fixed values; other data may bring their own."""
+
+    #: texts that are cut out of labels (fixed values)
+    hidden: tuple[str, ...] = (
+        "; Part of comprehensive neck connective tracing, contact Connectomics Group Cambridge for more detailed information on descending/ascending neurons",
+        " (total brain fart (not part of the name of the neuron))",
+        " (complete brain fart trying to lend weight to someone else`s self-correction, ended up choosing the wrong label myself too xD)",
+        "Taisz ... Galili 2022 doi:10.1101/2022.05.13.491877",
+        "; https://doi.org/10.1101/2021.12.20.473513",
+    )
+    #: labels that say nothing, and how others of the kind start (fixed values)
     unwanted: tuple[str, ...] = ("correction - not optic lobe",)
     unwanted_starts: tuple[str, ...] = ("#wrong_prediction",)
+    #: what may stand before a part (fixed values)
     tentative: tuple[str, ...] = ("putative ", "putative-", "putative_")
-    corrections: tuple[str, ...] = ("Correction: ", "(correction) ")
-    correction_ends: tuple[str, ...] = (" (correction)", " (corrected)", ", wrongly annotated")
+    #: how a label starts, or ends, that corrects all older ones, in the order in which they are looked for (fixed values)
+    corrections: tuple[str, ...] = ("Correction: ", "(correction) ", "(correction after path swap correction); ", "Tm16 is wrong. this is: ", "L1 label is wrong")
+    correction_ends: tuple[str, ...] = (
+        " (correction)",
+        " (correction due to brain fart)",
+        " (correction due to brainfart)",
+        " (correction after discovery and correction of path swap error)",
+        " (Tm5c is not correct)",
+        " (corrected)",
+        " - L1 Label Incorrect",
+        " - L2 Label Incorrect",
+        " - R2 Label Incorrect (spelling error)",
+        "; L5 label is incorrect",
+        "; L1 label is wrong",
+        "; L1 - Lamina monopolar 3; L3 is incorrect and submitted by accident",
+        " (I just pasted a segment ID here and accidentally submitted. sorry)",
+        ", wrongly annotated",
+    )
+    #: sides within words, and at their ends or before a mark (fixed values)
+    sides: tuple[str, ...] = ("_left", "_right", "left_", "right_", "left", "right", "Left", "Right", "-RHS", "-LHS")
+    side_ends: tuple[str, ...] = ("_l", "_r", "-l", "-r")
+    side_marks: tuple[str, ...] = (";", ":", ",", "_", "-")
+    #: characters in which two labels may differ and still say the same (fixed values)
+    slight: str = "'`.,-_:; "
+    #: attributes that a label need not repeat (fixed values)
     own: tuple[str, ...] = ("nt_type", "flow", "super_class", "class", "sub_class", "hemilineage", "side", "nerve")
-    passes: int = field(default=2)
 
 
-def hide(label: Column, rules: Rules) -> Column:
+def _each(labels: Column, change) -> Column:
+    return F.transform(labels, change)
+
+
+def _filled(labels: Column) -> Column:
+    return F.filter(labels, lambda x: F.coalesce(x != "", F.lit(False)))
+
+
+def _tokens(label: Column, mark: str) -> Column:
+    return F.filter(F.transform(F.split(label, mark), lambda p: F.trim(p)), lambda p: p != "")
+
+
+def shortened(label: Column, rules: Rules) -> Column:
     for text in rules.hidden:
         label = F.replace(label, F.lit(text), F.lit(""))
-    return F.trim(web_safe(label))
+    return web_safe(label)
 
 
 def unwanted(label: Column, rules: Rules) -> Column:
-    bad = F.lower(label).isin(*[u.lower() for u in rules.unwanted]) | looks_like_id(label) | (label == "")
+    bad = F.lower(label).isin(*rules.unwanted) | looks_like_id(label)
     for s in rules.unwanted_starts:
         bad = bad | label.startswith(s)
     return bad
 
 
-def without_known_parts(label: Column, own: Column, rules: Rules) -> Column:
-    """Parts between ``;`` that repeat the node's own attributes, or have one character, go; tentative words before a part too."""
+def without_known_parts(labels: Column, own: Column, rules: Rules) -> Column:
+    """Parts between ``;`` that repeat the node's own attributes go, and tentative words at a part's start; labels of one character too."""
 
     def bare(p: Column) -> Column:
-        p = F.trim(p)
         for t in rules.tentative:
-            p = F.when(F.lower(p).startswith(t), F.trim(p.substr(F.lit(len(t) + 1), F.length(p)))).otherwise(p)
+            p = F.when(F.lower(p).startswith(t), p.substr(F.lit(len(t) + 1), F.length(p))).otherwise(p)
         return p
 
-    parts = F.transform(F.split(label, ";"), bare)
-    return F.array_join(F.filter(parts, lambda p: (F.length(p) > 1) & ~F.array_contains(own, F.lower(p))), "; ")
+    kept = lambda x: F.filter(F.split(x, ";"), lambda p: ~F.array_contains(own, F.trim(F.lower(p))))
+    return F.filter(_each(labels, lambda x: F.trim(F.array_join(_each(kept(x), bare), ";"))), lambda x: F.length(x) > 1)
 
 
 def without_corrected(labels: Column, rules: Rules) -> Column:
-    """The first prefix, else suffix, that a label has ends the list at it: the label stays without it, older ones go."""
+    """The first mark of correction that a label has ends the list at it: the label stays without the mark, older ones go."""
     out = labels
     for mark, at_start in reversed([(c, True) for c in rules.corrections] + [(c, False) for c in rules.correction_ends]):
         out = _ended_by(labels, mark, at_start, out)
@@ -66,64 +109,117 @@ def _ended_by(labels: Column, mark: str, at_start: bool, otherwise: Column) -> C
     return F.when(at > 0, F.concat(F.slice(labels, F.lit(1), at - 1), F.array(bare))).otherwise(otherwise)
 
 
-def without_side(label: Column) -> Column:
-    """Left and right off each word."""
-    return F.trim(F.regexp_replace(F.regexp_replace(label, r"(?i)[_ (-]*\b(left|right)\b\)?", ""), r"_[LR]\b", ""))
+def without_side(label: Column, rules: Rules) -> Column:
+    """Left and right off each word; words that are nothing else go."""
+
+    def bare(w: Column) -> Column:
+        for side in rules.sides:
+            w = F.replace(w, F.lit(side), F.lit(""))
+        for mark in rules.side_marks:
+            for end in rules.side_ends:
+                for e in (end, end.upper()):
+                    w = F.replace(w, F.lit(e + mark), F.lit(mark))
+                # one of them off the end
+                w = F.regexp_replace(w, rf"(?:{end}|{end.upper()})\z", "")
+        return w
+
+    words = _each(F.filter(F.split(label, r"(?U)\s+"), lambda w: w != ""), bare)
+    return F.array_join(F.filter(words, lambda w: (w != "") & ~w.isin(*rules.side_marks)), " ")
 
 
 def distinct_parts(label: Column) -> Column:
-    return F.array_join(F.array_distinct(F.transform(F.split(label, ";"), lambda p: F.trim(p))), "; ")
+    """Parts between ``;`` that come again go."""
+    tokens = _tokens(label, ";")
+    once = F.array_distinct(tokens)
+    return F.when(F.size(once) < F.size(tokens), F.array_join(once, "; ")).otherwise(label)
 
 
 def without_contained_parts(label: Column) -> Column:
-    """A part that the next part contains goes."""
-    parts = F.transform(F.split(label, ";"), lambda p: F.trim(p))
-    kept = F.filter(parts, lambda p, i: ~F.coalesce(F.lower(F.get(parts, i + 1)).contains(F.lower(p)), F.lit(False)))
-    return F.array_join(kept, "; ")
+    """A part that the next one holds goes: as its start before ``:``, as its last word, or as a word before ``,`` or ``;``. Parts between ``,``, else between ``;``."""
+
+    def of(mark: str, otherwise: Column) -> Column:
+        tokens = _tokens(label, mark)
+
+        def held(part: Column, i: Column) -> Column:
+            after = F.get(tokens, i + 1)
+            word = F.concat(F.lit(" "), part)
+            return F.coalesce(after.startswith(F.concat(part, F.lit(":"))) | after.endswith(word) | after.contains(F.concat(word, F.lit(","))) | after.contains(F.concat(word, F.lit(";"))), F.lit(False))
+
+        kept = F.filter(tokens, lambda p, i: ~held(p, i))
+        return F.when(F.size(kept) < F.size(tokens), F.array_join(kept, f"{mark} ")).otherwise(otherwise)
 
+    return of(",", of(";", label))
 
-def without_lookalikes(labels: Column) -> Column:
-    """A later label that differs from an earlier one in punctuation and spaces only goes."""
-    bare = lambda x: F.lower(F.regexp_replace(x, r"[^\p{L}\p{N}]", ""))
-    keys = F.transform(labels, bare)
-    return F.filter(labels, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+
+def without_lookalikes(labels: Column, rules: Rules) -> Column:
+    """A later label goes if it differs from an earlier one, place by place, in slight characters only."""
+    slight = lambda c: c.isNull() | c.isin(*rules.slight)
+    alike = lambda x, y: F.forall(F.zip_with(F.split(x, ""), F.split(y, ""), lambda c, d: c.eqNullSafe(d) | (slight(c) & slight(d))), lambda ok: ok)
+    return F.filter(labels, lambda x, i: ~F.exists(F.slice(labels, F.lit(1), i), lambda y: alike(x, y)))
 
 
 def without_prefixes(labels: Column) -> Column:
-    """A label that begins another, up to a character that is no letter or digit, goes."""
-    return F.filter(labels, lambda x: ~F.exists(labels, lambda y: (F.length(y) > F.length(x)) & y.startswith(x) & ~y.substr(F.length(x) + 1, F.lit(1)).rlike(r"[\p{L}\p{N}]")))
+    """A label that begins another goes, unless a letter from a to z, a digit or ``_`` follows in the other."""
+    begins = lambda x, y: (F.length(y) > F.length(x)) & y.startswith(x) & ~y.substr(F.length(x) + 1, F.lit(1)).rlike("[0-9A-Za-z_]")
+    return F.filter(labels, lambda x: ~F.exists(labels, lambda y: begins(x, y)))
 
 
 def spaced(label: Column) -> Column:
-    """One space behind ``;`` and ``,``, and none of ``; , :`` at the end."""
-    return F.trim(F.regexp_replace(F.trim(F.regexp_replace(label, r"\s*([;,])\s*", "$1 ")), r"[;,:]$", ""))
+    """One space behind each ``;`` and then each ``,``."""
+    for mark in (";", ","):
+        label = F.array_join(F.transform(F.split(label, mark), lambda p: F.trim(p)), f"{mark} ")
+    return label
+
+
+def without_end_mark(label: Column) -> Column:
+    """One of ``; , :`` off the end."""
+    return F.trim(F.regexp_replace(F.trim(label), r"[;,:]\z", ""))
 
 
 def _steps(own: Column, rules: Rules) -> list[Callable[[Column], Column]]:
-    steps: list[Callable[[Column], Column]] = [
-        lambda a: F.transform(a, lambda x: hide(x, rules)),
-        lambda a: F.filter(a, lambda x: ~unwanted(x, rules)),
+    return [
+        lambda a: _each(_filled(a), lambda x: shortened(x, rules)),
+        lambda a: _each(F.filter(a, lambda x: ~unwanted(x, rules)), lambda x: F.trim(x)),
+        lambda a: without_known_parts(a, own, rules),
         lambda a: without_corrected(a, rules),
-        lambda a: F.transform(a, without_side),
-        lambda a: F.transform(a, lambda x: without_known_parts(x, own, rules)),
-        lambda a: F.transform(a, distinct_parts),
-        lambda a: F.transform(a, without_contained_parts),
-        lambda a: F.transform(a, spaced),
-        lambda a: F.filter(a, lambda x: x != ""),
-        F.array_distinct,
-        without_lookalikes,
+        lambda a: _each(_filled(a), lambda x: without_side(x, rules)),
+        lambda a: _each(_filled(a), distinct_parts),
+        lambda a: _each(_filled(a), without_contained_parts),
+        lambda a: F.array_distinct(without_known_parts(a, own, rules)),
+        lambda a: without_lookalikes(a, rules),
         without_prefixes,
+        lambda a: F.array_distinct(_each(a, lambda x: without_end_mark(spaced(x)))),
     ]
-    return steps
 
 
-def clean(nodes: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """``nodes`` with cleaned labels, after ``passes`` rounds of the steps. A step is a projection of its own, so that none is computed twice."""
-    own = F.transform(F.array(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in rules.own]), lambda x: F.lower(x))
-    out = nodes.withColumn("__own", own).withColumn("label", F.coalesce("label", F.array().cast("array<string>")))
-    for step in _steps(F.col("__own"), rules) * rules.passes:
-        out = out.withColumn("label", step(F.col("label")))
-    return out.drop("__own")
+def clean(nodes: DataFrame, rules: Rules = Rules(), edge_types: dict[str, str] | None = None) -> DataFrame:
+    """``nodes`` with cleaned labels: the steps are repeated until no label of a node changes.
+
+    ``edge_types`` gives the long names that a label need not repeat. Rows that have settled are put aside, so a round works
+    on the others only; each round is written out. A step is a projection of its own, so that none is computed twice. Null
+    and empty labels go; a node without labels has an empty array.
+    """
+    columns, names = nodes.columns, dict(edge_types or {})
+    known = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in rules.own]
+    if names and "nt_type" in rules.own:
+        known.append(F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col("nt_type")), F.lit("")))
+    row = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in columns])
+    own = F.filter(F.transform(F.array(*known), lambda x: F.lower(x)), lambda x: x != "")
+    state = nodes.select(row.alias("row"), own.alias("own"), F.coalesce("label", F.array().cast("array<string>")).alias("label"))
+    done = []
+    while True:
+        stepped = state.withColumn("before", F.col("label"))
+        for step in _steps(F.col("own"), rules):
+            stepped = stepped.withColumn("label", step(F.col("label")))
+        stepped = cut(stepped.withColumn("same", F.col("label").eqNullSafe(F.col("before"))).drop("before"))
+        done.append(stepped.where("same"))
+        state = stepped.where("NOT same").select("row", "own", "label")
+        if state.isEmpty():
+            break
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionAll(d)
+    return out.select(*[F.col("label") if c == "label" else F.col("row").getField(c).alias(c) for c in columns])
 
 
 def grouped(log: DataFrame, nodes: DataFrame) -> DataFrame:

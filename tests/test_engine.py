@@ -120,9 +120,31 @@ def test_text_functions(spark):
 
 
 def test_label_cleaning(spark):
-    rows = [(1, ["Putative fish; a", "fish", "fish.", "left fish", "Correction: cat", "old"], "x")]
-    n = with_defaults(spark.createDataFrame(rows, "root_id bigint, label array<string>, class string"))
-    assert labels.clean(n).first()["label"] == ["fish", "cat"]
+    cases = [
+        (["Putative fish; ab", "fish", "fish.", "left fish", "Correction: cat", "old"], ["fish; ab", "cat"]),
+        (["Correction: " * 4 + "foo", "older"], ["foo"]),
+        (["a; cat"], ["a; cat"]),
+        (["neuron; big neuron", "x1; x1: y", "p, q p, r"], ["big neuron", "x1: y", "q p, r"]),
+        (["Fish", "fish", "T1-2", "T12", "ab-c", "ab.c", "abc d"], ["Fish", "fish", "T1-2", "T12", "ab-c", "abc d"]),
+        (["foo_left", "bar-LHS", "gr_l", "hu_R; ki", "ab_L_L_L_L", "right_ ; left"], ["foo", "bar", "gr", "hu; ki", "ab"]),
+        (["foo;;;;,,::"], ["foo"]),
+        (["foo bar", "foo", "foo_x", "fu", "fué"], ["foo bar", "foo_x", "fué"]),
+        (["X; y1", "Gamma ;cat", "gaba"], ["y1", "cat"]),
+        (["putative putative putative cat"], ["cat"]),
+        (["one", "two (corrected)", "Tm16 is wrong. this is: three", "four"], ["one", "two"]),
+        (["two; L1 label is wrong", "one"], ["two"]),
+        (["#wrong_prediction x", "720000000000000001", "Correction - not optic lobe", "", None, "k", "  kk  "], ["kk"]),
+        (["b, c,d;e", 'say "so"'], ["b, c, d; e", "say `so`"]),
+        ([], []),
+        (None, []),
+    ]
+    rows = [(i, x, "x", "GABA") for i, (x, _) in enumerate(cases)]
+    n = with_defaults(spark.createDataFrame(rows, "root_id bigint, label array<string>, class string, nt_type string"))
+    out = labels.clean(n, edge_types=TYPES)
+    assert out.columns == n.columns
+    assert {r["root_id"]: r["label"] for r in out.collect()} == {i: want for i, (_, want) in enumerate(cases)}
+    again = labels.clean(out, edge_types=TYPES)
+    assert {r["root_id"]: r["label"] for r in again.collect()} == {i: want for i, (_, want) in enumerate(cases)}
 
 
 def test_labels_are_whole_texts(spark, tmp_path):
