@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import pickle
 import struct
 import sys
 import uuid
@@ -38,7 +39,7 @@ DICTIONARY = 200_000  #: words encoded ahead of the documents, at most
 FOLD_BYTES = 512  #: of a word that is folded
 WORDS_AT_ONCE = 512  #: words of the dictionary that are folded beside one copy of the constant, about
 CHUNK_CHARS = 1 << 20  #: of documents whose words are folded beside one copy of the constant, about
-CACHE = 150_000  #: chunks of text whose ids a Python worker remembers
+CACHE = 60_000  #: chunks of text whose ids a Python worker remembers
 BUCKETS = 1 << 16  #: a map is searched entry by entry, so the pairs are dealt to this many small ones
 SPREAD = 8191
 NONE = 1 << 40  #: above any rank
@@ -67,19 +68,20 @@ def _constant(spark, ranks: dict[bytes, int]) -> DataFrame:
     return spark.createDataFrame([(0, pair_map(ranks), [ranks[bytes([i])] for i in range(256)])], "const int, pairs array<map<bigint,bigint>>, bytes array<bigint>")
 
 
-def fold_words(rows: DataFrame, words: str, constant: DataFrame) -> DataFrame:
-    """``rows`` with the array column ``words`` replaced by ``folded``: the ids of each of its words.
+def fold_words(rows: DataFrame, words: str, constant: DataFrame, nested: bool = False) -> DataFrame:
+    """``rows`` with the array column ``words`` of words, each an array of bytes (``nested``: arrays of words), replaced by ``folded``: their ids.
 
     A row brings many words, as the constant is beside it. It has the bytes of one vocabulary, so it is broadcast.
     """
     others = [c for c in rows.columns if c != words]
     both = rows.withColumn("const", F.lit(0)).join(F.broadcast(constant), "const")
-    return both.select(*others, F.transform(words, lambda w: fold_merges(w, F.col("pairs"), F.col("bytes"))).alias("folded"))
+    each = lambda some: F.transform(some, lambda w: fold_merges(w, F.col("pairs"), F.col("bytes")))
+    return both.select(*others, (F.transform(words, each) if nested else each(F.col(words))).alias("folded"))
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def bytes_of(word: Column) -> Column:
+    """A word's UTF-8 bytes as numbers."""
+    return F.transform(F.split(F.decode(F.encode(word, "utf-8"), "ISO-8859-1"), ""), lambda c: F.ascii(c).cast("smallint"))
 
 
 def fold_merges(word: Column, pairs: Column, byte_ids: Column) -> Column:
@@ -90,31 +92,27 @@ def fold_merges(word: Column, pairs: Column, byte_ids: Column) -> Column:
         at = ((left * F.lit(SPREAD) + right) % F.lit(BUCKETS)).cast("int")
         return F.coalesce(F.try_element_at(F.get(pairs, at), left * F.lit(1 << 32) + right), none)
 
-    # one character for each byte
-    chars = F.split(F.decode(F.encode(word, "utf-8"), "ISO-8859-1"), "")
-
-    def start(ids: Column) -> Column:
-        return F.struct(ids.alias("ids"), F.zip_with(ids, F.slice(ids, F.lit(2), F.size(ids)), lambda a, b: F.when(b.isNull(), none).otherwise(joined(a, b))).alias("low"))
-
-    def step(state: Column, _: Column) -> Column:
-        ids, low = state["ids"], state["low"]
-
-        def merged(best: Column) -> Column:
-            new, at = best["rank"], best["at"]
-            before = F.when(at > 1, F.array(joined(F.get(ids, at - 2), new))).otherwise(F.array().cast("array<bigint>"))
-            behind = F.get(ids, at + 1)
-            return F.struct(
-                F.concat(F.slice(ids, F.lit(1), at - 1), F.array(new), F.slice(ids, at + 2, F.size(ids))).alias("ids"),
-                F.concat(F.slice(low, F.lit(1), F.greatest(at - 2, F.lit(0))), before, F.array(F.when(behind.isNull(), none).otherwise(joined(new, behind))), F.slice(low, at + 2, F.size(low))).alias("low"),
-            )
-
-        best = lambda rank: F.struct(rank.alias("rank"), F.array_position(low, rank).cast("int").alias("at"))
-        return _let(F.array_min(low), lambda rank: F.when(rank >= none, state).otherwise(_let(best(rank), merged)))
-
-    def run(ids: Column) -> Column:
-        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(ids) - 1, F.lit(1))), start(ids), step, lambda s: F.transform(s["ids"], lambda i: i.cast("int")))
-
-    return _let(F.transform(chars, lambda c: F.get(byte_ids, F.ascii(c))), run)
+    ids = F.transform(word, lambda b: F.get(byte_ids, b))
+    pairs_of = F.zip_with(ids, F.slice(ids, F.lit(2), F.size(word)), lambda a, b: joined(a, b))
+    state = lambda ids, low, new, at: F.struct(ids.alias("ids"), low.alias("low"), new.cast("bigint").alias("new"), at.cast("int").alias("at"))
+    start = state(ids, pairs_of, none, F.lit(0))
+
+    def step(s: Column, _: Column) -> Column:
+        # each merge takes two steps, since an expression that stands at several places is computed at each:
+        # one finds the lowest pair and its place (at -1 there is none any more), one joins it
+        ids, low, new, at = (s[c] for c in ("ids", "low", "new", "at"))
+        least = F.array_min(low)
+        found = state(ids, low, least, F.when(least < none, F.array_position(low, least)).otherwise(F.lit(-1)))
+        before = F.when(at > 1, F.array(joined(F.get(ids, at - 2), new))).otherwise(F.array().cast("array<bigint>"))
+        merged = state(
+            F.concat(F.slice(ids, F.lit(1), at - 1), F.array(new), F.slice(ids, at + 2, F.size(ids))),
+            F.concat(F.slice(low, F.lit(1), F.greatest(at - 2, F.lit(0))), before, F.array(joined(new, F.get(ids, at + 1))), F.slice(low, at + 2, F.size(low))),
+            none, F.lit(0),
+        )
+        return F.when(at < 0, s).when(at == 0, found).otherwise(merged)
+
+    steps = F.sequence(F.lit(1), 2 * F.greatest(F.size(word), F.lit(1)) - 1)
+    return F.aggregate(steps, start, step, lambda s: F.transform(s["ids"], lambda i: i.cast("int")))
 
 
 def word_uses(docs: DataFrame, pattern: str) -> DataFrame:
@@ -193,10 +191,10 @@ class _Words(ChunkedEncoder):
             return array("I", merge(b, self.ranks)).tobytes()
         return MARK + struct.pack("<I", self.fresh_words.setdefault(word, len(self.fresh_words)))
 
-    def marked(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
-        """The ids of some texts with marks, and the words that these stand for."""
+    def marked(self, text: str) -> tuple[bytes, list[str]]:
+        """The ids of a text with marks, and the words that these stand for."""
         self.fresh_words = {}
-        return [self.encode(t) for t in texts], list(self.fresh_words)
+        return self.encode(text), list(self.fresh_words)
 
 
 def _filled(marked: bytes, folded: list[np.ndarray]) -> bytes:
@@ -225,12 +223,13 @@ def _shared_dictionary(docs: DataFrame, constant: DataFrame, pattern: str, n: in
     """word -> ids as little-endian uint32, for the words used most in ``docs``."""
     spark = docs.sparkSession
     words = frequent_words(docs, pattern, n).select("word", F.pmod(F.xxhash64("word"), F.lit(max(1, n // WORDS_AT_ONCE))).alias("part"))
-    folded = fold_words(words.groupBy("part").agg(F.collect_list("word").alias("words")).withColumn("w", F.col("words")), "words", constant).select("w", "folded").toArrow()
+    folded = fold_words(words.groupBy("part").agg(F.collect_list("word").alias("w")).withColumn("words", F.transform("w", bytes_of)), "words", constant).select("w", "folded").toArrow()
     made = {}
     for batch in folded.to_batches():
         for ws, ids in zip(batch.column(0).to_pylist(), _lists(batch.column(1))):
             made.update((w, i.astype("<u4").tobytes()) for w, i in zip(ws, ids))
-    return spark.sparkContext.broadcast(made), uuid.uuid4().hex
+    # as bytes, so that a worker keeps no second copy
+    return spark.sparkContext.broadcast(pickle.dumps(made)), uuid.uuid4().hex
 
 
 def _joined(ids: bytes, pieces: dict[int, bytes]) -> bytes:
@@ -248,31 +247,38 @@ def _lists(column: pa.Array) -> list[list[np.ndarray]]:
     return out
 
 
-def _lists_of(columns: list[pa.Array], at: int, n: int) -> list[pa.Array]:
-    """Rows ``at`` to ``at + n`` of each column as one row that holds a list."""
-    ends = pa.array([0, n], pa.int32())
-    return [pa.ListArray.from_arrays(ends, c.slice(at, n)) for c in columns]
+def _row(names: list[str], arrays: list[pa.Array]) -> pa.RecordBatch:
+    """One row that holds each of ``arrays`` as a list."""
+    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a) for a in arrays], names=names)
+
+
+def _byte_lists(words: list[list[str]]) -> pa.Array:
+    """For each document the bytes of each of its words, as numbers."""
+    encoded = [w.encode("utf-8") for some in words for w in some]
+    ends = lambda sizes: pa.array(np.cumsum([0, *sizes]), pa.int32())
+    each = pa.ListArray.from_arrays(ends(map(len, encoded)), pa.array(np.frombuffer(b"".join(encoded), np.uint8).astype(np.int16)))
+    return pa.ListArray.from_arrays(ends(map(len, words)), each)
 
 
 def _folded(docs: DataFrame, keep: list[str], ranks_path: str, pattern: str, dictionary: int) -> DataFrame:
-    """A row for some documents, with arrays: ``keep`` columns by place (c0, c1, ...), marked: ids with marks; and folded: ids of their marked words."""
+    """For each document: ``keep`` columns by place (c0, c1, ...), marked: its ids with marks, folded: the ids of its marked words."""
     spark = docs.sparkSession
     constant = _constant(spark, load_ranks(ranks_path))
     held, made = _shared_dictionary(docs, constant, pattern, dictionary)
     rows = docs.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(keep)], F.col("text").alias("t"))
-    schema = ", ".join([*[f"{f.name} array<{f.dataType.simpleString()}>" for f in rows.schema.fields[:-1]], "marked array<binary>, fresh array<string>"])
     names = [*rows.columns[:-1], "marked", "fresh"]
+    schema = ", ".join([*[f"{f.name} array<{f.dataType.simpleString()}>" for f in rows.schema.fields[:-1]], "marked array<binary>, fresh array<array<array<smallint>>>"])
 
     def cut(batches):
-        w = _held("words", (ranks_path, made), lambda: _Words(load_ranks(ranks_path), pattern, held.value))
+        w = _held("words", (ranks_path, made), lambda: _Words(load_ranks(ranks_path), pattern, pickle.loads(held.value)))
         for b in batches:
-            texts = [t or "" for t in b.column(b.num_columns - 1).to_pylist()]
-            for at, part in common.chunks(texts, CHUNK_CHARS):
-                marked, fresh = w.marked(part)
-                one = _lists_of([*[c for c in b.columns[:-1]], pa.array([None] * at + marked, pa.binary())], at, len(part))
-                yield pa.RecordBatch.from_arrays([*one, pa.array([fresh], pa.list_(pa.string()))], names=names)
+            for at, part in common.chunks([t or "" for t in b.column(b.num_columns - 1).to_pylist()], CHUNK_CHARS):
+                done = [w.marked(t) for t in part]
+                yield _row(names, [*[c.slice(at, len(part)) for c in b.columns[:-1]], pa.array([m for m, _ in done], pa.binary()), _byte_lists([f for _, f in done])])
 
-    return fold_words(rows.mapInArrow(cut, schema), "fresh", constant)
+    # a row has the documents of a chunk, as the constant is beside it; then they part
+    folded = fold_words(rows.mapInArrow(cut, schema), "fresh", constant, nested=True)
+    return folded.select(F.inline(F.arrays_zip(*[F.col(c) for c in [*names[:-1], "folded"]])))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str] | None = None, dictionary: int = DICTIONARY) -> DataFrame:
@@ -283,12 +289,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str] | Non
     """
     keep = keep or ["doc_id"]
     rows = _folded(docs, keep, ranks_path, pattern, dictionary)
-    schema = ", ".join([*[f"{f.name} {f.dataType.elementType.simpleString()}" for f in rows.schema.fields[:-2]], "ids binary"])
+    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-2]], "ids binary"])
 
     def fill(batches):
         for b in batches:
-            ids = [_filled(m, f) for some, f in zip(b.column(b.num_columns - 2).to_pylist(), _lists(b.column(b.num_columns - 1))) for m in some]
-            yield pa.RecordBatch.from_arrays([*[c.flatten() for c in b.columns[:-2]], pa.array(ids, pa.binary())], names=[*b.schema.names[:-2], "ids"])
+            ids = [_filled(m, f) for m, f in zip(b.column(b.num_columns - 2).to_pylist(), _lists(b.column(b.num_columns - 1)))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(ids, pa.binary())], names=[*b.schema.names[:-2], "ids"])
 
     return rows.mapInArrow(fill, schema).toDF(*keep, "ids")
 
@@ -321,10 +327,10 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, dictionary: int =
         pieces = _held("pieces", ranks_path, lambda: {i: p for p, i in load_ranks(ranks_path).items()})
         for b in batches:
             n, sha, back = [], [], []
-            for ids in (_filled(m, f) for some, f in zip(b.column(1).to_pylist(), _lists(b.column(2))) for m in some):
+            for ids in map(_filled, b.column(1).to_pylist(), _lists(b.column(2))):
                 n.append(len(ids) // 4)
                 sha.append(hashlib.sha256(ids).hexdigest())
                 back.append(hashlib.sha256(_joined(ids, pieces)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0).flatten(), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

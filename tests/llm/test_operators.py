@@ -268,7 +268,7 @@ def test_encoders_agree_with_the_libraries():
     words = bpe._Words(ranks, P.PATTERN, {})
 
     def ids(t):
-        (marked,), fresh = words.marked([t])
+        marked, fresh = words.marked(t)
         return np.frombuffer(bpe._filled(marked, [np.array(bpe.merge(w.encode(), ranks)) for w in fresh]), "<u4").tolist()
 
     rng = random.Random(5)
@@ -325,7 +325,8 @@ def test_fold_in_expressions(spark):
     other = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     words = [" zzzqx", " ünïcode", "日本語の", "!?!?!", " thereforewith", "\n \t", "é", "x" * 300, "日é!" * 40, "abcab" * 30, "\x00\x01"]
     words = [w for w in words if w.encode() not in ranks]
-    got = bpe.fold_words(spark.createDataFrame([(1, words), (2, []), (3, None)], "k int, words array<string>"), "words", bpe._constant(spark, ranks))
+    rows = spark.createDataFrame([(1, words), (2, []), (3, None)], "k int, words array<string>").withColumn("words", F.transform("words", bpe.bytes_of))
+    got = bpe.fold_words(rows, "words", bpe._constant(spark, ranks))
     got = {r["k"]: r["folded"] for r in got.collect()}
     assert got[1] == [other._encode_single_piece(w.encode()) for w in words] and got[2] == [] and got[3] is None
 
