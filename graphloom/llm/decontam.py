@@ -142,9 +142,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFra
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no window of the benchmark."""
+    """The rows of ``docs``, all columns whatever their names, that hold no window of the benchmark.
+
+    Null and empty texts hold none. Rows that repeat stay or go together; so do rows without an id that have the same text.
+    """
     windows, _ = item_windows(benchmark.select("item_id", "text"), n)
     index = PositionalIndex(docs.select("doc_id", "text"), windows.select(F.explode("terms").alias("term")).distinct())
-    hit = common.written(index.phrases(windows).select(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).distinct(), "contaminated")
-    on = common.same(F.col("doc_id"), F.col("__d")) & (common.text_key(F.col("text")) == F.col("__h"))
+    d, h = common.free_names(docs.columns, 2)
+    hit = common.written(index.phrases(windows).select(F.col("doc_id").alias(d), F.col("h").alias(h)).distinct(), "contaminated")
+    on = common.same(F.col("doc_id"), F.col(d)) & (common.text_key(F.col("text")) == F.col(h))
     return docs.join(small(hit, hit.count()), on, "left_anti")
