@@ -1,17 +1,16 @@
 """Byte-level BPE by ranks: encoding and decoding.
 
-Every word (pre-token) is encoded by Spark higher-order functions: a fold over the ids of its bytes that joins the lowest-ranked
-neighbours again and again, with the ranks as a literal map of pairs of ids. It costs a word some tens of microseconds, so
-equal words are folded together:
-
-* the distinct words of the whole corpus are counted, and those used most, ``DICTIONARY`` at most, are folded once and sent
-  to every executor;
-* documents are then cut into words; the distinct other words of a document travel beside it as a column, which the same
-  fold turns into ids in the same task. Beyond the dictionary nearly every word is rare, so that sending each of them to one
-  place and its ids back would cost more than it saves.
-
-A word that is a piece of the vocabulary is that piece. Only words of more than ``FOLD_BYTES`` bytes are merged with a heap
-in Python, as the fold's work grows with the square of a word's length. Decoding concatenates the pieces of ids.
+Words (pre-tokens) are encoded by Spark higher-order functions: a fold over the ids of a word's bytes that joins the
+lowest-ranked neighbours again and again, with the ranks as a literal map of pairs of ids. It costs a word some tens of
+microseconds, so equal words are folded together: the distinct words of the whole corpus are counted, and those used most,
+``DICTIONARY`` at most, are folded once and sent to every executor. They are most of all words in use.
+
+Documents are then cut into words. A word that is a piece of the vocabulary is that piece, and one of the dictionary is
+looked up. The others are nearly all rare, so that sending each of them to one place and its ids back would cost more
+than it saves; they get their ids where they stand, by the same merges in Python, or, with ``everywhere``, by the same fold:
+then the other words of a document travel beside it as a column, which the fold turns into ids in the same task. Both
+give the same ids; ``everywhere`` costs about twice the CPU time. Words of more than ``FOLD_BYTES`` bytes are always merged
+with a heap in Python, as the fold's work grows with the square of a word's length. Decoding concatenates the pieces.
 """
 
 from __future__ import annotations
@@ -39,7 +38,7 @@ DICTIONARY = 200_000  #: words encoded ahead of the documents, at most
 FOLD_BYTES = 512  #: of a word that is folded
 WORDS_AT_ONCE = 512  #: words of the dictionary that are folded beside one copy of the constant, about
 CHUNK_CHARS = 1 << 20  #: of documents whose words are folded beside one copy of the constant, about
-CACHE = 60_000  #: chunks of text whose ids a Python worker remembers
+CACHE = 150_000  #: chunks of text whose ids a Python worker remembers
 BUCKETS = 1 << 16  #: a map is searched entry by entry, so the pairs are dealt to this many small ones
 SPREAD = 8191
 NONE = 1 << 40  #: above any rank
@@ -171,9 +170,9 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class _Words(ChunkedEncoder):
-    """Ids as little-endian uint32 of the words that are known here; others are marked, and named in ``fresh``."""
+    """Ids as little-endian uint32 of words. With ``mark``, words that are not known here are marked and collected instead of merged."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, dictionary: dict[str, bytes]):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, dictionary: dict[str, bytes], mark: bool = False):
         ready, cut = dict(dictionary), cutter(pattern).findall
         for piece, rank in ranks.items():
             try:
@@ -182,12 +181,12 @@ class _Words(ChunkedEncoder):
                 continue  # part of a character: no word
             if cut(word) == [word]:
                 ready[word] = struct.pack("<I", rank)
-        super().__init__(pattern, self._later, ready, CACHE, MARK)
+        super().__init__(pattern, self._fresh, ready, CACHE, MARK if mark else None)
         self.ranks, self.fresh_words = ranks, {}
 
-    def _later(self, word: str) -> bytes:
+    def _fresh(self, word: str) -> bytes:
         b = word.encode("utf-8")
-        if len(b) > FOLD_BYTES:
+        if self.mark is None or len(b) > FOLD_BYTES:
             return array("I", merge(b, self.ranks)).tobytes()
         return MARK + struct.pack("<I", self.fresh_words.setdefault(word, len(self.fresh_words)))
 
@@ -260,43 +259,55 @@ def _byte_lists(words: list[list[str]]) -> pa.Array:
     return pa.ListArray.from_arrays(ends(map(len, words)), each)
 
 
-def _folded(docs: DataFrame, keep: list[str], ranks_path: str, pattern: str, dictionary: int) -> DataFrame:
-    """For each document: ``keep`` columns by place (c0, c1, ...), marked: its ids with marks, folded: the ids of its marked words."""
+def _encoded(docs: DataFrame, keep: list[str], ranks_path: str, pattern: str, dictionary: int, everywhere: bool, finish, schema: str) -> DataFrame:
+    """``finish(columns, ids)`` -> arrays by ``schema``, of the ``keep`` columns and the ids of each document's text."""
     spark = docs.sparkSession
     constant = _constant(spark, load_ranks(ranks_path))
     held, made = _shared_dictionary(docs, constant, pattern, dictionary)
     rows = docs.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(keep)], F.col("text").alias("t"))
-    names = [*rows.columns[:-1], "marked", "fresh"]
-    schema = ", ".join([*[f"{f.name} array<{f.dataType.simpleString()}>" for f in rows.schema.fields[:-1]], "marked array<binary>, fresh array<array<array<smallint>>>"])
+    own = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
+    schema = schema.replace("*", ", ".join(own))
+    columns = rows.columns[:-1]
+    out = [x.split()[0] for x in schema.split(", ")]
+    words = lambda: _held("words", (ranks_path, made, everywhere), lambda: _Words(load_ranks(ranks_path), pattern, pickle.loads(held.value), everywhere))
+
+    def merged(batches):
+        w = words()
+        for b in batches:
+            ids = [w.encode(t or "") for t in b.column(b.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(finish(b.columns[:-1], ids), names=out)
+
+    if not everywhere:
+        return rows.mapInArrow(merged, schema)
+    names = [*columns, "marked", "fresh"]
 
     def cut(batches):
-        w = _held("words", (ranks_path, made), lambda: _Words(load_ranks(ranks_path), pattern, pickle.loads(held.value)))
+        w = words()
         for b in batches:
             for at, part in common.chunks([t or "" for t in b.column(b.num_columns - 1).to_pylist()], CHUNK_CHARS):
                 done = [w.marked(t) for t in part]
                 yield _row(names, [*[c.slice(at, len(part)) for c in b.columns[:-1]], pa.array([m for m, _ in done], pa.binary()), _byte_lists([f for _, f in done])])
 
+    def fill(batches):
+        for b in batches:
+            ids = list(map(_filled, b.column(b.num_columns - 2).to_pylist(), _lists(b.column(b.num_columns - 1))))
+            yield pa.RecordBatch.from_arrays(finish(b.columns[:-2], ids), names=out)
+
     # a row has the documents of a chunk, as the constant is beside it; then they part
-    folded = fold_words(rows.mapInArrow(cut, schema), "fresh", constant, nested=True)
-    return folded.select(F.inline(F.arrays_zip(*[F.col(c) for c in [*names[:-1], "folded"]])))
+    lists = ", ".join([*[f"{f.name} array<{f.dataType.simpleString()}>" for f in rows.schema.fields[:-1]], "marked array<binary>, fresh array<array<array<smallint>>>"])
+    folded = fold_words(rows.mapInArrow(cut, lists), "fresh", constant, nested=True)
+    return folded.select(F.inline(F.arrays_zip(*[F.col(c) for c in [*names[:-1], "folded"]]))).mapInArrow(fill, schema)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str] | None = None, dictionary: int = DICTIONARY) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str] | None = None, dictionary: int = DICTIONARY, everywhere: bool = False) -> DataFrame:
     """``keep`` columns (doc_id) of every row, and ``ids``: little-endian uint32 ids of its whole text (null: of an empty one).
 
     ``ranks_path`` is a file that every executor has. Rows may repeat, ids be null, and texts be of any length; no row gives
     no row. Other columns are ignored.
     """
     keep = keep or ["doc_id"]
-    rows = _folded(docs, keep, ranks_path, pattern, dictionary)
-    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-2]], "ids binary"])
-
-    def fill(batches):
-        for b in batches:
-            ids = [_filled(m, f) for m, f in zip(b.column(b.num_columns - 2).to_pylist(), _lists(b.column(b.num_columns - 1)))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(ids, pa.binary())], names=[*b.schema.names[:-2], "ids"])
-
-    return rows.mapInArrow(fill, schema).toDF(*keep, "ids")
+    finish = lambda columns, ids: [*columns, pa.array(ids, pa.binary())]
+    return _encoded(docs, keep, ranks_path, pattern, dictionary, everywhere, finish, "*, ids binary").toDF(*keep, "ids")
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
@@ -314,23 +325,20 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     return rows.mapInArrow(run, schema).toDF(*names, "decoded")
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str, dictionary: int = DICTIONARY) -> DataFrame:
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, dictionary: int = DICTIONARY, everywhere: bool = False) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256 and decoded_sha256.
 
     The same steps as :func:`encode` and :func:`decode`, text by text, so that ids and bytes need not leave the task. A null
     text is an empty one, which has no token; rows may repeat, ids be null, and texts and words be of any length. Every row
     gives one row. Other columns are ignored, whatever their names.
     """
-    rows = _folded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"], ranks_path, pattern, dictionary)
 
-    def run(batches):
+    def digests(columns, ids):
         pieces = _held("pieces", ranks_path, lambda: {i: p for p, i in load_ranks(ranks_path).items()})
-        for b in batches:
-            n, sha, back = [], [], []
-            for ids in map(_filled, b.column(1).to_pylist(), _lists(b.column(2))):
-                n.append(len(ids) // 4)
-                sha.append(hashlib.sha256(ids).hexdigest())
-                back.append(hashlib.sha256(_joined(ids, pieces)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        sha = pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string())
+        back = pa.array([hashlib.sha256(_joined(x, pieces)).hexdigest() for x in ids], pa.string())
+        return [*columns, pa.array([len(x) // 4 for x in ids], pa.int64()), sha, back]
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    return _encoded(rows, ["doc_id"], ranks_path, pattern, dictionary, everywhere, digests, "*, n_tokens long, ids_sha256 string, decoded_sha256 string").toDF(*names)
