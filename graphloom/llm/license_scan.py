@@ -45,6 +45,8 @@ TEMPLATES: dict[str, list[str]] = {
 OTHER = ["My driving licence was released last week.", "The general public is free to visit the foundation.", "A copy of the version was modified by the author.", "Please read the terms before you use the software.", "The apache helicopter landed near the institute.", "This work was published by a university.", "Version 3 of the program adds new source files.", "Creative work is common in the international school."]
 
 NOISE = ["see", "here", "project", "file", "code", "2019", "2024", "by", "authors", "the", "and"]
+#: Words of which a paragraph with any may be a notice itself, so it doesn't teach what is ordinary.
+GRANTS = ["license", "licence", "licensed", "licenses", "licences", "licensing", "sublicense", "copyright", "gpl", "lgpl", "agpl", "bsd", "mit", "mpl", "isc", "cc", "cc0", "creative", "permission", "reserved"]
 BACKGROUND = 2000  #: paragraphs of the corpus that the classifier learns as ordinary, at most
 COPIES = 12  #: altered copies of each notice
 SHARE = 0.5  #: of a paragraph's or a template's word pairs that must agree
@@ -98,7 +100,7 @@ def _training(spark: SparkSession, paragraphs: DataFrame, telling: list[str]) ->
     notices = base.select("label", (F.col("copy") % 4 == 3).alias("held"), altered.alias("w"))
     # ordinary paragraphs that share words with notices teach most, so the sample prefers them
     sample = paragraphs.select(F.xxhash64("paragraph").alias("o"), words(F.col("paragraph")).alias("w")).where(F.size("w").between(3, 60)).withColumn("n", F.size(F.array_intersect("w", F.array(*map(F.lit, telling)))))
-    ordinary = sample.where("n BETWEEN 1 AND 2").orderBy("o").limit(BACKGROUND)
+    ordinary = sample.where((F.col("n") > 0) & ~F.arrays_overlap("w", F.array(*map(F.lit, GRANTS)))).orderBy("o").limit(BACKGROUND)
     return notices.unionByName(ordinary.select(F.lit(UNKNOWN).alias("label"), (F.pmod("o", F.lit(4)) == 3).alias("held"), "w"))
 
 
@@ -153,7 +155,9 @@ def telling_paragraphs(docs: DataFrame, telling: list[str]) -> DataFrame:
 def scan(docs: DataFrame, classifier: Classifier | None = None) -> DataFrame:
     """Paragraphs with a confirmed licence: doc_id, at, paragraph, family, chance.
 
-    Null and empty texts have no licence. Repeated rows give one result for each distinct (doc_id, text).
+    A paragraph is a line, of any length. Null and empty texts have no licence. Repeated rows give one result for each distinct
+    (doc_id, text). A paragraph has one family: that of the highest chance, and of equal ones the first by name. Any of the
+    family's templates confirms it, so equal ones make no difference.
     """
     spark = docs.sparkSession
     key = ["doc_id", "h", "at"]
