@@ -50,6 +50,7 @@ ATTRIBUTES = (
     Attribute("nerve", "string", title="Nerve"),
     Attribute("side", "string", title="Side"),
     Attribute("nt_type", "string", ("nt",), "edge_type", "Edge type"),
+    *(Attribute(n, "double", title=t) for n, t in (("nt_type_score", "Edge type score"), ("ach_avg", "ACH score"), ("gaba_avg", "GABA score"), ("glut_avg", "GLUT score"), ("ser_avg", "SER score"), ("oct_avg", "OCT score"), ("da_avg", "DA score"))),
     Attribute("input_neuropils", "array", ("input_regions",), "region", "Input regions"),
     Attribute("output_neuropils", "array", ("output_regions",), "region", "Output regions"),
     Attribute("input_cells", "long", ("in_degree",), title="Input partners"),

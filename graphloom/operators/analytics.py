@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import shown
 from graphloom.model import BY_NAME, Graph
+from graphloom.storage import numbered
 
 CATEGORY_ATTRIBUTES = ("super_class", "class", "sub_class", "side", "nt_type", "group", "label", "input_neuropils", "output_neuropils", "cell_type", "flow", "hemilineage")
 ALL = "All"
@@ -106,10 +107,11 @@ def group_sizes(g: Graph, name: str) -> DataFrame:
 def density(g: Graph, name: str, count: str = "pairs") -> DataFrame:
     """The cube with its densities and places: per possible ordered pair for ``pairs``, per connected pair for others, and percent of the total."""
     counts, sizes = group_cube(g, name, count), group_sizes(g, name)
-    place = F.row_number().over(Window.orderBy(F.when(F.col("grp") == ALL, 1).otherwise(0).desc(), F.desc("n"), "grp")) - 1
-    sizes = sizes.withColumn("place", place)
+    order = (F.when(F.col("grp") == ALL, 1).otherwise(0).desc(), F.desc("n"), F.asc("grp"))
+    sizes = numbered(sizes, order, "place").withColumn("place", F.col("place") - 1)
     a, b = sizes.select(F.col("grp").alias("from_group"), F.col("n").alias("fn"), F.col("place").alias("from_place")), sizes.select(F.col("grp").alias("to_group"), F.col("n").alias("tn"), F.col("place").alias("to_place"))
-    rows = counts.join(F.broadcast(a), "from_group").join(F.broadcast(b), "to_group")
+    # Spark broadcasts the sizes itself where they are small enough; a grouping by labels may have many groups
+    rows = counts.join(a, "from_group").join(b, "to_group")
     if count == "pairs":
         norm = F.when(F.col("from_group") == F.col("to_group"), F.col("fn") * (F.col("fn") - 1)).otherwise(F.col("fn") * F.col("tn"))
     else:

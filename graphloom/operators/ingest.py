@@ -12,6 +12,7 @@ from graphloom.model import Graph, degrees, with_defaults
 from graphloom.operators import labels as label_ops
 
 SHAPE_LEAST = 4
+SCORES = ("nt_type_score", "ach_avg", "gaba_avg", "glut_avg", "ser_avg", "oct_avg", "da_avg")
 
 
 class IngestError(ValueError):
@@ -45,7 +46,8 @@ def orphans(df: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def base_nodes(neurons: DataFrame) -> DataFrame:
-    return _unique(_keyed(neurons).select("root_id", decoded(F.col("group"), "string").alias("group"), F.upper(decoded(F.col("nt_type"), "string")).alias("nt_type")), "root_id")
+    scores = [decoded(F.col(c), "double").alias(c) for c in SCORES]
+    return _unique(_keyed(neurons).select("root_id", decoded(F.col("group"), "string").alias("group"), F.upper(decoded(F.col("nt_type"), "string")).alias("nt_type"), *scores), "root_id")
 
 
 def coordinates(rows: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import looks_like_id, web_safe
@@ -233,3 +233,11 @@ def orphans(log: DataFrame, nodes: DataFrame, top: int = 10) -> DataFrame:
     """The most frequent labels of unknown nodes."""
     lost = log.join(nodes.select("root_id").distinct(), "root_id", "left_anti")
     return lost.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(top)
+
+
+def log_of(log: DataFrame, x: int) -> DataFrame:
+    """The labelling log of one node, newest first (by date, then label_id): place from 1, label, user_name, user_affiliation, date_created."""
+    rows = log.where(F.col("root_id") == x)
+    # the rows of one node
+    place = F.row_number().over(Window.partitionBy("root_id").orderBy(F.desc("date_created"), F.desc("label_id")))
+    return rows.select(place.alias("place"), "label_id", "label", "user_name", "user_affiliation", "date_created")

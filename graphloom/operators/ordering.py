@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.model import Graph
 from graphloom.operators import graph as graph_ops
 from graphloom.operators import similarity
 from graphloom.plans.language import BY_OPERATOR, QueryError, parse
+from graphloom.storage import numbered
 
 _REGIONS = lambda: F.size("input_neuropils") + F.size("output_neuropils")
 _PARTNERS = lambda: F.col("input_cells") + F.col("output_cells")
@@ -99,12 +100,7 @@ def ranked(g: Graph, ids: DataFrame, key: str) -> DataFrame:
     """root_id, sort_value and its place as ``rank`` (from 1): a range-partitioned sort and the sizes of its partitions, without one task for all."""
     keyed, descending = sort_key(g, ids, key)
     first = F.desc_nulls_last("sort_value") if descending else F.asc_nulls_last("sort_value")
-    n = max(1, int(g.spark.conf.get("spark.sql.shuffle.partitions")))
-    parts = graph_ops.cut(keyed.repartitionByRange(n, first, "root_id").sortWithinPartitions(first, "root_id").withColumn("part", F.spark_partition_id()))
-    sizes = parts.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
-    within = F.row_number().over(Window.partitionBy("part").orderBy(first, "root_id"))
-    return parts.withColumn("within", within).join(F.broadcast(before), "part").select("root_id", "sort_value", (F.col("before") + F.col("within")).alias("rank"))
+    return numbered(keyed, (first, F.asc("root_id")), "rank").select("root_id", "sort_value", "rank")
 
 
 def page_bounds(total: int, page: int = 1, size: int = 20) -> dict:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.model import Graph
+from graphloom.storage import numbered
 
 SELF_SCORE = 10
 
@@ -81,4 +82,4 @@ def similar_to_any(g: Graph, ids: list[int], **how) -> DataFrame:
 
 
 def ranked(scores: DataFrame, column: str = "score") -> DataFrame:
-    return scores.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(column), "root_id")))
+    return numbered(scores, (F.desc(column), F.asc("root_id")), "rank")

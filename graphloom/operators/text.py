@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import tokens, tokens_text
+from graphloom.functions.text import long_tokens_trimmed, tokens, tokens_text
 from graphloom.model import ATTRIBUTES, Graph
 
+#: Words that are never suggested (fixed values).
+STOP_WORDS = (
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves "
+    "what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while "
+    "of at by for with about against between into through during before after above below to from up down in out on off over under again further then once here there "
+    "when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now"
+).split()
+#: Characters that part words to be highlighted (fixed values).
+HIGHLIGHT_DELIMITERS = '=-.,?!;:/()[]"&*'
 #: Attributes whose whole values can be searched for.
 VALUE_ATTRIBUTES = ("root_id", "name", "group", "cell_type", "marker", "connectivity_tag", "flow", "super_class", "class", "sub_class", "hemilineage", "nerve", "side", "nt_type")
 
@@ -69,7 +77,7 @@ def closest_token(g: Graph, term: str, case_sensitive: bool = False, within: Dat
     if within is not None:
         t = t.join(within.select("root_id").distinct(), "root_id", "left_semi")
     word = F.col("token") if case_sensitive else F.col("token_lc")
-    words = t.select(word.alias("token")).distinct().where(~F.lower("token").isin(*StopWordsRemover.loadDefaultStopWords("english")))
+    words = t.select(word.alias("token")).distinct().where(~F.lower("token").isin(*STOP_WORDS))
     return words.withColumn("distance", F.levenshtein("token", F.lit(term if case_sensitive else term.lower()))).orderBy("distance", "token").limit(1)
 
 
@@ -88,3 +96,40 @@ def highlights(labels: DataFrame, words: list[str]) -> DataFrame:
     folded = [w.lower() for w in words]
     kind = lambda t: F.when(F.lower(t).isin(*folded), "exact").when(reduce(lambda a, b: a | b, [F.lower(t).contains(w) for w in folded]), "part").otherwise("none")
     return labels.select("root_id", "label", F.transform(tokens(F.col("label")), lambda t: F.struct(t.alias("token"), kind(t).alias("match"))).alias("matches"))
+
+
+def highlight_spans(text: Column, words: list[str]) -> Column:
+    """Where a text answers the words: kind (exact or part), start and end of each place, in order of finding.
+
+    Words are the words' own tokens, folded. A token that is one of them is marked whole; in another each word that it holds is
+    marked at its first place, in the words' order. A place that touches one already marked is left out.
+    """
+    folded = list(dict.fromkeys(t.lower() for w in words for t in tokens_text(w)))
+    spaced = F.translate(text, HIGHLIGHT_DELIMITERS, " " * len(HIGHLIGHT_DELIMITERS))
+    parts = F.split(F.lower(spaced), " ")
+    # a part begins behind all before it and a space for each
+    begun = F.transform(parts, lambda p, i: F.struct(p.alias("token"), F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda n, q: n + F.length(q) + 1).alias("start")))
+    kinds = "array<struct<kind:string,start:int,end:int>>"
+    none = F.array().cast(kinds)
+
+    def found(p: Column) -> Column:
+        token, start = p["token"], p["start"]
+        span = lambda kind, a, n: F.struct(F.lit(kind).alias("kind"), a.cast("int").alias("start"), (a + n).cast("int").alias("end"))
+        within = [F.when(token.contains(w), span("part", start + F.instr(token, w) - 1, F.lit(len(w)))) for w in folded]
+        held = F.filter(F.array(*within), lambda x: x.isNotNull()) if within else none
+        return F.when(token == "", none).when(token.isin(*folded), F.array(span("exact", start, F.length(token)))).otherwise(held)
+
+    meets = lambda x, r: x["start"].between(r["start"], r["end"]) | x["end"].between(r["start"], r["end"])
+    return F.aggregate(F.flatten(F.transform(begun, found)), none, lambda kept, x: F.when(F.exists(kept, lambda r: meets(x, r)), kept).otherwise(F.concat(kept, F.array(x))))
+
+
+def highlighted(text: Column, words: list[str], colours: tuple[str, str] = ("highlight-green", "highlight-yellow")) -> Column:
+    """The text, its long tokens trimmed, with the places of :func:`highlight_spans` in spans of two classes."""
+    short = long_tokens_trimmed(text)
+    spans = F.array_sort(highlight_spans(short, words), lambda a, b: a["start"] - b["start"])
+    cut = lambda a, b: short.substr(a + 1, b - a)
+    before = lambda i: F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(F.lit(0))
+    opened = lambda s: F.concat(F.lit('<span class="'), F.when(s["kind"] == "exact", colours[0]).otherwise(colours[1]), F.lit('">'))
+    pieces = F.transform(spans, lambda s, i: F.concat(cut(before(i), s["start"]), opened(s), cut(s["start"], s["end"]), F.lit("</span>")))
+    end = F.coalesce(F.array_max(F.transform(spans, lambda s: s["end"])), F.lit(0))
+    return F.concat(F.array_join(pieces, ""), cut(end, F.length(short)))

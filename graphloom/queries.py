@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import regions as region_fn
 from graphloom.functions import text as text_fn
 from graphloom.model import Graph
-from graphloom.operators import analytics, graph, labels, network, ordering, similarity, text
+from graphloom.operators import analytics, graph, ingest, labels, network, ordering, similarity, text
 from graphloom.operators.motif import Motif
 from graphloom.plans import compiler
 from graphloom.sources import csv_tables
@@ -147,7 +147,7 @@ _add("shape_scores", lambda g: g.shape_sim.where("src < 50"), f"WITH {_SHAPE} SE
 _add("shape_similar", lambda g: similarity.similar_shape(g, 7, least=2), f"WITH {_SHAPE} SELECT dst AS root_id, score FROM sim WHERE src = 7 AND score >= 2 UNION ALL SELECT 7, 10")
 
 
-def _jaccard_sql(sides: list[tuple[str, str]], weighted: bool) -> str:
+def _jaccard_sql(sides: list[tuple[str, str]], weighted: bool, key: str = "l_suppkey", columns: str = "root_id, round(score, 9) AS score") -> str:
     ctes, names = [], []
     for i, (own, other) in enumerate(sides):
         all_ = "sum(weight)" if weighted else "count(*)"
@@ -158,13 +158,20 @@ j{i} AS (SELECT s.root_id, shared / ((SELECT {all_} FROM pairs p WHERE p.{own} =
         names.append(f"j{i}")
     rows = " UNION ALL ".join(f"SELECT * FROM {n}" for n in names)
     ctes.append(f"sc AS (SELECT root_id, sum(j) / {len(names)} AS score FROM ({rows}) GROUP BY 1 HAVING sum(j) / {len(names)} >= 0.1), rk AS (SELECT *, row_number() OVER (ORDER BY score DESC, root_id) AS k FROM sc)")
-    return _with("SELECT root_id, round(score, 9) AS score FROM rk WHERE score >= 0.2 OR k <= 20", *ctes, key="l_suppkey")
+    return _with(f"SELECT {columns} FROM rk WHERE score >= 0.2 OR k <= 20", *ctes, key=key)
 
 
 _IN, _OUT = ("post_id", "pre_id"), ("pre_id", "post_id")
 for _name, _sides, _weighted in (("jaccard_down", [_OUT], False), ("jaccard_up", [_IN], False), ("jaccard_both", [_IN, _OUT], False), ("jaccard_weighted_down", [_OUT], True), ("jaccard_weighted_up", [_IN], True), ("jaccard_weighted_both", [_IN, _OUT], True)):
     _add(_name, lambda g, s=tuple(_sides), w=_weighted: similarity.similar_connectivity(g, 1, up=_IN in s, down=_OUT in s, weighted=w).select("root_id", F.round("score", 9).alias("score")), _jaccard_sql(_sides, _weighted), supplier_graph)
 
+# the same scores as filters of a search, over the sparser graph of parts, where neither all nodes pass nor none
+for _name, _op, _sides, _weighted in (("upstream", "~u", [_IN], False), ("downstream", "~d", [_OUT], False), ("connectivity", "~c", [_IN, _OUT], False), ("upstream_weighted", "~wu", [_IN], True), ("downstream_weighted", "~wd", [_OUT], True), ("connectivity_weighted", "~wc", [_IN, _OUT], True)):
+    _add(f"filter_similar_{_name}", lambda g, o=_op: compiler.search(g, f"{o} 1").select("root_id"), _jaccard_sql(_sides, _weighted, "l_partkey", "root_id"))
+_add("filter_similar_shape", lambda g: compiler.search(g, "~~ 7", shape_least=2).select("root_id"), _with("SELECT dst AS root_id FROM sim WHERE src = 7 AND score >= 2 AND dst IN (SELECT root_id FROM nodes) UNION SELECT 7", _SHAPE))
+_add("sort_similarity", lambda g: ordering.ranked(g, _brand(g), "jaccard_similarity:1").select("root_id", F.round("sort_value", 9).alias("sort_value"), "rank"),
+     _with("SELECT root_id, round(score, 9) AS sort_value, row_number() OVER (ORDER BY score DESC NULLS LAST, root_id) AS rank FROM nodes LEFT JOIN (" + _jaccard_sql([_IN, _OUT], False, "l_partkey", "root_id, score") + ") x USING (root_id) WHERE class = 'Brand#13'"))
+
 # text
 
 _TOKENS = "lab AS (SELECT root_id, unnest(label) AS label FROM nodes)"
@@ -177,7 +184,10 @@ ORACLE["document_tokens"] = """SELECT token, count(*) AS n FROM (
   SELECT regexp_replace(regexp_replace(t, '[.'']$', ''), '^[.'']', '') AS token FROM (
     SELECT unnest(regexp_split_to_array(replace(replace(replace(translate(text, '=-,?!;:/()[]"&', '              '), ''' ', ' '), ' ''', ' '), '. ', ' '), '\\s+')) AS t FROM documents)) WHERE token <> '' GROUP BY 1"""
 QUERIES["document_tokens"] = lambda spark, sf_dir: read(spark, sf_dir, "documents").select(F.explode(text_fn.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-_add("highlight", lambda g: text.highlights(g.labels, ["bol", "red"]).select("root_id", "label", F.to_json("matches").alias("matches")), None)
+_add("highlight", lambda g: text.highlights(g.labels, ["bol", "red"]).select("root_id", "label", F.to_json("matches").alias("matches")),
+     _with("""SELECT root_id, label, '[{"token":"' || label || '","match":"' || CASE WHEN label IN ('bol', 'red') THEN 'exact' WHEN contains(label, 'bol') OR contains(label, 'red') THEN 'part' ELSE 'none' END || '"}]' AS matches FROM lab""", _TOKENS))
+_add("highlight_text", lambda g: g.nodes.select("root_id", text.highlighted(F.array_join("label", "; "), ["bol", "red"]).alias("shown")),
+     _with("""SELECT root_id, array_to_string(list_transform(label, lambda x: CASE WHEN x IN ('bol', 'red') THEN '<span class="highlight-green">' || x || '</span>' WHEN contains(x, 'bol') THEN replace(x, 'bol', '<span class="highlight-yellow">bol</span>') WHEN contains(x, 'red') THEN replace(x, 'red', '<span class="highlight-yellow">red</span>') ELSE x END), '; ') AS shown FROM nodes"""))
 
 # orders and pages
 
@@ -279,19 +289,28 @@ _add("motif_pair_edges", lambda g: Motif(g).node("A", "class == Brand#13").node(
 
 # ingest, labels, functions and exports
 
-_add("auto_names", lambda g: __import__("graphloom.operators.ingest", fromlist=["named"]).named(g.nodes).select("root_id", "name"),
+_add("auto_names", lambda g: ingest.named(g.nodes).select("root_id", "name"),
      _with('SELECT root_id, "group" || \'.\' || row_number() OVER (PARTITION BY "group" ORDER BY CAST(input_cells + output_cells AS HUGEINT) * root_id DESC, root_id) AS name FROM nodes'))
 _add("region_descriptions", lambda g: region_fn.described(g.region_table), "SELECT * FROM (VALUES ('A_L', 'Left accepted lines'), ('N', 'Center new lines'), ('R_R', 'Right returned lines')) t(region, description)")
 _add("coordinates_zip", lambda g: g.nodes.select("root_id", F.posexplode(F.arrays_zip(F.col("input_neuropils").alias("a"), F.col("label").alias("b"))).alias("at", "z")).select("root_id", "at", "z.a", "z.b"),
      _with("SELECT root_id, CAST(i AS INTEGER) AS at, input_neuropils[i + 1] AS a, label[i + 1] AS b FROM (SELECT *, unnest(range(greatest(len(input_neuropils), len(label)))) AS i FROM nodes)"))
-_add("title_case", lambda g: g.nodes.select("super_class").distinct().select("super_class", text_fn.title_case(F.concat("super_class", F.lit("_x-t4a"))).alias("title")), None)
+_add("title_case", lambda g: g.nodes.select("super_class").distinct().select("super_class", text_fn.title_case(F.concat("super_class", F.lit("_x-t4a"))).alias("title")), _with("SELECT DISTINCT super_class, array_to_string(list_transform(string_split(lower(super_class), ' '), lambda x: upper(x[1]) || x[2:]), ' ') || ' X-T4A' AS title FROM nodes"))
 _add("base62", lambda g: g.nodes.select("root_id", text_fn.base62(F.col("size_nm")).alias("short"), text_fn.from_base62(text_fn.base62(F.col("size_nm"))).alias("size_nm")).select("root_id", "size_nm"), _with("SELECT root_id, size_nm FROM nodes"))
 _add("label_clean", lambda g: labels.clean(labels.grouped(g.label_log, g.nodes).join(g.nodes.drop("label"), "root_id")).select("root_id", F.array_join("label", "|").alias("label")), None)
-_add("labels_latest_first", lambda g: labels.grouped(g.label_log, g.nodes).select("root_id", F.size("label").alias("n")), _with("SELECT doc_id % (SELECT count(*) FROM part) AS root_id, CAST(count(*) AS INTEGER) AS n FROM documents GROUP BY 1 HAVING doc_id % (SELECT count(*) FROM part) IN (SELECT p_partkey FROM part)".replace("HAVING doc_id % (SELECT count(*) FROM part)", "HAVING root_id")))
-_add("export_search", lambda g: csv_tables.search_export(compiler.nodes_of(g, "sub_class == 7")).select("root_id", "label", "class"), _with("SELECT CAST(root_id AS VARCHAR) AS root_id, '[' || replace(array_to_string(list_transform(label, lambda x: '''' || x || ''''), ', '), ',', ';') || ']' AS label, class FROM nodes WHERE sub_class = '7'"))
+_add("labels_latest_first", lambda g: labels.grouped(g.label_log, g.nodes).select("root_id", F.size("label").alias("n"), F.md5(F.array_join("label", "|")).alias("in_order")), _with("SELECT doc_id % (SELECT count(*) FROM part) AS root_id, CAST(count(*) AS INTEGER) AS n, md5(string_agg(text, '|' ORDER BY CAST(n_chars AS VARCHAR) DESC, doc_id DESC)) AS in_order FROM documents GROUP BY 1 HAVING doc_id % (SELECT count(*) FROM part) IN (SELECT p_partkey FROM part)".replace("HAVING doc_id % (SELECT count(*) FROM part)", "HAVING root_id")))
+_add("export_search", lambda g: csv_tables.search_export(compiler.nodes_of(g, "sub_class == 7")), _with("SELECT CAST(root_id AS VARCHAR) AS root_id, '' AS name, nt_type, '' AS flow, super_class, sub_class, '[]' AS cell_type, '' AS hemilineage, '' AS nerve, side, '0' AS length_nm, '0' AS area_nm, CAST(size_nm AS VARCHAR) AS size_nm, '[' || replace(array_to_string(list_transform(label, lambda x: '''' || x || ''''), ', '), ',', ';') || ']' AS label, class FROM nodes WHERE sub_class = '7'"))
 _add("export_ids", lambda g: csv_tables.id_list(ordering.ranked(g, _brand(g), "-size")), _with("SELECT string_agg(CAST(root_id AS VARCHAR), ',' ORDER BY size_nm DESC, root_id) AS ids FROM nodes WHERE class = 'Brand#13'"))
 _add("export_edges_json", lambda g: csv_tables.edges_as_json(g, graph.connections(g, _brand(g), induced=True)).select(F.length("nodes").alias("nodes"), F.length("edges").alias("edges")), None)
 
+_BRAND_EDGES = "edges WHERE pre_id IN (SELECT root_id FROM nodes WHERE class = 'Brand#13') AND post_id IN (SELECT root_id FROM nodes WHERE class = 'Brand#13')"
+_add("export_edges", lambda g: csv_tables.edge_export(graph.connections(g, _brand(g), induced=True)), _with(f'SELECT pre_id AS "From", post_id AS "To", region AS "Neuropil", weight AS "Synapses", edge_type AS "Neuro Transmitter" FROM {_BRAND_EDGES}'))
+_add("export_edge_rows", lambda g: csv_tables.edge_json_rows(graph.connections(g, _brand(g), induced=True)), _with(f"""SELECT '{{"from":' || pre_id || ',"to":' || post_id || ',"neuropil":"' || region || '","synapses":' || weight || ',"nt_type":"' || edge_type || '"}}' AS edge FROM {_BRAND_EDGES}"""))
+_add("label_log_of_node", lambda g: labels.log_of(g.label_log, 7).select("place", "label_id", "user_name", "date_created", F.md5("label").alias("label")), """SELECT CAST(row_number() OVER (ORDER BY CAST(n_chars AS VARCHAR) DESC, doc_id DESC) AS INTEGER) AS place, doc_id AS label_id, source AS user_name, CAST(n_chars AS VARCHAR) AS date_created, md5(text) AS label FROM documents WHERE doc_id % (SELECT count(*) FROM part) = 7""")
+_add("label_parts_distinct", lambda g: g.label_log.select("label_id", F.md5(labels.distinct_parts(F.col("label"))).alias("label")), """SELECT doc_id AS label_id, md5(CASE WHEN len(list_distinct(p)) < len(p) THEN array_to_string(list_transform(list_filter(list_zip(p, range(len(p))), lambda x: list_position(p, x[1]) = x[2] + 1), lambda x: x[1]), '; ') ELSE text END) AS label FROM (SELECT doc_id, text, list_filter(list_transform(string_split(text, ';'), lambda x: trim(x)), lambda x: x <> '') AS p FROM documents)""")
+_add("label_spaced", lambda g: g.label_log.select("label_id", F.md5(labels.spaced(F.col("label"))).alias("label")), """SELECT doc_id AS label_id, md5(array_to_string(list_transform(string_split(array_to_string(list_transform(string_split(text, ';'), lambda x: trim(x)), '; '), ','), lambda x: trim(x)), ', ')) AS label FROM documents""")
+_add("orphans_of_a_part", lambda g: labels.orphans(g.label_log.withColumn("label", F.col("user_name")), g.nodes.where("root_id % 2 = 0")), "SELECT source AS label, count(*) AS n FROM documents WHERE (doc_id % (SELECT count(*) FROM part)) NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 2 = 0) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+_add("reciprocal_dense", lambda g: compiler.search(g, "^v 1").select("root_id"), _with("SELECT pre_id AS root_id FROM pairs WHERE post_id = 1 AND pre_id <> 1 INTERSECT SELECT post_id FROM pairs WHERE pre_id = 1", key="l_suppkey"), supplier_graph)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A search with a condition on attributes and one on labels, sorted by partners: the first page of node rows."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -77,8 +79,8 @@ def search_export(nodes: DataFrame) -> DataFrame:
 
 
 def id_list(ranked: DataFrame) -> DataFrame:
-    """The ids of a result (root_id, rank), comma-joined in order: one row."""
-    return ranked.agg(F.expr("listagg(CAST(root_id AS STRING), ',') WITHIN GROUP (ORDER BY rank)").alias("ids"))
+    """The ids of a result (root_id, rank) that is no larger than an export takes, comma-joined in order: one row."""
+    return guarded(ranked).agg(F.expr("listagg(CAST(root_id AS STRING), ',') WITHIN GROUP (ORDER BY rank)").alias("ids"))
 
 
 def guarded(df: DataFrame, limit: int = EXPORT_LIMIT) -> DataFrame:
@@ -88,11 +90,27 @@ def guarded(df: DataFrame, limit: int = EXPORT_LIMIT) -> DataFrame:
     return df
 
 
-def edges_as_json(g: Graph, edges: DataFrame) -> DataFrame:
-    """One row: nodes and edges of a guarded edge table as JSON arrays; ids as text, empty attributes left out."""
+#: Columns of an exported edge table (fixed values).
+EDGE_COLUMNS = ("From", "To", "Neuropil", "Synapses", "Neuro Transmitter")
+
+
+def edge_export(edges: DataFrame) -> DataFrame:
+    """Edges under the headings of their export, for :func:`write_csv`; of any number, in as many files as there are partitions."""
+    return edges.select("pre_id", "post_id", "region", "weight", "edge_type").toDF(*EDGE_COLUMNS)
+
+
+def edge_json_rows(edges: DataFrame) -> DataFrame:
+    """One JSON object a row, for edges of any number: ``write.text`` makes files of JSON lines."""
+    return edges.select(F.to_json(F.struct(F.col("pre_id").alias("from"), F.col("post_id").alias("to"), F.col("region").alias("neuropil"), F.col("weight").alias("synapses"), F.col("edge_type").alias("nt_type"))).alias("edge"))
+
+
+def edges_as_json(g: Graph, edges: DataFrame, meta: dict | None = None) -> DataFrame:
+    """One row: nodes and edges of a guarded edge table as JSON arrays, and ``meta`` if given; ids as text, empty attributes left out."""
     edges = guarded(edges)
     ends = edges.select(F.explode(F.array("pre_id", "post_id")).alias("root_id")).distinct()
     some = lambda c: F.when(F.col(f"`{c}`") != "", F.col(f"`{c}`")).alias(c)
     nodes = g.nodes.join(ends, "root_id", "left_semi").select(F.struct(F.col("root_id").cast("string").alias("root_id"), some("name"), some("nt_type"), some("class")).alias("n"))
     rows = edges.select(F.struct(F.col("pre_id").cast("string").alias("from"), F.col("post_id").cast("string").alias("to"), "region", "weight", "edge_type").alias("e"))
-    return nodes.agg(F.to_json(F.sort_array(F.collect_list("n"))).alias("nodes")).crossJoin(rows.agg(F.to_json(F.sort_array(F.collect_list("e"))).alias("edges")))
+    both = [nodes.select(F.lit(1).alias("k"), "n", F.lit(None).alias("e")), rows.select(F.lit(1).alias("k"), F.lit(None).alias("n"), "e")]
+    one = both[0].unionAll(both[1]).groupBy("k").agg(F.to_json(F.sort_array(F.collect_list("n"))).alias("nodes"), F.to_json(F.sort_array(F.collect_list("e"))).alias("edges")).drop("k")
+    return one.withColumn("meta", F.lit(json.dumps(meta))) if meta else one

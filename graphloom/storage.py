@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,3 +27,15 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut: written to the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def numbered(df: DataFrame, order: tuple[Column, ...], name: str) -> DataFrame:
+    """``df`` with each row's place in ``order`` (from 1), which tells all rows apart: a range-partitioned sort and the sizes of its partitions, without one task for all."""
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("own_part", F.spark_partition_id()))
+    sizes = parts.groupBy("own_part").agg(F.count("*").alias("own_n"))
+    # as many rows as there are partitions
+    before = sizes.select("own_part", (F.sum("own_n").over(Window.orderBy("own_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("own_n")).alias("own_before"))
+    within = F.row_number().over(Window.partitionBy("own_part").orderBy(*order))
+    placed = parts.withColumn("own_within", within).join(F.broadcast(before), "own_part").withColumn(name, F.col("own_before") + F.col("own_within"))
+    return placed.drop("own_part", "own_before", "own_within")

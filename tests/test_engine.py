@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from graphloom.functions import regions, text
 from graphloom.model import Graph, degrees, with_defaults
 from graphloom.operators import analytics, graph, ingest, labels, network, ordering, similarity
+from graphloom.operators import text as text_ops
 from graphloom.operators.motif import Motif
 from graphloom.plans import compiler
 from graphloom.plans.language import QueryError
+
 from graphloom.sources import csv_tables, driver_tables, snapshots
+from graphloom.storage import numbered, shared_folder
 
 REGIONS = [dict(zip(("region", "description", "hemisphere", "category"), r)) for r in [("AL_L", "antennal lobe", "Left", "x"), ("AL_R", "antennal lobe", "Right", "x"), ("EB", "ellipsoid body", "Center", "y")]]
 TYPES = {"ACH": "acetylcholine", "GABA": "gamma"}
@@ -204,3 +207,27 @@ def test_export_guard(spark):
     with pytest.raises(csv_tables.TooLarge):
         csv_tables.guarded(spark.range(11), 10)
     assert csv_tables.guarded(spark.range(10), 10).count() == 10
+
+
+def test_highlight_spans(spark):
+    cases = [("red fish", ["red"], [("exact", 0, 3)]), ("infrared; RED-fish", ["red", "fi"], [("part", 5, 8), ("exact", 10, 13), ("part", 14, 16)]), ("redred", ["red"], [("part", 0, 3)]), ("reda", ["red", "da"], [("part", 0, 3)]), ("", ["x"], []), ("a b", [], []), ("T1-2", ["t1 x"], [("exact", 0, 2)])]
+    for t, words, want in cases:
+        r = spark.createDataFrame([(t,)], "t string").select(text_ops.highlight_spans(F.col("t"), words).alias("s"), text_ops.highlighted(F.col("t"), words).alias("h")).first()
+        assert [tuple(x) for x in r["s"]] == want
+        assert r["h"].replace("</span>", "").replace('<span class="highlight-green">', "").replace('<span class="highlight-yellow">', "") == t
+    assert spark.createDataFrame([("infrared; RED",)], "t string").select(text_ops.highlighted(F.col("t"), ["red"]).alias("h")).first()["h"] == 'infra<span class="highlight-yellow">red</span>; <span class="highlight-green">RED</span>'
+
+
+def test_places_are_numbered_in_order(spark):
+    d = spark.range(0, 1000, 1, 7).select("id", (F.col("id") % 10).alias("k"))
+    got = numbered(d, (F.desc("k"), F.asc("id")), "place").collect()
+    want = {r["id"]: i + 1 for i, r in enumerate(sorted(got, key=lambda r: (-r["k"], r["id"])))}
+    assert {r["id"]: r["place"] for r in got} == want and numbered(d.limit(0), (F.asc("id"),), "place").count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace as Some
+
+    unset = Some(conf=Some(get=lambda *_: None), sparkContext=Some(master="spark://x", getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError):
+        shared_folder(unset)
