@@ -56,9 +56,10 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def ngrams(w: Column, sizes: tuple[int, ...] = (1, 2, 3)) -> Column:
-    runs = [w if n == 1 else F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i, n=n: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>")) for n in sizes]
-    return F.concat(*runs) if len(runs) > 1 else runs[0]
+def word_pairs(w: Column) -> Column:
+    """Each word with the next; a slice for each pair would copy a long paragraph again and again."""
+    pairs = F.zip_with(w, F.slice(w, F.lit(2), F.greatest(F.size(w), F.lit(1))), lambda x, y: F.when(y.isNotNull(), F.concat(x, F.lit(" "), y)))
+    return F.filter(pairs, lambda p: p.isNotNull())
 
 
 def telling_ngrams(w: Column, telling: list[str]) -> Column:
@@ -68,7 +69,7 @@ def telling_ngrams(w: Column, telling: list[str]) -> Column:
 
     def around(i: Column) -> Column:
         runs = [(i - back, n) for n in (1, 2, 3) for back in range(n)]
-        return F.array(*[F.when((start >= 1) & (start + n - 1 <= F.size(w)), F.array_join(F.slice(w, F.greatest(start, F.lit(1)), F.lit(n)), " ")) for start, n in runs])
+        return F.array(*[F.when((start >= 1) & (start + n - 1 <= F.size(w)), F.concat_ws(" ", *[F.get(w, start - 1 + k) for k in range(n)])) for start, n in runs])
 
     return F.array_distinct(F.filter(F.flatten(F.transform(hits, around)), lambda g: g.isNotNull()))
 
@@ -176,10 +177,10 @@ def scan(docs: DataFrame, classifier: Classifier | None = None) -> DataFrame:
     best = F.array_max(known)
     names = F.array(*map(F.lit, c.families))
     picked = scored.select(*key, F.get(names, (F.array_position(known, best) - 1).cast("int")).alias("family"), (best / total).alias("chance")).where(F.col("chance") >= c.least)
-    templates = spark.createDataFrame([(f, t) for f, ts in TEMPLATES.items() for t in ts], "family string, t string").select("family", F.array_distinct(ngrams(words(F.col("t")), (2,))).alias("g"))
+    templates = spark.createDataFrame([(f, t) for f, ts in TEMPLATES.items() for t in ts], "family string, t string").select("family", F.array_distinct(word_pairs(words(F.col("t")))).alias("g"))
     k, t = picked.alias("k"), lines.alias("t")
     found = k.join(t, F.col("k.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("k.h") == F.col("t.h")) & (F.col("k.at") == F.col("t.at"))).select("k.*", "t.paragraph")
-    own = F.array_distinct(ngrams(words(F.col("paragraph")), (2,)))
+    own = F.array_distinct(word_pairs(words(F.col("paragraph"))))
     shared = F.size(F.array_intersect(own, F.col("g")))
     agree = F.greatest(shared / F.greatest(F.size("g"), F.lit(1)), F.when(shared >= 3, shared / F.greatest(F.size(own), F.lit(1))).otherwise(0.0))
     # a handful of templates for each paragraph
