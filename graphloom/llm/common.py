@@ -12,6 +12,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.storage import shared_folder
+
 _made: dict[str, SparkSession] = {}
 _shipped: set[str] = set()
 
@@ -30,14 +32,8 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session, or one of our own where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="graphloom-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session; where it is unset, one of our own on a single machine, else an error."""
+    return shared_folder(spark)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
