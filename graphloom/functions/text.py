@@ -109,6 +109,11 @@ def by_key(m: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"].cast("string"), F.lit(": "), e["value"].cast("string"))), ", ")
 
 
+def counts_for_display(m: Column) -> Column:
+    """A map of maps of whole numbers with the numbers as text with commas."""
+    return F.transform_values(m, lambda _, inner: F.transform_values(inner, lambda _, n: with_commas(n)))
+
+
 def micros(nanos: Column, degree: int = 1) -> Column:
     """Nanometres to the given power as rounded micrometres with their unit; halves to even."""
     value = F.bround(nanos.cast("decimal(38,0)") / F.lit(1000**degree).cast("decimal(38,0)"), 0)

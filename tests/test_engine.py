@@ -12,7 +12,6 @@ from graphloom.operators import text as text_ops
 from graphloom.operators.motif import Motif
 from graphloom.plans import compiler
 from graphloom.plans.language import QueryError
-
 from graphloom.sources import csv_tables, driver_tables, snapshots
 from graphloom.storage import numbered, shared_folder
 
@@ -218,6 +217,11 @@ def test_highlight_spans(spark):
     assert spark.createDataFrame([("infrared; RED",)], "t string").select(text_ops.highlighted(F.col("t"), ["red"]).alias("h")).first()["h"] == 'infra<span class="highlight-yellow">red</span>; <span class="highlight-green">RED</span>'
 
 
+def test_nested_counts_for_display(spark):
+    d = spark.createDataFrame([({"a": {"x": 1234567, "y": 5}, "b": {}},)], "m map<string,map<string,bigint>>")
+    assert d.select(text.counts_for_display(F.col("m")).alias("m")).first()["m"] == {"a": {"x": "1,234,567", "y": "5"}, "b": {}}
+
+
 def test_places_are_numbered_in_order(spark):
     d = spark.range(0, 1000, 1, 7).select("id", (F.col("id") % 10).alias("k"))
     got = numbered(d, (F.desc("k"), F.asc("id")), "place").collect()
