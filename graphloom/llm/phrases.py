@@ -2,10 +2,10 @@
 
 A task reads texts into shards of bounded size and builds, for each language of a shard, a trie of its word runs up to a depth,
 with a count at every node. A trie is cut by prefix range (ranges of a hash of the first two words, so that they are even
-however often a word is used) into blocks that are serialised in word order. Blocks of a range are merged many ways at a time:
-runs that are sorted already are joined by a merge sort. While there are more shards than one merge takes, a merge also cuts its
-result into finer ranges, so a block holds about as much at every level and no task reads a whole shard's worth more than
-``WAYS`` blocks, however hot a prefix is.
+however often a word is used; the more text a language has, the more ranges) into blocks that are serialised in word order.
+Blocks of a range are merged many ways at a time: runs that are sorted already are joined by a merge sort. While there are more
+shards than one merge takes, a merge also cuts its result into finer ranges, so a block holds about as much at every level and
+no task reads more than ``WAYS`` blocks, however hot a prefix is.
 
 Parts of a phrase are at least as frequent as the phrase, so nodes below the least count are dropped after the last merge.
 Left parts of a phrase are the nodes on the walk down to it. Right parts are found by suffix links: the link of a phrase is the
@@ -29,8 +29,9 @@ from pyspark.sql import Window
 from . import common
 
 SHARD_WORDS = 2_000_000  #: words of a shard
+RANGE_BYTES = 10 << 20  #: text of a language for each range
 RUN_BYTES = 4 << 20  #: of text that is split at a time
-WAYS = 32  #: blocks that one merge takes, and ranges that a merge or build cuts its trie into
+WAYS = 256  #: blocks that one merge takes, and the most ranges that a merge or build cuts its trie into
 BREAKS = ".,;:!?\n\x0b\x0c\r"  #: characters that end a piece (fixed values)
 
 _fold = np.arange(256, dtype=np.uint8)
@@ -39,7 +40,16 @@ _fold[9] = 32
 _fold[[ord(c) for c in BREAKS]] = 10
 FOLD = _fold.tobytes()
 
-_BLOCK_SCHEMA = "lang string, range long, shard long, words long, nodes long, payload binary"
+_BLOCK_SCHEMA = "lang string, range long, shard long, payload binary"
+
+
+def _planes(x: np.ndarray, dtype: str) -> bytes:
+    """The numbers' first bytes, then their second ones, and so on: high ones are mostly zeros, which compress away."""
+    return np.ascontiguousarray(x.astype(dtype).view(np.uint8).reshape(len(x), np.dtype(dtype).itemsize).T).tobytes()
+
+
+def _from_planes(data: bytes, dtype: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
 
 
 class Trie:
@@ -102,14 +112,14 @@ class Trie:
             parents = [np.searchsorted(unique, x) for x in both]
         return cls(words, keys, counts)
 
-    def cut(self, low: int, ways: int) -> list[Trie | None]:
-        """Parts by ``low`` .. of the prefix hash: nodes of depth 1 by their word, deeper ones by the pair they hang on."""
+    def cut(self, level: int, ways: int) -> list[Trie | None]:
+        """Parts by the level's bits of the prefix hash: nodes of depth 1 by their word, deeper ones by the pair they hang on."""
         h = np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words))
 
         def slot(x: np.ndarray) -> np.ndarray:
-            # digits of the hash in base ``ways``, the first for the first cut
+            # bits of their own for each of the levels
             x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-            return ((x >> np.uint64(16)) // np.uint64(ways**low) % np.uint64(ways)).astype(np.int64)
+            return ((x >> np.uint64(48 - 12 * level)) % np.uint64(4096) % np.uint64(ways)).astype(np.int64)
 
         slots = [slot(h[self.keys[0][1]])]
         for d in range(1, len(self.keys)):
@@ -136,7 +146,7 @@ class Trie:
         parts = [np.array(head, "<i8").tobytes(), text]
         for (parent, word), n in zip(self.keys, self.counts):
             # parents ascend, so their steps are small
-            parts += [np.diff(parent, prepend=0).astype("<i4").tobytes(), word.astype("<i4").tobytes(), n.astype("<i8").tobytes()]
+            parts += [_planes(np.diff(parent, prepend=0), "<i4"), _planes(word, "<i4"), _planes(n, "<i8")]
         return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
     @classmethod
@@ -149,22 +159,20 @@ class Trie:
         at += size
         keys, counts = [], []
         for n in lengths:
-            step, word, c = (np.frombuffer(data, t, n, at + k * n) for t, k in (("<i4", 0), ("<i4", 4), ("<i8", 8)))
+            step, word, c = (_from_planes(data[at + k * n : at + (k + np.dtype(t).itemsize) * n], t) for t, k in (("<i4", 0), ("<i4", 4), ("<i8", 8)))
             keys.append((np.cumsum(step, dtype=np.int64), word.astype(np.int64)))
             counts.append(c)
             at += 16 * n
         return cls(words, keys, counts)
 
 
-def _blocks(trie: Trie, lang: str, range_: int, shard: int, words: int, low: int | None) -> pa.RecordBatch:
-    parts = trie.cut(low, WAYS) if low is not None else [trie]
-    rows = [(lang, range_ * WAYS + k if low is not None else range_, shard, words if k == 0 else 0, t.nodes, t.dump()) for k, t in enumerate(parts) if t is not None]
-    if words and not any(r[3] for r in rows):
-        rows[0] = (*rows[0][:3], words, *rows[0][4:])
-    return pa.RecordBatch.from_pylist([dict(zip(("lang", "range", "shard", "words", "nodes", "payload"), r)) for r in rows], schema=_ARROW)
+def _blocks(trie: Trie, lang: str, range_: int, shard: int, level: int, ways: int) -> pa.RecordBatch:
+    parts = trie.cut(level, ways) if ways > 1 else [trie]
+    rows = [(lang, range_ * WAYS + k, shard, t.dump()) for k, t in enumerate(parts) if t is not None]
+    return pa.RecordBatch.from_pylist([dict(zip(_ARROW.names, r)) for r in rows], schema=_ARROW)
 
 
-_ARROW = pa.schema([("lang", pa.string()), ("range", pa.int64()), ("shard", pa.int64()), ("words", pa.int64()), ("nodes", pa.int64()), ("payload", pa.binary())])
+_ARROW = pa.schema([("lang", pa.string()), ("range", pa.int64()), ("shard", pa.int64()), ("payload", pa.binary())])
 
 
 def _build(depth: int):
@@ -174,6 +182,7 @@ def _build(depth: int):
         task, seq = TaskContext.get().partitionId() << 24, counter()
         held: dict[str, list[np.ndarray]] = defaultdict(list)
         names: dict[str, defaultdict] = {}
+        ways: dict[str, int] = {}
         n = 0
 
         def read(lang: str, texts: list[bytes]) -> int:
@@ -189,12 +198,12 @@ def _build(depth: int):
                 ids = np.concatenate(held.pop(lang))
                 known = names.pop(lang)
                 known.pop(b"\n")
-                total = int((ids > 0).sum())
-                if total:
-                    yield _blocks(Trie.of(ids, list(known), depth), lang, 0, task + next(seq), total, 0)
+                if ids.any():
+                    yield _blocks(Trie.of(ids, list(known), depth), lang, 0, task + next(seq), 0, ways[lang])
 
         for b in batches:
             by: dict[str, list[bytes]] = defaultdict(list)
+            ways.update(zip(b.column("lang").to_pylist(), b.column("ways").to_pylist()))
             for lang, t in zip(b.column("lang").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()):
                 by[lang].append(t)
             for lang, texts in by.items():
@@ -208,59 +217,66 @@ def _build(depth: int):
     return run
 
 
-def _merge(low: int | None, least: int | None):
-    """Merges the blocks of a group; cuts the result by digit ``low`` of the hash, or else returns its nodes of ``least`` and more."""
+def _loaded(table: pa.Table) -> Trie:
+    return Trie.merged([Trie.load(p) for p in table["payload"].to_pylist()])
 
-    def blocks(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+
+def _merge(level: int):
+    """Merges the blocks of a group and cuts the result anew."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         lang, range_, shard = (k.as_py() for k in key)
-        trie = Trie.merged([Trie.load(p) for p in table["payload"].to_pylist()])
-        return pa.Table.from_batches([_blocks(trie, lang, range_, shard, 0, low)])
-
-    def nodes(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        lang = key[0].as_py()
-        trie = Trie.merged([Trie.load(p) for p in table["payload"].to_pylist()])
-        out: list[list] = [[], [], []]
-        spelt: list[bytes] = []
-        paths: list[list[int]] = []
+        return pa.Table.from_batches([_blocks(_loaded(table), lang, range_, shard, level, WAYS)])
+
+    return run
+
+
+def _nodes(least: int):
+    """Merges the last blocks of a range: its nodes of ``least`` and more, and the sum of its words as a node of depth 0."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        trie = _loaded(table)
+        depths, phrases, paths = [0], [b""], [[int(trie.counts[0].sum())]]
+        kept, spelt, walks = np.empty(0, np.int64), [], []
         for d, ((parent, word), n) in enumerate(zip(trie.keys, trie.counts)):
             keep = np.flatnonzero(n >= least)
-            # the walk down: a kept node's parent is kept too, being at least as frequent
-            above = np.searchsorted(kept, parent[keep]) if d > 1 else None
-            new_spelt, new_paths = [], []
-            for i, (k, w, c) in enumerate(zip(keep.tolist(), word[keep].tolist(), n[keep].tolist())):
-                if d < 2:
-                    new_spelt.append(trie.words[w] if d == 0 else trie.words[int(parent[k])] + b" " + trie.words[w])
-                    new_paths.append([c])
-                else:
-                    new_spelt.append(spelt[above[i]] + b" " + trie.words[w])
-                    new_paths.append([*paths[above[i]], c])
-            kept, spelt, paths = keep, new_spelt, new_paths
-            out[0] += [d + 1] * len(spelt)
-            out[1] += spelt
-            out[2] += paths
-        return pa.table({"lang": pa.array([lang] * len(out[0]), pa.string()), "depth": pa.array(out[0], pa.int32()), "phrase": pa.array(out[1], pa.binary()).cast(pa.string()), "path": pa.array(out[2], pa.list_(pa.int64()))})
-
-    return nodes if least is not None else blocks
-
-
-def frequent(docs: DataFrame, depth: int, least: int) -> tuple[DataFrame, DataFrame]:
-    """Word runs of up to ``depth`` words that occur ``least`` times or more: lang, depth, phrase, path; and lang, words of all languages.
-
-    ``path`` has the counts on the walk down to a phrase, from its first two words (its own count for a single word).
+            # the walk down: the parent of a kept node is kept too, being at least as frequent
+            up = parent[keep].tolist() if d < 2 else np.searchsorted(kept, parent[keep]).tolist()
+            last = [trie.words[w] for w in word[keep].tolist()]
+            if d < 2:
+                now = last if d == 0 else [trie.words[p] + b" " + w for p, w in zip(up, last)]
+                ways = [[c] for c in n[keep].tolist()]
+            else:
+                now = [spelt[p] + b" " + w for p, w in zip(up, last)]
+                ways = [[*walks[p], c] for p, c in zip(up, n[keep].tolist())]
+            kept, spelt, walks = keep, now, ways
+            depths += [d + 1] * len(now)
+            phrases += now
+            paths += ways
+        return pa.table({"lang": pa.array([key[0].as_py()] * len(depths), pa.string()), "depth": pa.array(depths, pa.int32()), "phrase": pa.array(phrases, pa.binary()).cast(pa.string()), "path": pa.array(paths, pa.list_(pa.int64()))})
+
+    return run
+
+
+def frequent(docs: DataFrame, depth: int, least: int) -> DataFrame:
+    """Word runs of up to ``depth`` words that occur ``least`` times or more: lang, depth, phrase, path.
+
+    ``path`` has the counts on the walk down to a phrase, from its first two words (its own count for a single word). Rows of
+    depth 0 sum up to the words of a language.
     """
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).where("text <> ''")
-    blocks = common.written(rows.mapInArrow(_build(depth), _BLOCK_SCHEMA), "tries")
-    totals = blocks.groupBy("lang").agg(F.sum("words").alias("words"))
+    sizes = rows.groupBy("lang").agg(F.least(F.lit(WAYS), F.ceil(F.sum(F.octet_length("text")) / F.lit(RANGE_BYTES))).cast("int").alias("ways"))
+    blocks = common.written(rows.join(common.written(sizes, "sizes"), "lang").select("lang", "ways", "text").mapInArrow(_build(depth), _BLOCK_SCHEMA), "tries")
     shards = blocks.groupBy("lang").agg(F.countDistinct("shard").alias("n")).agg(F.max("n")).first()[0] or 0
     level = 1
     while shards > WAYS:
         groups = -(-shards // WAYS)
         # numbers of shards are hashed at first only: later ones are dense
         dealt = blocks.withColumn("shard", F.pmod(F.xxhash64("shard") if level == 1 else F.col("shard"), F.lit(groups)))
-        merged = dealt.groupBy("lang", "range", "shard").applyInArrow(_merge(level, None), _BLOCK_SCHEMA)
-        blocks, shards, level = common.written(merged, "tries"), groups, level + 1
-    nodes = blocks.groupBy("lang", "range").applyInArrow(_merge(None, least), "lang string, depth int, phrase string, path array<long>")
-    return common.written(nodes, "nodes"), totals
+        blocks = common.written(dealt.groupBy("lang", "range", "shard").applyInArrow(_merge(level), _BLOCK_SCHEMA), "tries")
+        shards, level = groups, level + 1
+    nodes = blocks.groupBy("lang", "range").applyInArrow(_nodes(least), "lang string, depth int, phrase string, path array<long>")
+    return common.written(nodes, "nodes")
 
 
 def candidates(nodes: DataFrame, depth: int) -> DataFrame:
@@ -286,7 +302,8 @@ def collocations(docs: DataFrame, least: int = 10, words: int = 3, top: int = 20
     phrase. A null language is ``und``, a null text empty; documents that repeat count as often as they come. Other columns are
     ignored.
     """
-    nodes, totals = frequent(docs, words, least)
+    nodes = frequent(docs, words, least)
+    totals = nodes.where("depth = 0").groupBy("lang").agg(F.sum(F.col("path")[0]).alias("words"))
     every = common.written(candidates(nodes, words).withColumn("a", F.element_at("path", -1)), "candidates")
     # what longer candidates hold: their runs of fewer words
     shorter = [
