@@ -77,6 +77,9 @@ class Graph:
     regions: list[dict] = field(default_factory=list)  #: region, description, hemisphere, category
     edge_types: dict[str, str] = field(default_factory=dict)  #: code -> name
     persist: bool = False
+    text_index: object | None = None  #: a :class:`graphloom.sources.text_index.TextIndex`, which free text then uses
+    edges_by_post: DataFrame | None = None  #: the edges once more, laid out by their end
+    pairs_by_post: DataFrame | None = None
     extra: dict[str, Callable[[], DataFrame]] = field(default_factory=dict)
 
     def _kept(self, df: DataFrame) -> DataFrame:

@@ -10,14 +10,20 @@ from graphloom.plans.language import QueryError
 from graphloom.storage import cut
 
 
-def pairs_over(g: Graph, least: int = 0) -> DataFrame:
-    """Pair weights of at least ``least``; 0 keeps all."""
-    return g.pairs.where(F.col("weight") >= least) if least else g.pairs
+def pairs_over(g: Graph, least: int = 0, by_end: bool = False) -> DataFrame:
+    """Pair weights of at least ``least``; 0 keeps all. ``by_end``: from the layout by end, where there is one."""
+    pairs = g.pairs_by_post if by_end and g.pairs_by_post is not None else g.pairs
+    return pairs.where(F.col("weight") >= least) if least else pairs
+
+
+def ending(g: Graph) -> DataFrame:
+    """The edges from the layout by end, where there is one."""
+    return g.edges_by_post if g.edges_by_post is not None else g.edges
 
 
 def upstream(g: Graph, x: int, regions: set[str] | None = None, least: int = 0) -> DataFrame:
     """root_id of the nodes with an edge into x; ``least`` bounds the pair's weight."""
-    e = g.edges.where(F.col("region").isin(*regions)) if regions is not None else pairs_over(g, least)
+    e = ending(g).where(F.col("region").isin(*regions)) if regions is not None else pairs_over(g, least, by_end=True)
     return e.where(F.col("post_id") == x).select(F.col("pre_id").alias("root_id")).distinct()
 
 
@@ -55,8 +61,10 @@ def up_down(g: Graph, x: int) -> DataFrame:
 
 
 def incident(g: Graph, x: int) -> DataFrame:
-    """The edge rows of one node."""
-    return g.edges.where((F.col("pre_id") == x) | (F.col("post_id") == x))
+    """The edge rows of one node: with a layout by end, those that start there and those that only end there, each from its own."""
+    if g.edges_by_post is None:
+        return g.edges.where((F.col("pre_id") == x) | (F.col("post_id") == x))
+    return g.edges.where(F.col("pre_id") == x).unionAll(g.edges_by_post.where((F.col("post_id") == x) & (F.col("pre_id") != x)))
 
 
 def edge_filter(edges: DataFrame, g: Graph, least: int = 0, edge_type: str | None = None, regions: set[str] | None = None) -> DataFrame:

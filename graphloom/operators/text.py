@@ -38,7 +38,12 @@ def value_table(g: Graph) -> DataFrame:
 
 
 def lookup(g: Graph, term: str, case_sensitive: bool = False, word_match: bool = False) -> DataFrame:
-    """root_id and its best tier: 1 a token, 2 a value (of any case), 3 a token's start, 4 within a label; 3 and 4 unless ``word_match``."""
+    """root_id and its best tier: 1 a token, 2 a value (of any case), 3 a token's start, 4 within a label; 3 and 4 unless ``word_match``.
+
+    A graph with a text index is looked up there, else all labels are split and searched.
+    """
+    if g.text_index is not None and term and "\0" not in term:
+        return g.text_index.lookup(term, case_sensitive, word_match)
     t = term if case_sensitive else term.lower()
     token = F.col("token" if case_sensitive else "token_lc")
     label = F.col("label") if case_sensitive else F.lower("label")
@@ -73,6 +78,8 @@ def all_ids(g: Graph) -> DataFrame:
 
 def closest_token(g: Graph, term: str, case_sensitive: bool = False, within: DataFrame | None = None) -> DataFrame:
     """The token nearest to a term that is no stop word, with its distance; ties alphabetical. ``within``: of these root_ids only."""
+    if g.text_index is not None and within is None and term:
+        return g.text_index.nearest(term, case_sensitive)
     t = token_table(g)
     if within is not None:
         t = t.join(within.select("root_id").distinct(), "root_id", "left_semi")

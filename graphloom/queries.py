@@ -15,7 +15,7 @@ from graphloom.operators.motif import Motif
 from graphloom.plans import compiler
 from graphloom.sources import csv_tables
 from graphloom.sources.driver_tables import graph as part_graph
-from graphloom.sources.driver_tables import read, supplier_graph
+from graphloom.sources.driver_tables import read, stored_graph, supplier_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -180,6 +180,19 @@ _add("text_token", lambda g: text.lookup(g, "bolt", word_match=True), _with("SEL
 _add("text_all_tokens", lambda g: text.search(g, "red bolt").select("root_id", F.col("rank.group").alias("grp")),
      _with("SELECT root_id, CAST(CASE WHEN count(DISTINCT w) = 2 THEN 1 ELSE 2 END AS INTEGER) AS grp FROM lab JOIN (VALUES ('red'), ('bolt')) t(w) ON contains(lower(label), w) GROUP BY 1", _TOKENS))
 _add("did_you_mean", lambda g: text.closest_token(g, "bollt"), _with("SELECT token, CAST(levenshtein(token, 'bollt') AS INTEGER) AS distance FROM (SELECT DISTINCT lower(label) AS token FROM lab) ORDER BY 2, 1 LIMIT 1", _TOKENS))
+# the same from the index that a committed snapshot keeps
+for _name in ("text_ranked", "text_token", "text_all_tokens", "did_you_mean"):
+    QUERIES[f"index_{_name}"] = {
+        "text_ranked": lambda spark, sf_dir: text.lookup(stored_graph(spark, sf_dir), "bol"),
+        "text_token": lambda spark, sf_dir: text.lookup(stored_graph(spark, sf_dir), "bolt", word_match=True),
+        "text_all_tokens": lambda spark, sf_dir: text.search(stored_graph(spark, sf_dir), "red bolt").select("root_id", F.col("rank.group").alias("grp")),
+        "did_you_mean": lambda spark, sf_dir: text.closest_token(stored_graph(spark, sf_dir), "bollt"),
+    }[_name]
+    ORACLE[f"index_{_name}"] = ORACLE[_name]
+_add("index_part", lambda g: text.lookup(g, "ol"), _with("SELECT root_id, CAST(min(CASE WHEN starts_with(lower(label), 'ol') THEN 3 ELSE 4 END) AS INTEGER) AS tier FROM lab WHERE contains(lower(label), 'ol') GROUP BY 1", _TOKENS), stored_graph)
+_add("stored_edges_of_a_node", lambda g: graph.incident(g, 1), _with("SELECT * FROM edges WHERE pre_id = 1 OR post_id = 1"), stored_graph)
+_add("stored_inputs", lambda g: compiler.search(g, "^^ 1 || left ^R 7").select("root_id"), _with("SELECT DISTINCT pre_id AS root_id FROM edges WHERE post_id = 1 OR (post_id = 7 AND region = 'A_L')"), stored_graph)
+_add("stored_nodes", lambda g: g.nodes.select("root_id", "class", "nt_type", "input_cells", "output_synapses", F.array_join("label", " ").alias("label")), _with("SELECT root_id, class, nt_type, input_cells, output_synapses, array_to_string(label, ' ') AS label FROM nodes"), stored_graph)
 ORACLE["document_tokens"] = """SELECT token, count(*) AS n FROM (
   SELECT regexp_replace(regexp_replace(t, '[.'']$', ''), '^[.'']', '') AS token FROM (
     SELECT unnest(regexp_split_to_array(replace(replace(replace(translate(text, '=-,?!;:/()[]"&', '              '), ''' ', ' '), ' ''', ' '), '. ', ' '), '\\s+')) AS t FROM documents)) WHERE token <> '' GROUP BY 1"""

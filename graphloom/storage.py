@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,3 +42,61 @@ def numbered(df: DataFrame, order: tuple[Column, ...], name: str) -> DataFrame:
     within = F.row_number().over(Window.partitionBy("own_part").orderBy(*order))
     placed = parts.withColumn("own_within", within).join(F.broadcast(before), "own_part").withColumn(name, F.col("own_before") + F.col("own_within"))
     return placed.drop("own_part", "own_before", "own_within")
+
+
+_made: dict[str, SparkSession] = {}
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder or file wherever Spark can reach it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _made.pop(path, None)
+
+
+@atexit.register
+def release() -> None:
+    """Deletes what :func:`scratch` named and nobody deleted; runs by itself when Python ends."""
+    while _made:
+        path, spark = _made.popitem()
+        try:
+            delete(spark, path)
+        except Exception:  # noqa: BLE001 - the session has ended; its owner clears the folder
+            return
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    path = f"{shared_folder(spark)}/graph-{name}-{uuid.uuid4().hex}"
+    _made[path] = spark
+    return path
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` as a Parquet table in the shared folder, and its path for :func:`delete`."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+class Buckets:
+    """Tables bucketed by one column into as many buckets as a shuffle has partitions, so that joins on it move one side only."""
+
+    def __init__(self, spark: SparkSession, column: str):
+        self.spark, self.column, self.n = spark, column, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        self.made: dict[str, str] = {}
+
+    def put(self, df: DataFrame) -> tuple[str, DataFrame]:
+        name, path = f"graph_{uuid.uuid4().hex}", scratch(self.spark, "bucketed")
+        df.write.bucketBy(self.n, self.column).sortBy(self.column).option("path", path).saveAsTable(name)
+        self.made[name] = path
+        return name, self.spark.table(name)
+
+    def drop(self, name: str | None) -> None:
+        if name is not None:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            delete(self.spark, self.made.pop(name))
+
+    def close(self) -> None:
+        for name in list(self.made):
+            self.drop(name)
