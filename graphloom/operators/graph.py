@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.model import Graph
+from graphloom.operators import reach
 from graphloom.plans.language import QueryError
-from graphloom.storage import cut
 
 
 def pairs_over(g: Graph, least: int = 0, by_end: bool = False) -> DataFrame:
@@ -99,35 +99,12 @@ def connections(g: Graph, ids: DataFrame, induced: bool = False, least: int = 0,
     return between(edges, ids, ids) if induced else touching(edges, ids)
 
 
-def distances(pairs: DataFrame, sources: DataFrame, *, up: bool = False, max_depth: int | None = None, stop_at: int | None = None) -> DataFrame:
-    """Hops from each source: source, root_id, depth, by breadth-first search over ``pairs`` (pre_id, post_id).
-
-    ``sources`` has source and root_id (several rows of a source start together). A job for each hop joins the frontier with
-    the edges and takes away what was seen; every frontier is written out, so that the plan does not grow. It ends when a
-    frontier is empty, at ``max_depth``, or when ``stop_at`` is reached.
-    """
-    a, b = ("post_id", "pre_id") if up else ("pre_id", "post_id")
-    steps = pairs.select(F.col(a).alias("root_id"), F.col(b).alias("next"))
-    frontier = cut(sources.select("source", "root_id").distinct().withColumn("depth", F.lit(0)))
-    seen, depth = frontier, 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        found = frontier.join(steps, "root_id").select("source", F.col("next").alias("root_id")).distinct()
-        frontier = cut(found.join(seen, ["source", "root_id"], "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            break
-        seen = seen.unionAll(frontier)
-        if stop_at is not None and not frontier.where(F.col("root_id") == stop_at).isEmpty():
-            break
-    return seen
-
-
 def _from(spark: SparkSession, ids: list[int]) -> DataFrame:
     return spark.createDataFrame([(i, i) for i in ids], "source bigint, root_id bigint")
 
 
 def distances_from(g: Graph, x: int, *, up: bool = False, least: int = 0, max_depth: int | None = None, stop_at: int | None = None) -> DataFrame:
-    return distances(pairs_over(g, least), _from(g.spark, [x]), up=up, max_depth=max_depth, stop_at=stop_at).select("root_id", "depth")
+    return reach.distances(pairs_over(g, least), _from(g.spark, [x]), up=up, max_depth=max_depth, stop_at=stop_at).select("root_id", "depth")
 
 
 def hop_histogram(reached: DataFrame, total: int) -> DataFrame:
@@ -140,15 +117,7 @@ def hop_histogram(reached: DataFrame, total: int) -> DataFrame:
 
 def path_nodes(g: Graph, source: int, target: int, least: int = 0) -> DataFrame:
     """root_id and depth of the nodes on any shortest path; empty if there is none or both ends are one."""
-    none = g.spark.createDataFrame([], "root_id bigint, depth int")
-    if source == target:
-        return none
-    there = distances_from(g, source, least=least, stop_at=target)
-    end = there.where(F.col("root_id") == target).first()
-    if end is None:
-        return none
-    back = distances_from(g, target, up=True, least=least, stop_at=source, max_depth=end["depth"])
-    return there.join(back.withColumnRenamed("depth", "left"), "root_id").where(F.col("depth") + F.col("left") == end["depth"]).select("root_id", "depth")
+    return reach.between(g, source, target, least).nodes
 
 
 def path_edges(g: Graph, source: int, target: int, least: int = 0) -> DataFrame:
@@ -168,7 +137,7 @@ def sorted_layers(g: Graph, source: int, target: int, least: int = 0) -> DataFra
 
 def distance_matrix(g: Graph, sources: list[int], targets: list[int], least: int = 0) -> DataFrame:
     """source, target, hops of every pair of two short lists: -1 if unreachable, 0 for itself."""
-    d = distances(pairs_over(g, least), _from(g.spark, sources))
+    d = reach.distances(pairs_over(g, least), _from(g.spark, sources), targets=g.spark.createDataFrame([(t,) for t in set(targets)], "root_id bigint"))
     grid = g.spark.createDataFrame([(s, t) for s in sorted(set(sources)) for t in sorted(set(targets))], "source bigint, target bigint")
     return grid.join(d.withColumnRenamed("root_id", "target"), ["source", "target"], "left").select("source", "target", F.coalesce("depth", F.lit(-1)).alias("hops"))
 

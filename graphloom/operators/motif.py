@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import permutations
 
 from pyspark.sql import Column, DataFrame
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.regions import edge_type, region_list
 from graphloom.model import Graph
+from graphloom.operators import patterns
 from graphloom.plans import compiler
 from graphloom.plans.language import QueryError, parse
+from graphloom.storage import written
 
 DEFAULT_WEIGHT = 5
 
@@ -93,53 +96,77 @@ class Motif:
         """A column for each node of the pattern.
 
         With two nodes a direction without an edge may be anything, and both may be one node by its loop. With three, an edge
-        that is not in the pattern must not be there, and the nodes differ. A node without edges is joined to the rest of the
-        pattern by its own query, so that case needs a ``limit``. ``with_edges``: pairs also get their edge rows as JSON.
+        that is not in the pattern must not be there, and the nodes differ. A node without edges stands beside the rest of the
+        pattern by its own query, so that case needs a ``limit``. ``with_edges``: with ``nodes`` and ``edges`` as JSON.
         """
         g, names = self.graph, list(self.nodes)
         if not names:
             raise QueryError("a pattern has a node at least.")
         if len(names) > 1 and not self.edges:
             raise QueryError("a pattern of several nodes has an edge at least.")
+        touched = {n for pair in self.edges for n in pair}
+        free = [n for n in names if n not in touched]
+        if len(names) > 1 and free and not limit:
+            raise QueryError(f"node {free[0]} has no edge; give a limit.")
         if len(names) == 1:
             c = self._candidates(names[0])
             out = c if c is not None else g.nodes.select(F.col("root_id").alias(names[0]))
-            return out.limit(limit) if limit else out
-        out: DataFrame | None = None
-        left = list(self.edges.values())
-        while left:
-            # edges that share a node with what is there first
-            e = next((x for x in left if out is None or {x.start, x.end} & set(out.columns)), left[0])
-            left.remove(e)
-            rows = self._requested(e)
-            if out is None:
-                out = rows
-            else:
-                on = [c for c in rows.columns if c in out.columns]
-                out = out.join(rows, on)
-        for n in names:
-            if n not in out.columns:
-                if not limit:
-                    raise QueryError(f"node {n} has no edge; give a limit.")
-                c = self._candidates(n)
-                free = c if c is not None else g.nodes.select(F.col("root_id").alias(n))
-                out = out.join(free)
-        if len(names) == 3:
-            a, b, c = names
-            out = out.where((F.col(a) != F.col(b)) & (F.col(b) != F.col(c)) & (F.col(a) != F.col(c)))
-            for s, t in permutations(names, 2):
-                if (s, t) not in self.edges:
-                    out = out.join(g.pairs.select(F.col("pre_id").alias(s), F.col("post_id").alias(t)), [s, t], "left_anti")
+        elif len(names) == 2:
+            out = self._pair(names)
+        elif free:
+            out = self._beside(self._pair([n for n in names if n in touched]), free[0], limit)
+        else:
+            out = patterns.three(g, names, {pair: e.condition() for pair, e in self.edges.items()}, {n: self._candidates(n) for n in names})
         out = out.select(*names)
         if limit:
             out = out.limit(limit)
-        return self._with_edges(out) if with_edges and len(names) == 2 else out
+        return self._told(out) if with_edges else out
+
+    def _pair(self, names: list[str]) -> DataFrame:
+        rows = [self._requested(e) for e in self.edges.values()]
+        return rows[0] if len(rows) == 1 else rows[0].join(rows[1], names)
+
+    def _beside(self, pairs: DataFrame, name: str, limit: int) -> DataFrame:
+        """Pairs of different nodes with a node that is neither of them nor a neighbour of either.
 
-    def _with_edges(self, found: DataFrame) -> DataFrame:
-        a, b = self.nodes
+        ``limit`` pairs and as many free nodes as these and their neighbours can exclude, and ``limit`` more, are tried first;
+        only if those have too few matches are all pairs and nodes.
+        """
+        a, b = [n for n in self.nodes if n != name]
+        g, c = self.graph, self._candidates(name)
+        if (a, b) not in self.edges or (b, a) not in self.edges:
+            back = g.pairs.select(F.col("pre_id").alias(b), F.col("post_id").alias(a)) if (a, b) in self.edges else g.pairs.select(F.col("pre_id").alias(a), F.col("post_id").alias(b))
+            pairs = pairs.join(back, [a, b], "left_anti")
+        pairs = pairs.where(F.col(a) != F.col(b))
+        free = c if c is not None else g.nodes.select(F.col("root_id").alias(name))
+        ways = g.pairs.select(F.col("pre_id").alias("x"), F.col("post_id").alias(name)).unionAll(g.pairs.select("post_id", "pre_id"))
+
+        def apart(p: DataFrame, f: DataFrame) -> DataFrame:
+            out = p.crossJoin(f).where((F.col(name) != F.col(a)) & (F.col(name) != F.col(b)))
+            for n in (a, b):
+                out = out.join(ways.withColumnRenamed("x", n), [n, name], "left_anti")
+            return out
+
+        few, _ = written(pairs.limit(limit), "few")
+        ends = few.select(F.explode(F.array(a, b)).alias("x")).distinct()
+        most = ways.join(ends, "x", "left_semi").groupBy("x").count().agg(F.max("count")).first()[0] or 0
+        tried, _ = written(apart(few, free.limit(limit + 2 * most + 2)).limit(limit), "tried")
+        return tried if tried.count() == limit else apart(pairs, free)
+
+    def _told(self, found: DataFrame) -> DataFrame:
+        """Matches with ``nodes`` (id and name of each, in order) and ``edges`` (all rows that satisfy an edge of the pattern) as JSON."""
+        names, g = list(self.nodes), self.graph
+        found, _ = written(found, "matches")
+        named = found
+        for n in names:
+            named = named.join(g.nodes.select(F.col("root_id").alias(n), F.col("name").alias(f"name_{n}")), n, "left")
+        out = named.select(*names, F.to_json(F.array(*[F.struct(F.col(n).cast("string").alias("id"), F.col(f"name_{n}").alias("name")) for n in names])).alias("nodes"))
         rows = []
         for e in self.edges.values():
-            r = self.graph.edges.where(e.condition()).withColumnsRenamed({"pre_id": e.start, "post_id": e.end})
-            rows.append(r.select(a, b, F.struct(F.col(e.start).cast("string").alias("from"), F.col(e.end).cast("string").alias("to"), "region", "weight", "edge_type").alias("e")))
-        all_rows = rows[0] if len(rows) == 1 else rows[0].unionAll(rows[1])
-        return found.join(all_rows.groupBy(a, b).agg(F.to_json(F.sort_array(F.collect_list("e"))).alias("edges")), [a, b], "left")
+            r = g.edges.where(e.condition()).select(F.col("pre_id").alias(e.start), F.col("post_id").alias(e.end), "region", "weight", "edge_type")
+            row = F.struct(F.col(e.start).cast("string").alias("from"), F.col(e.end).cast("string").alias("to"), "region", "weight", "edge_type")
+            rows.append(found.join(r, [e.start, e.end]).select(*names, row.alias("e")))
+        if not rows:
+            return out.withColumn("edges", F.lit("[]"))
+        all_rows = reduce(DataFrame.unionAll, rows)
+        return out.join(all_rows.groupBy(*names).agg(F.to_json(F.sort_array(F.collect_list("e"))).alias("edges")), names, "left")

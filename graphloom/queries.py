@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import regions as region_fn
 from graphloom.functions import text as text_fn
 from graphloom.model import Graph
-from graphloom.operators import analytics, graph, ingest, labels, network, ordering, similarity, text
+from graphloom.operators import analytics, graph, ingest, labels, network, ordering, reach, similarity, text
 from graphloom.operators.motif import Motif
 from graphloom.plans import compiler
 from graphloom.sources import csv_tables
@@ -127,6 +127,11 @@ _MANY = "reach(s, n, d) AS (SELECT s, s, 0 FROM (VALUES (CAST(1 AS BIGINT)), (2)
 _add("distance_matrix", lambda g: graph.distance_matrix(g, [1, 2, 3, 4], [1, 5, 6, 7, 8], least=40),
      _with("SELECT s AS source, t AS target, CAST(coalesce(depth, -1) AS INTEGER) AS hops FROM (VALUES (CAST(1 AS BIGINT)), (2), (3), (4)) v(s) CROSS JOIN (VALUES (CAST(1 AS BIGINT)), (5), (6), (7), (8)) w(t) LEFT JOIN dist USING (s) WHERE false UNION ALL SELECT v.s, w.t, CAST(coalesce((SELECT depth FROM dist x WHERE x.s = v.s AND x.n = w.t), -1) AS INTEGER) FROM (VALUES (CAST(1 AS BIGINT)), (2), (3), (4)) v(s) CROSS JOIN (VALUES (CAST(1 AS BIGINT)), (5), (6), (7), (8)) w(t)", _STRONG, _MANY, recursive=True))
 ORACLE["distance_matrix"] = _with("SELECT v.s AS source, w.t AS target, CAST(coalesce(x.depth, -1) AS INTEGER) AS hops FROM (VALUES (CAST(1 AS BIGINT)), (2), (3), (4)) v(s) CROSS JOIN (VALUES (CAST(1 AS BIGINT)), (5), (6), (7), (8)) w(t) LEFT JOIN dist x ON x.s = v.s AND x.n = w.t", _STRONG, _MANY, recursive=True)
+_EVERY = "reach(s, n, d) AS (SELECT root_id, root_id, 0 FROM nodes WHERE root_id % 20 = 0 UNION SELECT s, post_id, d + 1 FROM reach JOIN step ON n = pre_id WHERE d < 5), dist AS (SELECT s AS source, n AS root_id, min(d) AS depth FROM reach GROUP BY 1, 2)"
+_add("distances_of_many", lambda g: reach.distances(graph.pairs_over(g, 45), g.nodes.where("root_id % 20 = 0").select(F.col("root_id").alias("source"), "root_id"), max_depth=5),
+     _with("SELECT source, root_id, CAST(depth AS INTEGER) AS depth FROM dist", _STRONG.replace("40", "45"), _EVERY, recursive=True))
+_add("distance_matrix_many", lambda g: reach.distances(graph.pairs_over(g, 45), g.nodes.where("root_id % 20 = 0").select(F.col("root_id").alias("source"), "root_id"), max_depth=5, up=True, targets=g.nodes.where("root_id % 20 = 1")),
+     _with("SELECT source, root_id, CAST(depth AS INTEGER) AS depth FROM dist WHERE root_id % 20 = 1", _STRONG.replace("40", "45"), _EVERY.replace("SELECT s, post_id, d + 1 FROM reach JOIN step ON n = pre_id", "SELECT s, pre_id, d + 1 FROM reach JOIN step ON n = post_id"), recursive=True))
 _BOTH = """f(n, d) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT post_id, d + 1 FROM f JOIN step ON n = pre_id WHERE d < 12),
 b(n, d) AS (SELECT CAST(7 AS BIGINT), 0 UNION SELECT pre_id, d + 1 FROM b JOIN step ON n = post_id WHERE d < 12),
 fd AS (SELECT n, min(d) AS d FROM f GROUP BY 1), bd AS (SELECT n, min(d) AS d FROM b GROUP BY 1),
@@ -300,6 +305,17 @@ _add("motif_feedforward_induced", lambda g: Motif(g).node("A").node("B").node("C
 ORACLE["motif_triangle_cycle"] = _with('SELECT x.pre_id AS "A", x.post_id AS "B", y.post_id AS "C" FROM pairs x JOIN pairs y ON x.post_id = y.pre_id JOIN pairs z ON z.pre_id = y.post_id AND z.post_id = x.pre_id WHERE x.pre_id <> x.post_id AND x.post_id <> y.post_id AND x.pre_id <> y.post_id AND (x.post_id, x.pre_id) NOT IN (SELECT pre_id, post_id FROM pairs) AND (y.post_id, x.post_id) NOT IN (SELECT pre_id, post_id FROM pairs) AND (x.pre_id, y.post_id) NOT IN (SELECT pre_id, post_id FROM pairs)')
 _add("motif_pair_edges", lambda g: Motif(g).node("A", "class == Brand#13").node("B").edge("A", "B", least=48).matches(with_edges=True).select("A", "B", F.length("edges").alias("chars")), None)
 
+_ROW_JSON = """'{"from":"' || pre_id || '","to":"' || post_id || '","region":"' || region || '","weight":' || weight || ',"edge_type":"' || edge_type || '"}'"""
+_ROW_ORDER = "CAST(pre_id AS VARCHAR), CAST(post_id AS VARCHAR), region, weight, edge_type"
+_add("motif_pair_rows", lambda g: Motif(g).node("A", "class == Brand#13").node("B").edge("A", "B", least=48).matches(with_edges=True),
+     _with(f"""SELECT pre_id AS "A", post_id AS "B", '[{{"id":"' || pre_id || '","name":""}},{{"id":"' || post_id || '","name":""}}]' AS nodes, '[' || string_agg({_ROW_JSON}, ',' ORDER BY {_ROW_ORDER}) || ']' AS edges FROM edges WHERE weight >= 48 AND pre_id IN (SELECT root_id FROM nodes WHERE class = 'Brand#13') GROUP BY 1, 2"""))
+_APART = "NOT EXISTS (SELECT 1 FROM pairs r WHERE r.pre_id = {1} AND r.post_id = {0})"
+_CHAIN = "m AS (SELECT DISTINCT x.pre_id AS a, x.post_id AS b, y.post_id AS c FROM edges x JOIN edges y ON x.post_id = y.pre_id WHERE x.weight >= 40 AND y.region = 'N' AND x.pre_id <> x.post_id AND y.pre_id <> y.post_id AND x.pre_id <> y.post_id AND x.pre_id IN (SELECT root_id FROM nodes WHERE class = 'Brand#13') AND " + " AND ".join(_APART.format(*p) for p in (("x.pre_id", "x.post_id"), ("y.pre_id", "y.post_id"), ("x.pre_id", "y.post_id"), ("y.post_id", "x.pre_id"))) + ")"
+_add("motif_chain_rows", lambda g: Motif(g).node("A", "class == Brand#13").node("B").node("C").edge("A", "B", least=40).edge("B", "C", "N").matches(with_edges=True).select("A", "B", "C", "edges"),
+     _with(f"""SELECT a AS "A", b AS "B", c AS "C", '[' || string_agg({_ROW_JSON}, ',' ORDER BY {_ROW_ORDER}) || ']' AS edges FROM m JOIN edges ON (pre_id = a AND post_id = b AND weight >= 40) OR (pre_id = b AND post_id = c AND region = 'N') GROUP BY 1, 2, 3""", _CHAIN))
+_add("motif_dense_cycle", lambda g: Motif(g).node("A").node("B").node("C").edge("A", "B", least=200).edge("B", "C").edge("C", "A").edge("A", "C").edge("B", "A", least=150).edge("C", "B").matches(),
+     _with('SELECT ab.pre_id AS "A", ab.post_id AS "B", bc.post_id AS "C" FROM pairs ab JOIN pairs bc ON ab.post_id = bc.pre_id JOIN pairs ca ON ca.pre_id = bc.post_id AND ca.post_id = ab.pre_id JOIN pairs ac ON ac.pre_id = ab.pre_id AND ac.post_id = bc.post_id JOIN pairs ba ON ba.pre_id = ab.post_id AND ba.post_id = ab.pre_id JOIN pairs cb ON cb.pre_id = bc.post_id AND cb.post_id = ab.post_id WHERE ab.pre_id <> ab.post_id AND bc.pre_id <> bc.post_id AND ca.pre_id <> ca.post_id AND EXISTS (SELECT 1 FROM edges e WHERE e.pre_id = ab.pre_id AND e.post_id = ab.post_id AND e.weight >= 200) AND EXISTS (SELECT 1 FROM edges e WHERE e.pre_id = ba.pre_id AND e.post_id = ba.post_id AND e.weight >= 150)', key="l_suppkey"), supplier_graph)
+
 # ingest, labels, functions and exports
 
 _add("auto_names", lambda g: ingest.named(g.nodes).select("root_id", "name"),

@@ -80,22 +80,22 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 
 class Buckets:
-    """Tables bucketed by one column into as many buckets as a shuffle has partitions, so that joins on it move one side only."""
+    """Tables in the shared folder, bucketed into as many buckets as a shuffle has partitions, so that joins on these columns move the other side only."""
 
-    def __init__(self, spark: SparkSession, column: str):
-        self.spark, self.column, self.n = spark, column, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    def __init__(self, spark: SparkSession):
+        self.spark, self.n = spark, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.made: dict[str, str] = {}
 
-    def put(self, df: DataFrame) -> tuple[str, DataFrame]:
+    def put(self, df: DataFrame, *columns: str) -> tuple[str, DataFrame]:
+        """The table's name, for :meth:`drop`, and the table."""
         name, path = f"graph_{uuid.uuid4().hex}", scratch(self.spark, "bucketed")
-        df.write.bucketBy(self.n, self.column).sortBy(self.column).option("path", path).saveAsTable(name)
+        df.write.bucketBy(self.n, *columns).sortBy(*columns).option("path", path).saveAsTable(name)
         self.made[name] = path
         return name, self.spark.table(name)
 
-    def drop(self, name: str | None) -> None:
-        if name is not None:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-            delete(self.spark, self.made.pop(name))
+    def drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete(self.spark, self.made.pop(name))
 
     def close(self) -> None:
         for name in list(self.made):
