@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.model import Graph
@@ -73,12 +75,46 @@ def sum_and(conditions):
     return out
 
 
-def similar_to_any(g: Graph, ids: list[int], **how) -> DataFrame:
-    """The union of what is similar to each of a short list of nodes, with the best score."""
-    out = similar_connectivity(g, ids[0], **how)
-    for x in ids[1:]:
-        out = out.unionAll(similar_connectivity(g, x, **how))
-    return out.groupBy("root_id").agg(F.max("score").alias("score"))
+HUB = 20_000  #: pairs of a shared partner that one key of the join holds, about
+
+
+def _shared(pairs: DataFrame, queries: DataFrame, own: str, other: str, weighted: bool, name: str) -> DataFrame:
+    """query, root_id and Jaccard similarity of every node that shares a partner with a query.
+
+    Partners with many pairs are dealt to several keys, to each of which the queries' rows go too; sums of a query and node are
+    partial before they are shuffled.
+    """
+    p = pairs.select(F.col(own).alias("root_id"), F.col(other).alias("partner"), "weight")
+    mine = p.join(queries.select(F.col("root_id")), "root_id", "left_semi").select(F.col("root_id").alias("query"), "partner", F.col("weight").alias("mine"))
+    hubs = p.groupBy("partner").agg(F.ceil(F.count("*") / F.lit(HUB)).cast("int").alias("parts")).where("parts > 1")
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = p.join(hubs, "partner", "left").withColumn("part", F.pmod(F.xxhash64("root_id"), parts).cast("int")).drop("parts")
+    asked = mine.join(hubs.withColumnRenamed("parts", "n"), "partner", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("n", F.lit(1)) - 1))).drop("n")
+    one = F.least("weight", "mine") if weighted else F.lit(1)
+    shared = dealt.join(asked, ["partner", "part"]).groupBy("query", "root_id").agg(F.sum(one).alias("shared"))
+    total = p.groupBy("root_id").agg((F.sum("weight") if weighted else F.count("*")).alias("all"))
+    of_query = total.select(F.col("root_id").alias("query"), F.col("all").alias("all_query"))
+    return shared.join(total, "root_id").join(of_query, "query").select("query", "root_id", (F.col("shared") / (F.col("all") + F.col("all_query") - F.col("shared"))).alias(name))
+
+
+def similar_many(g: Graph, queries: DataFrame, *, up: bool = True, down: bool = True, weighted: bool = False, good: float = 0.2, least: float = 0.1, first: int = 20) -> DataFrame:
+    """query, root_id and score for all of ``queries`` (root_id) at once, as :func:`similar_connectivity` has them for one node."""
+    asked = queries.select("root_id").distinct()
+    sides = [_shared(g.pairs, asked, own, other, weighted, name) for wanted, own, other, name in ((up, "post_id", "pre_id", "i"), (down, "pre_id", "post_id", "o")) if wanted]
+    both = reduce(lambda a, b: a.join(b, ["query", "root_id"], "full_outer"), sides)
+    names = [c for c in both.columns if c not in ("query", "root_id")]
+    scored = both.select("query", "root_id", (sum((F.coalesce(F.col(c), F.lit(0.0)) for c in names), F.lit(0.0)) / len(names)).alias("score")).where(F.col("score") >= least)
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "root_id"))
+    return scored.withColumn("place", place).where((F.col("score") >= good) | (F.col("place") <= first)).drop("place")
+
+
+def similar_to_any(g: Graph, ids: list[int], same: tuple[str, ...] = (), ratio: float | None = None, **how) -> DataFrame:
+    """The union of what is similar to each of some nodes, with the best score; options as for :func:`similar_connectivity`."""
+    if same or ratio:
+        rows = reduce(DataFrame.unionAll, [similar_connectivity(g, x, same=same, ratio=ratio, **how) for x in ids])
+    else:
+        rows = similar_many(g, g.spark.createDataFrame([(x,) for x in ids], "root_id bigint"), **how)
+    return rows.groupBy("root_id").agg(F.max("score").alias("score"))
 
 
 def ranked(scores: DataFrame, column: str = "score") -> DataFrame:

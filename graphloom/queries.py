@@ -15,7 +15,7 @@ from graphloom.operators.motif import Motif
 from graphloom.plans import compiler
 from graphloom.sources import csv_tables
 from graphloom.sources.driver_tables import graph as part_graph
-from graphloom.sources.driver_tables import read, stored_graph, supplier_graph
+from graphloom.sources.driver_tables import read, stored_graph, strong_supplier_graph, supplier_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -146,9 +146,8 @@ _add("filter_pathways", lambda g: compiler.search(g, "1 -> 7").select("root_id")
 # similarity
 
 _SHAPE = """v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
-sim AS (SELECT a.vec_id AS src, b.vec_id AS dst, CAST(floor(10 * list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) + 1e-9) AS INTEGER) AS score FROM v a JOIN v b ON a.vec_id < 50 AND a.vec_id <> b.vec_id)"""
-# the graph has the scores of all sources; this query shows those that its SQL names
-_add("shape_scores", lambda g: g.shape_sim.where("src < 50"), f"WITH {_SHAPE} SELECT * FROM sim WHERE score >= 2")
+sim AS (SELECT a.vec_id AS src, b.vec_id AS dst, CAST(floor(10 * list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) + 1e-9) AS INTEGER) AS score FROM v a JOIN v b ON (a.vec_id = 7 OR a.vec_id % 20 = 0) AND a.vec_id <> b.vec_id)"""
+_add("shape_scores", lambda g: g.shape_sim.where("src % 20 = 0"), f"WITH {_SHAPE} SELECT * FROM sim WHERE score >= 2 AND src % 20 = 0")
 _add("shape_similar", lambda g: similarity.similar_shape(g, 7, least=2), f"WITH {_SHAPE} SELECT dst AS root_id, score FROM sim WHERE src = 7 AND score >= 2 UNION ALL SELECT 7, 10")
 
 
@@ -170,13 +169,43 @@ _IN, _OUT = ("post_id", "pre_id"), ("pre_id", "post_id")
 for _name, _sides, _weighted in (("jaccard_down", [_OUT], False), ("jaccard_up", [_IN], False), ("jaccard_both", [_IN, _OUT], False), ("jaccard_weighted_down", [_OUT], True), ("jaccard_weighted_up", [_IN], True), ("jaccard_weighted_both", [_IN, _OUT], True)):
     _add(_name, lambda g, s=tuple(_sides), w=_weighted: similarity.similar_connectivity(g, 1, up=_IN in s, down=_OUT in s, weighted=w).select("root_id", F.round("score", 9).alias("score")), _jaccard_sql(_sides, _weighted), supplier_graph)
 
-# the same scores as filters of a search, over the sparser graph of parts, where neither all nodes pass nor none
-for _name, _op, _sides, _weighted in (("upstream", "~u", [_IN], False), ("downstream", "~d", [_OUT], False), ("connectivity", "~c", [_IN, _OUT], False), ("upstream_weighted", "~wu", [_IN], True), ("downstream_weighted", "~wd", [_OUT], True), ("connectivity_weighted", "~wc", [_IN, _OUT], True)):
+# the same scores as filters of a search, over the sparser graph of parts
+_FILTERS = (("upstream", "~u", [_IN], False), ("downstream", "~d", [_OUT], False), ("connectivity", "~c", [_IN, _OUT], False), ("upstream_weighted", "~wu", [_IN], True), ("downstream_weighted", "~wd", [_OUT], True), ("connectivity_weighted", "~wc", [_IN, _OUT], True))
+for _name, _op, _sides, _weighted in _FILTERS:
     _add(f"filter_similar_{_name}", lambda g, o=_op: compiler.search(g, f"{o} 1").select("root_id"), _jaccard_sql(_sides, _weighted, "l_partkey", "root_id"))
 _add("filter_similar_shape", lambda g: compiler.search(g, "~~ 7", shape_least=2).select("root_id"), _with("SELECT dst AS root_id FROM sim WHERE src = 7 AND score >= 2 AND dst IN (SELECT root_id FROM nodes) UNION SELECT 7", _SHAPE))
 _add("sort_similarity", lambda g: ordering.ranked(g, _brand(g), "jaccard_similarity:1").select("root_id", F.round("sort_value", 9).alias("sort_value"), "rank"),
      _with("SELECT root_id, round(score, 9) AS sort_value, row_number() OVER (ORDER BY score DESC NULLS LAST, root_id) AS rank FROM nodes LEFT JOIN (" + _jaccard_sql([_IN, _OUT], False, "l_partkey", "root_id, score") + ") x USING (root_id) WHERE class = 'Brand#13'"))
 
+# the heavier pairs of suppliers, where some nodes pass and others don't, by score and by place
+def _strong(sql: str) -> str:
+    """The query over the heavier pairs: ``pairs`` becomes those above three quarters of all in weight."""
+    return sql.replace("pairs AS MATERIALIZED (", "every AS MATERIALIZED (", 1).replace("FROM edges GROUP BY ALL)", "FROM edges GROUP BY ALL),\npairs AS MATERIALIZED (SELECT * FROM every WHERE weight >= (SELECT quantile_disc(weight, 0.75) FROM every))", 1)
+
+
+for _name, _op, _sides, _weighted in _FILTERS:
+    _add(f"filter_strong_{_name}", lambda g, o=_op: compiler.search(g, f"{o} 1").select("root_id"), _strong(_jaccard_sql(_sides, _weighted, columns="root_id")), strong_supplier_graph)
+    _key = f"jaccard_similarity{'_upstream' if _sides == [_IN] else '_downstream' if _sides == [_OUT] else ''}:1"
+    if not _weighted:
+        _add(f"sort_strong_{_name}", lambda g, k=_key: ordering.ranked(g, g.nodes, k).select("root_id", F.round("sort_value", 9).alias("sort_value"), "rank"),
+             "SELECT s_suppkey AS root_id, round(score, 9) AS sort_value, row_number() OVER (ORDER BY score DESC NULLS LAST, s_suppkey) AS rank FROM supplier LEFT JOIN (" + _strong(_jaccard_sql(_sides, _weighted, columns="root_id, score")) + ") x ON root_id = s_suppkey", strong_supplier_graph)
+
+
+def _many_sql(sides: list[tuple[str, str]], weighted: bool) -> str:
+    """Similarity to every node with an id divisible by 20."""
+    ctes, all_, names = [], "sum(weight)" if weighted else "count(*)", []
+    for i, (own, other) in enumerate(sides):
+        ctes.append(f"""t{i} AS (SELECT {own} AS root_id, {all_} AS n FROM pairs GROUP BY 1),
+j{i} AS (SELECT q, s.root_id, shared / (a.n + b.n - shared) AS j FROM (
+  SELECT m.{own} AS q, p.{own} AS root_id, {"sum(least(p.weight, m.weight))" if weighted else "count(*)"} AS shared FROM pairs p JOIN pairs m ON p.{other} = m.{other} AND m.{own} % 20 = 0 GROUP BY 1, 2) s JOIN t{i} a ON a.root_id = s.root_id JOIN t{i} b ON b.root_id = q)""")
+        names.append(f"SELECT * FROM j{i}")
+    ctes.append(f"sc AS (SELECT q, root_id, sum(j) / {len(sides)} AS score FROM ({' UNION ALL '.join(names)}) GROUP BY 1, 2 HAVING sum(j) / {len(sides)} >= 0.1), rk AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, root_id) AS k FROM sc)")
+    return _strong(_with("SELECT q AS query, root_id, round(score, 9) AS score FROM rk WHERE score >= 0.2 OR k <= 20", *ctes, key="l_suppkey"))
+
+
+for _name, _sides, _weighted in (("jaccard_many", [_IN, _OUT], False), ("jaccard_weighted_many", [_IN, _OUT], True), ("jaccard_up_many", [_IN], False)):
+    _add(_name, lambda g, s=tuple(_sides), w=_weighted: similarity.similar_many(g, g.nodes.where("root_id % 20 = 0"), up=_IN in s, down=_OUT in s, weighted=w).select("query", "root_id", F.round("score", 9).alias("score")), _many_sql(_sides, _weighted), strong_supplier_graph)
+
 # text
 
 _TOKENS = "lab AS (SELECT root_id, unnest(label) AS label FROM nodes)"

@@ -80,6 +80,18 @@ def supplier_graph(spark: SparkSession, sf_dir: str) -> Graph:
     return _graphs[key]
 
 
+def strong_supplier_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The supplier graph of its heavier pairs: those above three quarters of all in weight, without regions."""
+    key = (spark.sparkContext.applicationId, sf_dir, "strong")
+    if key not in _graphs:
+        g = supplier_graph(spark, sf_dir)
+        bound = g.pairs.agg(F.expr("percentile_disc(0.75) WITHIN GROUP (ORDER BY weight)").cast("bigint").alias("bound"))
+        strong = g.pairs.crossJoin(F.broadcast(bound)).where("weight >= bound").select("pre_id", "post_id", F.lit("N").alias("region"), "weight", F.lit("O").alias("edge_type")).persist()
+        nodes = g.nodes.select("root_id", "name").join(degrees(strong), "root_id", "left")
+        _graphs[key] = Graph(with_defaults(nodes), strong, regions=REGIONS, edge_types=EDGE_TYPES, persist=True)
+    return _graphs[key]
+
+
 def stored_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """The part graph as a committed snapshot with its text index and both layouts of edges, made once for each application."""
     key = (spark.sparkContext.applicationId, sf_dir, "stored")
