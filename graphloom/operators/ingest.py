@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.text import web_safe
 from graphloom.model import Graph, degrees, with_defaults
 from graphloom.operators import labels as label_ops
+from graphloom.sources.csv_tables import file_facts
 
 SHAPE_LEAST = 4
 SCORES = ("nt_type_score", "ach_avg", "gaba_avg", "glut_avg", "ser_avg", "oct_avg", "da_avg")
@@ -29,6 +31,44 @@ def decoded(c: Column, kind: str) -> Column:
     return F.coalesce(text.try_cast("bigint" if kind == "long" else "double"), F.lit(0 if kind == "long" else 0.0))
 
 
+#: Cells of each source that are whole numbers (l) or numbers (d); ids must be there, others may be empty.
+NUMBERS = {
+    "neurons": {"root_id": "l", **{c: "d" for c in SCORES}}, "classification": {"root_id": "l"}, "cell_types": {"root_id": "l"}, "connectivity_tags": {"root_id": "l"}, "nblast": {"root_id": "l"},
+    "cell_stats": {"root_id": "l", "length_nm": "l", "area_nm": "l", "size_nm": "l"}, "labels": {"root_id": "l", "user_id": "l", "supervoxel_id": "l", "label_id": "l"},
+    "connections": {"pre_root_id": "l", "post_root_id": "l", "syn_count": "l"}, "coordinates": {"root_id": "l", "supervoxel_id": "l"},
+}
+IDS = ("root_id", "pre_root_id", "post_root_id")
+
+
+def rejects(sources: dict[str, DataFrame]) -> DataFrame:
+    """What of the sources cannot be read: source, file, reason, column, value and the row as JSON; one row for each fault.
+
+    Reasons are ``row`` (other than the source's number of cells; the value is the row as it stands), ``number`` (a cell that is
+    none, which :func:`decoded` takes for 0), ``id`` (a missing or unreadable id, whose row is left out) and ``score`` (an item of
+    a list of scores that is no pair of numbers). Sources that were read with their facts also name the file.
+    """
+    out = []
+    for name, df in sources.items():
+        kept = [c for c in df.columns if not c.startswith("own_")]
+        text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+        fault = lambda test, reason, c, value: F.when(test, F.struct(F.lit(reason).alias("reason"), F.lit(c).cast("string").alias("column"), value.alias("value")))
+        faults = []
+        if "own_corrupt" in df.columns:
+            faults.append(fault(F.col("own_corrupt").isNotNull(), "row", None, F.col("own_corrupt")))
+        for c, kind in NUMBERS.get(name, {}).items():
+            unreadable = text(c).try_cast("bigint" if kind == "l" else "double").isNull()
+            faults.append(fault(unreadable, "id", c, F.col(c)) if c in IDS else fault(unreadable & (text(c) != ""), "number", c, F.col(c)))
+        listed = F.filter(F.array(*faults), lambda f: f.isNotNull())
+        if name == "nblast":
+            pair = lambda x: F.split_part(x, F.lit(":"), F.lit(1)).try_cast("bigint").isNotNull() & F.split_part(x, F.lit(":"), F.lit(2)).try_cast("int").isNotNull()
+            items = F.filter(F.split(F.coalesce("scores", F.lit("")), ";"), lambda x: (F.trim(x) != "") & ~F.coalesce(pair(x), F.lit(False)))
+            listed = F.concat(listed, F.transform(items, lambda x: F.struct(F.lit("score").alias("reason"), F.lit("scores").alias("column"), x.alias("value"))))
+        file = F.col("own_file") if "own_file" in df.columns else F.lit(None).cast("string")
+        rows = df.select(F.lit(name).alias("source"), file.alias("file"), F.to_json(F.struct(*kept)).alias("row"), F.explode(listed).alias("f"))
+        out.append(rows.select("source", "file", F.col("f.reason").alias("reason"), F.col("f.column").alias("column"), F.col("f.value").alias("value"), "row"))
+    return reduce(DataFrame.unionAll, out)
+
+
 def _unique(df: DataFrame, *keys: str) -> DataFrame:
     twice = df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").limit(5).collect()
     if twice:
@@ -127,4 +167,7 @@ def build(spark: SparkSession, sources: dict[str, DataFrame], regions: list[dict
     g = Graph(full, edges, label_log=log, shape_sim=shapes(sources["nblast"], nodes), regions=regions, edge_types=edge_types)
     coords = coordinates(sources["coordinates"])
     g.extra["coordinates"] = lambda: coords
+    g.extra["rejects"] = lambda: rejects(sources)
+    if all("own_file" in df.columns for df in sources.values()):
+        g.extra["files"] = lambda: file_facts(sources)
     return g, Report(lost)

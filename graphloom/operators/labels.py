@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import looks_like_id, web_safe
-from graphloom.storage import cut
+from graphloom.storage import written
 
 
 @dataclass(frozen=True)
@@ -192,6 +192,9 @@ def _steps(own: Column, rules: Rules) -> list[Callable[[Column], Column]]:
     ]
 
 
+ROUNDS = 100  #: of cleaning; more mean that steps undo each other
+
+
 def clean(nodes: DataFrame, rules: Rules = Rules(), edge_types: dict[str, str] | None = None) -> DataFrame:
     """``nodes`` with cleaned labels: the steps are repeated until no label of a node changes.
 
@@ -207,15 +210,17 @@ def clean(nodes: DataFrame, rules: Rules = Rules(), edge_types: dict[str, str] |
     own = F.filter(F.transform(F.array(*known), lambda x: F.lower(x)), lambda x: x != "")
     state = nodes.select(row.alias("row"), own.alias("own"), F.coalesce("label", F.array().cast("array<string>")).alias("label"))
     done = []
-    while True:
+    for turn in range(ROUNDS):
         stepped = state.withColumn("before", F.col("label"))
         for step in _steps(F.col("own"), rules):
             stepped = stepped.withColumn("label", step(F.col("label")))
-        stepped = cut(stepped.withColumn("same", F.col("label").eqNullSafe(F.col("before"))).drop("before"))
+        stepped, _ = written(stepped.withColumn("same", F.col("label").eqNullSafe(F.col("before"))).drop("before"), f"labels{turn}")
         done.append(stepped.where("same"))
         state = stepped.where("NOT same").select("row", "own", "label")
         if state.isEmpty():
             break
+    else:
+        raise ValueError(f"labels still change after {ROUNDS} rounds, those of {state.select('row').limit(5).collect()} among them")
     out = done[0]
     for d in done[1:]:
         out = out.unionAll(d)

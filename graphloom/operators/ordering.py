@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.model import Graph
@@ -116,6 +116,44 @@ def page(ordered: DataFrame, number: int = 1, size: int = 20) -> DataFrame:
     return ordered.offset((max(1, number) - 1) * size).limit(size)
 
 
+class Pages:
+    """A ranked result (root_id, sort_value, rank) that is kept, so that any page reads its own rows only.
+
+    Ranks are dealt to partitions of ``PART`` in a row and sorted within, so a page reads one or two partitions, the first as the
+    thousandth.
+    """
+
+    PART = 10_000
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    @classmethod
+    def keep(cls, ranked: DataFrame, path: str) -> Pages:
+        n = max(1, int(ranked.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        rows = ranked.withColumn("part", F.floor((F.col("rank") - 1) / cls.PART).cast("bigint"))
+        rows.repartitionByRange(n, "rank").sortWithinPartitions("rank").write.partitionBy("part").parquet(path)
+        return cls(ranked.sparkSession, path)
+
+    def page(self, number: int = 1, size: int = 20) -> DataFrame:
+        first = (max(1, number) - 1) * size
+        parts = range(first // self.PART, (first + size - 1) // self.PART + 1)
+        rows = self.spark.read.parquet(self.path).where(F.col("part").isin(*parts) & F.col("rank").between(first + 1, first + size))
+        return rows.drop("part").orderBy("rank")
+
+    def after(self, last: int, size: int = 20) -> DataFrame:
+        """The rows behind the place ``last``, as a reader who has seen that many asks for them."""
+        parts = range(last // self.PART, (last + size - 1) // self.PART + 1)
+        return self.spark.read.parquet(self.path).where(F.col("part").isin(*parts) & F.col("rank").between(last + 1, last + size)).drop("part").orderBy("rank")
+
+
+def short_list(ids: DataFrame, most: int = 100) -> DataFrame:
+    """One row: ids, comma-joined in order of ``rank``, if there are at most ``most``, else null; and n, exact up to one more than that."""
+    some = ids.select("root_id", "rank").orderBy("rank").limit(most + 1)
+    out = some.agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("rank", "root_id"))).alias("rows"))
+    return out.select(F.when(F.col("n") <= most, F.array_join(F.transform("rows", lambda r: r["root_id"].cast("string")), ",")).alias("ids"), "n")
+
+
 def sample(ids: DataFrame, n: int = 100, seed: int = 0) -> DataFrame:
     """A repeatable sample of at most ``n`` nodes, by id."""
     return ids.select("root_id").orderBy(F.xxhash64("root_id", F.lit(seed)), "root_id").limit(n).orderBy("root_id")

@@ -5,20 +5,22 @@ Attribute terms fold into one condition on the node table; every other term is a
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.regions import edge_type, region_list, region_or_text, region_set
-from graphloom.functions.text import tokens_text
-from graphloom.model import Attribute, Graph
+from graphloom.functions.regions import region_set
+from graphloom.model import Graph
+from graphloom.operators import conditions, similarity, text
 from graphloom.operators import graph as graph_ops
-from graphloom.operators import similarity, text
-from graphloom.plans.language import Query, QueryError, Term, attribute, parse
+from graphloom.plans.language import Query, QueryError, Term, parse
 
 SHAPE_LEAST = 4
+CONDITIONS = {
+    "has": conditions.has, "not": conditions.lacks, "in": conditions.is_in, "not_in": conditions.not_in, "equal": conditions.equal, "not_equal": conditions.not_equal,
+    "starts_with": conditions.starts_with, "contains": conditions.contains, "not_contains": conditions.not_contains,
+}
 
 
 def _node_id(t: str) -> int:
@@ -32,48 +34,12 @@ class Compiler:
     def __init__(self, g: Graph, case_sensitive: bool = False, word_match: bool = False, shape_least: int = SHAPE_LEAST):
         self.g, self.case_sensitive, self.word_match, self.shape_least = g, case_sensitive, word_match, shape_least
 
-    # conditions on attributes
-
-    def _fold(self, c: Column) -> Column:
-        return c.cast("string") if self.case_sensitive else F.lower(c.cast("string"))
-
-    def _value(self, a: Attribute, v: str) -> str:
-        if a.convert == "edge_type":
-            v = edge_type(v, self.g.edge_types)
-        elif a.convert == "region":
-            v = region_or_text(v, self.g.regions)
-        elif a.kind in ("long", "double"):
-            v = v.replace(",", "") if v.replace(",", "").lstrip("-").isdigit() else v
-        return v if self.case_sensitive else v.lower()
-
-    def _any(self, a: Attribute, test: Callable[[Column], Column]) -> Column:
-        if a.kind == "array":
-            return F.coalesce(F.exists(a.column(), lambda x: test(self._fold(x))), F.lit(False))
-        return F.coalesce(test(self._fold(a.column())), F.lit(False))
-
-    def _items(self, a: Attribute, v: str) -> list[str]:
-        if a.convert == "region" and (found := region_list(v, self.g.regions)):
-            return [r if self.case_sensitive else r.lower() for r in sorted(found)]
-        return [self._value(a, x) for x in tokens_text(v)]
-
     def condition(self, t: Term) -> Column | None:
         """The condition of an attribute term, None for other terms."""
-        if t.op in ("has", "not"):
-            there = attribute(t.rhs).present()
-            return there if t.op == "has" else ~there
-        if t.op in ("in", "not_in"):
-            a = attribute(t.lhs)
-            items = self._items(a, t.rhs)
-            found = self._any(a, lambda x: x.isin(*items)) if items else F.lit(False)
-            return found if t.op == "in" else ~found
-        tests = {"equal": lambda x, v: x == v, "starts_with": lambda x, v: x.startswith(v), "contains": lambda x, v: x.contains(v)}
-        name, negate = {"not_equal": ("equal", True), "not_contains": ("contains", True)}.get(t.op or "", (t.op, False))
-        if name not in tests:
+        if t.op not in CONDITIONS:
             return None
-        a = attribute(t.lhs)
-        v = self._value(a, t.rhs)
-        found = self._any(a, lambda x: tests[name](x, F.lit(v)))
-        return ~found if negate else found
+        operands = (t.rhs,) if t.op in ("has", "not") else (t.lhs, t.rhs)
+        return CONDITIONS[t.op](self.g, *operands, case_sensitive=self.case_sensitive)
 
     # sets of ids
 
@@ -104,15 +70,15 @@ class Compiler:
             return nodes.select("root_id", F.struct((-(F.col("input_cells") + F.col("output_cells"))).cast("int").alias("group"), F.lit(0).alias("place"), F.lit(0).alias("tier")).alias("rank"))
         if len(q.terms) == 1 and q.terms[0].op is None:
             return self.ids(q.terms[0])
-        conditions, sets = [], []
+        tests, sets = [], []
         for t in q.terms:
             c = self.condition(t)
-            (sets if c is None else conditions).append(self.ids(t).select("root_id") if c is None else c)
+            (sets if c is None else tests).append(self.ids(t).select("root_id") if c is None else c)
         if q.chain == "or":
-            parts = [nodes.where(reduce(lambda a, b: a | b, conditions)).select("root_id")] if conditions else []
+            parts = [nodes.where(reduce(lambda a, b: a | b, tests)).select("root_id")] if tests else []
             known = [s.join(nodes, "root_id", "left_semi") for s in sets]
             return reduce(DataFrame.unionAll, parts + known).distinct().withColumn("rank", no_rank)
-        out = nodes.where(reduce(lambda a, b: a & b, conditions)) if conditions else nodes
+        out = nodes.where(reduce(lambda a, b: a & b, tests)) if tests else nodes
         for s in sets:
             out = out.join(s, "root_id", "left_semi")
         return out.select("root_id").withColumn("rank", no_rank)

@@ -90,6 +90,49 @@ class Query:
             raise QueryError("a query of alternatives cannot be narrowed; and and or do not mix")
         return Query("and" if self.terms else None, (*self.terms, term))
 
+    def or_(self, term: Term) -> Query:
+        """Widen a result by an alternative."""
+        if self.chain == "and":
+            raise QueryError("a narrowed query cannot have alternatives; and and or do not mix")
+        return Query("or" if self.terms else None, (*self.terms, term))
+
+    def but(self, term: Term) -> Query:
+        """Narrow a result to what does not answer the term, for operators that have an opposite."""
+        return self.and_(opposite(term))
+
+
+#: Operators and their opposites; an array attribute with no value answers the negative one.
+OPPOSITES = {"equal": "not_equal", "contains": "not_contains", "in": "not_in", "has": "not"}
+OPPOSITES |= {b: a for a, b in OPPOSITES.items()}
+
+
+def term(op: str | None, *operands: str | int | list) -> Term:
+    """A term from its operator's name or sign and its operands, as a form sends them; a list becomes comma-joined values.
+
+    An operand that holds an operator cannot be written in a query's text and is an error, as is a wrong number of operands.
+    """
+    texts = [", ".join(map(str, o)) if isinstance(o, (list, tuple)) else str(o).strip() for o in operands]
+    if op is None:
+        return Term(None, texts[0], literal=bool(_found(texts[0])))
+    found = next((o for o in OPERATORS if op in (o.name, *o.spellings)), None)
+    if found is None or found.name in CHAINS:
+        raise QueryError(f"{op!r} is no operator of a term.")
+    if len(texts) != found.arity or not all(texts):
+        raise QueryError(f"{found.name} ({found.sign}) takes {found.arity} operands.")
+    if any(_found(x) for x in texts):
+        raise QueryError(f"an operand of {found.name} holds an operator: {texts}.")
+    if found.arity == 2 and found.name in ("equal", "not_equal", "starts_with", "contains", "not_contains", "in", "not_in"):
+        attribute(texts[0])
+    if found.name in ("has", "not"):
+        attribute(texts[0])
+    return Term(found.name, texts[-1], texts[0] if found.arity == 2 else "")
+
+
+def opposite(t: Term) -> Term:
+    if t.op not in OPPOSITES:
+        raise QueryError(f"{t.op or 'free text'} has no opposite.")
+    return Term(OPPOSITES[t.op], t.rhs, t.lhs)
+
 
 def _found(text: str, names: list[str] | None = None) -> list[str]:
     return [o.name for o in OPERATORS if (names is None or o.name in names) and any(s in text for s in o.spellings)]

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from graphloom.functions import regions as region_fn
 from graphloom.functions import text as text_fn
 from graphloom.model import Graph
-from graphloom.operators import analytics, graph, ingest, labels, network, ordering, reach, similarity, text
+from graphloom.operators import analytics, conditions, graph, ingest, labels, network, nodes, ordering, reach, similarity, text
 from graphloom.operators.motif import Motif
 from graphloom.plans import compiler
 from graphloom.sources import csv_tables
 from graphloom.sources.driver_tables import graph as part_graph
 from graphloom.sources.driver_tables import read, stored_graph, strong_supplier_graph, supplier_graph
+from graphloom.storage import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -370,6 +371,53 @@ _add("orphans_of_a_part", lambda g: labels.orphans(g.label_log.withColumn("label
 _add("reciprocal_dense", lambda g: compiler.search(g, "^v 1").select("root_id"), _with("SELECT pre_id AS root_id FROM pairs WHERE post_id = 1 AND pre_id <> 1 INTERSECT SELECT post_id FROM pairs WHERE pre_id = 1", key="l_suppkey"), supplier_graph)
 
 
+# one node, pages that are kept, drawing and display
+
+_add("node_row", lambda g: nodes.node(g, 7).select("root_id", "class", "size_nm", "input_cells"), _with("SELECT root_id, class, size_nm, input_cells FROM nodes WHERE root_id = 7"))
+_add("labelled_nodes", lambda g: nodes.labelled(g), "SELECT DISTINCT doc_id % (SELECT count(*) FROM part) AS root_id FROM documents")
+_add("conditions_as_columns", lambda g: g.nodes.where(conditions.contains(g, "label", "bol") & conditions.not_in(g, "size", ["1"]) & ~conditions.equal(g, "nt", "open") & conditions.is_in(g, "side", "left, center")).select("root_id"),
+     _with("SELECT root_id FROM nodes WHERE " + _LABEL.format("contains(lower(x), 'bol')") + " AND size_nm <> 1 AND nt_type <> 'O' AND side IN ('left', 'center')"))
+
+
+def _kept_page(g: Graph) -> DataFrame:
+    pages = ordering.Pages.keep(ordering.ranked(g, g.nodes, "-partners"), scratch(g.spark, "pages"))
+    return pages.page(3, 20).unionAll(pages.after(150, 10))
+
+
+_add("kept_pages", _kept_page, _with("SELECT * FROM (SELECT root_id, input_cells + output_cells AS sort_value, row_number() OVER (ORDER BY input_cells + output_cells DESC, root_id) AS rank FROM nodes) WHERE rank BETWEEN 41 AND 60 OR rank BETWEEN 151 AND 160"))
+_add("short_list", lambda g: ordering.short_list(ordering.ranked(g, compiler.search(g, "class == Brand#13 && side == left"), "size")), _with("SELECT CASE WHEN count(*) <= 100 THEN string_agg(CAST(root_id AS VARCHAR), ',' ORDER BY size_nm, root_id) END AS ids, least(101, count(*)) AS n FROM nodes WHERE class = 'Brand#13' AND side = 'left'"))
+_add("sort_reciprocal_weight", lambda g: ordering.ranked(g, g.nodes, "reciprocal_synapse_count:1"), _sorted_sql("coalesce((SELECT weight FROM pairs WHERE post_id = 1 AND pre_id = n.root_id), 0)", True))
+_add("sort_item_count", lambda g: ordering.ranked(g, g.nodes, "item_count:label"), _sorted_sql("CAST(len(label) AS INTEGER)", True))
+_add("sort_shape", lambda g: ordering.ranked(g, g.nodes, "nblast_score:7").withColumn("sort_value", F.col("sort_value").cast("double")), _with("SELECT root_id, CAST(score AS DOUBLE) AS sort_value, row_number() OVER (ORDER BY score DESC NULLS LAST, root_id) AS rank FROM nodes LEFT JOIN (SELECT dst, score FROM sim WHERE src = 7 AND score >= 2 UNION ALL SELECT 7, 10) ON dst = root_id", _SHAPE))
+_add("default_order", lambda g: compiler.search(g, "").select("root_id", F.col("rank.group").alias("grp")), _with("SELECT root_id, CAST(-(input_cells + output_cells) AS INTEGER) AS grp FROM nodes"))
+_add("all_nodes_labelled_first", lambda g: text.all_ids(g).select("root_id", F.col("rank.group").alias("grp")), _with("SELECT root_id, CASE WHEN len(label) > 0 THEN 0 ELSE 1 END AS grp FROM nodes"))
+
+_DRAWN = "top AS (SELECT * FROM pairs WHERE pre_id <> post_id ORDER BY weight DESC, pre_id, post_id LIMIT 30), t AS (SELECT sum(weight) AS total, max(weight) AS most FROM {0}), ends AS (SELECT DISTINCT unnest([pre_id, post_id]) AS root_id FROM top)"
+_HEAVY = lambda g: g.pairs.where("pre_id <> post_id").orderBy(F.desc("weight"), "pre_id", "post_id").limit(30)
+_EDGE_LABEL = "CASE WHEN total >= 50000 AND round_even(weight / 1000, 0) > 0 THEN format('{:,}', CAST(round_even(weight / 1000, 0) AS BIGINT)) || 'K' ELSE format('{:,}', weight) END AS label"
+_add("drawn_edges", lambda g: network.drawn_edges(_HEAVY(g)),
+     _with(f"SELECT pre_id, post_id, weight, CASE WHEN total >= 50000 THEN least(10.0, 50.0 * weight / most) ELSE CAST(length(CAST(weight AS VARCHAR)) AS DOUBLE) END AS width, {_EDGE_LABEL}, format('{{:,}}', weight) || ' synapses' AS title FROM top, t", _DRAWN.format("top")))
+_add("drawn_edges_large", lambda g: network.drawn_edges(g.pairs.withColumn("weight", F.col("weight") * 40)).select("pre_id", "post_id", F.round("width", 9).alias("width"), "label"),
+     _with(f"SELECT pre_id, post_id, CASE WHEN total >= 50000 THEN round(least(10.0, 50.0 * weight / most), 9) ELSE length(CAST(weight AS VARCHAR)) END AS width, {_EDGE_LABEL} FROM w, t", "w AS (SELECT pre_id, post_id, weight * 40 AS weight FROM pairs)", _DRAWN.format("w")))
+_add("drawn_nodes", lambda g: network.drawn_nodes(Graph(ingest.named(g.nodes), g.edges), _HEAVY(g), compiler.search(g, "root_id << 1, 2, 3"), 500, {1: "A"}),
+     _with("""SELECT x.root_id, x.root_id IN (1, 2, 3) AS centre, name, CASE WHEN x.root_id = 1 THEN '(A) ' || name WHEN x.root_id IN (2, 3) THEN name ELSE ' ' END AS caption,
+  CAST(round_even(CASE WHEN x.root_id IN (1, 2, 3) THEN 10 * pow(6, 0.25) ELSE 5 END, 0) AS INTEGER) AS size, CASE WHEN x.root_id IN (1, 2, 3) THEN 3 ELSE 1 END AS mass
+FROM (SELECT root_id FROM ends UNION SELECT unnest([1, 2, 3])) x JOIN (SELECT root_id, "group" || '.' || row_number() OVER (PARTITION BY "group" ORDER BY CAST(input_cells + output_cells AS HUGEINT) * root_id DESC, root_id) AS name FROM nodes) m ON m.root_id = x.root_id""", _DRAWN.format("top")))
+_add("drawn_groups", lambda g: network.drawn_groups(g, "class", g.nodes),
+     _with("""SELECT grp, n, grp || ' ' || CASE WHEN p > 0 THEN CAST(p AS VARCHAR) ELSE '<1' END || '%' AS caption, 'Queried nodes for which ''Class'' equals ' || chr(39) || grp || chr(39) || ', ' || n || ' cells' AS title, CAST(round_even(10 * pow(1 + p, 0.25), 0) AS INTEGER) AS size FROM (SELECT class AS grp, count(*) AS n, CAST(round_even(100.0 * count(*) / (SELECT count(*) FROM nodes), 0) AS INTEGER) AS p FROM nodes GROUP BY 1)"""))
+_add("display_functions", lambda g: g.nodes.select(
+        "root_id", text_fn.percentage(F.col("output_cells"), F.col("input_cells") + F.col("output_cells")).alias("percent"), text_fn.truncated(F.col("group"), 20).alias("short"), text_fn.truncated(F.col("group"), 20, True).alias("counted"),
+        text_fn.micros(F.col("size_nm")).alias("micros"), text_fn.micros(F.col("size_nm"), 2).alias("square"), analytics.heat_color(F.col("input_cells"), 0, 25, 60).alias("color"), text_fn.is_annotation(F.col("sub_class")).alias("textual"),
+        text_fn.looks_like_id(F.concat(F.lit("72"), F.lpad(F.col("root_id").cast("string"), 16, "0"))).alias("id_like"), text_fn.web_safe(F.concat("group", F.lit(" it's\t\"x\""))).alias("safe"),
+     ),
+     _with("""SELECT root_id, CAST(least(100, greatest(0, floor(100 * output_cells / greatest(input_cells + output_cells, 1)))) AS INTEGER) AS percent, CASE WHEN length("group") > 20 THEN "group"[1:18] || '..' ELSE "group" END AS short,
+  CASE WHEN length("group") > 20 THEN "group"[1:18] || '..(' || length("group") || ')' ELSE "group" END AS counted, format('{:,}', CAST(round_even(size_nm / 1000, 0) AS BIGINT)) || ' &#181;m' AS micros, format('{:,}', CAST(round_even(size_nm / 1000000, 0) AS BIGINT)) || ' &#181;m<sup>2</sup>' AS square,
+  CASE WHEN input_cells <= 25 THEN '#AAAAAA' ELSE '#00FF00' END || CAST(greatest(0, least(99, round_even(sqrt(CASE WHEN input_cells <= 25 THEN (25 - input_cells) / 25.0 ELSE (input_cells - 25) / 35.0 END) * 100, 0))) AS INTEGER) AS color,
+  regexp_matches(sub_class, '[a-z]') AS textual, true AS id_like, "group" || ' it`s `x`' AS safe FROM nodes"""))
+_add("label_links", lambda g: g.label_log.select("label_id", F.array_join(text_fn.links(F.concat(F.lit("see https://a.b/"), "label_id", F.lit(". and (http://c.d) doi:10.1/"), "user_name", F.lit(" http://c.d"))), " ").alias("links")),
+     "SELECT doc_id AS label_id, 'https://a.b/' || doc_id || ' http://c.d https://doi.org/10.1/' || source AS links FROM documents")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A search with a condition on attributes and one on labels, sorted by partners: the first page of node rows."""
     g = part_graph(spark, sf_dir)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +58,36 @@ def read_sources(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return out
 
 
+#: Columns that :func:`read_with_facts` adds: a row that doesn't fit the columns as it stands, and its file's path and date.
+FACTS = ("own_corrupt", "own_file", "own_modified")
+
+
+def read_with_facts(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The sources as :func:`read_sources` has them, with ``FACTS``: a row with too many or too few cells is kept, and known."""
+    out = {}
+    for name, schema in SCHEMAS.items():
+        found = None
+        for ending in (".csv", ".csv.gz"):
+            try:
+                # with pruned columns the reader would not look at whole rows
+                reader = spark.read.schema(f"{schema}, own_corrupt string").option("columnNameOfCorruptRecord", "own_corrupt").option("columnPruning", False)
+                found = reader.option("header", True).option("quote", '"').option("escape", '"').csv(f"{folder}/{name}{ending}")
+                found = found.withColumns({"own_file": F.col("_metadata.file_path"), "own_modified": F.col("_metadata.file_modification_time")})
+                break
+            except AnalysisException:
+                found = None
+        if found is None and name not in OPTIONAL:
+            raise FileNotFoundError(f"{folder}/{name}.csv[.gz]")
+        out[name] = found if found is not None else spark.createDataFrame([], f"{schema}, own_corrupt string, own_file string, own_modified timestamp")
+    return out
+
+
+def file_facts(sources: dict[str, DataFrame]) -> DataFrame:
+    """The files of sources that were read with their facts: source, file, modified, rows."""
+    each = [df.groupBy(F.lit(name).alias("source"), F.col("own_file").alias("file"), F.col("own_modified").alias("modified")).agg(F.count("*").alias("rows")) for name, df in sources.items()]
+    return reduce(DataFrame.unionAll, each)
+
+
 def write_csv(df: DataFrame, path: str, compress: bool = False) -> None:
     df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path, compression="gzip" if compress else "none")
 

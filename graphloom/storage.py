@@ -26,24 +26,6 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut: written to the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def numbered(df: DataFrame, order: tuple[Column, ...], name: str) -> DataFrame:
-    """``df`` with each row's place in ``order`` (from 1), which tells all rows apart: a range-partitioned sort and the sizes of its partitions, without one task for all."""
-    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    parts = cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("own_part", F.spark_partition_id()))
-    sizes = parts.groupBy("own_part").agg(F.count("*").alias("own_n"))
-    # as many rows as there are partitions
-    before = sizes.select("own_part", (F.sum("own_n").over(Window.orderBy("own_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("own_n")).alias("own_before"))
-    within = F.row_number().over(Window.partitionBy("own_part").orderBy(*order))
-    placed = parts.withColumn("own_within", within).join(F.broadcast(before), "own_part").withColumn(name, F.col("own_before") + F.col("own_within"))
-    return placed.drop("own_part", "own_before", "own_within")
-
-
 _made: dict[str, SparkSession] = {}
 
 
@@ -100,3 +82,19 @@ class Buckets:
     def close(self) -> None:
         for name in list(self.made):
             self.drop(name)
+
+
+def numbered(df: DataFrame, order: tuple[Column, ...], name: str) -> DataFrame:
+    """``df`` with each row's place in ``order`` (from 1), which tells all rows apart.
+
+    A range-partitioned sort is written once; a row's place in its partition is told by its id there, and the partitions before it
+    by their sizes, so there is one shuffle and no task for all.
+    """
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts, _ = written(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("own_id", F.monotonically_increasing_id()), "numbered")
+    part, within = F.shiftright("own_id", 33), F.col("own_id").bitwiseAND(F.lit(2**33 - 1))
+    sizes = parts.groupBy(part.alias("own_part")).agg(F.count("*").alias("own_n"))
+    # as many rows as there are partitions
+    before = sizes.select("own_part", (F.sum("own_n").over(Window.orderBy("own_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("own_n")).alias("own_before"))
+    placed = parts.withColumn("own_part", part).join(F.broadcast(before), "own_part").withColumn(name, F.col("own_before") + within + 1)
+    return placed.drop("own_part", "own_before", "own_id")
