@@ -15,7 +15,7 @@ from graphloom.operators.motif import Motif
 from graphloom.plans import compiler
 from graphloom.sources import csv_tables
 from graphloom.sources.driver_tables import graph as part_graph
-from graphloom.sources.driver_tables import read, stored_graph, strong_supplier_graph, supplier_graph
+from graphloom.sources.driver_tables import csv_graph, read, stored_graph, strong_supplier_graph, supplier_graph
 from graphloom.storage import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -418,6 +418,48 @@ _add("label_links", lambda g: g.label_log.select("label_id", F.array_join(text_f
      "SELECT doc_id AS label_id, 'https://a.b/' || doc_id || ' http://c.d https://doi.org/10.1/' || source AS links FROM documents")
 
 
+# the graph from CSV files
+
+_CSV = _with("{0}", "t AS (SELECT count(*) AS total FROM part)", "k AS (SELECT *, CASE WHEN p_partkey % 40 = 39 THEN p_partkey + 10 * total ELSE p_partkey END AS known FROM part, t)")
+_add("csv_nodes", lambda g: g.nodes.select("root_id", "group", "nt_type", "nt_type_score", "da_avg", "flow", "super_class", "class", "sub_class", "side", F.array_join("cell_type", ",").alias("types"), F.array_join("connectivity_tag", ",").alias("tags"), "length_nm", "area_nm", "size_nm", "input_cells", "output_synapses", F.array_join("output_neuropils", ",").alias("regions"), "name"),
+     _CSV.format("""SELECT root_id, "group", nt_type, size_nm / 1000.0 AS nt_type_score, 0.5 AS da_avg, CASE WHEN root_id % 40 = 39 THEN '' ELSE 'flow' END AS flow, CASE WHEN root_id % 40 = 39 THEN '' ELSE super_class END AS super_class, CASE WHEN root_id % 40 = 39 THEN '' ELSE class END AS class, CASE WHEN root_id % 40 = 39 THEN '' ELSE sub_class END AS sub_class,
+  CASE WHEN root_id % 40 = 39 THEN '' ELSE 'le`ft' END AS side, CASE WHEN root_id % 5 = 0 THEN 'S' || root_id % 3 || ',' ELSE '' END || 'T' || root_id % 7 AS types, CASE WHEN p_size > 40 AND root_id % 40 <> 39 THEN 'rich,size ' || p_size ELSE '' END AS tags,
+  CASE WHEN root_id % 40 = 39 THEN 0 ELSE CAST(p_size * 1000 AS BIGINT) END AS length_nm, CASE WHEN root_id % 40 = 39 OR root_id % 50 = 0 THEN 0 ELSE CAST(p_size AS BIGINT) END AS area_nm, CASE WHEN root_id % 40 = 39 THEN 0 ELSE CAST(p_size * 7 AS BIGINT) END AS size_nm,
+  input_cells, output_synapses, array_to_string(output_neuropils, ',') AS regions, "group" || '.' || row_number() OVER (PARTITION BY "group" ORDER BY CAST(input_cells + output_cells AS HUGEINT) * root_id DESC, root_id) AS name FROM nodes JOIN part ON p_partkey = root_id"""), csv_graph)
+_add("csv_edges", lambda g: g.edges, _with("SELECT * FROM edges"), csv_graph)
+_add("csv_shapes", lambda g: g.shape_sim, _CSV.format("SELECT p_partkey AS src, (p_partkey + 1) % total AS dst, CAST(p_partkey % 11 AS INTEGER) AS score FROM k WHERE p_partkey % 11 BETWEEN 4 AND 9 UNION ALL SELECT p_partkey, (p_partkey + 2) % total, 4 FROM k"), csv_graph)
+_add("csv_coordinates", lambda g: ingest.coordinate_rows(g.extra["coordinates"]()), "SELECT p_partkey AS root_id, '[' || (p_partkey + 1) || ' 7 8]' AS position, p_partkey + 100 AS supervoxel_id FROM part", csv_graph)
+_add("csv_label_log", lambda g: g.label_log.select("label_id", "root_id", "label", "user_id", "user_name", "user_affiliation"), "SELECT doc_id AS label_id, doc_id % (total + 50) AS root_id, lang || ' ' || source AS label, doc_id % 9 AS user_id, source AS user_name, lang AS user_affiliation FROM documents, (SELECT count(*) AS total FROM part) WHERE doc_id % (total + 50) < total", csv_graph)
+_add("csv_latest_label", lambda g: g.nodes.where(F.size("label") > 0).select("root_id", F.col("label")[0].alias("label"), F.size("label").alias("n")),
+     """WITH l AS (SELECT doc_id % (total + 50) AS root_id, lang || ' ' || source AS label, lpad(CAST(n_chars AS VARCHAR), 9, '0') AS day, doc_id FROM documents, (SELECT count(*) AS total FROM part) WHERE doc_id % (total + 50) < total)
+SELECT root_id, arg_max(label, (day, doc_id, label)) AS label, CAST(count(DISTINCT label) AS INTEGER) AS n FROM l GROUP BY 1""", csv_graph)
+_add("csv_rejects", lambda g: g.extra["rejects"]().groupBy("source", "reason", "column", "value").agg(F.count("*").alias("n")),
+     "SELECT 'cell_stats' AS source, 'number' AS reason, 'area_nm' AS \"column\", 'n/a' AS value, count(*) AS n FROM part WHERE p_partkey % 50 = 0 HAVING count(*) > 0 UNION ALL SELECT 'nblast', 'score', 'scores', 'x', count(*) FROM part", csv_graph)
+_add("csv_files", lambda g: g.extra["files"]().where("modified IS NOT NULL").groupBy("source").agg(F.sum("rows").alias("rows")),
+     _with("SELECT 'neurons' AS source, count(*) AS rows FROM part UNION ALL SELECT 'classification', count(*) FROM part UNION ALL SELECT 'cell_types', count(*) + count(*) FILTER (p_partkey % 5 = 0) FROM part UNION ALL SELECT 'cell_stats', count(*) FROM part UNION ALL SELECT 'labels', count(*) FROM documents UNION ALL SELECT 'connections', count(*) FROM edges UNION ALL SELECT 'connectivity_tags', count(*) FROM part WHERE p_size > 40 UNION ALL SELECT 'coordinates', 2 * count(*) FROM part UNION ALL SELECT 'nblast', count(*) FROM part"), csv_graph)
+
+# label rules and patterns from a form
+
+_RULES = labels.Rules()
+_add("label_rules", lambda g: g.nodes.select(
+        "root_id", labels.without_side(F.concat(F.lit("left "), F.col("label")[0], F.lit("_R Right; "), F.col("label")[1]), _RULES).alias("sideless"), labels.unwanted(F.concat(F.lit("#wrong_prediction"), "class"), _RULES).alias("bad"), labels.unwanted(F.col("class"), _RULES).alias("good"),
+        F.array_join(labels.without_corrected(F.array(F.col("label")[0], F.concat(F.lit("Correction: "), "class"), F.col("label")[1]), _RULES), "|").alias("corrected"), labels.without_end_mark(F.concat("class", F.lit(" ;"))).alias("ended"),
+        F.array_join(labels.without_prefixes(F.array(F.col("class"), F.concat("class", F.lit(" x")), F.col("label")[0])), "|").alias("prefixed"), F.array_join(labels.without_lookalikes(F.array(F.concat("class", F.lit("-a")), F.concat("class", F.lit("_a")), F.concat("class", F.lit("b"))), _RULES), "|").alias("lookalikes"),
+        F.array_join(labels.without_known_parts(F.array(F.concat(F.lit("putative "), F.col("label")[0], F.lit(";"), "class"), F.lit("x")), F.array(F.lower("class")), _RULES), "|").alias("known"), labels.without_contained_parts(F.concat("class", F.lit(", the "), "class", F.lit(", "), F.col("label")[0])).alias("contained"),
+        labels.shortened(F.concat("class", F.lit(" it's; https://doi.org/10.1101/2021.12.20.473513")), _RULES).alias("short"),
+     ),
+     _with("""SELECT root_id, label[1] || ' ' || label[2] AS sideless, true AS bad, false AS good, label[1] || '|' || class AS corrected, class AS ended, class || ' x|' || label[1] AS prefixed, class || '-a|' || class || 'b' AS lookalikes, label[1] AS known, 'the ' || class || ', ' || label[1] AS contained, class || ' it`s' AS short FROM nodes"""))
+_FORM = {"queryA": "side == left", "queryB": "", "enabledAB": "on", "regionAB": "new lines", "minSynapseCountAB": "45", "enabledBA": "on", "minSynapseCountBA": ""}
+_add("motif_from_form", lambda g: Motif.from_form(g, _FORM).matches(), _with("SELECT DISTINCT a.pre_id AS \"A\", a.post_id AS \"B\" FROM edges a JOIN edges b ON a.pre_id = b.post_id AND a.post_id = b.pre_id WHERE a.region = 'N' AND a.weight >= 45 AND b.weight >= 5 AND a.pre_id IN (SELECT root_id FROM nodes WHERE side = 'left')"))
+_add("motif_one_node", lambda g: Motif(g).node("A", "class == Brand#13").matches(), _with("SELECT root_id AS \"A\" FROM nodes WHERE class = 'Brand#13'"))
+_add("display_more", lambda g: g.nodes.select(
+        "root_id", text_fn.long_tokens_trimmed(F.concat("group", F.lit(" "), F.repeat(F.lit("y"), 60))).alias("trimmed"), text_fn.bulleted(F.col("label"), "* ").alias("bullets"), F.array_join(text_fn.voxel(F.concat(F.lit("["), (F.col("root_id") * 8).cast("string"), F.lit(" 400 4000]"))), " ").alias("voxel"),
+        text_fn.by_key(F.create_map(F.lit("b"), "size_nm", F.lit("a"), "input_cells")).alias("by_key"), text_fn.by_largest_value(F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(2), F.lit("c"), F.lit(2))).alias("by_value"), text_fn.significant(F.col("input_cells") / 7.0).alias("significant"),
+     ),
+     _with("""SELECT root_id, "group" || ' ' || repeat('y', 45) || '...' AS trimmed, array_to_string(list_transform(label, lambda x: '* ' || x), '<br>') AS bullets, (root_id * 2) || ' 100 100' AS voxel, 'a: ' || input_cells || ', b: ' || size_nm AS by_key, 'b: 2, c: 2, a: 1' AS by_value,
+  CASE WHEN input_cells / 7.0 >= 10 THEN round_even(input_cells / 7.0, 0) WHEN input_cells = 0 THEN 0 ELSE round_even(input_cells / 7.0 * pow(10, 2 - floor(log10(input_cells / 7.0))), 0) / pow(10, 2 - floor(log10(input_cells / 7.0))) END AS significant FROM nodes"""))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A search with a condition on attributes and one on labels, sorted by partners: the first page of node rows."""
     g = part_graph(spark, sf_dir)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.model import Graph, degrees, with_defaults
-from graphloom.sources import snapshots
+from graphloom.operators import ingest
+from graphloom.sources import csv_tables, snapshots
 from graphloom.storage import scratch
 
 ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_returnflag", "l_linestatus"]
@@ -101,3 +102,36 @@ def stored_graph(spark: SparkSession, sf_dir: str) -> Graph:
         snapshots.commit(Graph(g.nodes, g.edges, regions=g.regions, edge_types=g.edge_types), path, "1")
         _graphs[key] = snapshots.checkout(spark, path, "1")
     return _graphs[key]
+
+
+def csv_sources(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """The nine CSV sources of the part graph: nodes from ``part``, edges from ``lineitem``, labels from ``documents``; some cells and ids are faulty."""
+    g = graph(spark, sf_dir)
+    n, part, docs = g.nodes, read(spark, sf_dir, "part"), read(spark, sf_dir, "documents")
+    total = part.count()
+    key, text = F.col("p_partkey"), lambda c: c.cast("string")
+    # of every fiftieth node the area is no number, and every fortieth row of a source has an unknown node
+    known = lambda c: F.when(c % 40 == 39, c + 10 * total).otherwise(c)
+    tables = {
+        "neurons": n.select(text(F.col("root_id")), "group", F.lower("nt_type"), text(F.col("size_nm") / 1000.0), *[F.lit("0.5") for _ in range(6)]),
+        "classification": part.select(text(known(key)), F.lit("flow"), "p_type", "p_brand", F.concat(F.lit(" "), text(F.col("p_size"))), F.lit(""), F.lit("le'ft"), F.lit("")),
+        "cell_types": part.select(text(key), F.concat(F.lit("T"), text(key % 7)), F.lit("")).unionAll(part.where(key % 5 == 0).select(text(key), F.concat(F.lit("S"), text(key % 3)), F.lit(""))),
+        "cell_stats": part.select(text(known(key)), text(F.col("p_size") * 1000), F.when(key % 50 == 0, "n/a").otherwise(text(F.col("p_size"))), text(F.col("p_size") * 7)),
+        "labels": docs.select(text(F.col("doc_id") % (total + 50)), F.concat("lang", F.lit(" "), "source"), text(F.col("doc_id") % 9), F.lit("[1 2 3]"), F.lit("5"), text(F.col("doc_id")), F.lpad(text(F.col("n_chars")), 9, "0"), "source", "lang"),
+        "connections": g.edges.select(text(F.col("pre_id")), text(F.col("post_id")), F.lower("region"), text(F.col("weight")), F.lower("edge_type")),
+        "connectivity_tags": part.where("p_size > 40").select(text(known(key)), F.concat(F.lit("rich, size "), text(F.col("p_size")), F.lit(",,"))),
+        "coordinates": part.select(text(key), F.concat(F.lit("["), text(key + 1), F.lit(" 7 8]")), text(key + 100)).unionAll(part.select(text(key), F.lit("[0 1 2]"), text(key + 9))),
+        "nblast": part.select(text(key), F.concat(text((key + 1) % total), F.lit(":"), text(key % 11), F.lit(";"), text((key + 2) % total), F.lit(":4;x"), F.lit(";"), text(key), F.lit(":10;"), text(key + 10 * total), F.lit(":5"))),
+    }
+    for name, df in tables.items():
+        csv_tables.write_csv(df.toDF(*[c.split(" ")[0] for c in csv_tables.SCHEMAS[name].split(", ")]), f"{folder}/{name}.csv", compress=name == "labels")
+
+
+def csv_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The graph that ingest makes of :func:`csv_sources`, made once for each application."""
+    key = (spark.sparkContext.applicationId, sf_dir, "csv")
+    if key not in _graphs:
+        folder = scratch(spark, "csv")
+        csv_sources(spark, sf_dir, folder)
+        _graphs[key], _ = ingest.build(spark, csv_tables.read_with_facts(spark, folder), REGIONS, EDGE_TYPES)
+    return _graphs[key]
