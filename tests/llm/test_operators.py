@@ -536,6 +536,47 @@ def test_table_counts_follow_their_conditional(c):
     assert drawn.mean() == pytest.approx(mean, abs=4 * sd / math.sqrt(6000) + 1e-9) and drawn.std() == pytest.approx(sd, rel=0.05)
 
 
+def test_seatings_of_a_restaurant_follow_their_posterior():
+    """Many chains of one restaurant, from one table a dish, against the posterior enumerated over all table counts."""
+    d, a, share, customers, chains = 0.6, 1.5, np.array([0.4, 0.25]), np.array([10, 3]), 20000
+    logs = [_log_stirling(int(c), d) for c in customers]
+    rising = lambda t: sum(math.log(a + d * i) for i in range(1, t))
+    weight = {(i, j): logs[0][i - 1] + logs[1][j - 1] + i * math.log(share[0]) + j * math.log(share[1]) + rising(i + j) for i in range(1, 11) for j in range(1, 4)}
+    total = np.logaddexp.reduce(list(weight.values()))
+    p = {k: math.exp(w - total) for k, w in weight.items()}
+    mean = np.array([sum(q * k[i] for k, q in p.items()) for i in (0, 1)])
+    variance = sum(q * (k[0] + k[1]) ** 2 for k, q in p.items()) - mean.sum() ** 2
+    rng, dish, context = np.random.default_rng(4), np.tile([0, 1], chains), np.repeat(np.arange(chains), 2)
+    tables = np.full(chains, 2.0)
+    for _ in range(12):
+        level = hpylm.Level(share, share, np.full(chains, 13.0), tables, d, a, rng)
+        t = hpylm.draw_tables(np.tile(customers, chains), level.new_table(context, dish), d, rng)
+        tables = np.bincount(context, weights=t)
+    assert [t[dish == i].mean() for i in (0, 1)] == pytest.approx(mean, abs=0.05)
+    assert tables.var() == pytest.approx(variance, rel=0.05)
+    # the share of each pair of counts, not their moments only
+    seen = Counter(zip(t[0::2].tolist(), t[1::2].tolist()))
+    assert max(abs(seen[k] / chains - q) for k, q in p.items()) < 0.015
+
+
+def test_root_shares_follow_their_posterior():
+    rng = np.random.default_rng(5)
+    truth = rng.dirichlet(np.full(400, 0.5))
+    customers = rng.multinomial(50_000, truth)
+    draws = [hpylm.draw_root(customers, rng) for _ in range(200)]
+    drawn, expected = np.array([x for x, _ in draws]), np.mean([y for _, y in draws], axis=0)
+    assert drawn.sum(axis=1) == pytest.approx(np.ones(200)) and expected.sum() == pytest.approx(1.0)
+    assert drawn.mean(axis=0) == pytest.approx(expected, abs=4e-4)
+    # a strength of 200 made these shares, half a count a dish
+    rare = np.flatnonzero(customers == 0)
+    assert len(rare) == 0 or 0.2 / 50_000 < expected[rare].mean() < 1.0 / 50_000
+
+
+def test_perplexity(docs):
+    got = {r["held_out"]: r for r in hpylm.perplexity(hpylm.scores(docs)).collect()}
+    assert got[True]["model"] < 0.8 * got[True]["base"] and got[False]["model"] < got[True]["model"]
+
+
 def test_many_customers_are_seated(monkeypatch):
     drawn = hpylm.draw_tables(np.full(500, 5000), np.full(500, 2.0), 0.5, np.random.default_rng(0))
     assert drawn.min() >= 1 and drawn.max() <= 5000
