@@ -1,6 +1,6 @@
 """License scans with a trained paragraph classifier, in DataFrame and SQL operations only.
 
-Paragraphs (lines) are classified by a multinomial logistic regression over sparse word n-grams (one to three words), trained
+Paragraphs (lines, and lines in a row that are a wrapped notice together) are classified by a multinomial logistic regression over sparse word n-grams (one to three words), trained
 here on notices of known licence families, whole and with words left out, against ordinary paragraphs of the corpus and
 sentences that speak of licences without granting one. The chance of the best family is calibrated on notices held back, and
 below the calibrated level a paragraph is ``unknown``. A prediction counts only if the paragraph also shares enough word
@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer, StopWordsRemover
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -153,20 +153,11 @@ def telling_paragraphs(docs: DataFrame, telling: list[str]) -> DataFrame:
     return lines.where(F.arrays_overlap(F.split(F.lower("paragraph"), r"[^\p{L}\p{N}]+"), known))
 
 
-def scan(docs: DataFrame, classifier: Classifier | None = None) -> DataFrame:
-    """Paragraphs with a confirmed licence: doc_id, at, paragraph, family, chance.
-
-    A paragraph is a line, of any length. Null and empty texts have no licence. Repeated rows give one result for each distinct
-    (doc_id, text). A paragraph has one family: that of the highest chance, and of equal ones the first by name. Any of the
-    family's templates confirms it, so equal ones make no difference.
-    """
-    spark = docs.sparkSession
-    key = ["doc_id", "h", "at"]
-    telling = classifier.telling if classifier else telling_words(spark)
-    lines = common.written(telling_paragraphs(docs, telling).dropDuplicates(key), "lines")
-    c = classifier or train(lines)
+def _confirmed(paragraphs: DataFrame, c: Classifier) -> DataFrame:
+    """The rows of ``paragraphs`` (doc_id, h, at, paragraph) with a family that a template confirms: also family and chance."""
+    spark, key = paragraphs.sparkSession, ["doc_id", "h", "at"]
     # terms go without their paragraph, which may be long
-    terms = lines.select(*key, words(F.col("paragraph")).alias("w")).select(*key, F.explode(telling_ngrams(F.col("w"), telling)).alias("term"))
+    terms = paragraphs.select(*key, words(F.col("paragraph")).alias("w")).select(*key, F.explode(telling_ngrams(F.col("w"), c.telling)).alias("term"))
     n = len(c.families)
     sums = terms.join(F.broadcast(c.weights), "term").groupBy(*key).agg(*[F.sum(F.get("w", F.lit(i))).alias(f"z{i}") for i in range(n)])
     z = F.array(*[(F.col(f"z{i}") + c.bias[i]) / c.temperature for i in range(n)])
@@ -178,19 +169,51 @@ def scan(docs: DataFrame, classifier: Classifier | None = None) -> DataFrame:
     names = F.array(*map(F.lit, c.families))
     picked = scored.select(*key, F.get(names, (F.array_position(known, best) - 1).cast("int")).alias("family"), (best / total).alias("chance")).where(F.col("chance") >= c.least)
     templates = spark.createDataFrame([(f, t) for f, ts in TEMPLATES.items() for t in ts], "family string, t string").select("family", F.array_distinct(word_pairs(words(F.col("t")))).alias("g"))
-    k, t = picked.alias("k"), lines.alias("t")
+    k, t = picked.alias("k"), paragraphs.alias("t")
     found = k.join(t, F.col("k.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("k.h") == F.col("t.h")) & (F.col("k.at") == F.col("t.at"))).select("k.*", "t.paragraph")
     own = F.array_distinct(word_pairs(words(F.col("paragraph"))))
     shared = F.size(F.array_intersect(own, F.col("g")))
     agree = F.greatest(shared / F.greatest(F.size("g"), F.lit(1)), F.when(shared >= 3, shared / F.greatest(F.size(own), F.lit(1))).otherwise(0.0))
     # a handful of templates for each paragraph
     matched = found.join(F.broadcast(templates), "family").withColumn("agree", agree).where(F.col("agree") >= SHARE)
-    confirmed = matched.dropDuplicates(key)
-    return confirmed.select(*key, "paragraph", "family", "chance")
+    return matched.dropDuplicates(key).select(*key, "paragraph", "family", "chance")
+
+
+def wrapped(lines: DataFrame) -> DataFrame:
+    """Two and more lines in a row (doc_id, h, at, paragraph) as one paragraph at the first of them, with ``lines``, their number.
+
+    Lines without a telling word, blank ones among them, are not in ``lines`` and so part paragraphs.
+    """
+    # the telling lines of one document
+    place = F.row_number().over(Window.partitionBy("doc_id", "h").orderBy("at"))
+    runs = lines.withColumn("run", F.col("at") - place).groupBy("doc_id", "h", "run").agg(F.sort_array(F.collect_list(F.struct("at", "paragraph"))).alias("l")).where(F.size("l") > 1)
+    return runs.select("doc_id", "h", F.col("l")[0]["at"].alias("at"), F.array_join(F.transform("l", lambda x: x["paragraph"]), " ").alias("paragraph"), F.size("l").alias("lines"))
+
+
+def scan(docs: DataFrame, classifier: Classifier | None = None) -> DataFrame:
+    """Paragraphs with a confirmed licence: doc_id, at (the first line), lines, paragraph, family, chance.
+
+    A paragraph is a line, of any length; where no line of several in a row is confirmed by itself, these are one paragraph, as
+    a notice that is wrapped. Null and empty texts have no licence. Repeated rows give one result for each distinct (doc_id,
+    text). A paragraph has one family: that of the highest chance, and of equal ones the first by name. Any of the family's
+    templates confirms it, so equal ones make no difference.
+    """
+    telling = classifier.telling if classifier else telling_words(docs.sparkSession)
+    lines = common.written(telling_paragraphs(docs, telling).dropDuplicates(["doc_id", "h", "at"]), "lines")
+    c = classifier or train(lines)
+    single = common.written(_confirmed(lines, c).withColumn("lines", F.lit(1)), "single")
+    runs = wrapped(lines)
+    r, s = runs.alias("r"), single.alias("s")
+    within = F.col("r.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("r.h") == F.col("s.h")) & F.col("s.at").between(F.col("r.at"), F.col("r.at") + F.col("r.lines") - 1)
+    rest = common.written(r.join(s, within, "left_anti"), "runs")
+    several = _confirmed(rest.drop("lines"), c).alias("c")
+    k = rest.select("doc_id", "h", "at", "lines").alias("k")
+    several = several.join(k, F.col("c.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("c.h") == F.col("k.h")) & (F.col("c.at") == F.col("k.at"))).select("c.*", "k.lines")
+    return single.unionByName(several).select("doc_id", "h", "at", "lines", "paragraph", "family", "chance")
 
 
 def document_licences(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_paragraphs, n_licensed (paragraphs), families (sorted, comma-joined; ``unknown`` if none).
+    """Per row: doc_id, n_paragraphs (lines), n_licensed (paragraphs with a licence), families (sorted, comma-joined; ``unknown`` if none).
 
     Every input row gives one row; null texts count as one empty paragraph. Other columns are ignored.
     """

@@ -6,8 +6,8 @@ how the dictionaries compare with none, are kept beside it, since a text that re
 logistic calibration turns these into a score.
 
 Only the dictionaries and the calibration are fitted, on a bounded sample of labelled rows (``FIT_ROWS`` for each label) that
-follows from the ids' hashes. The calibration sees its texts whole, in the tasks that have them; a dictionary is made of
-pieces from all over each of its texts. Every text is scored whole.
+follows from the ids' hashes, on whole texts. Every text is scored whole. The calibrated difference alone is a score of its own
+beside it.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from . import common
 from .common import quoted
 
 FIT_ROWS = 3000  #: labelled rows of each label that the classifier is fitted on, at most
-PIECES, PIECE_BYTES = 8, 1024  #: of a text for its dictionary, evenly from its start to its end; shorter texts are cut up whole
+PIECE_BYTES = 1024  #: of the pieces that a text is cut up into for its dictionary
 DICT_BYTES = 110_000  #: of either dictionary
 LEVEL = 3
 PIECE = 1 << 14  #: long texts are compressed in pieces of this many bytes, so that a dictionary helps everywhere alike
@@ -36,8 +36,8 @@ def _size(c: zstandard.ZstdCompressor, text: bytes) -> int:
 class _Model:
     """Picklable: the dictionaries' bytes and the calibration's weights; compressors are made in each process."""
 
-    def __init__(self, good: bytes, bad: bytes, weights: np.ndarray | None = None):
-        self.good, self.bad, self.weights = good, bad, weights
+    def __init__(self, good: bytes, bad: bytes, weights: np.ndarray | None = None, plain: np.ndarray | None = None):
+        self.good, self.bad, self.weights, self.plain = good, bad, weights, plain
 
     def compressors(self) -> list[zstandard.ZstdCompressor]:
         options = {"level": LEVEL, "write_checksum": False, "write_content_size": False, "write_dict_id": False}
@@ -55,8 +55,13 @@ class _Model:
         long_ = np.log1p(raw)
         return np.stack([np.ones_like(raw), difference, difference * np.abs(difference), ratio, ratio**2, np.log((np.minimum(good, bad) + 8) / (none + 8)), long_ / 10, difference * long_ / 10, (long_ / 10) ** 2, ratio * long_ / 10], axis=1)
 
+    def both(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The scores by all features, and by the difference alone."""
+        x = self.features(texts)
+        return tuple(1 / (1 + np.exp(-np.clip(x[:, : len(w)] @ w, -30, 30))) for w in (self.weights, self.plain))
+
     def score(self, texts: list[bytes]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.weights, -30, 30)))
+        return self.both(texts)[0]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> np.ndarray:
@@ -74,9 +79,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> np.ndarray:
 
 
 def _pieces(text: bytes) -> list[bytes]:
-    if len(text) <= PIECES * PIECE_BYTES:
-        return [text[i : i + PIECE_BYTES] for i in range(0, len(text), PIECE_BYTES)]
-    return [text[i : i + PIECE_BYTES] for i in (k * (len(text) - PIECE_BYTES) // (PIECES - 1) for k in range(PIECES))]
+    return [text[i : i + PIECE_BYTES] for i in range(0, len(text), PIECE_BYTES)]
 
 
 def _dictionary(samples: list[bytes]) -> bytes:
@@ -124,12 +127,13 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column) -> _Model:
     if not (good and bad and 0 < y.sum() < len(y)):
         n = [sum(r["q"] == q for r in [*taught, *measured]) for q in (0, 1)]
         share = (n[1] + 1) / (sum(n) + 2)
-        return _Model(b"", b"", np.r_[np.log(share / (1 - share)), np.zeros(9)])
+        return _Model(b"", b"", np.r_[np.log(share / (1 - share)), np.zeros(9)], np.r_[np.log(share / (1 - share)), np.zeros(2)])
     # each class is sampled to its own bound, so the calibration is told how often they occur
     n0, n1 = counts[0], counts[1]
-    w = _logistic(np.array([r["x"] for r in measured]), y)
-    w[0] += np.log(n1 / n0) - np.log(max(1, y.sum()) / max(1, (1 - y).sum()))
-    model.weights = w
+    x = np.array([r["x"] for r in measured])
+    model.weights, model.plain = _logistic(x, y), _logistic(x[:, :3], y)
+    for w in (model.weights, model.plain):
+        w[0] += np.log(n1 / n0) - np.log(max(1, y.sum()) / max(1, (1 - y).sum()))
     return model
 
 
@@ -140,22 +144,23 @@ def kept(docs: DataFrame, model: _Model, least: float = 0.5) -> DataFrame:
     return out.where(F.col(name) >= least).drop(name)
 
 
-def scores(docs: DataFrame, model: _Model, keep: list[str], name: str = "score") -> DataFrame:
-    """``keep`` columns of every row and ``name`` (double): the chance of label 1. Null texts count as empty."""
+def scores(docs: DataFrame, model: _Model, keep: list[str], name: str = "score", plain: str | None = None) -> DataFrame:
+    """``keep`` columns of every row and ``name`` (double): the chance of label 1; ``plain``: a column for that by the difference alone. Null texts count as empty."""
     # by place, so that any name will do
     rows = docs.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(keep)], F.col("text").alias("t"))
-    schema = StructType([*rows.schema.fields[:-1], StructField("s", DoubleType())])
+    schema = StructType([*rows.schema.fields[:-1], StructField("s", DoubleType()), StructField("d", DoubleType())])
 
     def run(batches):
         for b in batches:
             texts = [(t or "").encode("utf-8") for t in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(model.score(texts))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *map(pa.array, model.both(texts))], names=schema.names)
 
-    return rows.mapInArrow(run, schema).toDF(*keep, name)
+    out = rows.mapInArrow(run, schema)
+    return out.toDF(*keep, name, plain) if plain else out.drop("d").toDF(*keep, name)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per row: doc_id, held_out, score, predicted.
+    """Per row: doc_id, held_out, score, predicted, difference_score (by the difference of the dictionaries alone).
 
     Labels are learnt only from rows whose crc32(doc_id as text) mod 3 is not 1. Only the text goes into a score. Null and
     empty texts get the score of an empty text; repeated rows get the same score; ids with contradictory labels, rows with a
@@ -163,5 +168,5 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     held = common.fold(F.col("doc_id"), 3) == 1
     model = fit(docs.select("doc_id", "text"), labels.select("doc_id", "quality"), ~held)
-    out = scores(docs.select("doc_id", "text"), model, ["doc_id"])
-    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    out = scores(docs.select("doc_id", "text"), model, ["doc_id"], plain="difference_score")
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "difference_score")

@@ -131,6 +131,73 @@ ORDINARY = [
 ]
 
 
+WRAPPED = [
+    ("mit", "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation\nfiles (the \"Software\"), to deal in the Software without\nrestriction, including without limitation the rights to use it."),
+    ("bsd", "Redistribution and use in source and\nbinary forms, with or without\nmodification, are permitted provided\nthat the following conditions are met:"),
+    ("gpl-3.0", "This program is free software: you can redistribute it\nand/or modify it under the terms of the GNU\nGeneral Public License as published by the Free Software\nFoundation, either version 3 of the License."),
+]
+
+
+def test_wrapped_notices_are_one_paragraph(spark, docs):
+    c = license_scan.train(license_scan.telling_paragraphs(docs, license_scan.telling_words(spark)))
+    rows = [(k, f"A first line of prose.\n\n{t}\n\nAnd a last one, quite ordinary.") for k, (_, t) in enumerate(WRAPPED)] + [(9, "Released under the MIT License.\nThe general public came.")]
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string"), c).collect()
+    assert {r["doc_id"]: r["family"] for r in got} == {k: f for k, (f, _) in enumerate(WRAPPED)} | {9: "mit"}
+    assert all(r["paragraph"] == " ".join(dict(rows)[r["doc_id"]].split("\n")[r["at"] : r["at"] + r["lines"]]) for r in got)
+    assert any(r["lines"] > 1 for r in got) and [r["lines"] for r in got if r["doc_id"] == 9] == [1]
+
+
+def plain_scan(c, text):
+    """Families of a text's lines, and of rows of lines without any, in plain Python from the fitted weights: {first line: family}."""
+    weights, telling = {r["term"]: r["w"] for r in c.weights.collect()}, set(c.telling)
+    split = lambda t: [w for w in re.split(r"[^0-9a-z\u00aa-\uffff]+|[\u2010-\u2027\u00ab\u00bb\u00bf\u00d7]+", t.lower()) if w]
+    pairs = lambda w: {f"{x} {y}" for x, y in zip(w, w[1:])}
+
+    def family(t):
+        w = split(t)
+        grams = {" ".join(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1) if telling & set(w[i : i + n])} & set(weights)
+        if not grams:
+            return None
+        z = [(sum(weights[g][k] for g in sorted(grams)) + b) / c.temperature for k, b in enumerate(c.bias)]
+        e = [math.exp(x - max(z)) for x in z]
+        k = max(range(len(e) - 1), key=lambda i: (e[i], -i))
+        if e[k] / sum(e) < c.least:
+            return None
+        own = pairs(w)
+        for template in license_scan.TEMPLATES[c.families[k]]:
+            of = pairs(split(template))
+            shared = len(own & of)
+            if shared / max(1, len(of)) >= 0.5 or (shared >= 3 and shared / max(1, len(own)) >= 0.5):
+                return c.families[k]
+        return None
+
+    lines = text.split("\n")
+    tells = [bool(telling & set(re.split(r"[^0-9a-z\u00aa-\uffff]+", x.lower()))) for x in lines]
+    out, at = {}, 0
+    while at < len(lines):
+        end = at
+        while end < len(lines) and tells[end]:
+            end += 1
+        found = {i: f for i in range(at, end) if (f := family(lines[i]))}
+        if not found and end - at > 1 and (f := family(" ".join(lines[at:end]))):
+            found = {at: f}
+        out |= found
+        at = max(end, at + 1)
+    return out
+
+
+def test_scan_against_a_plain_scorer(spark, docs, texts):
+    c = license_scan.train(license_scan.telling_paragraphs(docs, license_scan.telling_words(spark)))
+    more = {10_000 + k: t for k, (_, t) in enumerate([*PARAPHRASES, *WRAPPED, *((None, t) for t in ORDINARY)])}
+    more[20_000] = "\n".join(t for _, t in PARAPHRASES[:6]) + "\n" + "\n".join(ORDINARY)
+    every = {i: t for i, t in texts.items() if t} | more
+    got = defaultdict(dict)
+    for r in license_scan.scan(spark.createDataFrame(list(every.items()), "doc_id bigint, text string"), c).collect():
+        got[r["doc_id"]][r["at"]] = r["family"]
+    want = {i: f for i, t in every.items() if (f := plain_scan(c, t))}
+    assert dict(got) == want and len(want) > 25
+
+
 def test_licences_of_held_out_paraphrases(spark, docs):
     """Notices that stand in no template word for word: how many are found, and how many of what is found is right."""
     c = license_scan.train(license_scan.telling_paragraphs(docs, license_scan.telling_words(spark)))
@@ -183,11 +250,17 @@ def test_quality_scores_are_the_models(spark, docs, texts):
         assert got[i] == pytest.approx(1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model.weights)))), abs=1e-6)
 
 
-def test_pieces_come_from_all_over():
+def test_dictionaries_see_whole_texts():
     assert quality._pieces(b"x" * 2500) == [b"x" * 1024, b"x" * 1024, b"x" * 452] and quality._pieces(b"") == []
     t = bytes(range(256)) * 400
-    p = quality._pieces(t)
-    assert len(p) == 8 and p[0] == t[:1024] and p[-1] == t[-1024:]
+    assert b"".join(quality._pieces(t)) == t
+
+
+def test_quality_by_the_difference_alone(spark):
+    d = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    got = quality.classify(spark.read.parquet(f"{d}/documents.parquet"), labels).join(labels, "doc_id").where("held_out").toPandas()
+    assert got.difference_score.between(0, 1).all() and ((got.difference_score >= 0.5) == got.quality).mean() > 0.9
 
 
 def test_quality_of_odd_tables(spark, odd, empty):
