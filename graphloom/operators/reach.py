@@ -11,8 +11,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from graphloom.model import Graph
 from graphloom.storage import Buckets, delete, numbered, written
@@ -29,6 +30,17 @@ def _set_bits(word: Column) -> Column:
     return F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda b: F.call_function("shiftrightunsigned", word, b).bitwiseAND(F.lit(1)) == 1)
 
 
+def _numbers(names: DataFrame) -> tuple[DataFrame, int]:
+    """source, batch and bit of each source, and their number. Those of one batch are numbered here, more by a sort."""
+    few = names.limit(BATCH + 1).collect()
+    if len(few) <= BATCH:
+        schema = StructType([*names.schema.fields, StructField("batch", IntegerType()), StructField("bit", IntegerType())])
+        return names.sparkSession.createDataFrame([(r[0], 0, i) for i, r in enumerate(few)], schema), len(few)
+    place = F.col("place") - 1
+    bits, _ = written(numbered(names, (F.asc("source"),), "place").select("source", F.floor(place / BATCH).cast("int").alias("batch"), (place % BATCH).cast("int").alias("bit")), "sources")
+    return bits, bits.count()
+
+
 def distances(pairs: DataFrame, sources: DataFrame, *, up: bool = False, max_depth: int | None = None, stop_at: int | None = None, targets: DataFrame | None = None) -> DataFrame:
     """Hops from each source: source, root_id, depth, over ``pairs`` (pre_id, post_id).
 
@@ -38,14 +50,15 @@ def distances(pairs: DataFrame, sources: DataFrame, *, up: bool = False, max_dep
     spark = pairs.sparkSession
     a, b = ("post_id", "pre_id") if up else ("pre_id", "post_id")
     starts = sources.select("source", "root_id").distinct()
-    bits, bits_at = written(numbered(starts.select("source").distinct(), (F.asc("source"),), "place").select("source", F.floor((F.col("place") - 1) / BATCH).cast("int").alias("batch"), ((F.col("place") - 1) % BATCH).cast("int").alias("bit")), "sources")
-    n = bits.count()
+    bits, n = _numbers(starts.select("source").distinct())
     words = range(max(1, -(-min(n, BATCH) // WORD)))
     new, seen = [f"n{w}" for w in words], [f"s{w}" for w in words]
     keys = ["batch", "root_id"]
     store = Buckets(spark)
     try:
-        _, steps = store.put(pairs.select(F.col(a).alias("root_id"), F.col(b).alias("next")).where("root_id IS NOT NULL AND next IS NOT NULL").distinct(), "root_id")
+        steps = pairs.select(F.col(a).alias("root_id"), F.col(b).alias("next")).where("root_id IS NOT NULL AND next IS NOT NULL").distinct()
+        # a file for each bucket, so that its order holds
+        _, steps = store.put(steps.repartition(store.n, "root_id"), "root_id")
         one = lambda w: F.when(F.floor(F.col("bit") / WORD) == w, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit") % WORD)).otherwise(F.lit(0).cast("bigint"))
         first = starts.join(bits, "source").groupBy(*keys).agg(*[F.bit_or(one(w)).alias(new[w]) for w in words])
         history = F.array(F.struct(F.lit(0).alias("depth"), F.array(*new).alias("bits")))
@@ -62,10 +75,12 @@ def distances(pairs: DataFrame, sources: DataFrame, *, up: bool = False, max_dep
             both = both.select(*keys, *fresh, *[F.coalesce(s, zero).alias(s) for s in seen], F.coalesce("found", F.array().cast(old.schema["found"].dataType)).alias("found"))
             now = F.array(F.struct(F.lit(depth).alias("depth"), F.array(*new).alias("bits")))
             after = both.select(*keys, *new, *[F.col(s).bitwiseOR(F.col(x)).alias(s) for s, x in zip(seen, new)], F.when(_any(new), F.concat("found", now)).otherwise(F.col("found")).alias("found"))
-            last, (name, state) = name, store.put(after, *keys)
+            # what grew is counted while it is written
+            grown = Observation()
+            reached = _any(new) & (F.col("root_id") == stop_at) if stop_at is not None else F.lit(False)
+            last, (name, state) = name, store.put(after.observe(grown, F.count_if(_any(new)).alias("rows"), F.count_if(reached).alias("reached")), *keys)
             store.drop(last)
-            grown = state.where(_any(new))
-            if grown.isEmpty() or (stop_at is not None and not grown.where(F.col("root_id") == stop_at).isEmpty()):
+            if not grown.get["rows"] or grown.get["reached"]:
                 break
         told = state if targets is None else state.join(targets.select("root_id").distinct(), "root_id", "left_semi")
         each = told.select(*keys, F.explode("found").alias("f")).select(*keys, "f.depth", F.posexplode("f.bits").alias("w", "word")).where("word <> 0")
@@ -73,7 +88,6 @@ def distances(pairs: DataFrame, sources: DataFrame, *, up: bool = False, max_dep
         out, _ = written(each.join(bits, ["batch", "bit"]).select("source", "root_id", "depth"), "distances")
     finally:
         store.close()
-        delete(spark, bits_at)
     return out
 
 
