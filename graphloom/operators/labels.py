@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -61,6 +62,11 @@ def _each(labels: Column, change) -> Column:
     return F.transform(labels, change)
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once; a lambda inside ``body`` would compute a plain expression for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _filled(labels: Column) -> Column:
     return F.filter(labels, lambda x: F.coalesce(x != "", F.lit(False)))
 
@@ -111,6 +117,9 @@ def _ended_by(labels: Column, mark: str, at_start: bool, otherwise: Column) -> C
 
 def without_side(label: Column, rules: Rules) -> Column:
     """Left and right off each word; words that are nothing else go."""
+    ends = [e for end in rules.side_ends for e in (end, end.upper())]
+    # a word with none of these stays as it is
+    some = "|".join(re.escape(s) for s in (*rules.sides, *ends))
 
     def bare(w: Column) -> Column:
         for side in rules.sides:
@@ -123,39 +132,37 @@ def without_side(label: Column, rules: Rules) -> Column:
                 w = F.regexp_replace(w, rf"(?:{end}|{end.upper()})\z", "")
         return w
 
-    words = _each(F.filter(F.split(label, r"(?U)\s+"), lambda w: w != ""), bare)
+    words = _each(F.filter(F.split(label, r"(?U)\s+"), lambda w: w != ""), lambda w: F.when(w.rlike(some), bare(w)).otherwise(w))
     return F.array_join(F.filter(words, lambda w: (w != "") & ~w.isin(*rules.side_marks)), " ")
 
 
 def distinct_parts(label: Column) -> Column:
     """Parts between ``;`` that come again go."""
-    tokens = _tokens(label, ";")
-    once = F.array_distinct(tokens)
-    return F.when(F.size(once) < F.size(tokens), F.array_join(once, "; ")).otherwise(label)
+    return _bound(_tokens(label, ";"), lambda tokens: F.when(F.size(F.array_distinct(tokens)) < F.size(tokens), F.array_join(F.array_distinct(tokens), "; ")).otherwise(label))
 
 
 def without_contained_parts(label: Column) -> Column:
     """A part that the next one holds goes: as its start before ``:``, as its last word, or as a word before ``,`` or ``;``. Parts between ``,``, else between ``;``."""
 
-    def of(mark: str, otherwise: Column) -> Column:
-        tokens = _tokens(label, mark)
+    def held(part: Column, after: Column) -> Column:
+        word = F.concat(F.lit(" "), part)
+        return F.coalesce(after.startswith(F.concat(part, F.lit(":"))) | after.endswith(word) | after.contains(F.concat(word, F.lit(","))) | after.contains(F.concat(word, F.lit(";"))), F.lit(False))
 
-        def held(part: Column, i: Column) -> Column:
-            after = F.get(tokens, i + 1)
-            word = F.concat(F.lit(" "), part)
-            return F.coalesce(after.startswith(F.concat(part, F.lit(":"))) | after.endswith(word) | after.contains(F.concat(word, F.lit(","))) | after.contains(F.concat(word, F.lit(";"))), F.lit(False))
+    def of(mark: str, otherwise: Column) -> Column:
+        def chosen(tokens: Column) -> Column:
+            kept = F.filter(tokens, lambda p, i: ~held(p, F.get(tokens, i + 1)))
+            return _bound(kept, lambda k: F.when(F.size(k) < F.size(tokens), F.array_join(k, f"{mark} ")).otherwise(otherwise))
 
-        kept = F.filter(tokens, lambda p, i: ~held(p, i))
-        return F.when(F.size(kept) < F.size(tokens), F.array_join(kept, f"{mark} ")).otherwise(otherwise)
+        return _bound(_tokens(label, mark), chosen)
 
     return of(",", of(";", label))
 
 
 def without_lookalikes(labels: Column, rules: Rules) -> Column:
-    """A later label goes if it differs from an earlier one, place by place, in slight characters only."""
-    slight = lambda c: c.isNull() | c.isin(*rules.slight)
-    alike = lambda x, y: F.forall(F.zip_with(F.split(x, ""), F.split(y, ""), lambda c, d: c.eqNullSafe(d) | (slight(c) & slight(d))), lambda ok: ok)
-    return F.filter(labels, lambda x, i: ~F.exists(F.slice(labels, F.lit(1), i), lambda y: alike(x, y)))
+    """A later label goes if it differs from an earlier one, place by place, in slight characters only; what one has beyond the other's end counts as different."""
+    # two labels are alike if and only if they are the same once slight characters are spaces and those at the end are off
+    bare = F.transform(labels, lambda x: F.rtrim(F.translate(x, rules.slight, " " * len(rules.slight))))
+    return _bound(bare, lambda b: F.filter(labels, lambda x, i: F.array_position(b, F.get(b, i)) == i + 1))
 
 
 def without_prefixes(labels: Column) -> Column:

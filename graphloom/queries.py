@@ -333,12 +333,12 @@ _add("motif_triangle_cycle", lambda g: Motif(g).node("A").node("B").node("C").ed
 _add("motif_feedforward_induced", lambda g: Motif(g).node("A").node("B").node("C").edge("A", "B").edge("B", "C").edge("A", "C").matches(),
      _with('SELECT x.pre_id AS "A", x.post_id AS "B", y.post_id AS "C" FROM pairs x JOIN pairs y ON x.post_id = y.pre_id JOIN pairs z ON z.pre_id = x.pre_id AND z.post_id = y.post_id WHERE x.pre_id <> x.post_id AND x.post_id <> y.post_id AND x.pre_id <> y.post_id AND (x.post_id, x.pre_id) NOT IN (SELECT pre_id, post_id FROM pairs) AND (y.post_id, x.post_id) NOT IN (SELECT pre_id, post_id FROM pairs) AND (y.post_id, x.pre_id) NOT IN (SELECT pre_id, post_id FROM pairs)'))
 ORACLE["motif_triangle_cycle"] = _with('SELECT x.pre_id AS "A", x.post_id AS "B", y.post_id AS "C" FROM pairs x JOIN pairs y ON x.post_id = y.pre_id JOIN pairs z ON z.pre_id = y.post_id AND z.post_id = x.pre_id WHERE x.pre_id <> x.post_id AND x.post_id <> y.post_id AND x.pre_id <> y.post_id AND (x.post_id, x.pre_id) NOT IN (SELECT pre_id, post_id FROM pairs) AND (y.post_id, x.post_id) NOT IN (SELECT pre_id, post_id FROM pairs) AND (x.pre_id, y.post_id) NOT IN (SELECT pre_id, post_id FROM pairs)')
-_add("motif_pair_edges", lambda g: Motif(g).node("A", "class == Brand#13").node("B").edge("A", "B", least=48).matches(with_edges=True).select("A", "B", F.length("edges").alias("chars")), None)
-
 _ROW_JSON = """'{"from":"' || pre_id || '","to":"' || post_id || '","region":"' || region || '","weight":' || weight || ',"edge_type":"' || edge_type || '"}'"""
 _ROW_ORDER = "CAST(pre_id AS VARCHAR), CAST(post_id AS VARCHAR), region, weight, edge_type"
 _add("motif_pair_rows", lambda g: Motif(g).node("A", "class == Brand#13").node("B").edge("A", "B", least=48).matches(with_edges=True),
      _with(f"""SELECT pre_id AS "A", post_id AS "B", '[{{"id":"' || pre_id || '","name":""}},{{"id":"' || post_id || '","name":""}}]' AS nodes, '[' || string_agg({_ROW_JSON}, ',' ORDER BY {_ROW_ORDER}) || ']' AS edges FROM edges WHERE weight >= 48 AND pre_id IN (SELECT root_id FROM nodes WHERE class = 'Brand#13') GROUP BY 1, 2"""))
+_add("motif_pair_edges", lambda g: Motif(g).node("A", "class == Brand#13").node("B").edge("A", "B", least=48).matches(with_edges=True).select("A", "B", F.length("edges").alias("chars")),
+     _with(f"""SELECT pre_id AS "A", post_id AS "B", CAST(length('[' || string_agg({_ROW_JSON}, ',') || ']') AS INTEGER) AS chars FROM edges WHERE weight >= 48 AND pre_id IN (SELECT root_id FROM nodes WHERE class = 'Brand#13') GROUP BY 1, 2"""))
 _APART = "NOT EXISTS (SELECT 1 FROM pairs r WHERE r.pre_id = {1} AND r.post_id = {0})"
 _CHAIN = "m AS (SELECT DISTINCT x.pre_id AS a, x.post_id AS b, y.post_id AS c FROM edges x JOIN edges y ON x.post_id = y.pre_id WHERE x.weight >= 40 AND y.region = 'N' AND x.pre_id <> x.post_id AND y.pre_id <> y.post_id AND x.pre_id <> y.post_id AND x.pre_id IN (SELECT root_id FROM nodes WHERE class = 'Brand#13') AND " + " AND ".join(_APART.format(*p) for p in (("x.pre_id", "x.post_id"), ("y.pre_id", "y.post_id"), ("x.pre_id", "y.post_id"), ("y.post_id", "x.pre_id"))) + ")"
 _add("motif_chain_rows", lambda g: Motif(g).node("A", "class == Brand#13").node("B").node("C").edge("A", "B", least=40).edge("B", "C", "N").matches(with_edges=True).select("A", "B", "C", "edges"),
@@ -355,15 +355,21 @@ _add("coordinates_zip", lambda g: g.nodes.select("root_id", F.posexplode(F.array
      _with("SELECT root_id, CAST(i AS INTEGER) AS at, input_neuropils[i + 1] AS a, label[i + 1] AS b FROM (SELECT *, unnest(range(greatest(len(input_neuropils), len(label)))) AS i FROM nodes)"))
 _add("title_case", lambda g: g.nodes.select("super_class").distinct().select("super_class", text_fn.title_case(F.concat("super_class", F.lit("_x-t4a"))).alias("title")), _with("SELECT DISTINCT super_class, array_to_string(list_transform(string_split(lower(super_class), ' '), lambda x: upper(x[1]) || x[2:]), ' ') || ' X-T4A' AS title FROM nodes"))
 _add("base62", lambda g: g.nodes.select("root_id", text_fn.base62(F.col("size_nm")).alias("short"), text_fn.from_base62(text_fn.base62(F.col("size_nm"))).alias("size_nm")).select("root_id", "size_nm"), _with("SELECT root_id, size_nm FROM nodes"))
-_add("label_clean", lambda g: labels.clean(labels.grouped(g.label_log, g.nodes).join(g.nodes.drop("label"), "root_id")).select("root_id", F.array_join("label", "|").alias("label")), None)
 _add("labels_latest_first", lambda g: labels.grouped(g.label_log, g.nodes).select("root_id", F.size("label").alias("n"), F.md5(F.array_join("label", "|")).alias("in_order")), _with("SELECT doc_id % (SELECT count(*) FROM part) AS root_id, CAST(count(*) AS INTEGER) AS n, md5(string_agg(text, '|' ORDER BY CAST(n_chars AS VARCHAR) DESC, doc_id DESC)) AS in_order FROM documents GROUP BY 1 HAVING doc_id % (SELECT count(*) FROM part) IN (SELECT p_partkey FROM part)".replace("HAVING doc_id % (SELECT count(*) FROM part)", "HAVING root_id")))
 _add("export_search", lambda g: csv_tables.search_export(compiler.nodes_of(g, "sub_class == 7")), _with("SELECT CAST(root_id AS VARCHAR) AS root_id, '' AS name, nt_type, '' AS flow, super_class, sub_class, '[]' AS cell_type, '' AS hemilineage, '' AS nerve, side, '0' AS length_nm, '0' AS area_nm, CAST(size_nm AS VARCHAR) AS size_nm, '[' || replace(array_to_string(list_transform(label, lambda x: '''' || x || ''''), ', '), ',', ';') || ']' AS label, class FROM nodes WHERE sub_class = '7'"))
 _add("export_ids", lambda g: csv_tables.id_list(ordering.ranked(g, _brand(g), "-size")), _with("SELECT string_agg(CAST(root_id AS VARCHAR), ',' ORDER BY size_nm DESC, root_id) AS ids FROM nodes WHERE class = 'Brand#13'"))
-_add("export_edges_json", lambda g: csv_tables.edges_as_json(g, graph.connections(g, _brand(g), induced=True)).select(F.length("nodes").alias("nodes"), F.length("edges").alias("edges")), None)
 
 _BRAND_EDGES = "edges WHERE pre_id IN (SELECT root_id FROM nodes WHERE class = 'Brand#13') AND post_id IN (SELECT root_id FROM nodes WHERE class = 'Brand#13')"
 _add("export_edges", lambda g: csv_tables.edge_export(graph.connections(g, _brand(g), induced=True)), _with(f'SELECT pre_id AS "From", post_id AS "To", region AS "Neuropil", weight AS "Synapses", edge_type AS "Neuro Transmitter" FROM {_BRAND_EDGES}'))
 _add("export_edge_rows", lambda g: csv_tables.edge_json_rows(graph.connections(g, _brand(g), induced=True)), _with(f"""SELECT '{{"from":' || pre_id || ',"to":' || post_id || ',"neuropil":"' || region || '","synapses":' || weight || ',"nt_type":"' || edge_type || '"}}' AS edge FROM {_BRAND_EDGES}"""))
+_EDGE_DOCUMENT = (
+    f"""r AS (SELECT * FROM {_BRAND_EDGES}), d AS (SELECT * FROM nodes WHERE root_id IN (SELECT pre_id FROM r UNION SELECT post_id FROM r)),
+n AS (SELECT '[' || string_agg('{{"root_id":"' || root_id || '"' || CASE WHEN nt_type <> '' THEN ',"nt_type":"' || nt_type || '"' ELSE '' END || ',"class":"' || class || '"}}', ',' ORDER BY CAST(root_id AS VARCHAR)) || ']' AS nodes FROM d),
+e AS (SELECT '[' || string_agg({_ROW_JSON}, ',' ORDER BY {_ROW_ORDER}) || ']' AS edges FROM r)"""
+)
+_add("export_edges_json", lambda g: csv_tables.edges_as_json(g, graph.connections(g, _brand(g), induced=True)).select(F.length("nodes").alias("nodes"), F.length("edges").alias("edges")),
+     _with("SELECT CAST(length(nodes) AS INTEGER) AS nodes, CAST(length(edges) AS INTEGER) AS edges FROM n, e", _EDGE_DOCUMENT))
+_add("export_edges_document", lambda g: csv_tables.edges_as_json(g, graph.connections(g, _brand(g), induced=True)), _with("SELECT nodes, edges FROM n, e", _EDGE_DOCUMENT))
 _add("label_log_of_node", lambda g: labels.log_of(g.label_log, 7).select("place", "label_id", "user_name", "date_created", F.md5("label").alias("label")), """SELECT CAST(row_number() OVER (ORDER BY CAST(n_chars AS VARCHAR) DESC, doc_id DESC) AS INTEGER) AS place, doc_id AS label_id, source AS user_name, CAST(n_chars AS VARCHAR) AS date_created, md5(text) AS label FROM documents WHERE doc_id % (SELECT count(*) FROM part) = 7""")
 _add("label_parts_distinct", lambda g: g.label_log.select("label_id", F.md5(labels.distinct_parts(F.col("label"))).alias("label")), """SELECT doc_id AS label_id, md5(CASE WHEN len(list_distinct(p)) < len(p) THEN array_to_string(list_transform(list_filter(list_zip(p, range(len(p))), lambda x: list_position(p, x[1]) = x[2] + 1), lambda x: x[1]), '; ') ELSE text END) AS label FROM (SELECT doc_id, text, list_filter(list_transform(string_split(text, ';'), lambda x: trim(x)), lambda x: x <> '') AS p FROM documents)""")
 _add("label_spaced", lambda g: g.label_log.select("label_id", F.md5(labels.spaced(F.col("label"))).alias("label")), """SELECT doc_id AS label_id, md5(array_to_string(list_transform(string_split(array_to_string(list_transform(string_split(text, ';'), lambda x: trim(x)), '; '), ','), lambda x: trim(x)), ', ')) AS label FROM documents""")
@@ -449,6 +455,85 @@ _add("label_rules", lambda g: g.nodes.select(
         labels.shortened(F.concat("class", F.lit(" it's; https://doi.org/10.1101/2021.12.20.473513")), _RULES).alias("short"),
      ),
      _with("""SELECT root_id, label[1] || ' ' || label[2] AS sideless, true AS bad, false AS good, label[1] || '|' || class AS corrected, class AS ended, class || ' x|' || label[1] AS prefixed, class || '-a|' || class || 'b' AS lookalikes, label[1] AS known, 'the ' || class || ', ' || label[1] AS contained, class || ' it`s' AS short FROM nodes"""))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _clean_sql(labels_of_nodes: str) -> str:
+    """The SQL of cleaning until nothing changes; ``labels_of_nodes`` selects root_id, own (attributes in lower case) and a (labels)."""
+    hide, side, tentative = "x", "w", "p"
+    for t in _RULES.hidden:
+        hide = f"replace({hide}, {_quoted(t)}, '')"
+    for t in _RULES.sides:
+        side = f"replace({side}, '{t}', '')"
+    for mark in _RULES.side_marks:
+        for end in _RULES.side_ends:
+            side = f"regexp_replace(replace(replace({side}, '{end + mark}', '{mark}'), '{end.upper() + mark}', '{mark}'), '(?:{end}|{end.upper()})$', '')"
+    # a word that has no side at all stays as it is
+    side = f"CASE WHEN regexp_matches(w, '[_-]|[Ll]eft|[Rr]ight') THEN {side} ELSE w END"
+    for t in _RULES.tentative:
+        tentative = f"list_transform({tentative}, lambda p: CASE WHEN starts_with(lower(p), '{t}') THEN substr(p, {len(t) + 1}) ELSE p END)"
+    marks = "[" + ", ".join(f"{{'t': {_quoted(t)}, 's': {s}}}" for s, ts in (("true", _RULES.corrections), ("false", _RULES.correction_ends)) for t in ts) + "]"
+    has = "CASE WHEN m.s THEN starts_with(x, m.t) ELSE ends_with(x, m.t) END"
+    joined = lambda parts, mark: f"coalesce(array_to_string({parts}, '{mark}'), '')"
+    filled = "list_filter(a, lambda x: coalesce(x <> '', false))"
+    known = "list_filter(list_transform(a, lambda x: trim(" + joined(tentative.replace("(p,", "(list_filter(string_split(x, ';'), lambda p: NOT list_contains(own, trim(lower(p)))),", 1), ";") + ")), lambda x: length(x) > 1)"
+    once = "list_filter({0}, lambda t, i: list_position({0}, t) = i)"
+    tokens = lambda mark: f"list_filter(list_transform(string_split(x, '{mark}'), lambda p: trim(p)), lambda p: p <> '')"
+    held = "coalesce(starts_with({0}, p || ':') OR ends_with({0}, ' ' || p) OR contains({0}, ' ' || p || ',') OR contains({0}, ' ' || p || ';'), false)"
+
+    def kept(mark: str) -> str:
+        return f"list_transform([{tokens(mark)}], lambda t: list_filter(t, lambda p, i: NOT {held.format('t[i + 1]')}))[1]"
+
+    contained = "x"
+    for mark in (";", ","):
+        contained = f"CASE WHEN len({kept(mark)}) < len({tokens(mark)}) THEN {joined(kept(mark), mark + ' ')} ELSE {contained} END"
+    parts = f"CASE WHEN len({once.format(tokens(';'))}) < len({tokens(';')}) THEN {joined(once.format(tokens(';')), '; ')} ELSE x END"
+    words = "list_filter(list_transform(list_filter(regexp_split_to_array(x, '[\\s\\x0B\\x{85}\\p{Z}]+'), lambda w: w <> ''), lambda w: " + side + "), lambda w: w <> '' AND w NOT IN (" + ", ".join(f"'{m}'" for m in _RULES.side_marks) + "))"
+    slight = f"rtrim(translate(x, {_quoted(_RULES.slight)}, '{' ' * len(_RULES.slight)}'))"
+    spaced = "x"
+    for mark in (";", ","):
+        spaced = f"array_to_string(list_transform(string_split({spaced}, '{mark}'), lambda p: trim(p)), '{mark} ')"
+    unwanted = " OR ".join([f"lower(x) = {_quoted(t)}" for t in _RULES.unwanted] + [f"starts_with(x, {_quoted(t)})" for t in _RULES.unwanted_starts])
+    # each step is a select of its own over the one before
+    steps = [
+        f"list_transform({filled}, lambda x: regexp_replace(regexp_replace({hide}, '[\\s\\x0B]', ' ', 'g'), '[''\"]', '`', 'g')) AS a",
+        f"list_transform(list_filter(a, lambda x: NOT ({unwanted} OR regexp_full_match(x, '72\\d{{16}}'))), lambda x: trim(x)) AS a",
+        f"{known} AS a",
+        f"a, list_filter({marks}, lambda m: len(list_filter(a, lambda x: {has})) > 0)[1] AS m",
+        f"a, m, CASE WHEN m IS NULL THEN 0 ELSE list_position(list_transform(a, lambda x: {has}), true) END AS place",
+        "CASE WHEN m IS NULL THEN a ELSE a[1 : place - 1] || [CASE WHEN m.s THEN substr(a[place], length(m.t) + 1) ELSE substr(a[place], 1, length(a[place]) - length(m.t)) END] END AS a",
+        f"list_transform({filled}, lambda x: {joined(words, ' ')}) AS a",
+        f"list_transform({filled}, lambda x: {parts}) AS a",
+        f"list_transform({filled}, lambda x: {contained}) AS a",
+        f"{known} AS a",
+        f"{once.format('a')} AS a",
+        f"a, list_transform(a, lambda x: {slight}) AS bare",
+        "list_filter(a, lambda x, i: list_position(bare, bare[i]) = i) AS a",
+        "list_filter(a, lambda x: len(list_filter(a, lambda y: length(y) > length(x) AND starts_with(y, x) AND NOT regexp_matches(substr(y, length(x) + 1, 1), '[0-9A-Za-z_]'))) = 0) AS a",
+        f"list_transform(a, lambda x: trim(regexp_replace(trim({spaced}), '[;,:]$', ''))) AS a",
+        f"{once.format('a')} AS a",
+    ]
+    turn = "(SELECT root_id, own, a, a AS was FROM state WHERE was IS DISTINCT FROM a)"
+    for step in steps:
+        turn = f"(SELECT root_id, own, was, {step} FROM {turn})"
+    start = f"state AS (SELECT root_id, own, a, CAST(NULL AS VARCHAR[]) AS was FROM ({labels_of_nodes}) UNION ALL SELECT root_id, own, a, was FROM {turn})"
+    return _with("SELECT root_id, coalesce(array_to_string(a, '|'), '') AS label FROM state WHERE was IS NOT DISTINCT FROM a", start, recursive=True)
+
+
+_OWN_SQL = "list_filter([lower(nt_type), lower(super_class), lower(class), lower(sub_class), lower(side)], lambda x: x <> '') AS own"
+_add("label_clean", lambda g: labels.clean(labels.grouped(g.label_log, g.nodes).join(g.nodes.drop("label"), "root_id")).select("root_id", F.array_join("label", "|").alias("label")),
+     _clean_sql(f"SELECT root_id, {_OWN_SQL}, a FROM nodes JOIN (SELECT doc_id % (SELECT count(*) FROM part) AS root_id, list(text ORDER BY CAST(n_chars AS VARCHAR) DESC, doc_id DESC) AS a FROM documents GROUP BY 1) USING (root_id)"))
+#: labels of a node that the rules of cleaning change, latest first; two languages read them
+_MARKED = """CASE WHEN root_id % 3 = 0 THEN concat('putative ', label[{0}], '; ', class, '; ', label[{1}], '; ', label[{0}]) ELSE concat(label[{0}], '_R') END,
+concat(label[{1}], '-', {2}), concat(label[{1}], ' ', {2}, ','), concat({2}, ', the ', {2}, ', left ', side),
+CASE WHEN root_id % 7 = 0 THEN concat('Correction: ', label[{0}]) WHEN root_id % 7 = 1 THEN concat(label[{1}], '; L1 label is wrong') WHEN root_id % 7 = 2 THEN '#wrong_prediction' ELSE concat('right_', label[{1}], ' ', label[{0}], ' ;') END,
+concat(label[{1}], ': ', sub_class, '; ', label[{1}]), label[{1}], concat(label[{0}], '  it"s'), concat('72', lpad(CAST(root_id AS {3}), 16, '0')), concat(label[{0}], '_x'), NULL, ''"""
+_THIRD = "concat('k', sub_class)"
+_add("label_clean_marked", lambda g: labels.clean(g.nodes.withColumn("label", F.expr(f"array({_MARKED.format(0, 1, _THIRD, 'STRING')})"))).select("root_id", F.array_join("label", "|").alias("label")),
+     _clean_sql(f"SELECT root_id, {_OWN_SQL}, [{_MARKED.format(1, 2, _THIRD, 'VARCHAR')}] AS a FROM nodes"))
 _FORM = {"queryA": "side == left", "queryB": "", "enabledAB": "on", "regionAB": "new lines", "minSynapseCountAB": "45", "enabledBA": "on", "minSynapseCountBA": ""}
 _add("motif_from_form", lambda g: Motif.from_form(g, _FORM).matches(), _with("SELECT DISTINCT a.pre_id AS \"A\", a.post_id AS \"B\" FROM edges a JOIN edges b ON a.pre_id = b.post_id AND a.post_id = b.pre_id WHERE a.region = 'N' AND a.weight >= 45 AND b.weight >= 5 AND a.pre_id IN (SELECT root_id FROM nodes WHERE side = 'left')"))
 _add("motif_one_node", lambda g: Motif(g).node("A", "class == Brand#13").matches(), _with("SELECT root_id AS \"A\" FROM nodes WHERE class = 'Brand#13'"))
