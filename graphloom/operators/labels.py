@@ -216,11 +216,13 @@ def clean(nodes: DataFrame, rules: Rules = Rules(), edge_types: dict[str, str] |
     row = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in columns])
     own = F.filter(F.transform(F.array(*known), lambda x: F.lower(x)), lambda x: x != "")
     state = nodes.select(row.alias("row"), own.alias("own"), F.coalesce("label", F.array().cast("array<string>")).alias("label"))
+    # the same expressions for every round
+    steps = [step(F.col("label")) for step in _steps(F.col("own"), rules)]
     done = []
     for turn in range(ROUNDS):
         stepped = state.withColumn("before", F.col("label"))
-        for step in _steps(F.col("own"), rules):
-            stepped = stepped.withColumn("label", step(F.col("label")))
+        for changed in steps:
+            stepped = stepped.withColumn("label", changed)
         stepped, _ = written(stepped.withColumn("same", F.col("label").eqNullSafe(F.col("before"))).drop("before"), f"labels{turn}")
         done.append(stepped.where("same"))
         state = stepped.where("NOT same").select("row", "own", "label")
