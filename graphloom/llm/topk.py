@@ -106,13 +106,15 @@ def _load(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact a @ b.T of int64 rows; in float64 where that is exact."""
-    bound = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
+    """Exact a @ b.T of int64 rows, in float64 where that is exact; a product beyond 64 bits becomes the nearest number of 64 bits."""
+    most = lambda m: float(np.abs(m.astype(np.float64)).max(initial=0))
+    bound = most(a) * most(b) * a.shape[1]
     if bound < 2.0**53:
         return np.rint(a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    if bound >= 2.0**63:
-        raise OverflowError("inner products of these components need more than 64 bits")
-    return np.einsum("ij,kj->ik", a, b)
+    if bound < 2.0**62:
+        return np.einsum("ij,kj->ik", a, b)
+    # whole numbers of any size; scores keep clear of the one number that has no negative
+    return np.clip(a.astype(object) @ b.astype(object).T, 1 - 2**63, 2**63 - 1).astype(np.int64)
 
 
 class _Best:
@@ -188,7 +190,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256) ->
     vec_id. Vectors that are null, empty or hold a null or non-finite component take no part, nor do rows without a vec_id.
     Vectors are compared with those of their own dimension only. Every row is a vector of its own, also if ids repeat: a
     query row that repeats an id has ranks of its own, and candidates are all rows but itself. A table without usable rows
-    gives no rows.
+    gives no rows. Components and scores beyond 64 bits become the nearest number of 64 bits.
     """
     spark = vectors.sparkSession
     usable_rows = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
