@@ -227,10 +227,11 @@ def edit(state: DataFrame, edits: Column, ranks_path: str, pattern: str) -> Data
 
 
 def apply_log(state: DataFrame, log: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """Apply a table of edits (doc_id, seq, offset, deleted, inserted) in order of ``seq``; doc_id must be unique in ``state``.
+    """Apply a table of edits (doc_id, seq, offset, deleted, inserted) in order of ``seq``.
 
-    Trees and edits are brought together and sorted by document, and a task streams through them with one tree at a time,
+    Trees and edits are brought together and sorted by document, and a task streams through them with one document at a time,
     so a document may have any number of edits. Edits of unknown documents do nothing; ties of seq go by the other columns.
+    Rows that share a doc_id are each edited; rows without one stay as they are.
     """
     n = F.lit(None)
     a = state.select("doc_id", F.lit(0).alias("kind"), n.cast("long").alias("seq"), n.cast("int").alias("offset"), n.cast("int").alias("deleted"), n.cast("string").alias("inserted"), "text", "runs", "widths", "counts", "n_tokens")
@@ -241,21 +242,23 @@ def apply_log(state: DataFrame, log: DataFrame, ranks_path: str, pattern: str) -
         counter = _counter(ranks_path, pattern)
 
         def rows():
-            key, tree = object(), None
+            key, trees = None, []
             for b in batches:
                 for r in b.to_pylist():
                     if r["kind"] == 0:
-                        if tree is not None:
-                            yield key, *tree.columns(), tree.recounted
-                        key, tree = r["doc_id"], SegmentTree.load(counter, r["text"], r["runs"], r["widths"], r["counts"])
-                    elif tree is not None and r["doc_id"] == key and key is not None:
-                        tree.edit(r["offset"] or 0, r["deleted"] or 0, r["inserted"] or "")
-            if tree is not None:
-                yield key, *tree.columns(), tree.recounted
+                        if key is None or r["doc_id"] != key:
+                            yield from ((key, *t.columns(), t.recounted) for t in trees)
+                            key, trees = r["doc_id"], []
+                        trees.append(SegmentTree.load(counter, r["text"], r["runs"], r["widths"], r["counts"]))
+                    elif key is not None and r["doc_id"] == key:
+                        for t in trees:
+                            t.edit(r["offset"] or 0, r["deleted"] or 0, r["inserted"] or "")
+            yield from ((key, *t.columns(), t.recounted) for t in trees)
 
         yield from _batches(rows(), schema)
 
-    return a.unionAll(e).repartition("doc_id").sortWithinPartitions("doc_id", "kind", "seq", "offset", "deleted", "inserted").mapInArrow(run, STATE + ", recounted long")
+    # rows without an id wait for nothing, so they are spread
+    return a.unionAll(e).repartition(F.coalesce("doc_id", F.xxhash64("text"))).sortWithinPartitions("doc_id", "kind", "seq", "offset", "deleted", "inserted").mapInArrow(run, STATE + ", recounted long")
 
 
 def sample_edits(doc_id: Column, text: Column) -> Column:
