@@ -313,6 +313,18 @@ def test_top_k_of_few_rows(spark):
     assert [tuple(r) for r in got] == [(0, 1, 1, 0)]
 
 
+def test_top_k_of_huge_components(spark):
+    rows = [(0, [1e300, 1.0]), (1, [1e300, -1.0]), (2, [-1e300, 2.0]), (3, [1e17, 5.0]), (4, [0.0, 1e9]), (50, [2.0**40, 3.0]), (6, [2.0**41, 3.0])]
+    got = sorted(tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") % 50 == 0).collect())
+    near = lambda x: max(-(2**63), min(2**63 - 1, x))
+    v = {i: [near(math.floor(256 * x)) for x in e] for i, e in rows}
+    want = []
+    for q in (0, 50):
+        score = {i: near(sum(x * y for x, y in zip(v[q], v[i]))) for i in v if i != q}
+        want += [(q, k, i, score[i]) for k, i in enumerate(sorted(score, key=lambda i: (-score[i], i))[:5], 1)]
+    assert got == want
+
+
 # 4
 
 
@@ -359,6 +371,11 @@ def test_token_counts_query_and_log(spark, docs, odd, empty, texts):
     state = token_counts.build(docs.where("doc_id < 3"), ranks, P.PATTERN)
     after = {r["doc_id"]: r["text"] for r in token_counts.apply_log(state, log, ranks, P.PATTERN).collect()}
     assert after == {0: "B" + texts[0], 1: texts[1], 2: texts[2]}
+    twice = spark.createDataFrame([(0, "same"), (0, "same"), (0, "other"), (None, "none"), (None, None), (1, "")], "doc_id bigint, text string")
+    log = log.unionAll(spark.createDataFrame([(None, 1, 0, 0, "?"), (1, None, None, None, None)], log.schema))
+    after = token_counts.apply_log(token_counts.build(twice, ranks, P.PATTERN), log, ranks, P.PATTERN).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in after) == [("0", "Bother"), ("0", "Bsame"), ("0", "Bsame"), ("1", ""), ("None", ""), ("None", "none")]
+    assert all(r["n_tokens"] == len(library.encode(r["text"], add_special_tokens=False).ids) for r in after)
 
 
 # 5
@@ -383,6 +400,17 @@ def test_proximity(spark):
     assert sorted((r["doc_id"], r["pos"], r["other"]) for r in near.collect()) == [(1, 0, 3), (2, 1, 0)]
 
 
+def test_proximity_in_odd_tables(spark):
+    rows = [(1, "alpha beta"), (1, "alpha beta"), (None, "alpha beta"), (2, None), (3, ""), (4, "alpha " * 20000 + "beta"), (5, "alpha")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    index = decontam.PositionalIndex(d, spark.createDataFrame([("alpha",), ("beta",), (None,)], "term string"))
+    pairs = spark.createDataFrame([(7, "alpha", "beta"), (8, "alpha", None), (9, "alpha", "gamma"), (None, "beta", "alpha")], "pair_id long, a string, b string")
+    near = sorted((str(r["pair_id"]), str(r["doc_id"]), r["pos"], r["other"]) for r in index.near(pairs.where("pair_id IS NOT NULL"), 2).collect())
+    assert near == [("7", "1", 0, 1), ("7", "4", 19998, 20000), ("7", "4", 19999, 20000), ("7", "None", 0, 1)]
+    assert index.near(pairs.limit(0), 2).count() == 0
+    assert decontam.PositionalIndex(d.limit(0), spark.createDataFrame([("alpha",)], "term string")).near(pairs, 2).count() == 0
+
+
 # 6
 
 
@@ -503,6 +531,17 @@ def test_preferences(spark):
     assert chat.format_pairs(chat.next_answer_pairs(turns)).count() == 1 and chat.format_pairs(chat.next_answer_pairs(turns.limit(0))).count() == 0
 
 
+def test_preferences_of_a_long_conversation(spark):
+    n, long = 20001, "word " * 100000
+    turns = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").cast("int").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.when(F.col("id") == 7, long).otherwise(F.concat(F.lit("turn "), "id")).alias("text"))
+    r = chat.conversations(turns).first()
+    assert len(r["turns"]) == n
+    both = chat.conversations(turns).select(F.lit(1).alias("pair_id"), F.slice("turns", 1, n - 1).alias("chosen"), F.concat(F.slice("turns", 1, n - 2), F.slice("turns", n, 1)).alias("rejected"))
+    got = chat.format_pairs(both).first()
+    assert got["n_common"] == n - 2 and long in got["prompt"] and got["prompt"].count("<|im_start|>") == n - 2
+    assert f"turn {n - 2}" in got["chosen"] and f"turn {n - 1}" in got["rejected"]
+
+
 # 9
 
 
@@ -707,6 +746,12 @@ def test_near_duplicates(docs, texts):
     assert got == _classes(texts)
 
 
+def test_near_duplicates_of_a_larger_table(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(d).collect()}
+    assert got == _classes({r["doc_id"]: r["text"] or "" for r in d.select("doc_id", "text").collect()})
+
+
 def test_near_duplicates_of_a_large_group(spark):
     rng = random.Random(8)
     base = [f"w{rng.randint(0, 10**6)}" for _ in range(300)]
