@@ -15,9 +15,9 @@ candidates are verified on their exact shingles. No bucket is multiplied out int
 * in each of two rounds a node meets one node of each of its buckets, the first in an order of that round, unless
   both are in one class already. This costs a row a member and joins nearly all that belongs together;
 * a bucket of at most ``FEW`` nodes that still has several classes is then met whole;
-* in a larger one, the nodes outside its large classes are queries against all of the bucket, in blocks of ``BLOCK`` nodes: two
-  blocks meet in one task, which counts common shingles by matrix products and hands on links only, no more than join
-  the classes in it. Blocks of one class never meet each other.
+* a larger one is dealt to blocks of ``BLOCK`` nodes, each of one large class or of nodes outside all of these: two blocks meet
+  in one task, which counts common shingles by matrix products and hands on links only, no more than join the classes in it.
+  Only blocks of the same large class never meet each other.
 
 After that, every two nodes of a bucket have met or are in one class; nothing is left out by a cap or an estimate.
 """
@@ -312,7 +312,7 @@ def _dealt(labelled: DataFrame, several: DataFrame, sizes: DataFrame) -> DataFra
     of = of.alias("f").join(part.alias("p"), (F.col("f.band") == F.col("p.band")) & (F.col("f.key") == F.col("p.key")) & F.col("whole").eqNullSafe(F.col("w")))
     of = of.select("f.band", "f.key", "comp", "whole", "parts")
     block = F.xxhash64(F.coalesce("whole", F.lit(b"")), F.pmod(F.xxhash64("node"), "parts"))
-    return m.join(of, ["band", "key", "comp"]).select("band", "key", block.alias("block"), F.col("whole").isNull().alias("mixed"), "whole", "node", "comp")
+    return m.join(of, ["band", "key", "comp"]).select("band", "key", block.alias("block"), "whole", "node", "comp")
 
 
 def _pack_block(table: pa.Table) -> pa.Table:
@@ -387,15 +387,14 @@ def _meet(table: pa.Table) -> pa.Table:
 
 
 def _block_links(dealt: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links of different classes between all blocks of a bucket of which one is mixed."""
+    """Links of different classes between all blocks of a bucket, but those of one large class."""
     schema = "band int, key long, block long, nodes binary, comps binary, lengths binary, h binary, n binary"
     whole = dealt.select("band", "key", "block", "node", "comp").join(sets, "node")
     packed = common.written(whole.groupBy("band", "key", "block").applyInArrow(_pack_block, schema), "blocks")
-    kinds = dealt.select("band", "key", "block", "mixed").distinct()
-    asks = kinds.where("mixed").select("band", "key", F.col("block").alias("block_a"))
-    all_ = kinds.select("band", "key", F.col("block").alias("block_b"), "mixed")
-    # mixed blocks meet each other and themselves once; a block is sent to each pair that it is in
-    pairs = asks.join(all_, ["band", "key"]).where("NOT mixed OR block_a <= block_b").select("band", "key", "block_a", "block_b")
+    kinds = dealt.select("band", "key", "block", "whole").distinct()
+    side = lambda s: kinds.select("band", "key", F.col("block").alias(f"block_{s}"), F.col("whole").alias(f"whole_{s}"))
+    # blocks meet once, those of no large class themselves too; a block is sent to each pair that it is in
+    pairs = side("a").join(side("b"), ["band", "key"]).where("block_a <= block_b AND coalesce(whole_a <> whole_b, true)").select("band", "key", "block_a", "block_b")
     sent = pairs.select("*", F.explode(F.array_distinct(F.array("block_a", "block_b"))).alias("block"))
     met = packed.join(sent, ["band", "key", "block"]).groupBy("band", "key", "block_a", "block_b").applyInArrow(_meet, "a binary, b binary")
     return common.written(met, "block-links")

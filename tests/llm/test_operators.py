@@ -812,3 +812,17 @@ def test_registers_estimate_probability_jaccard():
 
 def test_the_cutter_is_unicodes():
     assert pretok.cutter(P.PATTERN).findall("a\x1cb") == ["a", "\x1c", "b"]
+
+
+def test_large_classes_of_a_bucket_meet_each_other(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    node = lambda c, i: bytes([c]) * 8 + i.to_bytes(8, "big")
+    sets = {node(c, i): np.arange(100, dtype="<u8") + (1000 * (100 * c + i) if i else 10 * c) for c in (1, 2, 3) for i in range(20)}
+    sets[node(3, 0)] += np.uint64(10**6)
+    rows = [(0, 0, n, node(n[0], 0)) for n in sets]
+    labelled = spark.createDataFrame(rows, "band int, key long, node binary, comp binary")
+    several = spark.createDataFrame([(0, 0, len(rows))], "band int, key long, n long")
+    dealt = near_dup._dealt(labelled, several, spark.createDataFrame([(n, 100) for n in sets], "node binary, size long"))
+    assert dealt.where("whole IS NULL").isEmpty()
+    found = near_dup._block_links(dealt, spark.createDataFrame([(n, h.tobytes(), None) for n, h in sets.items()], "node binary, h binary, n binary"))
+    assert [(bytes(r["a"]), bytes(r["b"])) for r in found.collect()] == [(node(1, 0), node(2, 0))]
