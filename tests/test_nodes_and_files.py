@@ -122,3 +122,9 @@ def test_cleaning_that_never_ends_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(labels, "ROUNDS", 3)
     with pytest.raises(ValueError, match="after 3 rounds"):
         labels.clean(n)
+
+
+def test_cleaning_takes_as_many_rounds_as_labels_get_shorter_in(spark, monkeypatch):
+    n = with_defaults(spark.createDataFrame([(1, ["abc" + ":" * 8]), (2, ["de"])], "root_id bigint, label array<string>"))
+    monkeypatch.setattr(labels, "ROUNDS", 3)
+    assert {r["root_id"]: r["label"] for r in labels.clean(n).collect()} == {1: ["abc"], 2: ["de"]}
