@@ -128,3 +128,14 @@ def test_cleaning_takes_as_many_rounds_as_labels_get_shorter_in(spark, monkeypat
     n = with_defaults(spark.createDataFrame([(1, ["abc" + ":" * 8]), (2, ["de"])], "root_id bigint, label array<string>"))
     monkeypatch.setattr(labels, "ROUNDS", 3)
     assert {r["root_id"]: r["label"] for r in labels.clean(n).collect()} == {1: ["abc"], 2: ["de"]}
+
+
+def test_a_table_of_an_ingest_costs_no_other(spark, tmp_path):
+    from graphloom.sources import driver_tables
+
+    driver_tables.csv_sources(spark, "/root/testdata/sf0.001", str(tmp_path))
+    sources = csv_tables.read_with_facts(spark, str(tmp_path))
+    made = ingest.Tables(spark, {k: sources[k] for k in ("neurons", "nblast")}, driver_tables.REGIONS, driver_tables.EDGE_TYPES)
+    assert made.shapes.count() > 0 and not {"edges", "label_log", "coordinates"} & set(made.__dict__)
+    with pytest.raises(KeyError):
+        made.edges
