@@ -695,6 +695,32 @@ def test_many_customers_are_seated(monkeypatch):
     assert hpylm._log_gamma(np.array([0.1, 1.0, 7.5, 200.0])) == pytest.approx([math.lgamma(x) for x in (0.1, 1.0, 7.5, 200.0)], abs=1e-8)
 
 
+@pytest.mark.parametrize("d", [0.2, 0.6])
+@pytest.mark.parametrize("m", [0.5, 30.0, 2e4])
+def test_tables_of_many_customers_follow_their_conditional(d, m):
+    c = 1500
+    (_, row), t = next(hpylm._ratio_rows(d, np.array([c]))), np.arange(1, c + 1)
+    exact = row + math.lgamma(c - d) - math.lgamma(1 - d)
+    assert hpylm._log_stirling(np.full(c, c), t, d) == pytest.approx(exact, abs=1e-6)
+    p = np.exp(row + t * math.log(m) - (row + t * math.log(m)).max())
+    p /= p.sum()
+    drawn = hpylm.draw_tables(np.full(2000, c), np.full(2000, m), d, np.random.default_rng(0))
+    mean = (p * t).sum()
+    sd = math.sqrt((p * (t - mean) ** 2).sum())
+    assert drawn.mean() == pytest.approx(mean, abs=4 * sd / math.sqrt(2000)) and drawn.std() == pytest.approx(sd, rel=0.08)
+    # of any size
+    assert hpylm._log_stirling(10**9, 1, d) == pytest.approx(math.lgamma(10**9 - d) - math.lgamma(1 - d), rel=1e-9)
+
+
+def test_dishes_of_any_number_of_customers_tell_the_discount():
+    """Sums of the logarithms of all dishes, which are up to 48, up to 1,024 and more customers large, are those of each."""
+    counts, tables = np.array([30, 48, 49, 700, 1024, 1025, 4000]), np.array([3, 1, 7, 40, 2, 90, 300])
+    histogram, larger = hpylm._histogram(counts, tables).reshape(hpylm.LARGE + 1, -1), hpylm._larger(counts, tables) * hpylm.UNIT
+    for d, more in list(zip(hpylm.DISCOUNTS, larger))[::8]:
+        one = sum((row + math.lgamma(c - d) - math.lgamma(1 - d))[t - 1] for c, t in zip(counts.tolist(), tables.tolist()) for _, row in hpylm._ratio_rows(d, np.array([c])))
+        assert hpylm._log_seatings(histogram, d) + more == pytest.approx(one, abs=1e-4)
+
+
 def test_parameters_are_found_again():
     """Seatings drawn by one discount and strength are explained by about these."""
     rng, d, a = np.random.default_rng(2), 0.6, 4.0
