@@ -184,3 +184,9 @@ def test_similarity_of_many_equals_one_by_one(spark, monkeypatch, up, down, weig
     assert got == want and len(got) >= 10
     best = {r["root_id"]: round(r["score"], 9) for r in similarity.similar_to_any(g, asked, up=up, down=down, weighted=weighted, first=5).collect()}
     assert best == {n: max(s for _, m, s in want if m == n) for n in {w[1] for w in want}}
+
+
+def test_shape_scores_are_all_tasks_work(spark):
+    from graphloom.sources.driver_tables import _shape_sim
+
+    assert _shape_sim(spark, "/root/testdata/sf0.001").where("src % 20 = 0").rdd.getNumPartitions() >= 4
