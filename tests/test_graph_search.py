@@ -190,3 +190,21 @@ def test_shape_scores_are_all_tasks_work(spark):
     from graphloom.sources.driver_tables import _shape_sim
 
     assert _shape_sim(spark, "/root/testdata/sf0.001").where("src % 20 = 0").rdd.getNumPartitions() >= 4
+
+
+def test_steps_that_end_at_no_target_are_not_made(spark, monkeypatch):
+    """A chain into the target and a fan that leads nowhere: the state holds no node of the fan."""
+    pairs = spark.createDataFrame([(0, 1), (1, 2), (2, 3), *[(0, 100 + i) for i in range(50)]], "pre_id bigint, post_id bigint")
+    sources, targets = spark.createDataFrame([(0, 0)], "source bigint, root_id bigint"), spark.createDataFrame([(3,)], "root_id bigint")
+    put, seen = reach.Buckets.put, []
+
+    def watched(self, df, *columns):
+        out = put(self, df, *columns)
+        if "found" in df.columns:
+            seen.append({r[0] for r in out[1].select("root_id").collect()})
+        return out
+
+    monkeypatch.setattr(reach.Buckets, "put", watched)
+    for depth, want in ((None, [(0, 3, 3)]), (3, [(0, 3, 3)]), (2, [])):
+        assert [tuple(r) for r in reach.distances(pairs, sources, max_depth=depth, targets=targets).collect()] == want
+    assert all(n < 100 for state in seen for n in state)
