@@ -198,3 +198,12 @@ def test_edges_of_a_node_come_from_both_layouts(spark, both, tmp_path):
     snapshots.commit(g, path, "v", with_text=False)
     found = graph.incident(snapshots.checkout(spark, path, "v"), 5)
     assert read_rows(found) <= 800_000 / 3
+
+
+def test_rows_of_one_key_are_several_tasks_work(spark, tmp_path):
+    from graphloom.sources import text_index
+
+    rows = spark.range(40_000).select(F.lit("bolt").alias("token_lc"), F.lit("bolt").alias("token"), F.col("id").alias("root_id"))
+    text_index._write(rows, "token_lc", str(tmp_path / "tokens"), "root_id")
+    assert len(list((tmp_path / "tokens").rglob("*.parquet"))) > 1
+    assert spark.read.parquet(str(tmp_path / "tokens")).distinct().count() == 40_000
