@@ -139,3 +139,11 @@ def test_a_table_of_an_ingest_costs_no_other(spark, tmp_path):
     assert made.shapes.count() > 0 and not {"edges", "label_log", "coordinates"} & set(made.__dict__)
     with pytest.raises(KeyError):
         made.edges
+
+
+@pytest.mark.parametrize("name", ["labels_latest_first", "orphan_report", "orphans_of_a_part"])
+def test_labels_of_known_nodes_need_no_edges(spark, name):
+    from graphloom import queries
+
+    plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "p_partkey" in plan and "l_partkey" not in plan
