@@ -468,7 +468,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     # a name that no column has
     (mark,) = common.free_names(docs.columns, 1)
     marked = docs.withColumn(mark, common.row_key(F.col("doc_id"), F.col("text")))
-    stay = marked.join(small(kept.withColumnRenamed("ref", mark), kept.count()), mark, "left_semi")
+    # of the keys that stay and those that go, the fewer meet the texts, which then need no shuffle as long as these are few
+    gone = common.written(signed.select("ref").distinct().join(kept, "ref", "left_anti"), "gone")
+    n_kept, n_gone = kept.count(), gone.count()
+    fewer, n, how = (gone, n_gone, "left_anti") if n_gone <= n_kept else (kept, n_kept, "left_semi")
+    stay = marked.join(small(fewer.withColumnRenamed("ref", mark), n), mark, how)
     # only rows that share id and text meet here
     twice = common.written(signed.groupBy("ref").agg(F.count("*").alias("n")).where("n > 1").select(F.col("ref").alias(mark)), "twice")
     n_twice = twice.count()

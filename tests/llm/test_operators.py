@@ -852,3 +852,20 @@ def test_large_classes_of_a_bucket_meet_each_other(spark, monkeypatch):
     assert dealt.where("whole IS NULL").isEmpty()
     found = near_dup._block_links(dealt, spark.createDataFrame([(n, h.tobytes(), None) for n, h in sets.items()], "node binary, h binary, n binary"))
     assert [(bytes(r["a"]), bytes(r["b"])) for r in found.collect()] == [(node(1, 0), node(2, 0))]
+
+
+def test_deduplication_shuffles_no_texts_while_few_go_or_few_stay(spark, monkeypatch):
+    from graphloom.llm import decontam, near_dup
+
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 5)
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(20))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for texts, kept in ([text(i) for i in range(12)] + [text(3)] * 2, list(range(12))), ([text(i % 3) for i in range(12)], [0, 1, 2]):
+            out = near_dup.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+            assert sorted(r["doc_id"] for r in out.collect()) == kept
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
