@@ -147,3 +147,11 @@ def test_labels_of_known_nodes_need_no_edges(spark, name):
 
     plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "p_partkey" in plan and "l_partkey" not in plan
+
+
+@pytest.mark.parametrize("name,derived", [("filter_similar_upstream_weighted", "input_synapses")])
+def test_sets_of_ids_need_no_other_columns_of_the_nodes(spark, name, derived):
+    from graphloom import queries
+
+    plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert derived not in plan
