@@ -142,14 +142,17 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         return [ranks[piece]]
     n = len(piece)
     if n <= 64:
-        parts, get = [piece[i : i + 1] for i in range(n)], ranks.get
-        while len(parts) > 1:
-            pairs = [get(a + b, 1 << 30) for a, b in zip(parts, parts[1:])]
-            low = min(pairs)
-            if low == 1 << 30:
-                break
+        parts, get, none = [piece[i : i + 1] for i in range(n)], ranks.get, 1 << 30
+        pairs = [get(piece[i : i + 2], none) for i in range(n - 1)]
+        # a join changes the pairs on either side of it only
+        while pairs and (low := min(pairs)) != none:
             i = pairs.index(low)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = get(parts[i] + parts[i + 1], none)
+            if i:
+                pairs[i - 1] = get(parts[i - 1] + parts[i], none)
         return [ranks[p] for p in parts]
     ends, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
     after = lambda i: ends[i] if ends[i] < n else -1

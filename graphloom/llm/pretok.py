@@ -7,6 +7,9 @@ from collections.abc import Callable
 
 CACHE = 500_000  #: distinct chunks, and words without a space before them, that a worker remembers
 
+#: patterns that are known to always cut before a single space that follows no white space
+CUT_AT_SPACES = frozenset([r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"])
+
 _SPACES = re.compile(r" \s")
 _MARKS = frozenset(".,;:!?|")
 

@@ -9,6 +9,7 @@ and never back, which is what the boundary context rests on.
 
 from __future__ import annotations
 
+import struct
 import sys
 from collections.abc import Iterable
 
@@ -18,33 +19,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .pretok import cutter
+from .pretok import CUT_AT_SPACES, ChunkedEncoder, cutter
 
 RUN = 64  #: pre-tokens in a leaf of a new tree; a leaf that grows past FULL has its tree rebuilt
 FULL = 512
 LOOK_AHEAD = 2
-CACHE = 500_000  #: distinct pre-tokens whose counts a Python worker remembers
+CACHE = 500_000  #: distinct chunks, and pre-tokens, whose widths and counts a Python worker remembers
+
+_SHAPE = struct.Struct("<ii")
 
 STATE = "doc_id long, text string, runs binary, widths binary, counts binary, n_tokens long"
 EDITS = "array<struct<offset:int,deleted:int,inserted:string>>"
 
 
 class Counter:
-    """Counts the tokens of pre-tokens by a rank file."""
+    """Widths and token counts of pre-tokens by a rank file; the first ``CACHE`` of them are remembered."""
 
     def __init__(self, ranks_path: str, pattern: str):
-        self.ranks, self.cut, self.known = bpe.load_ranks(ranks_path), cutter(pattern), {}
+        self.ranks, self.cut, self.made = bpe.load_ranks(ranks_path), cutter(pattern), {}
+        self.words = ChunkedEncoder(pattern, self._shape, cache=CACHE)
+        self.chunked = pattern in CUT_AT_SPACES
+
+    def _shape(self, piece: str) -> bytes:
+        """Width and token count as two numbers; few of them differ."""
+        shape = len(piece), len(bpe.merge(piece.encode("utf-8"), self.ranks))
+        return self.made.setdefault(shape, _SHAPE.pack(*shape))
+
+    def _shapes(self, pieces: list[str]) -> bytes:
+        return b"".join(map(self.words.word, pieces))
 
     def counts(self, pieces: list[str]) -> list[int]:
-        try:
-            return list(map(self.known.__getitem__, pieces))
-        except KeyError:
-            if len(self.known) > CACHE:
-                self.known.clear()
-            for p in pieces:
-                if p not in self.known:
-                    self.known[p] = len(bpe.merge(p.encode("utf-8"), self.ranks))
-            return list(map(self.known.__getitem__, pieces))
+        return np.frombuffer(self._shapes(pieces), "<i4")[1::2].tolist()
+
+    def whole(self, text: str) -> tuple[list[int], list[int]]:
+        """Widths and token counts of a text's pre-tokens, in order."""
+        shapes = np.frombuffer(self.words.encode(text) if self.chunked else self._shapes(self.cut.findall(text)), "<i4")
+        return shapes[::2].tolist(), shapes[1::2].tolist()
 
 
 class SegmentTree:
@@ -53,8 +63,7 @@ class SegmentTree:
     def __init__(self, text: str, counter: Counter, runs: list[tuple[list[int], list[int]]] | None = None):
         self.text, self.counter, self.recounted = text, counter, 0
         if runs is None:
-            pieces = counter.cut.findall(text)
-            runs = self._runs(list(map(len, pieces)), counter.counts(pieces))
+            runs = self._runs(*counter.whole(text))
         self._build(runs)
 
     @staticmethod
@@ -188,6 +197,12 @@ def _batches(rows: Iterable[tuple], schema: pa.Schema, size: int = 256):
 _STATE = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("runs", pa.binary()), ("widths", pa.binary()), ("counts", pa.binary()), ("n_tokens", pa.int64())])
 
 
+def _apply(tree: SegmentTree, edits: list[dict] | None) -> None:
+    for e in edits or []:
+        if e is not None:
+            tree.edit(e["offset"] or 0, e["deleted"] or 0, e["inserted"] or "")
+
+
 def build(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """The tree of every whole text (null: empty): doc_id, text, runs, widths, counts, n_tokens.
 
@@ -216,9 +231,7 @@ def edit(state: DataFrame, edits: Column, ranks_path: str, pattern: str) -> Data
             for b in batches:
                 for r in b.to_pylist():
                     tree = SegmentTree.load(counter, r["text"], r["runs"], r["widths"], r["counts"])
-                    for e in r["edits"] or []:
-                        if e is not None:
-                            tree.edit(e["offset"] or 0, e["deleted"] or 0, e["inserted"] or "")
+                    _apply(tree, r["edits"])
                     yield r["doc_id"], *tree.columns(), r["n_tokens"], tree.recounted, tree.n_pieces
 
         yield from _batches(rows(), schema)
@@ -271,6 +284,25 @@ def sample_edits(doc_id: Column, text: Column) -> Column:
 
 
 def edited_counts(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """Per row: doc_id, n_pieces, n_tokens_before, n_tokens and recounted, after :func:`sample_edits`."""
-    state = build(docs, ranks_path, pattern)
-    return edit(state, sample_edits(F.col("doc_id"), F.col("text")), ranks_path, pattern).select("doc_id", "n_pieces", "n_tokens_before", "n_tokens", "recounted")
+    """Per row: doc_id, n_pieces, n_tokens_before, n_tokens and recounted, after :func:`sample_edits`.
+
+    As :func:`edit` after :func:`build`, but no state is kept, so a tree is edited in the task that built it.
+    """
+    names = ["doc_id", "n_pieces", "n_tokens_before", "n_tokens", "recounted"]
+    schema = pa.schema([(n, pa.int64()) for n in names])
+
+    def run(batches):
+        counter = _counter(ranks_path, pattern)
+
+        def rows():
+            for b in batches:
+                for doc_id, text, edits in zip(*[c.to_pylist() for c in b.columns]):
+                    tree = SegmentTree(text or "", counter)
+                    before = tree.n_tokens
+                    _apply(tree, edits)
+                    yield doc_id, tree.n_pieces, before, tree.n_tokens, tree.recounted
+
+        yield from _batches(rows(), schema)
+
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    return rows.select("doc_id", "text", sample_edits(F.col("doc_id"), F.col("text")).cast(EDITS).alias("edits")).mapInArrow(run, ", ".join(f"{n} long" for n in names))

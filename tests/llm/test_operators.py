@@ -352,6 +352,54 @@ def test_an_edit_recounts_little():
     assert t.recounted < 10 and t.n_tokens == token_counts.SegmentTree(t.text, c).n_tokens
 
 
+def test_whole_texts_are_cut_as_the_pattern_cuts_them():
+    c = token_counts.Counter(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    other = token_counts.Counter(P.path("byte_bpe_50k.tiktoken"), r"[\s\S]{3}|[\s\S]+")
+    rng = random.Random(14)
+    parts = [" ", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "\x1c", "a", "Bc", "é", "日本", "1", "'", "s", "'ll", "!", ".", "word", "x" * 300]
+    for c in (c, other):
+        for _ in range(3000):
+            text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 30)))
+            pieces = c.cut.findall(text)
+            assert c.whole(text) == (list(map(len, pieces)), [len(bpe.merge(p.encode(), c.ranks)) for p in pieces])
+
+
+def test_counts_of_frequent_pieces_stay(monkeypatch):
+    """More distinct pieces than are remembered don't make those forgotten that came first."""
+    monkeypatch.setattr(token_counts, "CACHE", 50)
+    c = token_counts.Counter(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    c.counts([" first"])
+    c.counts([f" w{chr(97 + i % 26)}{chr(97 + i // 26)}q" for i in range(300)])
+    merged, merge = [], bpe.merge
+    monkeypatch.setattr(bpe, "merge", lambda piece, ranks: merged.append(piece) or merge(piece, ranks))
+    c.counts([" first"])
+    assert not merged
+
+
+def test_a_merge_looks_up_the_pairs_beside_it_only():
+    class Watched(dict):
+        looks = 0
+
+        def get(self, *a):
+            Watched.looks += 1
+            return super().get(*a)
+
+    ranks = bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))
+    word = b" ofantherhetionortiandthorlyndofononnthareonbletion"
+    assert bpe.merge(word, Watched(ranks)) == bpe.merge(word, ranks) and Watched.looks <= 3 * len(word)
+
+
+def test_counts_need_no_state(docs):
+    """Trees are edited where they were built: no text or tree leaves a task."""
+    ranks = P.path("byte_bpe_50k.tiktoken")
+    out = token_counts.edited_counts(docs, ranks, P.PATTERN)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    state = token_counts.build(docs, ranks, P.PATTERN)
+    by_state = token_counts.edit(state, token_counts.sample_edits(F.col("doc_id"), F.col("text")), ranks, P.PATTERN).select(*out.columns)
+    assert sorted(out.collect()) == sorted(by_state.collect())
+
+
 def test_token_counts_query_and_log(spark, docs, odd, empty, texts):
     from tokenizers import Tokenizer
 
