@@ -174,6 +174,36 @@ def test_no_list_grows_with_a_hub(spark):
     assert sorted(tuple(r) for r in m.matches().collect()) == sorted((0, i, i % (n - 1) + 1) for i in range(1, n))
 
 
+def test_triangles_send_no_whole_lists(spark):
+    """To the far end of a pair go the neighbours that fit beside it and come after it, not all of a list."""
+    rng = random.Random(8)
+    rows = [(*rng.sample(range(600), 2), "L", 1, "X") for _ in range(15000)]
+    edges = spark.createDataFrame(rows, "pre_id bigint, post_id bigint, region string, weight bigint, edge_type string")
+    g = Graph(with_defaults(spark.range(600).withColumnRenamed("id", "root_id")), edges, regions=REGIONS, edge_types={"X": "x"})
+    store = spark.sparkContext._jsc.sc().statusStore()
+    no_quantiles = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, no_quantiles, None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "8KB")
+    try:
+        start = shuffled()
+        m = Motif(g).node("A").node("B").node("C").edge("A", "B").edge("B", "C").edge("C", "A")
+        got = {tuple(r) for r in m.matches().collect()}
+        sent = shuffled() - start
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    there = {r[:2] for r in rows}
+    out = {a: {b for x, b in there if x == a} for a in range(600)}
+    one_way = lambda a, b: (a, b) in there and (b, a) not in there
+    assert got == {(a, b, c) for a, b in there if one_way(a, b) for c in out[b] if one_way(b, c) and one_way(c, a)}
+    assert sent < 85 * len(there)
+
+
 @pytest.mark.parametrize("up,down,weighted", [(True, True, False), (True, False, True), (False, True, False), (True, True, True)])
 def test_similarity_of_many_equals_one_by_one(spark, monkeypatch, up, down, weighted):
     monkeypatch.setattr(similarity, "HUB", 7)
